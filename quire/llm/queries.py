@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import passage_dedup, suffix_dedup
 
 QUERIES = {
+    "op2_passage_dedup": passage_dedup.op2_passage_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 SQL: dict[str, str] = {}
