@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, passage_dedup, simhash_dedup, suffix_dedup
+from . import decontaminate, passage_dedup, simhash_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op2_passage_dedup": passage_dedup.op2_passage_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_warc": warc.op10_warc,
 }
 SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
