@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time; bounds the memory of a Python worker.
-CHUNK = 4 << 20
+PIECE = 1 << 20
+#: Blocks of documents, and buckets, for each shuffle partition. A block and a bucket exchange one packed row at most, so
+#: their product bounds the rows of an exchange; a partition of some 10 to 30 MB of text keeps a block in a worker's memory.
+BLOCKS = 2
+BUCKETS = 2
 #: Stands for a null doc_id: such rows come after all others in the order of documents.
 NO_ID = (1 << 63) - 1
 U = np.uint64
@@ -56,12 +60,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
-    """Arrays as one compressed value."""
+    """Arrays as one compressed value; the bytes of numbers are put by significance, which compresses better."""
     head, body = [struct.pack("<B", len(arrays))], []
     for a in arrays:
         a = np.ascontiguousarray(a)
         head.append(struct.pack("<2sq", a.dtype.str[1:].encode(), a.size))
-        body.append(a.tobytes())
+        body.append(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 and a.size else a.tobytes())
     return zstandard.ZstdCompressor(level=level).compress(b"".join(head + body))
 
 
@@ -74,13 +78,14 @@ def unpack(packed: bytes) -> list[np.ndarray]:
         kinds.append((np.dtype("<" + kind.decode()), size))
     out = []
     for kind, size in kinds:
-        out.append(np.frombuffer(raw, kind, size, at))
+        own = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
+        out.append(np.ascontiguousarray(own.reshape(kind.itemsize, size).T).view(kind).ravel() if size else np.zeros(0, kind))
         at += kind.itemsize * size
     return out
 
 
 def keyed(docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """did (long, NO_ID for null), rid (a hash of the text, so that rows that share an id stay apart), block, text (empty for null)."""
+    """did (long, NO_ID for null), rid (a hash of the text: with did it orders the rows of a block), block, text (empty for null)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), text.alias("text"))
     return rows.select("did", F.xxhash64("text").alias("rid"), F.pmod(F.xxhash64("did"), F.lit(n_blocks)).cast("int").alias("block"), "text")
@@ -102,28 +107,23 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Docs(NamedTuple):
-    """Some documents: bounds[i] to bounds[i + 1] of raw is the text of document i."""
+    """The documents of a block in the order of (did, rid): bounds[i] to bounds[i + 1] of raw is the text of document i."""
 
     did: np.ndarray
     rid: np.ndarray
-    block: np.ndarray
+    block: int
     bounds: np.ndarray
     raw: np.ndarray
 
 
-def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK) -> Iterator[Docs]:
-    """Rows of keyed() some at a time, each lot in the order of did; at most limit bytes unless one document has more."""
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        if len(ids) > 1 and (np.diff(ids) < 0).any():
-            b = b.take(pa.array(np.argsort(ids, kind="stable")))
-        ids, rids, blocks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        bounds, raw = text_bytes(b.column(3))
-        at = 0
-        while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
-            yield Docs(ids[at:to], rids[at:to], blocks[at:to], bounds[at : to + 1] - bounds[at], raw[bounds[at] : bounds[to]])
-            at = to
+def block_docs(rows: pa.Table) -> Docs:
+    """A block of keyed(). Whoever reads the block gets the same order, so that (block, index) names a document."""
+    did, rid = (rows.column(i).to_numpy() for i in ("did", "rid"))
+    if not len(did):
+        return Docs(did.astype(np.int64), rid.astype(np.int64), -1, np.zeros(1, np.int64), np.zeros(0, np.uint8))
+    order = np.lexsort((rid, did))
+    bounds, raw = text_bytes(rows.column("text").take(pa.array(order)))
+    return Docs(did[order], rid[order], rows.column("block")[0].as_py(), bounds, raw)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -159,3 +159,26 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... of counts[0] values, then those of starts[1], ..."""
     at = exclusive(counts)
     return np.arange(at[-1]) + np.repeat(starts - at[:-1], counts)
+
+
+#: What goes to buckets, and what comes back to blocks.
+PACKED = "bucket int, packed binary"
+MARKS = "block int, marks binary"
+
+
+def several_blocks(parts: list[tuple[int, np.ndarray, np.ndarray]], more: list[np.ndarray] = []) -> pa.Table:  # noqa: B006
+    """(block, hashes, place deltas): each hash once a block -> by block, the places whose hash another block has too, or more holds."""
+    every = np.sort(np.concatenate([np.zeros(0, U), *(p[1] for p in parts), *more]))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    blocks, marks = [], []
+    for block, h, place in parts:
+        hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h) if len(twice) else np.zeros(0, np.int64)
+        if len(hit):
+            blocks.append(block)
+            marks.append(pack(np.diff(np.cumsum(place, dtype=np.int64)[hit], prepend=0).astype(np.int32)))
+    return pa.table([pa.array(blocks, pa.int32()), pa.array(marks, pa.binary())], ["block", "marks"])
+
+
+def places(marks: pa.Table) -> np.ndarray:
+    """The places that several_blocks() gave to a block."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(v.as_py())[0], dtype=np.int64) for v in marks.column("marks"))])

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BLOCKS, NO_ID, U, Docs, block_docs, buckets_of, grouped, keyed, mixed, pack, partitions, ranges, unpack
+from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, U, Docs, block_docs, buckets_of, grouped, keyed, mixed, pack, partitions, places, ranges, several_blocks, unpack
 
 WINDOW = 13
 #: A perfect difference set: each residue modulo 7 is a difference of two of these (fixed values).
@@ -30,8 +30,6 @@ ANCHOR = WINDOW - PERIOD + 1
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LONG = 256
-PACKED = "bucket int, packed binary"
-MARKS = "block int, marks binary"
 
 
 class Words:
@@ -104,20 +102,7 @@ def anchors(n_buckets: int):
 def repeated(table: pa.Table) -> pa.Table:
     """A bucket of anchors -> by block, the places of those that other blocks hold too."""
     parts = [unpack(v.as_py()) for v in table.column("packed")]
-    every = np.sort(np.concatenate([x for p in parts for x in p[1:3]]))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    blocks, marks = [], []
-    for block, _, h, place in parts:
-        near = np.searchsorted(twice, h)
-        hit = np.flatnonzero(twice[np.minimum(near, len(twice) - 1)] == h) if len(twice) else near[:0]
-        if len(hit):
-            blocks.append(int(block[0]))
-            marks.append(pack(np.diff(np.cumsum(place, dtype=np.int64)[hit], prepend=0).astype(np.int32)))
-    return pa.table([pa.array(blocks, pa.int32()), pa.array(marks, pa.binary())], ["block", "marks"])
-
-
-def places(marks: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(v.as_py())[0], dtype=np.int64) for v in marks.column("marks"))])
+    return several_blocks([(int(p[0][0]), p[2], p[3]) for p in parts], [p[1] for p in parts])
 
 
 def candidates(docs: Docs, words: Words, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +213,8 @@ def run(docs: DataFrame, last, schema: str) -> DataFrame:
     n = partitions(docs.sparkSession)
     rows = keyed(docs, BLOCKS * n)
     blocks = rows.groupBy("block")
-    again = blocks.applyInArrow(anchors(2 * n), PACKED).groupBy("bucket").applyInArrow(repeated, MARKS)
-    late = blocks.cogroup(again.groupBy("block")).applyInArrow(extended(2 * n), PACKED).groupBy("bucket").applyInArrow(earlier, MARKS)
+    again = blocks.applyInArrow(anchors(BUCKETS * n), PACKED).groupBy("bucket").applyInArrow(repeated, MARKS)
+    late = blocks.cogroup(again.groupBy("block")).applyInArrow(extended(BUCKETS * n), PACKED).groupBy("bucket").applyInArrow(earlier, MARKS)
     marks = again.withColumn("late", F.lit(False)).unionAll(late.withColumn("late", F.lit(True)))
     return rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(last, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import BLOCKS, NO_ID, PIECE, U, partitions, written
+from .common import NO_ID, PIECE, U, partitions, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -171,7 +171,7 @@ def links(table: pa.Table) -> pa.Table:
 
 def trie_links(distinct: DataFrame) -> DataFrame:
     """(a, b): fingerprints of distinct (fp) within the budget, enough of them that components are those of all links."""
-    n = BLOCKS * partitions(distinct.sparkSession)
+    n = 8 * partitions(distinct.sparkSession)
     spread = distinct.select("fp").mapInArrow(dealt(n), "bucket int, kind byte, view long, fp long")
     return spread.groupBy("bucket").applyInArrow(links, "a long, b long").distinct()
 

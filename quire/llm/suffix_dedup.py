@@ -2,12 +2,13 @@
 
 Method: blockwise suffix sorting with a difference cover. The suffixes (window starts) of the whole corpus are dealt to
 buckets by the rarest-hashed 16-byte word of their window, which equal windows share; neighbouring suffixes of a bucket
-travel as one stretch of text, so that a bucket holds the text that its suffixes need and nothing else. Buckets are then
-sorted one at a time: the suffixes by their first and last 31 bytes, and what still ties by the ranks of a sample of the bucket's
+travel as one stretch of text, so that a bucket holds the text that its suffixes need and nothing else. Stretches whose
+word no other stretch has chosen hold no repeat and stay behind (words go round first, by hash). Buckets are then sorted
+one at a time: the suffixes by their first and last 31 bytes, and what still ties by the ranks of a sample of the bucket's
 suffixes at the positions of a difference cover modulo 31, which are computed first. Memory is that of one bucket.
 
-Equal stretches are one before the shuffle (in each chunk of documents) and again in their bucket: thousands of copies
-of a document or passage send each of its stretches once for each chunk.
+Equal stretches are one before the shuffle (in each block of documents) and again in their bucket: thousands of copies
+of a document or passage send each of its stretches once for each block.
 
 Order: by doc_id, then by start. A null doc_id comes last. Rows that share a doc_id count as one document, in which
 starts decide; repeated rows therefore never remove each other. A null text is empty; texts of under 100 bytes and empty
@@ -22,18 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import Docs, NO_ID, U, buckets_of, chunks, exclusive, grouped, keyed, mixed, pack, partitions, ranges, text_bytes, unpack
+from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, buckets_of, exclusive, grouped, keyed, mixed, pack, partitions, places, ranges, several_blocks, unpack
 
 WINDOW = 100
 WORD = 16
 #: A perfect difference set: each residue modulo 31 is a difference of two of these (fixed values).
 PERIOD = 31
 COVER = np.array([0, 1, 3, 8, 12, 18])
-#: Bytes of a document that are hashed at a time.
-SEGMENT = 4 << 20
-MARKS = "block int, marks binary"
 
 
 def shift_table(period: int = PERIOD, cover: np.ndarray = COVER) -> np.ndarray:
@@ -99,46 +96,85 @@ def stretches(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, last - first, chosen[first], h[chosen[first]]
 
 
-def segments(docs: Docs) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """index of the document in docs, where in it the piece starts, bounds and bytes; long documents come in pieces that overlap by a window less a byte."""
-    if len(docs.did) > 1 or len(docs.raw) <= SEGMENT:
-        yield np.arange(len(docs.did)), np.zeros(len(docs.did), np.int64), docs.bounds, docs.raw
-        return
-    for at in range(0, len(docs.raw), SEGMENT):
-        piece = docs.raw[at : at + SEGMENT + WINDOW - 1]
-        yield np.zeros(1, np.int64), np.array([at]), np.array([0, len(piece)]), piece
+def pieces(docs: Docs) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Index of the documents, where in them the piece starts, bounds and bytes; long documents come in pieces that overlap by a window less a byte."""
+    at = 0
+    while at < len(docs.did):
+        to = max(at + 1, int(np.searchsorted(docs.bounds, docs.bounds[at] + PIECE, "right")) - 1)
+        own = docs.raw[docs.bounds[at] : docs.bounds[to]]
+        if to > at + 1 or len(own) <= PIECE:
+            yield np.arange(at, to), np.zeros(to - at, np.int64), docs.bounds[at : to + 1] - docs.bounds[at], own
+        else:
+            for start in range(0, len(own), PIECE):
+                piece = own[start : start + PIECE + WINDOW - 1]
+                yield np.array([at]), np.array([start]), np.array([0, len(piece)]), piece
+        at = to
+
+
+class Stretches:
+    """The stretches of a block: document, start in it and in raw, number of windows, place of the word, its hash."""
+
+    def __init__(self, docs: Docs):
+        parts = []
+        for which, offset, bounds, raw in pieces(docs):
+            first, count, word, h = stretches(raw, bounds)
+            own = np.searchsorted(bounds, first, "right") - 1
+            parts.append((which[own].astype(np.int32), first - bounds[own] + offset[own], count.astype(np.int8), (word - first).astype(np.int8), h))
+        kinds = (np.int32, np.int64, np.int8, np.int8, U)
+        self.doc, self.start, self.count, self.word, self.hash = (np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds))
+        self.at = docs.bounds[self.doc] + self.start
+
+
+def classes(n_buckets: int):
+    """A block -> (bucket, hashes): each class of stretches that it holds, once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        docs = block_docs(rows)
+        h, first = np.unique(Stretches(docs).hash, return_index=True)
+        keys, values = [], []
+        for bucket, part in grouped(buckets_of(mixed(h), n_buckets)):  # mixed again: a least hash is a small number
+            part = part[np.argsort(first[part])]
+            keys.append(bucket)
+            values.append(pack(np.array([docs.block]), h[part], np.diff(first[part], prepend=0).astype(np.int32)))
+        return pa.table([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["bucket", "packed"])
+
+    return run
+
+
+def shared(table: pa.Table) -> pa.Table:
+    """A bucket of classes -> by block, the places of those that other blocks hold too."""
+    parts = [unpack(v.as_py()) for v in table.column("packed")]
+    return several_blocks([(int(p[0][0]), p[1], p[2]) for p in parts])
 
 
 def deal(n_buckets: int):
-    """keyed() rows -> rows (bucket, stretches) and, with a bucket of -1 - block, (bucket, marks) of stretches that an earlier one of the chunk equals."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs in chunks(batches):
-            seen: dict[bytes, tuple[int, int]] = {}
-            for which, offset, bounds, raw in segments(docs):
-                first, count, word, h = stretches(raw, bounds)
-                if not len(first):
-                    continue
-                held = raw.tobytes()
-                own = np.searchsorted(bounds, first, "right") - 1
-                doc, start = which[own], first - bounds[own] + offset[own]
-                texts = [held[a:b] for a, b in zip(first.tolist(), (first + count + (WINDOW - 1)).tolist(), strict=True)]
-                places = list(zip(docs.did[doc].tolist(), start.tolist(), strict=True))
-                fresh = np.array([seen.setdefault(t, p) == p for t, p in zip(texts, places, strict=True)], bool)
-                keys, values = [], []
-                if not fresh.all():
-                    old = np.flatnonzero(~fresh)
-                    for block, part in grouped(docs.block[doc[old]]):
-                        part = old[part]
-                        keys.append(-1 - block)
-                        values.append(pack(docs.did[doc[part]], docs.rid[doc[part]], start[part], count[part].astype(np.int16)))
-                new = np.flatnonzero(fresh)
-                for bucket, part in grouped(buckets_of(h[new], n_buckets)):
-                    part = new[part]
-                    inner, local = np.unique(doc[part], return_inverse=True)
-                    keys.append(bucket)
-                    values.append(pack(docs.did[inner], docs.rid[inner], docs.block[inner], local.astype(np.int32), start[part], count[part].astype(np.int16), (word[part] - first[part]).astype(np.int16), h[part], np.frombuffer(b"".join([texts[i] for i in part.tolist()]), np.uint8)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["bucket", "packed"])
+    """A block and its shared classes -> (bucket, stretches) of classes with different stretches and, with a bucket of
+    -1 - block, the marks of stretches that an earlier one of the block equals."""
+
+    def run(rows: pa.Table, marks: pa.Table) -> pa.Table:
+        docs = block_docs(rows)
+        s = Stretches(docs)
+        _, back, size = np.unique(s.hash, return_inverse=True, return_counts=True)
+        out = np.zeros(len(size), bool)
+        out[back[places(marks)]] = True
+        near = np.flatnonzero(out[back] | (size[back] > 1))
+        raw, seen = memoryview(docs.raw), {}
+        texts = [raw[a:b].tobytes() for a, b in zip(s.at[near].tolist(), (s.at[near] + s.count[near] + (WINDOW - 1)).tolist(), strict=True)]
+        held = zip(docs.did[s.doc[near]].tolist(), s.start[near].tolist(), strict=True)
+        fresh = np.array([seen.setdefault(t, p) == p for t, p in zip(texts, held, strict=True)], bool)
+        del seen
+        keys, values = [], []
+        old = near[~fresh]
+        if len(old):
+            keys.append(-1 - docs.block)
+            values.append(pack(*joined(s.doc[old], s.start[old], s.count[old].astype(np.int64))))
+        again = np.bincount(back[near[fresh]], minlength=len(size)) > 1
+        new = np.flatnonzero(fresh & (out | again)[back[near]])
+        for bucket, part in grouped(buckets_of(mixed(s.hash[near[new]]), n_buckets)):
+            own = near[new[part]]
+            keys.append(bucket)
+            values.append(pack(np.array([docs.block]), np.diff(docs.did[s.doc[own]], prepend=0), np.diff(s.doc[own], prepend=0), s.start[own].astype(np.int64), s.count[own], s.word[own], s.hash[own], np.frombuffer(b"".join([texts[i] for i in new[part].tolist()]), np.uint8)))
+        return pa.table([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["bucket", "packed"])
 
     return run
 
@@ -173,7 +209,7 @@ def cover_ranks(text: np.ndarray, sample: np.ndarray, depth: int) -> np.ndarray:
     """By position of the text, the rank of the sampled suffixes there by their first depth bytes; equal bytes, equal ranks."""
     steps = [*range(0, depth - 8, 8), depth - 8]
     order, group = refine(np.zeros(len(sample), np.int64), [big_endian(text, a) for a in steps], sample.copy())
-    ranks = np.zeros(len(text), np.int64)
+    ranks = np.zeros(len(text), np.int32)
     ranks[order] = group
     return ranks
 
@@ -214,25 +250,40 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, classes: np.ndarray) ->
     tied = np.flatnonzero(size[group] > 1) if len(group) else np.zeros(0, np.int64)
     if not len(tied):
         return order, group
-    depth = WINDOW - PERIOD + 1
-    near = np.unique((order[tied][:, None] + np.arange(PERIOD)[None, :]).ravel()) if len(tied) < 1 << 16 else np.arange(len(text) - depth + 1)
-    near = near[np.isin(near % PERIOD, COVER)]
-    ranks = cover_ranks(text, near, depth)
+    needed = np.zeros(len(text) + 1, np.int32)
+    np.add.at(needed, order[tied], 1)
+    np.add.at(needed, order[tied] + PERIOD, -1)
+    residue = np.zeros(PERIOD, bool)
+    residue[COVER] = True
+    sample = np.flatnonzero((np.cumsum(needed[:-1], dtype=np.int32) > 0) & np.resize(residue, len(text)))
+    ranks = cover_ranks(text, sample, WINDOW - PERIOD + 1)
     own, sub = by_cover(group[tied], order[tied].copy(), ranks)
     return own, sub
 
 
+def lots(classes: np.ndarray, size: np.ndarray, limit: int) -> Iterator[slice]:
+    """Whole classes (equal numbers in a row), some at a time, of some limit bytes together; a larger class comes alone."""
+    ends = np.append(np.flatnonzero(np.diff(classes)) + 1, len(classes)) if len(classes) else np.zeros(0, np.int64)
+    total, at, before = exclusive(size), 0, 0
+    for end in ends.tolist():
+        if end > before > at and total[end] - total[at] > limit:
+            yield slice(at, before)
+            at = before
+        before = end
+    if at < before:
+        yield slice(at, before)
+
+
 def sort_bucket(table: pa.Table) -> pa.Table:
-    """The stretches of a bucket -> marks of the windows that start again."""
+    """The stretches of a bucket -> by block, the marks of the windows that start earlier elsewhere."""
     if table.num_rows and table.column("bucket")[0].as_py() < 0:
         blocks = [-1 - b for b in table.column("bucket").to_pylist()]
         return pa.table([pa.array(blocks, pa.int32()), table.column("packed").cast(pa.binary())], ["block", "marks"])
     parts = [unpack(v.as_py()) for v in table.column("packed")]
-    base = exclusive(np.array([len(p[0]) for p in parts]))
-    did, rid, block = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    doc = np.concatenate([p[3] + b for p, b in zip(parts, base, strict=False)])
-    start, count, word, h = (np.concatenate([p[i] for p in parts]).astype(k) for i, k in ((4, np.int64), (5, np.int64), (6, np.int64), (7, U)))
-    text = np.concatenate([p[8] for p in parts])
+    block = np.repeat([int(p[0][0]) for p in parts], [len(p[1]) for p in parts])
+    did, doc = (np.concatenate([np.cumsum(p[i], dtype=np.int64) for p in parts]) for i in (1, 2))
+    start, count, word, h = (np.concatenate([p[i] for p in parts]).astype(k) for i, k in ((3, np.int64), (4, np.int64), (5, np.int64), (6, U)))
+    text = np.concatenate([p[7] for p in parts])
     place = exclusive(count + WINDOW - 1)
     marks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -240,108 +291,106 @@ def sort_bucket(table: pa.Table) -> pa.Table:
     alone = several[2][several[1]] == 1
     # the first of equal stretches stands for all; the others are marked whole
     busy = np.flatnonzero(~alone)
-    busy = busy[np.lexsort((start[busy], did[doc[busy]]))]
-    held, seen = text.tobytes(), {}
-    places = list(zip(did[doc[busy]].tolist(), start[busy].tolist(), strict=True))
-    fresh = np.array([seen.setdefault(held[a:b], p) == p for a, b, p in zip(place[busy].tolist(), place[busy + 1].tolist(), places, strict=True)], bool)
+    busy = busy[np.lexsort((start[busy], did[busy]))]
+    held, seen = memoryview(text), {}
+    places = zip(did[busy].tolist(), start[busy].tolist(), strict=True)
+    fresh = np.array([seen.setdefault(held[a:b].tobytes(), p) == p for a, b, p in zip(place[busy].tolist(), place[busy + 1].tolist(), places, strict=True)], bool)
+    del seen
     again = busy[~fresh]
-    marks.append((doc[again], start[again], count[again]))
+    marks.append((again, start[again], count[again]))
     keep = busy[fresh]
     kind = several[1][keep]
     keep = keep[np.bincount(kind, minlength=len(several[0]))[kind] > 1] if len(keep) else keep
-    if len(keep):
-        length = count[keep] + WINDOW - 1
-        own = text[ranges(place[keep], length)]
+    keep = keep[np.argsort(several[1][keep], kind="stable")]
+    for part in lots(several[1][keep], count[keep] + WINDOW - 1, PIECE):
+        run = keep[part]
+        length = count[run] + WINDOW - 1
+        own = text[ranges(place[run], length)]
         at = exclusive(length)[:-1]
-        starts = ranges(at, count[keep])
-        stretch = np.repeat(np.arange(len(keep)), count[keep])
-        ahead_of = np.repeat(at + word[keep], count[keep]) - starts
-        order, group = equal_windows(np.append(own, np.zeros(8, np.uint8)), starts, several[1][keep][stretch] * WINDOW + ahead_of)
+        starts = ranges(at, count[run])
+        stretch = np.repeat(np.arange(len(run)), count[run])
+        ahead_of = np.repeat(at + word[run], count[run]) - starts
+        order, group = equal_windows(np.append(own, np.zeros(8, np.uint8)), starts, several[1][run][stretch] * WINDOW + ahead_of)
         if len(order):
             mine = np.searchsorted(at, order, "right") - 1
-            run = keep[mine]
-            d, s = did[doc[run]], start[run] + order - at[mine]
+            run = run[mine]
+            d, s = did[run], start[run] + order - at[mine]
             by = np.lexsort((s, d, group))
             d, s, g, run = d[by], s[by], group[by], run[by]
             head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             size = np.diff(np.append(head, len(g)))
             later = (d != np.repeat(d[head], size)) | (s != np.repeat(s[head], size))
-            if later.any():
-                marks.append((doc[run[later]], s[later], np.ones(int(later.sum()), np.int64)))
-    doc_m, start_m, count_m = (np.concatenate([m[i] for m in marks]) for i in range(3))
+            marks.append((run[later], s[later], np.ones(int(later.sum()), np.int64)))
+    of, start_m, count_m = (np.concatenate([m[i] for m in marks]) for i in range(3))
     out_b, out_m = [], []
-    for b, part in grouped(block[doc_m]):
+    for b, part in grouped(block[of]):
         out_b.append(b)
-        out_m.append(pack(*joined(did[doc_m[part]], rid[doc_m[part]], start_m[part], count_m[part])))
+        out_m.append(pack(*joined(doc[of[part]], start_m[part], count_m[part])))
     return pa.table([pa.array(out_b, pa.int32()), pa.array(out_m, pa.binary())], ["block", "marks"])
 
 
-def joined(did: np.ndarray, rid: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Marks with those that follow one another as one (counts then pass 16 bits)."""
-    by = np.lexsort((start, rid, did))
-    did, rid, start, count = did[by], rid[by], start[by], count[by].astype(np.int64)
-    new = np.append(True, (did[1:] != did[:-1]) | (rid[1:] != rid[:-1]) | (start[1:] > start[:-1] + count[:-1])) if len(by) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
+def joined(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks with those that follow one another as one."""
+    by = np.lexsort((start, doc))
+    doc, start, count = doc[by], start[by], count[by]
+    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + count[:-1]))) if len(by) else by
     end = np.maximum.reduceat(start + count, head) if len(head) else start
-    return did[head], rid[head], start[head], end - start[head]
+    return doc[head].astype(np.int32), start[head], end - start[head]
 
 
-def covered(rows: pa.Table, marks: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """did, bytes and the removed bytes' mask of each row."""
-    at: dict[tuple[int, int], list[tuple[int, int]]] = {}
+def removed(docs: Docs, marks: pa.Table) -> np.ndarray:
+    """Which bytes of the block go."""
+    cover = np.zeros(len(docs.raw) + 1, np.int32)
     for v in marks.column("marks"):
-        did, rid, start, count = unpack(v.as_py())
-        for d, r, s, c in zip(did.tolist(), rid.tolist(), start.tolist(), count.tolist(), strict=True):
-            at.setdefault((d, r), []).append((s, s + c + WINDOW - 1))
-    bounds, raw = text_bytes(rows.column("text"))
-    for i, key in enumerate(zip(rows.column("did").to_pylist(), rows.column("rid").to_pylist(), strict=True)):
-        own = raw[bounds[i] : bounds[i + 1]]
-        gone = np.zeros(len(own), bool)
-        for a, b in at.get(key, ()):
-            gone[a:b] = True
-        yield key[0], own, gone
+        doc, start, count = unpack(v.as_py())
+        at = docs.bounds[doc] + start
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + count + (WINDOW - 1), -1)
+    return np.cumsum(cover[:-1], dtype=np.int32) > 0
 
 
 def digests(rows: pa.Table, marks: pa.Table) -> pa.Table:
-    out: list[list] = [[], [], [], [], []]
-    for did, own, gone in covered(rows, marks):
-        edge = np.diff(gone.astype(np.int8), prepend=0)
-        for column, value in zip(out, (None if did == NO_ID else did, len(own), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(own[~gone].tobytes()).hexdigest()), strict=True):
+    docs = block_docs(rows)
+    gone = removed(docs, marks)
+    out: list[list] = [[], [], [], []]
+    for a, b in zip(docs.bounds[:-1].tolist(), docs.bounds[1:].tolist(), strict=True):
+        own = gone[a:b]
+        edge = int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[:1].sum())
+        for column, value in zip(out, (b - a, int(np.count_nonzero(own)), edge, hashlib.sha256(docs.raw[a:b][~own].tobytes()).hexdigest()), strict=True):
             column.append(value)
-    return pa.table([pa.array(out[0], pa.int64()), *(pa.array(c, pa.int64()) for c in out[1:4]), pa.array(out[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    ids = pa.array(docs.did, pa.int64(), mask=docs.did == NO_ID)
+    return pa.table([ids, *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def kept_texts(rows: pa.Table, marks: pa.Table) -> pa.Table:
-    out: list[list] = [[], [], [], []]
-    for (did, own, gone), rid in zip(covered(rows, marks), rows.column("rid").to_pylist(), strict=True):
-        if gone.any():  # a character goes if all its bytes go
+    docs = block_docs(rows)
+    gone = removed(docs, marks)
+    texts, lost = [], []
+    for a, b in zip(docs.bounds[:-1].tolist(), docs.bounds[1:].tolist(), strict=True):
+        own, out = docs.raw[a:b], gone[a:b]
+        if out.any():  # a character goes if all its bytes go
             lead = np.flatnonzero((own & 0xC0) != 0x80)
-            whole = np.logical_and.reduceat(gone, lead)
-            own, spans = own[~np.repeat(whole, np.diff(np.append(lead, len(own))))], int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-        else:
-            spans = 0
-        for column, value in zip(out, (did, rid, own.tobytes().decode("utf-8", "replace"), spans), strict=True):
-            column.append(value)
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], ["did", "rid", "text", "n_spans"])
-
-
-def repeated(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """(block, marks): the stretches of windows of keyed() rows that also start earlier."""
-    dealt = rows.mapInArrow(deal(n_buckets), "bucket int, packed binary")
-    return dealt.groupBy("bucket").applyInArrow(sort_bucket, MARKS)
+            whole = np.logical_and.reduceat(out, lead)
+            own = own[~np.repeat(whole, np.diff(np.append(lead, len(own))))]
+        texts.append(own.tobytes().decode("utf-8", "replace"))
+        lost.append(int(np.count_nonzero(out)))
+    ids = pa.array(docs.did, pa.int64(), mask=docs.did == NO_ID)
+    return pa.table([ids, pa.array(docs.rid, pa.int64()), pa.array(texts, pa.string()), pa.array(lost, pa.int64())], ["doc_id", "rid", "text", "n_removed"])
 
 
-def sized(docs: DataFrame) -> tuple[DataFrame, int]:
-    n = 8 * partitions(docs.sparkSession)
-    return keyed(docs, n), n
+def run(docs: DataFrame, last, schema: str) -> DataFrame:
+    n = partitions(docs.sparkSession)
+    blocks = keyed(docs, BLOCKS * n).groupBy("block")
+    alike = blocks.applyInArrow(classes(BUCKETS * n), PACKED).groupBy("bucket").applyInArrow(shared, MARKS)
+    dealt = blocks.cogroup(alike.groupBy("block")).applyInArrow(deal(BUCKETS * n), PACKED)
+    marks = dealt.groupBy("bucket").applyInArrow(sort_bucket, MARKS)
+    return blocks.cogroup(marks.groupBy("block")).applyInArrow(last, schema)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """did, rid, text without what repeats (whole characters), n_spans: a row for each of docs (doc_id, text)."""
-    rows, n = sized(docs)
-    return rows.groupBy("block").cogroup(repeated(rows, n).groupBy("block")).applyInArrow(kept_texts, "did long, rid long, text string, n_spans long")
+    """doc_id, rid (xxhash64 of the old text), text without what repeats (only whole characters go), n_removed bytes: a row for each of docs (doc_id, text)."""
+    return run(docs, kept_texts, "doc_id long, rid long, text string, n_removed long")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, n = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return rows.groupBy("block").cogroup(repeated(rows, n).groupBy("block")).applyInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return run(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
