@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, passage_dedup, simhash_dedup, suffix_dedup, warc
+from . import bpe, decontaminate, media, passage_dedup, simhash_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op2_passage_dedup": passage_dedup.op2_passage_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_media": media.op6_media,
+    "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_warc": warc.op10_warc,
 }
