@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, media, passage_dedup, simhash_dedup, suffix_dedup, warc
+from . import bpe, decontaminate, media, passage_dedup, quality, simhash_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_passage_dedup": passage_dedup.op2_passage_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
