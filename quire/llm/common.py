@@ -84,11 +84,13 @@ def unpack(packed: bytes) -> list[np.ndarray]:
     return out
 
 
-def keyed(docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """did (long, NO_ID for null), rid (a hash of the text: with did it orders the rows of a block), block, text (empty for null)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), text.alias("text"))
-    return rows.select("did", F.xxhash64("text").alias("rid"), F.pmod(F.xxhash64("did"), F.lit(n_blocks)).cast("int").alias("block"), "text")
+def keyed(docs: DataFrame, n_blocks: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """did (long, NO_ID for null), rid (a hash of the text: with did it orders the rows of a block), block, text (empty for null); more: other columns, and no_text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    extra = [F.col(c) for c in more] + [F.col("text").isNull().alias("no_text")] * bool(more)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), text.alias("text"), *extra)
+    own = (F.xxhash64("text").alias("rid"), F.pmod(F.xxhash64("did"), F.lit(n_blocks)).cast("int").alias("block"))
+    return rows.select("did", *own, "text", *(c for c in rows.columns if c not in ("did", "text")))
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return {t: trained(views, y, held) for t, y in zip(TARGETS, (np.array(low), np.array(toxic)), strict=True)}
 
 
-def scored(models: dict[str, Target | None], passed: int):
+def scored(models: dict[str, Target | None]):
     """Rows (row, doc_id, text, lang, source, n_chars) -> doc_id, p_quality, p_toxic, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,24 @@ def scored(models: dict[str, Target | None], passed: int):
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_quality, p_toxic, keep: a row for each of docs."""
-    return columns(docs).mapInArrow(scored(train(docs, labels), 0), f"doc_id long, {SCORES}")
+    return columns(docs).mapInArrow(scored(train(docs, labels)), f"doc_id long, {SCORES}")
+
+
+def kept_rows(models: dict[str, Target | None]):
+    """Rows (row, doc_id, text, lang, source, n_chars) -> those to keep."""
+    judge = scored(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.concat_arrays([x.column(3) for x in judge([b])]) if b.num_rows else pa.array([], pa.bool_())
+            yield b.filter(keep)
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, lang, source, n_chars of the rows of docs that are kept."""
+    return columns(docs).mapInArrow(kept_rows(train(docs, labels)), "row long, doc_id long, text string, lang string, source string, n_chars long").drop("row")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, buckets_of, exclusive, grouped, keyed, mixed, pack, partitions, places, ranges, several_blocks, unpack
@@ -378,9 +379,9 @@ def kept_texts(rows: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.table([ids, pa.array(docs.rid, pa.int64()), pa.array(texts, pa.string()), pa.array(lost, pa.int64())], ["doc_id", "rid", "text", "n_removed"])
 
 
-def run(docs: DataFrame, last, schema: str) -> DataFrame:
+def run(docs: DataFrame, last, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
     n = partitions(docs.sparkSession)
-    blocks = keyed(docs, BLOCKS * n).groupBy("block")
+    blocks = keyed(docs, BLOCKS * n, more).groupBy("block")
     alike = blocks.applyInArrow(classes(BUCKETS * n), PACKED).groupBy("bucket").applyInArrow(shared, MARKS)
     dealt = blocks.cogroup(alike.groupBy("block")).applyInArrow(deal(BUCKETS * n), PACKED)
     marks = dealt.groupBy("bucket").applyInArrow(sort_bucket, MARKS)
@@ -392,5 +393,19 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     return run(docs, kept_texts, "doc_id long, rid long, text string, n_removed long")
 
 
+def restored(rows: pa.Table, marks: pa.Table) -> pa.Table:
+    """kept_texts() with the other columns of documents, in the order of block_docs()."""
+    order = np.lexsort((rows.column("rid").to_numpy(), rows.column("did").to_numpy())) if rows.num_rows else np.zeros(0, np.int64)
+    new, old = kept_texts(rows, marks), rows.take(pa.array(order))
+    chars = pa.array([len(t) if n else c for t, n, c in zip(new.column("text").to_pylist(), new.column("n_removed").to_pylist(), old.column("n_chars").to_pylist(), strict=True)], pa.int64())
+    text = pc.if_else(old.column("no_text"), pa.scalar(None, pa.string()), new.column("text"))
+    return pa.table([new.column("doc_id"), text, old.column("lang"), old.column("source"), chars], ["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def replaced(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars) with texts without what repeats, and n_chars of the texts that changed."""
+    return run(docs, restored, "doc_id long, text string, lang string, source string, n_chars long", ("lang", "source", "n_chars"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
