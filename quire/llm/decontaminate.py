@@ -86,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if rows <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
     # written first: whether the texts are then found by broadcast or by a shuffled join hangs on the size of this table
-    candidates = written(low.join(lookup, "h").select("doc_id", "rid", "item").distinct(), "candidates")
+    candidates = written(low.join(lookup, "h").select("doc_id", "rid", "item").distinct(), "candidates", narrow=True)
     named = shingled(benchmark).select("item_id", F.xxhash64("s").alias("item")).distinct()
     exact = candidates.join(d, (candidates["doc_id"].eqNullSafe(d["doc_id"])) & (candidates["rid"] == d["rid"])).select(candidates["doc_id"], "item", "text")
     split = exact.select("doc_id", "item", words(F.col("text")).alias("w")).select("doc_id", "item", shingles(F.col("w")).alias("own"))

@@ -178,7 +178,7 @@ def trie_links(distinct: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a > b) but the roots, the least node of each component. Rounds are written to the shared folder."""
-    edges = written(edges, "links")
+    edges = written(edges, "links", narrow=True)
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -187,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "links")
+        edges = written(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "links", narrow=True)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
