@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, media, passage_dedup, quality, simhash_dedup, suffix_dedup, warc
+from . import bpe, decontaminate, html_extract, media, passage_dedup, quality, simhash_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_media": media.op6_media,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_warc": warc.op10_warc,
