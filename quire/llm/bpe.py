@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 PIECE = 4 << 20
 #: Distinct words that go through a recursive query together, and that are kept.
 LOT = 50_000
-CACHE = 300_000
+CACHE = 600_000
 
 #: step: k is the rank of the pair that begins at p, with p itself in the low 32 bits (null if it is no pair). Each step
 #: finds the least k of each word, best. The second row of that pair goes, the first takes the merged token; only it and
@@ -73,40 +73,45 @@ class Codec:
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.load("merges", pa.table([a, b, r], ["a", "b", "id"]))
         self.load("vocabulary", pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"]))
-        #: Of known words, the ids in decimal joined by a space and the bytes that these decode to; those met of late and before.
-        self.recent: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        #: By word, the ids in decimal joined by a space, and the bytes that these decode to: of words met of late, and before.
+        self.ids, self.raws = {}, {}
+        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     def load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def code_words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        """Of distinct words, the ids in decimal joined by a space, and what they decode to."""
-        out = [("", b"") if r is None else (str(r), w) for w, r in zip(words, map(self.ranks.get, words), strict=True)]
-        # a lot takes as many steps as its longest word
-        todo = sorted((i for i, x in enumerate(out) if not x[0] and words[i]), key=lambda i: len(words[i]))
-        lot, size = [], 0
-        for i in [*todo, -1]:
-            if lot and (i < 0 or len(lot) >= LOT or size + len(words[i]) > 12 * LOT):
-                self.contract([words[k] for k in lot], lot, out)
-                lot, size = [], 0
-            if i >= 0:
-                lot.append(i)
-                size += len(words[i])
-        return out
-
-    def contract(self, words: list[bytes], names: list[int], out: list[tuple[str, bytes]]) -> None:
-        lengths = np.array([len(w) for w in words])
+    def add(self, words: list[str]) -> None:
+        """Codes distinct words that aren't known yet."""
+        todo: list[tuple[str, bytes]] = []
+        for w in words:
+            raw = w.encode()
+            rank = self.ranks.get(raw)
+            if rank is None:
+                todo.append((w, raw))
+            else:
+                self.ids[w], self.raws[w] = str(rank), raw
+        todo.sort(key=lambda x: len(x[1]))  # a lot takes as many steps as its longest word
+        at = 0
+        while at < len(todo):
+            to = min(len(todo), at + LOT, at + max(1, 12 * LOT // len(todo[min(len(todo), at + LOT) - 1][1])))
+            self.contract(*zip(*todo[at:to], strict=True))
+            at = to
+
+    def contract(self, words: tuple[str, ...], raws: tuple[bytes, ...]) -> None:
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
         ends = np.cumsum(lengths)
-        t = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        n = pa.array(np.append(t[1:], 0), mask=np.isin(np.arange(len(t)), ends - 1))
-        w, p = np.repeat(np.array(names, np.int32), lengths), (np.arange(len(t)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
+        t = self.byte[np.frombuffer(b"".join(raws), np.uint8)]
+        last = np.zeros(len(t), bool)
+        last[ends - 1] = True
+        n = pa.array(np.append(t[1:], np.int32(0)), mask=last)
+        w, p = np.repeat(np.arange(len(raws), dtype=np.int32), lengths), (np.arange(len(t)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         self.load("bytes", pa.table([pa.array(w), pa.array(p), pa.array(t), n], ["w", "p", "t", "n"]))
         found = self.db.sql(ENCODE).to_arrow_table()
-        for k, ids, raw in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
-            out[k] = ids, raw
+        own = [words[k] for k in found.column(0).to_pylist()]
+        self.ids.update(zip(own, found.column(1).to_pylist(), strict=True))
+        self.raws.update(zip(own, found.column(2).to_pylist(), strict=True))
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of sequences of ids."""
@@ -122,22 +127,16 @@ class Codec:
         return out
 
     def coded(self, texts: list[list[str]]) -> tuple[dict[str, str], dict[str, bytes]]:
-        """Ids and decoded bytes by word, of the words of some texts."""
-        met, new, ids, raws = set().union(*texts), [], {}, {}
-        if len(self.recent) + len(met) > CACHE:
-            self.old, self.recent = self.recent, {}
-        for w in met:
-            known = self.recent.get(w)
-            if known is None:
-                if (known := self.old.get(w)) is None:
-                    new.append(w)
-                    continue
-                self.recent[w] = known
-            ids[w], raws[w] = known
-        for w, known in zip(new, self.code_words([w.encode() for w in new]), strict=True):
-            self.recent[w] = known
-            ids[w], raws[w] = known
-        return ids, raws
+        """Ids and decoded bytes by word, of the words of some texts at least."""
+        met = set().union(*texts)
+        if len(self.ids) + len(met) > CACHE:
+            self.old, self.ids, self.raws = (self.ids, self.raws), {}, {}
+        old_ids, old_raws = self.old
+        missing = met.difference(self.ids)
+        for w in missing.intersection(old_ids):
+            self.ids[w], self.raws[w] = old_ids[w], old_raws[w]
+        self.add([*missing.difference(old_ids)])
+        return self.ids, self.raws
 
     def words(self, text: str) -> list[str]:
         return self.find(text)
