@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, media, passage_dedup, quality, simhash_dedup, suffix_dedup, warc
+from . import bpe, decontaminate, html_extract, licenses, media, passage_dedup, quality, simhash_dedup, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_passage_dedup": passage_dedup.op2_passage_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_media": media.op6_media,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 SQL: dict[str, str] = {
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_decontaminate": decontaminate.SQL,
 }
