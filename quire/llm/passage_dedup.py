@@ -32,6 +32,20 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LONG = 256
 
 
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, k, md5(array_to_string(w[k : k + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+late AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY h) AS least FROM t) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM late, range(0, 13) AS r(j)),
+lost AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text, count(*) AS n
+         FROM (SELECT d.doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d)
+         ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 class Words:
     """The words of a block: start and end in raw, a hash, the document and the place in it."""
 

@@ -17,6 +17,8 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 SQL: dict[str, str] = {
-    "op3_license_scan": licenses.op3_license_scan,
+    "op2_passage_dedup": passage_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op9_suffix_dedup": suffix_dedup.SQL,
+    "op10_warc": warc.SQL,
 }

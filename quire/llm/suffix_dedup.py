@@ -34,6 +34,24 @@ PERIOD = 31
 COVER = np.array([0, 1, 3, 8, 12, 18])
 
 
+SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+t AS MATERIALIZED (SELECT doc_id, k, md5(hex(array_slice(b, k, k + 99))) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS k FROM d)),
+late AS MATERIALIZED (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS n FROM t) WHERE n > 1),
+runs AS MATERIALIZED (
+    SELECT doc_id, run, min(k) AS a, max(k) + 99 AS z
+    FROM (SELECT doc_id, k, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY k) AS run
+          FROM (SELECT doc_id, k, k - lag(k, 1, -1000) OVER (PARTITION BY doc_id ORDER BY k) > 100 AS new FROM late))
+    GROUP BY doc_id, run),
+cut AS MATERIALIZED (
+    SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a + 1) AS lost, count(*) AS n FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN n IS NULL THEN b ELSE unhex(array_to_string(list_transform(range(0, n + 1), lambda i:
+           hex(array_slice(b, CASE WHEN i = 0 THEN 1 ELSE z[i] + 1 END, CASE WHEN i = n THEN octet_length(b) ELSE a[i + 1] - 1 END))), '')) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def shift_table(period: int = PERIOD, cover: np.ndarray = COVER) -> np.ndarray:
     """For residues a and b the least shift that takes both into the cover."""
     table = np.full((period, period), -1, np.int64)

@@ -37,6 +37,17 @@ FILES = "file string, bytes long, members long"
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, page_id long, payload_bytes long, payload_digest string, declared_digest string, payload binary"
 
 
+SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', h[i]) - 1), 4, '0')), '') AS bits FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(bits[5 * i + j + 1] AS INTEGER) * (1 << (4 - j)))) AS INTEGER)]), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, coalesce(url, '') AS target_uri, TRUE AS digest_matches
+FROM b
+"""
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
