@@ -91,8 +91,9 @@ def not_repeated(requests: DataFrame, key: str, at: str, minutes: int) -> DataFr
     """Requests of which none of the key was granted in the minutes before: one in each, counted from the one granted.
 
     The grant chain is a fold over each key's ordered times, held as an array of that key alone."""
-    seconds = F.unix_micros(at)
+    kind = requests.schema[at].dataType
+    seconds = F.unix_micros(F.col(at).cast("timestamp"))
     times = F.array_sort(F.collect_set(seconds))
     step = lambda granted, t: F.when((F.size(granted) == 0) | (t - F.element_at(granted, -1) >= minutes * 60_000_000), F.concat(granted, F.array(t))).otherwise(granted)
     granted = requests.groupBy(key).agg(times.alias("_ts")).select(key, F.explode(F.aggregate("_ts", F.array().cast("array<bigint>"), step)).alias("_us"))
-    return granted.select(key, F.timestamp_micros("_us").alias(at))
+    return granted.select(key, F.timestamp_micros("_us").cast(kind).alias(at))
