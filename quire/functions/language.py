@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SAMPLE = 3000
 LEAST = 80
@@ -44,10 +45,9 @@ def detect(raw: str) -> str | None:
     return best if score[best] >= max(2, len(words) / 20) else None
 
 
-@F.pandas_udf("string")
 def _detected(s: pd.Series) -> pd.Series:
     return s.fillna("").map(detect)
 
 
 def detected(c: Column) -> Column:
-    return _detected(c)
+    return F.pandas_udf(_detected, StringType())(c)
