@@ -29,8 +29,11 @@ from .common import NO_ID, PIECE, U, partitions, written
 SHINGLE = 3
 BUDGET = 2
 SEED = 42
-#: First bits of the three blocks, and of the three inner blocks of the 42 or 43 other bits.
+#: First bits of the three blocks, and of the three inner blocks of 14 bits of the 42 or 43 others.
 OUTER = (0, 22, 43, 64)
+INNER = (0, 14, 28)
+#: By view, the bits that its groups agree in.
+FIXED = np.array([OUTER[i + 1] - OUTER[i] + 14 for i in range(3) for _ in INNER])
 #: Node pairs that are held at a time.
 FRONTIER = 1 << 20
 SEPARATOR = re.compile(rb"[\x20\x09-\x0d]")
@@ -81,13 +84,13 @@ def rotated(fp: np.ndarray, first: int, width: int, total: int = 64) -> np.ndarr
 
 
 def views(fp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Nine rearrangements of the bits, in each of which the top 36 are a block and an inner block."""
+    """Nine rearrangements of the bits, in each of which the top FIXED are a block and an inner block."""
     for i in range(3):
         width = OUTER[i + 1] - OUTER[i]
         turned = rotated(fp, OUTER[i], width)
         rest = 64 - width
         head, tail = (turned >> U(rest)) << U(rest), turned & ((U(1) << U(rest)) - U(1))
-        for j, first in enumerate((0, 14, 28)):
+        for j, first in enumerate(INNER):
             yield 3 * i + j, head | rotated(tail, first, 14, rest)
 
 
@@ -96,23 +99,23 @@ def dealt(n_buckets: int):
         for b in batches:
             fp = b.column(0).to_numpy().view(U)
             for k, view in views(fp):
-                key = (view >> U(28)) * U(16) + U(k)
+                key = (view >> U(64 - FIXED[k])) * U(16) + U(k)
                 bucket = ((key * U(0x9E3779B97F4A7C15)) >> U(32)) * U(n_buckets) >> U(32)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(np.full(len(fp), k, np.int8)), pa.array(view.view(np.int64)), pa.array(fp.view(np.int64))], ["bucket", "kind", "view", "fp"])
 
     return run
 
 
-def close_pairs(view: np.ndarray, kind: np.ndarray, fixed: int = 36) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of leaves (indexes) within the budget, of tries that agree in kind and the top fixed bits. Sorted by (kind, view)."""
+def close_pairs(view: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves (indexes) within the budget, of tries that agree in kind and its top FIXED bits. Sorted by (kind, view)."""
     n = len(view)
-    top = view >> U(64 - fixed)
+    top = view >> (64 - FIXED[kind]).astype(U)
     head = np.flatnonzero(np.append(True, (top[1:] != top[:-1]) | (kind[1:] != kind[:-1]))) if n else np.zeros(0, np.int64)
     end = np.append(head[1:], n)
     several = end - head > 1
     head, end = head[several], end[several]
     ones: dict[int, np.ndarray] = {}
-    stack = [(fixed, head, end, head, end, np.zeros(len(head), np.int8))]
+    stack = [(int(FIXED.min()), head, end, head, end, np.zeros(len(head), np.int8))]
     while stack:
         depth, al, ah, bl, bh, err = stack.pop()
         if len(al) > FRONTIER:
