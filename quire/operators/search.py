@@ -28,7 +28,7 @@ def query_terms(q: str, least: int = 3) -> list[str]:
 
 def field_postings(docs: DataFrame, key: str, field: Column) -> tuple[DataFrame, DataFrame]:
     """(key, len) of all documents with a token in the field, and (key, term, tf)."""
-    tokens = docs.select(key, T.tokens(field).alias("w")).where(F.size("w") > 0)
+    tokens = once(docs, key, T.tokens(field)).where(F.size("w") > 0)
     lengths = tokens.select(key, F.size("w").alias("len"))
     return lengths, tokens.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
@@ -36,19 +36,27 @@ def field_postings(docs: DataFrame, key: str, field: Column) -> tuple[DataFrame,
 def field_scores(docs: DataFrame, key: str, field: Column, terms: list[str]) -> DataFrame:
     """(key, score): BM25 of the field for the terms, over documents that hold one.
 
-    Only the terms' counts leave a document (no explode of all tokens); statistics are one small row, joined by broadcast."""
-    tokens = docs.select(key, T.tokens(field).alias("w")).where(F.size("w") > 0)
+    Only the terms' counts leave a document (no explode of all tokens). Statistics take a pass over all documents and are
+    one small row, joined by broadcast; the scoring pass reads on only where a term occurs as a substring."""
     equals = lambda t: lambda x: x == t
     counts = [F.size(F.filter("w", equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    held = tokens.select(key, F.size("w").alias("len"), *counts)
-    stats = held.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    some = F.lit(False)
+    for t in terms:
+        some = some | F.contains(F.lower(field), F.lit(t))
+    held = lambda rows: once(rows, key, T.tokens(field)).select(key, F.size("w").alias("len"), *counts).where("len > 0")
+    stats = held(docs).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     hit = " or ".join(f"tf{i} > 0" for i in range(len(terms)))
-    return held.where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
+    return held(docs.where(some)).where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # stats is one row
+
+
+def once(docs: DataFrame, key: str, value: Column) -> DataFrame:
+    """key, w: a costly value, which filters above are not to compute again (they stop at a generator)."""
+    return docs.select(key, F.explode(F.array(value)).alias("w"))
 
 
 def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
