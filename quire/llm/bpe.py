@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import CACHES, release
+
 #: Characters of text that are split into words at a time.
 PIECE = 4 << 20
 #: Distinct words that go through a recursive query together, and that are kept.
@@ -143,6 +145,7 @@ class Codec:
 
 
 CODECS: dict[tuple[str, str], Codec] = {}
+CACHES.append(CODECS.clear)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -168,7 +171,7 @@ def digests(path: str, pattern: str, passed: int = 1):
     """Rows (others..., text) -> (others..., n_tokens, ids_sha256, decoded_sha256); decoded bytes are digested as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern)  # with its known words it stays for the worker's next task
         for b in batches:
             counts, ids, raws = [], [], []
             for texts in lots([t or "" for t in b.column(passed).to_pylist()], PIECE):
@@ -180,6 +183,7 @@ def digests(path: str, pattern: str, passed: int = 1):
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     raws.append(hashlib.sha256(b"".join(map(back.__getitem__, words))).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(raws, pa.string())], [*b.schema.names[:passed], "n_tokens", "ids_sha256", "decoded_sha256"])
+        release(caches=False)
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterator
@@ -188,3 +190,50 @@ def several_blocks(parts: list[tuple[int, np.ndarray, np.ndarray]], more: list[n
 def places(marks: pa.Table) -> np.ndarray:
     """The places that several_blocks() gave to a block."""
     return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(v.as_py())[0], dtype=np.int64) for v in marks.column("marks"))])
+
+
+#: What to call to empty the caches that operators keep in a Python worker.
+CACHES: list = []
+
+
+def release(caches: bool = True) -> None:
+    """Gives back what a worker that lives on has no use for: workers outlast their tasks, and stages share executors."""
+    for clear in CACHES if caches else ():
+        clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A function of batches that releases memory when it is done."""
+
+    def batches_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return batches_run
+
+
+def lean_group(run):
+    """The same of a function of a group."""
+
+    def group_run(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return group_run
+
+
+def lean_cogroup(run):
+    def cogroup_run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return cogroup_run

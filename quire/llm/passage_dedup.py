@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BLOCKS, MARKS, NO_ID, PACKED, U, Docs, block_docs, buckets_of, grouped, keyed, mixed, pack, partitions, places, ranges, several_blocks, unpack
+from .common import BLOCKS, MARKS, NO_ID, PACKED, U, Docs, block_docs, buckets_of, grouped, keyed, lean_cogroup, lean_group, mixed, pack, partitions, places, ranges, several_blocks, unpack
 
 WINDOW = 13
 #: A perfect difference set: each residue modulo 7 is a difference of two of these (fixed values).
@@ -227,10 +227,10 @@ def run(docs: DataFrame, last, schema: str) -> DataFrame:
     n = partitions(docs.sparkSession)
     rows = keyed(docs, BLOCKS * n)
     blocks = rows.groupBy("block")
-    again = blocks.applyInArrow(anchors(n), PACKED).groupBy("bucket").applyInArrow(repeated, MARKS)
-    late = blocks.cogroup(again.groupBy("block")).applyInArrow(extended(n), PACKED).groupBy("bucket").applyInArrow(earlier, MARKS)
+    again = blocks.applyInArrow(lean_group(anchors(n)), PACKED).groupBy("bucket").applyInArrow(lean_group(repeated), MARKS)
+    late = blocks.cogroup(again.groupBy("block")).applyInArrow(lean_cogroup(extended(n)), PACKED).groupBy("bucket").applyInArrow(lean_group(earlier), MARKS)
     marks = again.withColumn("late", F.lit(False)).unionAll(late.withColumn("late", F.lit(True)))
-    return rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(last, schema)
+    return rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lean_cogroup(last), schema)
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 LABELLED = 12_000
 POOL = 4_000
 ROUNDS = 3
@@ -209,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     known = marks.orderBy(order, "quality", "toxic").limit(labelled)
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(order).limit(labelled + pool)
     ids = known.select("doc_id").unionAll(rest).distinct()
-    sample = columns(docs).join(F.broadcast(ids), "doc_id", "left_semi").select("row", "doc_id", "text", "lang", "source", "n_chars").mapInArrow(featured, FEATURES).toArrow().combine_chunks()
+    sample = columns(docs).join(F.broadcast(ids), "doc_id", "left_semi").select("row", "doc_id", "text", "lang", "source", "n_chars").mapInArrow(lean(featured), FEATURES).toArrow().combine_chunks()
     ids_of = sample.column("doc_id").to_numpy()
     by: dict[int, list[tuple]] = {}
     for r in known.collect():  # at most the bound
@@ -252,7 +254,7 @@ def scored(models: dict[str, Target | None]):
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_quality, p_toxic, keep: a row for each of docs."""
-    return columns(docs).mapInArrow(scored(train(docs, labels)), f"doc_id long, {SCORES}")
+    return columns(docs).mapInArrow(lean(scored(train(docs, labels))), f"doc_id long, {SCORES}")
 
 
 def kept_rows(models: dict[str, Target | None]):
@@ -269,7 +271,7 @@ def kept_rows(models: dict[str, Target | None]):
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, lang, source, n_chars of the rows of docs that are kept."""
-    return columns(docs).mapInArrow(kept_rows(train(docs, labels)), "row long, doc_id long, text string, lang string, source string, n_chars long").drop("row")
+    return columns(docs).mapInArrow(lean(kept_rows(train(docs, labels))), "row long, doc_id long, text string, lang string, source string, n_chars long").drop("row")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

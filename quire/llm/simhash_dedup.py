@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import NO_ID, PIECE, U, partitions, written
+from .common import NO_ID, PIECE, U, lean, lean_group, partitions, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -175,8 +175,8 @@ def links(table: pa.Table) -> pa.Table:
 def trie_links(distinct: DataFrame) -> DataFrame:
     """(a, b): fingerprints of distinct (fp) within the budget, enough of them that components are those of all links."""
     n = 8 * partitions(distinct.sparkSession)
-    spread = distinct.select("fp").mapInArrow(dealt(n), "bucket int, kind byte, view long, fp long")
-    return spread.groupBy("bucket").applyInArrow(links, "a long, b long").distinct()
+    spread = distinct.select("fp").mapInArrow(lean(dealt(n)), "bucket int, kind byte, view long, fp long")
+    return spread.groupBy("bucket").applyInArrow(lean_group(links), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """did (NO_ID for null), fp, component (least did reachable): a row for each of docs."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.col(text_col).alias("text"))
-    own = written(rows.mapInArrow(fingerprints, "did long, fp long"), "fingerprints")
+    own = written(rows.mapInArrow(lean(fingerprints), "did long, fp long"), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("did").alias("least"))
     root = components(trie_links(distinct))
     of = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, buckets_of, exclusive, grouped, keyed, mixed, pack, partitions, places, ranges, several_blocks, unpack
+from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, buckets_of, exclusive, grouped, keyed, lean_cogroup, lean_group, mixed, pack, partitions, places, ranges, several_blocks, unpack
 
 WINDOW = 100
 WORD = 16
@@ -400,10 +400,10 @@ def kept_texts(rows: pa.Table, marks: pa.Table) -> pa.Table:
 def run(docs: DataFrame, last, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
     n = partitions(docs.sparkSession)
     blocks = keyed(docs, BLOCKS * n, more).groupBy("block")
-    alike = blocks.applyInArrow(classes(BUCKETS * n), PACKED).groupBy("bucket").applyInArrow(shared, MARKS)
-    dealt = blocks.cogroup(alike.groupBy("block")).applyInArrow(deal(BUCKETS * n), PACKED)
-    marks = dealt.groupBy("bucket").applyInArrow(sort_bucket, MARKS)
-    return blocks.cogroup(marks.groupBy("block")).applyInArrow(last, schema)
+    alike = blocks.applyInArrow(lean_group(classes(BUCKETS * n)), PACKED).groupBy("bucket").applyInArrow(lean_group(shared), MARKS)
+    dealt = blocks.cogroup(alike.groupBy("block")).applyInArrow(lean_cogroup(deal(BUCKETS * n)), PACKED)
+    marks = dealt.groupBy("bucket").applyInArrow(lean_group(sort_bucket), MARKS)
+    return blocks.cogroup(marks.groupBy("block")).applyInArrow(lean_cogroup(last), schema)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
