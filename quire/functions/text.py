@@ -76,7 +76,7 @@ def visual_name(display: Column, first: Column, last: Column) -> Column:
 def parsed_name(original: Column) -> Column:
     """struct(last, first): "Last, First", or the last of several words first; what is left of three words or more comes in the parsed order."""
     name = F.trim(original)
-    by_comma = F.transform(F.split(name, ","), F.trim)
+    by_comma = F.transform(F.split(name, ","), lambda x: F.trim(x))
     by_space = F.reverse(F.split(name, r"\s+"))
     parts = F.when(F.contains(name, F.lit(",")), by_comma).otherwise(by_space)
     rest = F.trim(F.array_join(F.slice(parts, 2, 1000), " "))
