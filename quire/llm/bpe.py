@@ -3,7 +3,8 @@
 Method: the distinct words (matches of the pattern) of some documents that are no token themselves become rows (word,
 position, token), a byte each. A recursive query joins neighbours with the merge table and contracts, in each word and
 step, the leftmost pair of least rank, until no word has one. Decoding joins ids with the vocabulary and puts their bytes
-together by ordered aggregation. Documents are then sequences of words whose ids and bytes are known.
+together by ordered aggregation. Documents are then sequences of words whose ids and bytes are known. A word of LONG bytes
+or more takes its steps alone and one query each, all of a pair's occurrences together where that gives the same.
 
 The ranks are those of a file in tiktoken's format, given as a parameter; special tokens are ordinary text. A null text is
 empty (no ids). Memory is bounded by lots of distinct words; known words are kept for later texts up to a bound (CACHE), those met
@@ -27,8 +28,8 @@ from .common import CACHES, release
 #: Characters of text that are split into words at a time.
 PIECE = 4 << 20
 #: Distinct words that go through a recursive query together, and that are kept.
-LOT = 50_000
-CACHE = 600_000
+LOT = 30_000
+CACHE = 250_000
 
 #: step: k is the rank of the pair that begins at p, with p itself in the low 32 bits (null if it is no pair). Each step
 #: finds the least k of each word, best. The second row of that pair goes, the first takes the merged token; only it and
@@ -52,6 +53,21 @@ WITH RECURSIVE step(w, p, t, k, done) AS (
 SELECT w, string_agg(t, ' ' ORDER BY p) AS ids, unhex(string_agg(hex, '' ORDER BY p)) AS raw
 FROM step JOIN vocabulary ON id = t WHERE done GROUP BY w
 """
+#: A step of a long word by itself. A pair of the least rank may occur many times; these are contracted at once, from the
+#: left in each run of overlapping ones. If the merged token may form a pair of a lower rank ($solo), so only where no two
+#: occurrences touch, and the step is taken back for the leftmost alone if such a pair came up (then without $whole).
+LONG = 512
+PAIRS = "SELECT p, t, id AS k FROM (SELECT p, t, lead(t) OVER (ORDER BY p) AS n FROM {}) LEFT JOIN merges ON a = t AND b = n"
+STEP = f"""
+CREATE TEMP TABLE word_after AS
+WITH i AS (SELECT p, t, k, row_number() OVER (ORDER BY p) AS n FROM word),
+h AS (SELECT p, n, n - row_number() OVER (ORDER BY p) AS run FROM i WHERE k = $best),
+o AS (SELECT p, n, row_number() OVER (ORDER BY p) AS f, n - lag(n) OVER (ORDER BY p) = 2 AS touches FROM (SELECT p, n, row_number() OVER (PARTITION BY run ORDER BY p) AS j FROM h) WHERE j % 2 = 1),
+c AS (SELECT p FROM o WHERE f = 1 OR NOT $solo OR $whole AND NOT (SELECT coalesce(bool_or(touches), FALSE) FROM o)),
+m AS (SELECT i.p, CASE WHEN c.p IS NULL THEN t ELSE $best END AS t, c.p IS NOT NULL AS hit FROM i LEFT JOIN c USING (p)),
+g AS (SELECT p, t FROM (SELECT p, t, lag(hit, 1, FALSE) OVER (ORDER BY p) AS gone FROM m) WHERE NOT gone)
+{PAIRS.format("g")}
+"""
 DECODE = "SELECT s, unhex(string_agg(hex, '' ORDER BY p)) AS raw FROM ids JOIN vocabulary USING (id) GROUP BY s"
 
 
@@ -75,6 +91,8 @@ class Codec:
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.load("merges", pa.table([a, b, r], ["a", "b", "id"]))
         self.load("vocabulary", pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"]))
+        #: Tokens that can form a pair of a lower rank than their own.
+        self.solo = {x for a, b, r in pairs for x in (a, b) if r < x}
         #: By word, the ids in decimal joined by a space, and the bytes that these decode to: of words met of late, and before.
         self.ids, self.raws = {}, {}
         self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
@@ -90,7 +108,9 @@ class Codec:
         for w in words:
             raw = w.encode()
             rank = self.ranks.get(raw)
-            if rank is None:
+            if rank is None and len(raw) >= LONG:
+                self.contract_long(w, raw)
+            elif rank is None:
                 todo.append((w, raw))
             else:
                 self.ids[w], self.raws[w] = str(rank), raw
@@ -115,6 +135,27 @@ class Codec:
         self.ids.update(zip(own, found.column(1).to_pylist(), strict=True))
         self.raws.update(zip(own, found.column(2).to_pylist(), strict=True))
 
+    def contract_long(self, word: str, raw: bytes) -> None:
+        """Memory and steps stay those of one word and its distinct pairs, where the recursive query would keep every step's rows."""
+        db = self.db
+        self.load("bytes", pa.table([pa.array(np.arange(len(raw), dtype=np.int32)), pa.array(self.byte[np.frombuffer(raw, np.uint8)])], ["p", "t"]))
+        db.execute(f"CREATE OR REPLACE TEMP TABLE word AS {PAIRS.format('bytes')}")
+        least = lambda table: db.execute(f"SELECT min(k) FROM {table}").fetchall()[0][0]
+        best = least("word")
+        while best is not None:
+            solo = best in self.solo
+            db.execute(STEP, {"best": best, "solo": solo, "whole": True})
+            after = least("word_after")
+            if solo and after is not None and after < best:
+                db.execute("DROP TABLE word_after")
+                db.execute(STEP, {"best": best, "solo": True, "whole": False})
+                after = least("word_after")
+            db.execute("DROP TABLE word")
+            db.execute("ALTER TABLE word_after RENAME TO word")
+            best = after
+        ids = [r[0] for r in db.execute("SELECT t FROM word ORDER BY p").fetchall()]
+        self.ids[word], self.raws[word] = " ".join(map(str, ids)), self.decode([ids])[0]
+
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of sequences of ids."""
         lengths = np.array([len(ids) for ids in sequences], np.int64)

@@ -214,6 +214,7 @@ def lean(run):
         finally:
             release()
 
+    batches_run.__name__ = run.__name__  # plans name it
     return batches_run
 
 
@@ -226,6 +227,7 @@ def lean_group(run):
         finally:
             release()
 
+    group_run.__name__ = run.__name__  # plans name it
     return group_run
 
 
@@ -236,4 +238,5 @@ def lean_cogroup(run):
         finally:
             release()
 
+    cogroup_run.__name__ = run.__name__  # plans name it
     return cogroup_run

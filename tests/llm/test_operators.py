@@ -260,6 +260,14 @@ def test_bpe_round_trip(spark, tokenizer):
         assert r["ids"] == enc.encode_ordinary(r["text"]) and back[r["doc_id"]] == r["text"]
 
 
+@pytest.mark.parametrize("word", ["a" * 5001, "ab" * 900, "aab" * 400 + "aaa" * 33, "é" * 700, "thequickbrownfox" * 40 + "lazydog" * 30])
+def test_long_words_take_their_steps_alone(tokenizer, word):
+    path, pattern, enc = tokenizer
+    own = bpe.codec(path, pattern)
+    own.add([word])
+    assert [int(i) for i in own.ids[word].split()] == enc.encode_ordinary(word) and own.raws[word] == word.encode()
+
+
 def test_known_words_are_forgotten(tokenizer, monkeypatch):
     path, pattern, enc = tokenizer
     monkeypatch.setattr(bpe, "CACHE", 3)
