@@ -7,6 +7,9 @@ word no other stretch has chosen hold no repeat and stay behind (words go round
 one at a time: the suffixes by their first and last 31 bytes, and what still ties by the ranks of a sample of the bucket's
 suffixes at the positions of a difference cover modulo 31, which are computed first. Memory is that of one bucket.
 
+A word that very many different stretches have chosen (it lies in a passage that a third of all documents hold, say) is
+hot: its suffixes go one by one, by a hash of their window.
+
 Equal stretches are one before the shuffle (in each block of documents) and again in their bucket: thousands of copies
 of a document or passage send each of its stretches once for each block.
 
@@ -24,11 +27,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from xxhash import xxh64_intdigest
 
-from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, buckets_of, exclusive, grouped, keyed, lean_cogroup, lean_group, mixed, pack, partitions, places, ranges, several_blocks, unpack
+from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, buckets_of, exclusive, grouped, keyed, lean_cogroup, lean_group, mixed, pack, partitions, ranges, unpack
 
 WINDOW = 100
 WORD = 16
+#: Different stretches from which a class is hot.
+HOT = 20_000
 #: A perfect difference set: each residue modulo 31 is a difference of two of these (fixed values).
 PERIOD = 31
 COVER = np.array([0, 1, 3, 8, 12, 18])
@@ -144,55 +150,90 @@ class Stretches:
         self.at = docs.bounds[self.doc] + self.start
 
 
+    def variants(self, raw: np.ndarray) -> np.ndarray:
+        """A number of both ends and the length of each stretch: different numbers, different stretches."""
+        eight = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,)) if len(self.at) else np.zeros(0, U)
+        last = self.at + self.count + (WINDOW - 9)
+        return mixed(eight[self.at] * U(0x9E3779B97F4A7C15) + eight[last] + self.count.astype(U))
+
+
 def classes(n_buckets: int):
-    """A block -> (bucket, hashes): each class of stretches that it holds, once."""
+    """A block -> (bucket, hashes): each class of stretches that it holds, once, with how many different ones it has at least."""
 
     def run(rows: pa.Table) -> pa.Table:
         docs = block_docs(rows)
-        h, first = np.unique(Stretches(docs).hash, return_index=True)
+        s = Stretches(docs)
+        h, first, back = np.unique(s.hash, return_index=True, return_inverse=True)
+        different = np.unique(np.stack([back.astype(U), s.variants(docs.raw)], 1), axis=0)[:, 0].astype(np.int64)
+        count = np.bincount(different, minlength=len(h)).astype(np.int32)
         keys, values = [], []
         for bucket, part in grouped(buckets_of(mixed(h), n_buckets)):  # mixed again: a least hash is a small number
             part = part[np.argsort(first[part])]
             keys.append(bucket)
-            values.append(pack(np.array([docs.block]), h[part], np.diff(first[part], prepend=0).astype(np.int32)))
+            values.append(pack(np.array([docs.block]), h[part], np.diff(first[part], prepend=0).astype(np.int32), count[part]))
         return pa.table([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["bucket", "packed"])
 
     return run
 
 
 def shared(table: pa.Table) -> pa.Table:
-    """A bucket of classes -> by block, the places of those that other blocks hold too."""
+    """A bucket of classes -> by block, the places of those that other blocks hold too, and whether they are hot."""
     parts = [unpack(v.as_py()) for v in table.column("packed")]
-    return several_blocks([(int(p[0][0]), p[1], p[2]) for p in parts])
+    every, back = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    several = np.bincount(back) > 1
+    hot = np.bincount(back, weights=np.concatenate([p[3] for p in parts])) > HOT
+    blocks, marks, at = [], [], 0
+    for block, h, place, _ in parts:
+        own = back[at : at + len(h)]
+        at += len(h)
+        hit = np.flatnonzero(several[own])
+        if len(hit):
+            blocks.append(int(block[0]))
+            marks.append(pack(np.diff(np.cumsum(place, dtype=np.int64)[hit], prepend=0).astype(np.int32), hot[own[hit]].astype(np.int8)))
+    return pa.table([pa.array(blocks, pa.int32()), pa.array(marks, pa.binary())], ["block", "marks"])
 
 
 def deal(n_buckets: int):
     """A block and its shared classes -> (bucket, stretches) of classes with different stretches and, with a bucket of
-    -1 - block, the marks of stretches that an earlier one of the block equals."""
+    -1 - block, the marks of stretches that an earlier one of the block equals. Stretches of hot classes go window by
+    window, each by a hash of its own, so that no bucket gets all of a common passage's surroundings."""
 
     def run(rows: pa.Table, marks: pa.Table) -> pa.Table:
         docs = block_docs(rows)
         s = Stretches(docs)
         _, back, size = np.unique(s.hash, return_inverse=True, return_counts=True)
-        out = np.zeros(len(size), bool)
-        out[back[places(marks)]] = True
-        near = np.flatnonzero(out[back] | (size[back] > 1))
+        elsewhere, hot = np.zeros(len(size), bool), np.zeros(len(size), bool)
+        for v in marks.column("marks"):
+            place, is_hot = unpack(v.as_py())
+            own = back[np.cumsum(place, dtype=np.int64)]
+            elsewhere[own], hot[own] = True, is_hot > 0
+        near = np.flatnonzero(elsewhere[back] | (size[back] > 1))
+        cold, warm = near[~hot[back[near]]], near[hot[back[near]]]
+        n = s.count[warm].astype(np.int64)
+        at = np.concatenate([s.at[cold], ranges(s.at[warm], n)])
+        doc = np.concatenate([s.doc[cold], np.repeat(s.doc[warm], n)])
+        start = np.concatenate([s.start[cold], ranges(s.start[warm], n)])
+        count = np.concatenate([s.count[cold], np.ones(int(n.sum()), np.int8)])
+        word = np.concatenate([s.word[cold], (np.repeat(s.word[warm], n) - ranges(np.zeros(len(n), np.int64), n)).astype(np.int8)])
         raw, seen = memoryview(docs.raw), {}
-        texts = [raw[a:b].tobytes() for a, b in zip(s.at[near].tolist(), (s.at[near] + s.count[near] + (WINDOW - 1)).tolist(), strict=True)]
-        held = zip(docs.did[s.doc[near]].tolist(), s.start[near].tolist(), strict=True)
-        fresh = np.array([seen.setdefault(t, p) == p for t, p in zip(texts, held, strict=True)], bool)
+        texts = [raw[a:b].tobytes() for a, b in zip(at.tolist(), (at + count + (WINDOW - 1)).tolist(), strict=True)]
+        h = np.concatenate([s.hash[cold], np.array([xxh64_intdigest(t) for t in texts[len(cold) :]], U)])
+        ship = np.append(elsewhere[back[cold]], np.ones(len(at) - len(cold), bool))
+        places = zip(docs.did[doc].tolist(), start.tolist(), strict=True)
+        fresh = np.array([seen.setdefault(t, p) == p for t, p in zip(texts, places, strict=True)], bool)
         del seen
         keys, values = [], []
-        old = near[~fresh]
+        old = np.flatnonzero(~fresh)
         if len(old):
             keys.append(-1 - docs.block)
-            values.append(pack(*joined(s.doc[old], s.start[old], s.count[old].astype(np.int64))))
-        again = np.bincount(back[near[fresh]], minlength=len(size)) > 1
-        new = np.flatnonzero(fresh & (out | again)[back[near]])
-        for bucket, part in grouped(buckets_of(mixed(s.hash[near[new]]), n_buckets)):
-            own = near[new[part]]
+            values.append(pack(*joined(doc[old], start[old], count[old].astype(np.int64))))
+        _, kind = np.unique(h, return_inverse=True)
+        again = np.bincount(kind[fresh], minlength=int(kind.max()) + 1 if len(kind) else 0) > 1
+        new = np.flatnonzero(fresh & (ship | again[kind]))
+        for bucket, part in grouped(buckets_of(mixed(h[new]), n_buckets)):
+            own = new[part]
             keys.append(bucket)
-            values.append(pack(np.array([docs.block]), np.diff(docs.did[s.doc[own]], prepend=0), np.diff(s.doc[own], prepend=0), s.start[own].astype(np.int64), s.count[own], s.word[own], s.hash[own], np.frombuffer(b"".join([texts[i] for i in new[part].tolist()]), np.uint8)))
+            values.append(pack(np.array([docs.block]), np.diff(docs.did[doc[own]], prepend=0), np.diff(doc[own], prepend=0).astype(np.int32), start[own].astype(np.int64), count[own], word[own], h[own], np.frombuffer(b"".join([texts[i] for i in own.tolist()]), np.uint8)))
         return pa.table([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["bucket", "packed"])
 
     return run

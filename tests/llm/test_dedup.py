@@ -1,8 +1,11 @@
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,15 +67,35 @@ def suffixes(rows):
 SUFFIX = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-@pytest.mark.parametrize("piece", [common.PIECE, 1500])
-def test_suffixes_of_odd_rows(odd_documents, plain, monkeypatch, piece):
-    """Also with texts longer than a piece and buckets larger than a lot."""
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+def test_suffixes_of_odd_rows(odd_documents, plain):
     rows = plain(odd_documents)
     got = suffix_dedup.run(odd_documents, suffix_dedup.digests, SUFFIX).collect()
     assert Counter(map(tuple, got)) == Counter((r[0], *x) for r, x in zip(rows, suffixes(rows), strict=True))
 
 
+def by_key(tables, key):
+    whole = pa.concat_tables(tables)
+    return {k: whole.filter(pc.equal(whole.column(key), k)).combine_chunks() for k in whole.column(key).unique().to_pylist()}
+
+
+@pytest.mark.parametrize(("piece", "hot"), [(common.PIECE, suffix_dedup.HOT), (1500, suffix_dedup.HOT), (common.PIECE, 1), (1500, 0)])
+def test_pieces_lots_and_hot_classes(odd_documents, plain, monkeypatch, piece, hot):
+    """The same steps in this process: texts longer than a piece, buckets larger than a lot, classes that go by window."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = plain(odd_documents)
+    extra = [(200 + i, f"start {i} " * 9 + "a passage that many of the documents hold in their middle, word by word, and longer than a window of a hundred bytes is, surely. " + f"end {i} " * 9) for i in range(12)]
+    rows = rows + extra
+    table = pa.table({"did": [order(r) if r[0] is not None else common.NO_ID for r in rows], "rid": [zlib.crc32(r[1].encode()) for r in rows], "block": pa.array([i % 3 for i in range(len(rows))], pa.int32()), "text": [r[1] for r in rows]})
+    blocks = by_key([table], "block")
+    marks = by_key([suffix_dedup.shared(t) for t in by_key([suffix_dedup.classes(4)(t) for t in blocks.values()], "bucket").values()], "block")
+    none = pa.table({"block": pa.array([], pa.int32()), "marks": pa.array([], pa.binary())})
+    dealt = by_key([suffix_dedup.deal(4)(t, marks.get(k, none)) for k, t in blocks.items()], "bucket")
+    final = by_key([suffix_dedup.sort_bucket(t) for t in dealt.values()], "block")
+    got = [tuple(r.values()) for k, t in blocks.items() for r in suffix_dedup.digests(t, final.get(k, none)).to_pylist()]
+    assert Counter(got) == Counter((r[0], *x) for r, x in zip(rows, suffixes(rows), strict=True))
+
+
 def test_empty_tables(odd_documents):
     none = odd_documents.limit(0)
     assert suffix_dedup.run(none, suffix_dedup.digests, SUFFIX).count() == 0
