@@ -143,3 +143,12 @@ def export_tree(spark, d):
 def occurrences_topk(spark, d):
     n = (F.size(F.split(F.lower("text"), "the")) - 1).cast("long")
     return S.top(Tables(spark, d).documents.select("doc_id", n.alias("n")).where("n > 20"), "n", "doc_id", 15)
+
+
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda w: NOT list_contains(string_split('der die das und ist nicht ein eine zu den mit sich auf von', ' '), w)) AS a FROM documents WHERE lang = 'de')
+SELECT doc_id, CAST(len(a) AS BIGINT) AS terms, CAST(len(list_distinct(list_transform(a, lambda w: regexp_replace(w, '^(.{4,}?)(?:ungen|keiten|heiten|ung|keit|heit|lich|isch|en|er|es|em|e|n|s)$', '\\1')))) AS BIGINT) AS stems FROM t""")
+def language_analyzer(spark, d):
+    from quire.functions.analyze import analyzed
+
+    a = Tables(spark, d).documents.where("lang = 'de'").select("doc_id", F.explode(F.array(analyzed(F.col("text"), "de"))).alias("a"))
+    return a.select("doc_id", F.size("a").cast("long").alias("terms"), F.size(F.array_distinct("a")).cast("long").alias("stems"))
