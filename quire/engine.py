@@ -152,6 +152,16 @@ class Corpus:
         to = relocate.resolved(self.relocations, asked).select(F.coalesce("target", "path").alias("_p"))
         return self.divisions.join(F.broadcast(to), T.canonical_path(F.col("path")) == F.col("_p"), "left_semi")
 
+    def element(self, path: str) -> DataFrame:
+        """The division at a path, or for an address that ends in _N its Nth element as a paragraph row."""
+        import re
+
+        m = re.match(r"(.*)/_(\d+)(?:\.\w+)?$", path)
+        if not m:
+            return self.by_path(path)
+        div = self.by_path(m.group(1)).select(F.col("id").alias("div_id"))
+        return self.paragraphs.where(F.col("nth") == int(m.group(2))).join(div, "div_id", "left_semi")
+
     def toc(self, root_id) -> DataFrame:
         rows = self.divisions.where(F.col("root_id") == root_id)
         return tree.neighbours(rows, "root_id", "pos", "id").orderBy("pos")

@@ -97,3 +97,18 @@ def not_repeated(requests: DataFrame, key: str, at: str, minutes: int) -> DataFr
     step = lambda granted, t: F.when((F.size(granted) == 0) | (t - F.element_at(granted, -1) >= minutes * 60_000_000), F.concat(granted, F.array(t))).otherwise(granted)
     granted = requests.groupBy(key).agg(times.alias("_ts")).select(key, F.explode(F.aggregate("_ts", F.array().cast("array<bigint>"), step)).alias("_us"))
     return granted.select(key, F.timestamp_micros("_us").cast(kind).alias(at))
+
+
+def replaced(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Existing rows with those of the keys that new has (a file that is imported again) replaced by new ones."""
+    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def import_plan(files: DataFrame, known: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """filename, action: import, hold (failed of late), keep or prune, for every file on disk or known."""
+    fresh = fresher(files, known)
+    go = not_held_back(fresh, failures, now).select("filename", F.lit("import").alias("_a"))
+    held = removed(fresh, go, "filename").select("filename", F.lit("hold").alias("_a"))
+    gone = removed(known, files, "filename").select("filename", F.lit("prune").alias("_a"))
+    rest = files.select("filename").join(fresh.select("filename"), "filename", "left_anti").select("filename", F.lit("keep").alias("_a"))
+    return go.unionAll(held).unionAll(gone).unionAll(rest).withColumnRenamed("_a", "action")

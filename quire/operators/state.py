@@ -55,3 +55,39 @@ def compare_and_set(stored: DataFrame, updates: DataFrame, key: str) -> DataFram
 def preference(c: Column, path: str) -> Column:
     """A value of a JSON column, null where the JSON is bad or has none."""
     return F.try_variant_get(F.try_parse_json(c), f"$.{path}", "string")
+
+
+FAVOURITES = "favourites"
+MAX_NAME = 200
+
+
+def collection_added(collections: DataFrame, owner: str, name: str) -> DataFrame:
+    """collections (owner, name, ...) with one more; ValueError for a bad or used name."""
+    if not name.strip() or len(name) > MAX_NAME:
+        raise ValueError("bad name")
+    if not collections.where((F.col("owner") == owner) & (F.col("name") == name.strip())).isEmpty():
+        raise ValueError("name is used")
+    row = collections.sparkSession.range(1).select(F.lit(owner).alias("owner"), F.lit(name.strip()).alias("name"))
+    return collections.unionByName(row, allowMissingColumns=True)
+
+
+def collection_removed(collections: DataFrame, items: DataFrame, owner: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """collections and items (owner, name, ...) without one; favourites stay."""
+    if name == FAVOURITES:
+        raise ValueError("favourites can't be removed")
+    other = ~((F.col("owner") == owner) & (F.col("name") == name))
+    return collections.where(other), items.where(other)
+
+
+def items_added(items: DataFrame, new: DataFrame, by: list[str], order: str = "sort_order") -> DataFrame:
+    """Items with new ones (place: their order among themselves) behind those that their collection has."""
+    last = items.groupBy(*by).agg(F.max(order).alias("_m"))
+    n = F.row_number().over(Window.partitionBy(*by).orderBy("place"))
+    own = new.withColumn("_n", n).join(last, by, "left").withColumn(order, (F.coalesce("_m", F.lit(-1)) + F.col("_n")).cast(items.schema[order].dataType))
+    return items.unionByName(own.drop("_n", "_m", "place"), allowMissingColumns=True)
+
+
+def available(failures: DataFrame, by: str, at: str, now: Column, cooldown_seconds: int) -> DataFrame:
+    """by, available: whether the last failure of a service is a cooldown ago."""
+    last = failures.groupBy(by).agg(F.max(at).alias("_at"))
+    return last.select(by, (F.unix_timestamp(now) - F.unix_timestamp("_at") >= cooldown_seconds).alias("available"))

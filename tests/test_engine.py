@@ -64,6 +64,8 @@ def test_catalogue(corpus):
 
 def test_hierarchy(corpus):
     assert ids(corpus.by_path("doe/sea/one.html?x")) == [2] and ids(corpus.by_path("/old/sea")) == [1]
+    assert [r["text"] for r in corpus.element("/doe/sea/one/_2.txt").collect()] == ["A second whale came, and a third."]
+    assert ids(corpus.element("/doe/sky")) == [5]
     toc = corpus.toc(1).collect()
     assert [(r["id"], r["prev_id"], r["next_id"]) for r in toc] == [(1, None, 2), (2, 1, 3), (3, 2, None)]
     assert [r["nth"] for r in corpus.page_of_paragraphs(1, 1, 5).collect()] == [2]

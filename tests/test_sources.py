@@ -104,3 +104,32 @@ def test_enrichment(spark):
     urls = F.array(*map(F.lit, ("http://x/a.png", "ftp://y", "https://z/b.jpg?s", "http://q/c.gif", "http://r/d.webp")))
     got = spark.range(1).select(maintain.image_urls(urls).alias("u")).first()["u"]
     assert [(r["url"], r["type"]) for r in got] == [("http://x/a.png", "image/png"), ("https://z/b.jpg?s", "image/jpeg"), ("http://q/c.gif", "image/gif")]
+
+
+def test_import_plan(spark):
+    files = spark.createDataFrame([("a", "2024-01-03"), ("b", "2024-01-01"), ("c", "2024-01-01")], "filename string, modified string")
+    known = spark.createDataFrame([("b", "2024-01-02"), ("z", "2024-01-02")], "filename string, timestamp string")
+    bad = spark.createDataFrame([("c", 3, "2024-01-05 00:00:00", "2024-01-01")], "filename string, attempts int, last string, modified string").withColumn("last", F.col("last").cast("timestamp"))
+    plan = maintain.import_plan(files, known, bad, F.lit("2024-01-05 01:00:00").cast("timestamp"))
+    assert {r["filename"]: r["action"] for r in plan.collect()} == {"a": "import", "b": "keep", "c": "hold", "z": "prune"}
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "f string, x int")
+    assert {tuple(r) for r in maintain.replaced(old, spark.createDataFrame([("a", 5), ("a", 6)], "f string, x int"), "f").collect()} == {("a", 5), ("a", 6), ("b", 2)}
+
+
+def test_collections(spark):
+    own = spark.createDataFrame([("u", "favourites"), ("u", "x")], "owner string, name string")
+    items = spark.createDataFrame([("u", "x", "p1", 0), ("u", "x", "p2", 4)], "owner string, name string, path string, sort_order int")
+    more = state.collection_added(own, "u", " y ")
+    assert more.where("name = 'y'").count() == 1
+    for bad in ("x", "", "n" * 201):
+        with pytest.raises(ValueError):
+            state.collection_added(own, "u", bad)
+    left, rest = state.collection_removed(own, items, "u", "x")
+    assert left.count() == 1 and rest.count() == 0
+    with pytest.raises(ValueError):
+        state.collection_removed(own, items, "u", "favourites")
+    new = spark.createDataFrame([("u", "x", "p3", 1), ("u", "y", "p4", 1)], "owner string, name string, path string, place int")
+    assert {r["path"]: r["sort_order"] for r in state.items_added(items, new, ["owner", "name"]).collect()} == {"p1": 0, "p2": 4, "p3": 5, "p4": 0}
+    downs = spark.createDataFrame([("s", "2024-01-01 00:00:00"), ("t", "2024-01-01 00:00:50")], "service string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = state.available(downs, "service", "at", F.lit("2024-01-01 00:01:00").cast("timestamp"), 60)
+    assert {r["service"]: r["available"] for r in got.collect()} == {"s": True, "t": False}
