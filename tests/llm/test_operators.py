@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 
-from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontaminate, html_extract, licenses, media, quality, warc
 from quire.llm.queries import QUERIES, SQL
@@ -296,4 +295,3 @@ def test_warc_members_are_plain_records(spark):
     assert [f["warc-type"] for f, _ in fields] == ["request", "response", "metadata"]
     assert fields[0][0]["warc-concurrent-to"] == fields[1][0]["warc-record-id"] == fields[2][0]["warc-concurrent-to"]
     assert fields[1][0]["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"<p>").digest()).decode()
-    assert F is not None
