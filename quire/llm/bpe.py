@@ -3,7 +3,7 @@
 Method: the distinct words (matches of the pattern) of some documents that are no token themselves become rows (word,
 position, token), a byte each. A recursive query joins neighbours with the merge table and contracts, in each word and
 step, the leftmost pair of least rank, until no word has one. Decoding joins ids with the vocabulary and puts their bytes
-together by ordered aggregation. Documents are then sequences of words whose ids and bytes are known. A word of LONG bytes
+together by ordered aggregation (bytes that equal the word are kept as the word). Documents are then sequences of words whose ids and bytes are known. A word of LONG bytes
 or more takes its steps alone and one query each, all of a pair's occurrences together where that gives the same.
 
 The ranks are those of a file in tiktoken's format, given as a parameter; special tokens are ordinary text. A null text is
@@ -28,8 +28,8 @@ from .common import CACHES, release
 #: Characters of text that are split into words at a time.
 PIECE = 4 << 20
 #: Distinct words that go through a recursive query together, and that are kept.
-LOT = 30_000
-CACHE = 250_000
+LOT = 20_000
+CACHE = 450_000
 
 #: step: k is the rank of the pair that begins at p, with p itself in the low 32 bits (null if it is no pair). Each step
 #: finds the least k of each word, best. The second row of that pair goes, the first takes the merged token; only it and
@@ -93,9 +93,11 @@ class Codec:
         self.load("vocabulary", pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"]))
         #: Tokens that can form a pair of a lower rank than their own.
         self.solo = {x for a, b, r in pairs for x in (a, b) if r < x}
-        #: By word, the ids in decimal joined by a space, and the bytes that these decode to: of words met of late, and before.
-        self.ids, self.raws = {}, {}
-        self.old: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        #: By word, the ids in decimal joined by a space, of words met of late, and of those before.
+        self.ids: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        #: What words decode to, where that isn't the word itself.
+        self.other: dict[str, bytes] = {}
 
     def load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -108,12 +110,12 @@ class Codec:
         for w in words:
             raw = w.encode()
             rank = self.ranks.get(raw)
-            if rank is None and len(raw) >= LONG:
+            if rank is not None:
+                self.ids[w] = str(rank)
+            elif len(raw) >= LONG:
                 self.contract_long(w, raw)
-            elif rank is None:
-                todo.append((w, raw))
             else:
-                self.ids[w], self.raws[w] = str(rank), raw
+                todo.append((w, raw))
         todo.sort(key=lambda x: len(x[1]))  # a lot takes as many steps as its longest word
         at = 0
         while at < len(todo):
@@ -131,9 +133,13 @@ class Codec:
         w, p = np.repeat(np.arange(len(raws), dtype=np.int32), lengths), (np.arange(len(t)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         self.load("bytes", pa.table([pa.array(w), pa.array(p), pa.array(t), n], ["w", "p", "t", "n"]))
         found = self.db.sql(ENCODE).to_arrow_table()
-        own = [words[k] for k in found.column(0).to_pylist()]
-        self.ids.update(zip(own, found.column(1).to_pylist(), strict=True))
-        self.raws.update(zip(own, found.column(2).to_pylist(), strict=True))
+        for k, ids, raw in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
+            self.keep(words[k], ids, raw, raws[k])
+
+    def keep(self, word: str, ids: str, raw: bytes, own: bytes) -> None:
+        self.ids[word] = ids
+        if raw != own:
+            self.other[word] = raw
 
     def contract_long(self, word: str, raw: bytes) -> None:
         """Memory and steps stay those of one word and its distinct pairs, where the recursive query would keep every step's rows."""
@@ -154,7 +160,7 @@ class Codec:
             db.execute("ALTER TABLE word_after RENAME TO word")
             best = after
         ids = [r[0] for r in db.execute("SELECT t FROM word ORDER BY p").fetchall()]
-        self.ids[word], self.raws[word] = " ".join(map(str, ids)), self.decode([ids])[0]
+        self.keep(word, " ".join(map(str, ids)), self.decode([ids])[0], raw)
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of sequences of ids."""
@@ -169,17 +175,22 @@ class Codec:
             out[k] = raw
         return out
 
-    def coded(self, texts: list[list[str]]) -> tuple[dict[str, str], dict[str, bytes]]:
-        """Ids and decoded bytes by word, of the words of some texts at least."""
+    def coded(self, texts: list[list[str]]) -> dict[str, str]:
+        """Ids by word, of the words of some texts at least."""
         met = set().union(*texts)
         if len(self.ids) + len(met) > CACHE:
-            self.old, self.ids, self.raws = (self.ids, self.raws), {}, {}
-        old_ids, old_raws = self.old
+            self.old, self.ids = self.ids, {}
         missing = met.difference(self.ids)
-        for w in missing.intersection(old_ids):
-            self.ids[w], self.raws[w] = old_ids[w], old_raws[w]
-        self.add([*missing.difference(old_ids)])
-        return self.ids, self.raws
+        known = missing.intersection(self.old)
+        self.ids.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        self.add([*missing.difference(known)])
+        return self.ids
+
+    def decoded(self, words: list[str]) -> bytes:
+        """What the ids of words decode to."""
+        if self.other and not self.other.keys().isdisjoint(words):
+            return b"".join([self.other.get(w, b"") if w in self.other else w.encode() for w in words])
+        return "".join(words).encode()
 
     def words(self, text: str) -> list[str]:
         return self.find(text)
@@ -217,12 +228,12 @@ def digests(path: str, pattern: str, passed: int = 1):
             counts, ids, raws = [], [], []
             for texts in lots([t or "" for t in b.column(passed).to_pylist()], PIECE):
                 split = [own.words(t) for t in texts]
-                of, back = own.coded(split)
+                of = own.coded(split)
                 for words in split:
                     joined = " ".join(map(of.__getitem__, words))
                     counts.append(joined.count(" ") + bool(words))
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    raws.append(hashlib.sha256(b"".join(map(back.__getitem__, words))).hexdigest())
+                    raws.append(hashlib.sha256(own.decoded(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(raws, pa.string())], [*b.schema.names[:passed], "n_tokens", "ids_sha256", "decoded_sha256"])
         release(caches=False)
 
@@ -238,7 +249,7 @@ def encoded(path: str, pattern: str):
             out = []
             for texts in lots([t or "" for t in b.column(1).to_pylist()], PIECE):
                 split = [own.words(t) for t in texts]
-                of, _ = own.coded(split)
+                of = own.coded(split)
                 out += [[int(i) for w in words for i in of[w].split()] for words in split]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], [b.schema.names[0], "ids"])
 

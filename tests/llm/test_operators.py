@@ -264,7 +264,17 @@ def test_long_words_take_their_steps_alone(tokenizer, word):
     path, pattern, enc = tokenizer
     own = bpe.codec(path, pattern)
     own.add([word])
-    assert [int(i) for i in own.ids[word].split()] == enc.encode_ordinary(word) and own.raws[word] == word.encode()
+    assert [int(i) for i in own.ids[word].split()] == enc.encode_ordinary(word) and own.decoded([word]) == word.encode()
+
+
+def test_what_ids_decode_to_counts(tokenizer):
+    """A decoded word that isn't the word shows in the document."""
+    path, pattern, _ = tokenizer
+    own = bpe.Codec(path, pattern)
+    own.db.execute("UPDATE vocabulary SET hex = '21' WHERE id = (SELECT id FROM vocabulary WHERE hex = '78')")
+    words = own.words("qqxqqx ok")
+    own.coded([words])
+    assert own.decoded(words) != b"qqxqqx ok" and own.decoded(words).endswith(b" ok")
 
 
 def test_known_words_are_forgotten(tokenizer, monkeypatch):
@@ -273,7 +283,7 @@ def test_known_words_are_forgotten(tokenizer, monkeypatch):
     own = bpe.Codec(path, pattern)
     for text in ("alpha bravado charliex deltaq", "alpha zulus", "charliex alpha yankeew"):
         words = own.words(text)
-        ids, _ = own.coded([words])
+        ids = own.coded([words])
         assert [int(i) for w in words for i in ids[w].split()] == enc.encode_ordinary(text)
 
 
