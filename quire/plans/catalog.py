@@ -60,7 +60,7 @@ def repo_names(spark, d):
 FEATURED = (77, 3, 512, 48, 9, 123456789, 230)
 
 
-@query(f"WITH f AS (SELECT unnest([{', '.join(map(str, FEATURED))}]) AS doc_id, unnest(range(0, {len(FEATURED)})) AS place), {W} SELECT place, doc_id, path FROM f JOIN w USING (doc_id)")
+@query(f"WITH f AS (SELECT CAST(unnest([{', '.join(map(str, FEATURED))}]) AS BIGINT) AS doc_id, unnest(range(0, {len(FEATURED)})) AS place), {W} SELECT place, doc_id, path FROM f JOIN w USING (doc_id)")
 def featured_in_order(spark, d):
     listed = spark.createDataFrame([(i, p) for p, i in enumerate(FEATURED)], "doc_id long, place long")
     return works(Tables(spark, d).documents).join(F.broadcast(listed), "doc_id").select("place", "doc_id", "path")
@@ -100,7 +100,7 @@ def author_media_left(spark, d):
     return out.select(F.col("n_name").alias("name"), F.coalesce("suppliers", F.array().cast("array<string>")).alias("suppliers"))
 
 
-@query("SELECT i AS place, k AS id, p_name AS name FROM (SELECT unnest([5, 1, 99, 5, 42]) AS k, unnest(range(0, 5)) AS i) JOIN part ON p_partkey = k")
+@query("SELECT i AS place, CAST(k AS BIGINT) AS id, p_name AS name FROM (SELECT unnest([5, 1, 99, 5, 42]) AS k, unnest(range(0, 5)) AS i) JOIN part ON p_partkey = k")
 def in_list_key_order(spark, d):
     keys = spark.range(1).select(F.posexplode(F.array(*map(F.lit, (5, 1, 99, 5, 42)))).alias("place", "id"))
     part = Tables(spark, d).part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
@@ -453,7 +453,7 @@ def enrichment_fill_blanks(spark, d):
     return maintain.enriched(s, s.select("id", F.concat(F.lit("given "), F.col("id")).alias("bio")), "id", ["bio"])
 
 
-@query("SELECT doc_id, lang, repo FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY repo) AS n FROM (SELECT doc_id, lang, 1 AS repo, doc_id % 300 AS name FROM documents WHERE doc_id < 200 UNION ALL SELECT doc_id, lang, 2, doc_id % 300 FROM documents WHERE doc_id >= 300 AND doc_id < 600)) WHERE n = 1 AND repo = 2")
+@query("SELECT doc_id, lang, CAST(repo AS BIGINT) AS repo FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY repo) AS n FROM (SELECT doc_id, lang, 1 AS repo, doc_id % 300 AS name FROM documents WHERE doc_id < 200 UNION ALL SELECT doc_id, lang, 2, doc_id % 300 FROM documents WHERE doc_id >= 300 AND doc_id < 600)) WHERE n = 1 AND repo = 2")
 def combined_repo_first(spark, d):
     from quire.sources.repos import combined
 

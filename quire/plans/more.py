@@ -108,7 +108,7 @@ def xml_escape(spark, d):
     return Tables(spark, d).pages.select("page_id", T.escape_xml(F.substring("html", 1, 200)).alias("safe"))
 
 
-@query("SELECT p_partkey AS id, p_name AS title, p_brand AS author, NULL AS editor FROM part WHERE p_partkey < 500")
+@query("SELECT p_partkey AS id, p_name AS title, p_brand AS author, CAST(NULL AS VARCHAR) AS editor FROM part WHERE p_partkey < 500")
 def cover_metadata(spark, d):
     card = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title> '), "p_name", F.lit("</title><author>"), "p_brand", F.lit("</author></titleStmt></fileDesc></teiHeader></TEI>"))
     m = xml.book_metadata(F.col("x"))
