@@ -71,8 +71,8 @@ def sketches(benchmark: DataFrame) -> DataFrame:
     return own.select(F.xxhash64("s").alias("item"), "s", "n", F.slice(hashes, 1, F.least(F.col("n"), allowed(F.col("upper"))).cast("int")).alias("sketch"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment of the pairs with containment of 0.8 or more."""
+def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, rid (hash of the text), item, n_shared, n_shingles of the pairs with containment of 0.8 or more."""
     items = sketches(benchmark)
     lookup = items.select("item", F.explode("sketch").alias("h"))
     found = lookup.agg(F.count("*").alias("n"), F.max("h").alias("top")).first()
@@ -87,20 +87,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lookup = F.broadcast(lookup)
     # written first: whether the texts are then found by broadcast or by a shuffled join hangs on the size of this table
     candidates = written(low.join(lookup, "h").select("doc_id", "rid", "item").distinct(), "candidates", narrow=True)
-    named = shingled(benchmark).select("item_id", F.xxhash64("s").alias("item")).distinct()
-    exact = candidates.join(d, (candidates["doc_id"].eqNullSafe(d["doc_id"])) & (candidates["rid"] == d["rid"])).select(candidates["doc_id"], "item", "text")
-    split = exact.select("doc_id", "item", words(F.col("text")).alias("w")).select("doc_id", "item", shingles(F.col("w")).alias("own"))
+    exact = candidates.join(d, (candidates["doc_id"].eqNullSafe(d["doc_id"])) & (candidates["rid"] == d["rid"])).select(candidates["doc_id"], candidates["rid"], "item", "text")
+    split = exact.select("doc_id", "rid", "item", words(F.col("text")).alias("w")).select("doc_id", "rid", "item", shingles(F.col("w")).alias("own"))
     shared = F.size(F.array_intersect("s", "own")).cast("long")
-    pairs = split.join(items.select("item", "s", "n"), "item").select("doc_id", "item", shared.alias("n_shared"), F.col("n").cast("long").alias("n_shingles"))
-    pairs = pairs.where(F.col("n_shared") >= F.col("n_shingles") * CONTAINMENT - 1e-9)
+    pairs = split.join(items.select("item", "s", "n"), "item").select("doc_id", "rid", "item", shared.alias("n_shared"), F.col("n").cast("long").alias("n_shingles"))
+    return pairs.where(F.col("n_shared") >= F.col("n_shingles") * CONTAINMENT - 1e-9)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment of the pairs with containment of 0.8 or more."""
+    pairs = verified(docs, benchmark).select("doc_id", "item", "n_shared", "n_shingles")
+    named = shingled(benchmark).select("item_id", F.xxhash64("s").alias("item")).distinct()
     best = pairs.join(named, "item").groupBy("doc_id", "item_id").agg(F.max(F.struct(F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("c"), "n_shared", "n_shingles")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_shared", "b.n_shingles", F.col("b.c").alias("containment"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that contain an item."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    """docs without the rows whose text contains an item."""
+    hit = verified(docs, benchmark).select(F.col("doc_id").alias("__hit"), F.col("rid").alias("__rid")).distinct()
+    same = docs["doc_id"].eqNullSafe(hit["__hit"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["__rid"])
+    return docs.join(hit, same, "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

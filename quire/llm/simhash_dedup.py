@@ -72,7 +72,7 @@ def fingerprint(raw: bytes) -> int:
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = np.array([fingerprint(memoryview(t.as_buffer()).tobytes() if t.is_valid else b"") for t in b.column(1)], U)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["did", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(out.view(np.int64))], ["did", *b.schema.names[2:], "fp"])
 
 
 def rotated(fp: np.ndarray, first: int, width: int, total: int = 64) -> np.ndarray:
@@ -209,12 +209,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """The row of each component with the least doc_id (of rows that share it, the one whose text hashes least), all columns."""
-    keep = simhash_components(docs).where("did = component").select("did").distinct()
-    rows = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    rows = rows.join(keep.withColumnRenamed("did", "__did"), "__did", "left_semi")
-    one = Window.partitionBy("__did").orderBy(F.xxhash64("text"))
-    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__did")
+    """A row of each component, all columns: that with the least doc_id, of rows that share it the one whose text hashes least."""
+    did, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")
+    own = docs.select(did.alias("did"), "text", text_hash.alias("h")).mapInArrow(lean(fingerprints), "did long, h long, fp long")
+    distinct = written(own, "fingerprints").groupBy("fp").agg(F.min(F.struct("did", "h")).alias("least"))
+    root = components(trie_links(distinct))
+    of = distinct.join(root, distinct["fp"] == root["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    keep = of.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.did").alias("__did"), F.col("k.h").alias("__h"))
+    rows = docs.withColumn("__did", did).withColumn("__h", text_hash).join(keep, ["__did", "__h"], "left_semi")
+    one = Window.partitionBy("__did", "__h").orderBy("__did")  # repeated rows
+    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__did", "__h")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

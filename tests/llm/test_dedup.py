@@ -176,6 +176,18 @@ def test_one_of_each_group_stays(odd_documents):
     assert 1 in kept and 2 not in kept and 12 not in kept and len(kept) == len(set(kept))
 
 
+def test_a_row_of_each_component_stays(odd_documents, plain):
+    """Also of components whose rows share a doc_id or have none."""
+    rows = [*plain(odd_documents), (None, "alone here"), (None, "quite another text")]
+    docs = odd_documents.select("doc_id", "text").unionAll(odd_documents.sparkSession.createDataFrame(rows[-2:], "doc_id long, text string"))
+    label = brute_components([fingerprint(t) for _, t in rows])
+    want = sorted(min(order(r) for r, y in zip(rows, label, strict=True) if y == x) for x in set(label))
+    got = simhash_dedup.first_of_group(docs).collect()
+    assert sorted(order(r) for r in got) == want
+    assert {(6, "a b c"), (None, "alone here"), (None, "quite another text")} <= {tuple(r) for r in got}
+    assert any(r["doc_id"] == 6 and r["text"] != "a b c" for r in got)
+
+
 def test_trie_join_finds_all_links(spark):
     r = np.random.default_rng(5)
     base = [int(x) for x in r.integers(0, 2**63, 60)]

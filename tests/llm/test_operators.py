@@ -102,6 +102,14 @@ def test_contamination_of_odd_rows(spark, odd_documents):
     assert left.columns == odd_documents.columns and left.where("doc_id in (1, 2, 12)").count() == 0
 
 
+def test_only_rows_that_hold_an_item_go(spark):
+    """Others of the same doc_id, or without one, stay."""
+    item = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean text stands here alone"), (None, None), (6, item), (6, item), (6, "a b c")], "doc_id long, text string")
+    left = decontaminate.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [(None, "clean text stands here alone"), (None, None), (6, "a b c")]))
+
+
 def test_containment_bound(spark):
     """A document with just 0.8 of the shingles is found, one with fewer isn't; by broadcast and by shuffle."""
     words = [f"t{i}" for i in range(24)]  # 20 shingles
