@@ -2,7 +2,7 @@
 
 Method: conditional compression. A candidate block (a line that speaks of licensing; for long templates with the lines
 after it, as far as the template reaches or a blank line) is compressed with each template as a zstandard raw dictionary,
-and without one; templates rank by how much smaller the block gets. The best are confirmed in that order by their exact
+and without one; templates rank by how much smaller the block gets. All are confirmed in that order by their exact
 wording: the words of template and block are aligned, the differences are given, and a template holds if they are one word or
 a tenth of its words at most and touch none of its telling words (versions and variants). A line states one license at most.
 
@@ -65,8 +65,6 @@ TELLING = frozenset("mit apache gnu general lesser affero mozilla bsd isc cc cc0
 LONG = 30
 DIFFERENCE = 0.1
 WORD = re.compile(r"<[^>]*>|[^\W_]+(?:\.\d+)*")
-#: Templates that are confirmed in the order of their size reductions.
-BEST = 8
 SCHEMA = "doc_id long, start long, end long, license string, template int, reduction double, n_differences long, differences array<string>, exact boolean"
 
 
@@ -127,9 +125,13 @@ def matched(line: str, more: str, skip_long: bool) -> tuple | None:
             ranked.append((1 - len(t.squeeze.compress(text)) / size[long], i))
     ranked.sort(key=lambda x: (-x[0], x[1]))
     best = None
-    for reduction, i in ranked[:BEST]:
+    held = {False: set(short.split(" ")), True: set(whole.split(" "))}
+    for reduction, i in ranked:
         t = made[i]
-        words = (whole if len(t.words) >= LONG else short).split(" ")
+        long = len(t.words) >= LONG
+        if sum(w not in held[long] for w in t.words if w[0] != "<") > max(1, DIFFERENCE * len(t.words)):
+            continue  # too many words are missing, however the others stand
+        words = (whole if long else short).split(" ")
         told = differences(t.words, words)
         if told and told[1] <= max(1, DIFFERENCE * len(t.words)):
             key = (-len(t.words) + told[1] * 10, -reduction, i)

@@ -79,6 +79,13 @@ def test_license_wording(text, license_, n):
     assert (found[2], found[5]) == (license_, n)
 
 
+@pytest.mark.parametrize(("license_", "wording"), [("MIT", "Released under the MIT License."), ("ISC", "Licensed under the ISC License."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.")])
+def test_license_among_words_of_others(license_, wording):
+    """A verbatim statement is found though the words around it make many other templates save more."""
+    others = [" ".join(x.split()[:-2]).replace("the ", "the so ") for _, x in licenses.TEMPLATES if len(x.split()) > 3 and "<" not in x]
+    assert [(f[2], f[5]) for f in licenses.scan(" so ".join([*others, wording]))] == [(license_, 0)]
+
+
 @pytest.mark.parametrize("text", ["", "the license plate of my car", "Licensed under CC BY 3.0.", "no permission for that at all", "\n\n"])
 def test_no_license(text):
     assert list(licenses.scan(text)) == []
