@@ -1,10 +1,10 @@
 """Operator 3, license scans: which licenses the blocks of a document state, and in what wording.
 
 Method: conditional compression. A candidate block (a line that speaks of licensing; for long templates with the lines
-after it, as far as the template reaches or a blank line) is compressed with each template as a zstandard raw dictionary,
+after it, as far as the template reaches, over blank lines too) is compressed with each template as a zstandard raw dictionary,
 and without one; templates rank by how much smaller the block gets. All are confirmed in that order by their exact
 wording: the words of template and block are aligned, the differences are given, and a template holds if they are one word or
-a tenth of its words at most and touch none of its telling words (versions and variants). A line states one license at most.
+a tenth of its words at most (none in templates of three words) and touch none of its telling words (versions and variants). A line states one license at most.
 
 Every line of the whole text is looked at. A null text has none. Rows are judged one by one (repeated rows give repeated
 results, a null doc_id stays null); a document without license lines gives no row, nor does an empty table.
@@ -57,6 +57,13 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Proprietary", "Copyright (c) <year and holder>. All rights reserved."),
+    ("Proprietary", "All rights reserved."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <number> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <number> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <number> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <number> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <number> Neither the name of <holder> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
 )
 CUES = ("licen", "copyright", "©", "spdx", "permission", "redistribut", "public domain", "creative commons", "all rights reserved")
 #: Words that tell licenses and their variants apart, besides all with digits.
@@ -64,6 +71,8 @@ TELLING = frozenset("mit apache gnu general lesser affero mozilla bsd isc cc cc0
 #: From so many words on a template is long: it is held against lines together.
 LONG = 30
 DIFFERENCE = 0.1
+#: Templates of so few words must stand as they are.
+BRIEF = 3
 WORD = re.compile(r"<[^>]*>|[^\W_]+(?:\.\d+)*")
 SCHEMA = "doc_id long, start long, end long, license string, template int, reduction double, n_differences long, differences array<string>, exact boolean"
 
@@ -89,6 +98,11 @@ def templates() -> tuple[list[Template], zstandard.ZstdCompressor]:
     return made, zstandard.ZstdCompressor(**options)
 
 
+def allowance(t: Template) -> float:
+    """How many words may differ."""
+    return max(1, DIFFERENCE * len(t.words)) if len(t.words) > BRIEF else 0
+
+
 def differences(template: tuple[str, ...], words: list[str]) -> tuple[list[str], int, tuple[int, int]] | None:
     """Differences (-gone +new), how many words they touch, and the span of words that answers the template; None if telling words differ."""
     ops = [o for o in SequenceMatcher(None, template, words, autojunk=False).get_opcodes()]
@@ -129,11 +143,11 @@ def matched(line: str, more: str, skip_long: bool) -> tuple | None:
     for reduction, i in ranked:
         t = made[i]
         long = len(t.words) >= LONG
-        if sum(w not in held[long] for w in t.words if w[0] != "<") > max(1, DIFFERENCE * len(t.words)):
+        if sum(w not in held[long] for w in t.words if w[0] != "<") > allowance(t):
             continue  # too many words are missing, however the others stand
         words = (whole if long else short).split(" ")
         told = differences(t.words, words)
-        if told and told[1] <= max(1, DIFFERENCE * len(t.words)):
+        if told and told[1] <= allowance(t):
             key = (-len(t.words) + told[1] * 10, -reduction, i)
             if best is None or key < best[0]:
                 best = (key, i, reduction, told)
@@ -159,7 +173,7 @@ def scan(text: str) -> Iterator[tuple]:
         if start < after or not any(c in line.lower() for c in CUES):
             continue
         more, count, k = [line], len(line.split()), i + 1
-        while k < len(lines) and lines[k][1].strip() and count < longest * 1.2:
+        while k < len(lines) and count < longest * 1.2:
             more.append(lines[k][1])
             count += len(lines[k][1].split())
             k += 1

@@ -86,6 +86,22 @@ def test_license_among_words_of_others(license_, wording):
     assert [(f[2], f[5]) for f in licenses.scan(" so ".join([*others, wording]))] == [(license_, 0)]
 
 
+BSD = [x.replace("<number>", "\n\n*").replace("<holder>", "the copyright holder") for n, x in licenses.TEMPLATES if n.startswith("BSD") and "<number>" in x]
+NOTICE = "This {} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+@pytest.mark.parametrize(("text", "license_"), [("a\nAll rights reserved.\nb", "Proprietary"), (BSD[0], "BSD-2-Clause"), (BSD[1], "BSD-3-Clause"), (NOTICE.format("library", "Lesser"), "LGPL-3.0"), (NOTICE.format("program", "Affero"), "AGPL-3.0")])
+def test_usual_texts(text, license_):
+    assert [(f[2], f[5]) for f in licenses.scan(text)] == [(license_, 0)]
+
+
+def test_bare_statement_of_test_tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = sorted(r["doc_id"] for r in docs.collect() for x in r["text"].split("\n") if x == "All rights reserved.")
+    got = sorted(r["doc_id"] for r in licenses.license_scan(docs).collect() if r["exact"] and r["license"] == "Proprietary")
+    assert got == want and want
+
+
 @pytest.mark.parametrize("text", ["", "the license plate of my car", "Licensed under CC BY 3.0.", "no permission for that at all", "\n\n"])
 def test_no_license(text):
     assert list(licenses.scan(text)) == []
