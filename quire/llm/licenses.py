@@ -4,7 +4,9 @@ Method: conditional compression. A candidate block (a line that speaks of licens
 after it, as far as the template reaches, over blank lines too) is compressed with each template as a zstandard raw dictionary,
 and without one; templates rank by how much smaller the block gets. All are confirmed in that order by their exact
 wording: the words of template and block are aligned, the differences are given, and a template holds if they are one word or
-a tenth of its words at most (none in templates of three words) and touch none of its telling words (versions and variants). A line states one license at most.
+a tenth of its words at most (none in templates of three words) and touch none of its telling words (versions and variants). Short templates are
+held against the line alone and with the lines after it up to a blank one. The words before and after a statement are searched
+on until no template holds; the place given is that of the lines that a statement stands in.
 
 Every line of the whole text is looked at. A null text has none. Rows are judged one by one (repeated rows give repeated
 results, a null doc_id stays null); a document without license lines gives no row, nor does an empty table.
@@ -126,28 +128,23 @@ def differences(template: tuple[str, ...], words: list[str]) -> tuple[list[str],
     return found, touched, (ops[0][3], ops[-1][4])
 
 
-def matched(line: str, more: str, skip_long: bool) -> tuple | None:
-    """The template that a line, or for long ones the line with more, answers."""
+def matched(line: list[str], near: list[str], more: list[str]) -> tuple | None:
+    """The template that words answer from within line on: short ones in the line or with what stands near, long ones in the line with more."""
     made, plain = templates()
-    short, whole = normal(line), normal(more)
-    size = {False: len(plain.compress(short.encode())), True: len(plain.compress(whole.encode()))}
+    tries = [(False, line), (False, near), (True, more)] if len(near) > len(line) else [(False, line), (True, more)]
     ranked = []
-    for i, t in enumerate(made):
-        long = len(t.words) >= LONG
-        text = (whole if long else short).encode()
-        if text and not (long and skip_long):
-            ranked.append((1 - len(t.squeeze.compress(text)) / size[long], i))
+    for long, words in tries:
+        text, held = " ".join(words).encode(), set(words)
+        size = len(plain.compress(text))
+        ranked += [(1 - len(t.squeeze.compress(text)) / size, i, words, held) for i, t in enumerate(made) if (len(t.words) >= LONG) == long]
     ranked.sort(key=lambda x: (-x[0], x[1]))
     best = None
-    held = {False: set(short.split(" ")), True: set(whole.split(" "))}
-    for reduction, i in ranked:
+    for reduction, i, words, held in ranked:
         t = made[i]
-        long = len(t.words) >= LONG
-        if sum(w not in held[long] for w in t.words if w[0] != "<") > allowance(t):
+        if sum(w not in held for w in t.words if w[0] != "<") > allowance(t):
             continue  # too many words are missing, however the others stand
-        words = (whole if long else short).split(" ")
         told = differences(t.words, words)
-        if told and told[1] <= allowance(t):
+        if told and told[1] <= allowance(t) and told[2][0] < len(line):
             key = (-len(t.words) + told[1] * 10, -reduction, i)
             if best is None or key < best[0]:
                 best = (key, i, reduction, told)
@@ -167,30 +164,37 @@ def scan(text: str) -> Iterator[tuple]:
     low = text.lower()
     if not any(c in low for c in CUES):
         return
-    longest = max(len(t.words) for t in templates()[0])
-    lines, after = lines_of(text), -1
-    for i, (start, line) in enumerate(lines):
-        if start < after or not any(c in line.lower() for c in CUES):
+    longest = max(len(t.words) for t in templates()[0]) * 1.2
+    lines, used = lines_of(text), {}
+    cued = [any(c in line.lower() for c in CUES) for _, line in lines] + [False]
+    for i, (start, _) in enumerate(lines):
+        if not (cued[i] or cued[i + 1]):  # a statement may begin on the line before its telling words
             continue
-        more, count, k = [line], len(line.split()), i + 1
-        while k < len(lines) and count < longest * 1.2:
-            more.append(lines[k][1])
-            count += len(lines[k][1].split())
+        block = WORD.findall(lines[i][1].lower())[used.get(i, 0) :]
+        own, ends, near, k = len(block), [len(block)], None, i + 1
+        while own and k < len(lines) and len(block) - own < longest:
+            words = WORD.findall(lines[k][1].lower())
+            if near is None and (not words or len(block) - own >= LONG * 1.2):
+                near = len(block)
+            block += words
+            ends.append(len(block))
             k += 1
-        best = matched(line, "\n".join(more), False)
-        if best:
-            _, at, reduction, (found, touched, _) = best
-            long = len(templates()[0][at].words) >= LONG
-            end = start + len(line)
-            if long:  # as many lines as hold the template's words
-                need, held = len(templates()[0][at].words), 0
-                for j in range(i, k):
-                    held += len(WORD.findall(lines[j][1].lower()))
-                    end = lines[j][0] + len(lines[j][1])
-                    if held >= need:
-                        break
-            after = end
-            yield start, end, TEMPLATES[at][0], at, round(reduction, 6), touched, found
+        near = len(block) if near is None else near
+        todo, found = [(0, len(block))], []
+        while todo:
+            a, b = todo.pop()
+            if a >= min(b, own) or not any(c in " ".join(block[a:b]) for c in CUES):
+                continue
+            best = matched(block[a : min(b, own)], block[a : min(b, near)], block[a:b])
+            if best:
+                _, at, reduction, (told, touched, (c, d)) = best
+                found.append((a + c, a + d, at, reduction, touched, told))
+                todo += [(a, a + c), (a + d, b)]
+        for _, to, at, reduction, touched, told in sorted(found, key=lambda x: x[:2]):
+            j = next(n for n, e in enumerate(ends) if e >= to)
+            for n in range(1, j + 1):
+                used[i + n] = min(to, ends[n]) - ends[n - 1]
+            yield start, lines[i + j][0] + len(lines[i + j][1]), TEMPLATES[at][0], at, round(reduction, 6), touched, told
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,6 +102,20 @@ def test_bare_statement_of_test_tables(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This work is licensed under the GNU General\nPublic License, version 3.", ["GPL-3.0"]),
+        ("Released\nunder the MIT License.", ["MIT"]),
+        ("Licensed under the MIT License. And then: Licensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        ("x Licensed under the Apache\nLicense, Version 2.0. Licensed under the ISC License.\nAll rights reserved.", ["Apache-2.0", "ISC", "Proprietary"]),
+        ("Licensed under CC0 1.0.\nLicensed under CC0 1.0.", ["CC0-1.0", "CC0-1.0"]),
+    ],
+)
+def test_wrapped_and_several(text, want):
+    assert [(f[2], f[5]) for f in licenses.scan(text)] == [(x, 0) for x in want]
+
+
 @pytest.mark.parametrize("text", ["", "the license plate of my car", "Licensed under CC BY 3.0.", "no permission for that at all", "\n\n"])
 def test_no_license(text):
     assert list(licenses.scan(text)) == []
