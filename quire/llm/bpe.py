@@ -2,9 +2,15 @@
 
 Method: the distinct words (matches of the pattern) of some documents that are no token themselves become rows (word,
 position, token), a byte each. A recursive query joins neighbours with the merge table and contracts, in each word and
-step, the leftmost pair of least rank, until no word has one. Decoding joins ids with the vocabulary and puts their bytes
-together by ordered aggregation (bytes that equal the word are kept as the word). Documents are then sequences of words whose ids and bytes are known. A word of LONG bytes
-or more takes its steps alone and one query each, all of a pair's occurrences together where that gives the same.
+step, the leftmost pair of least rank, until no word has one. Documents are then sequences of ids; decoding joins the ids
+of every document with the vocabulary and puts their bytes together by ordered aggregation.
+
+A recursive query keeps the rows of all its steps, the square of a word's length. Words of more than WHOLE bytes therefore
+enter it in parts. They are cut wherever two neighbouring bytes stand side by side in no token, which no merge can cross.
+What is still longer enters as overlapping spans, which are joined at a token that two spans have in common. That is exact:
+ids are those of the whole word if each two neighbouring ids are what their own bytes give (the first merge across a
+boundary would also be made in these two alone), and each such pair was made inside one span. Spans without a common token
+are made anew twice as long.
 
 The ranks are those of a file in tiktoken's format, given as a parameter; special tokens are ordinary text. A null text is
 empty (no ids). Memory is bounded by lots of distinct words; known words are kept for later texts up to a bound (CACHE), those met
@@ -15,8 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +32,21 @@ from .common import CACHES, release
 
 #: Characters of text that are split into words at a time.
 PIECE = 4 << 20
-#: Distinct words that go through a recursive query together, and that are kept.
+#: Distinct words that go through a recursive query together, the rows that its steps may keep, and words that are kept.
 LOT = 20_000
+STEPS = 6_000_000
 CACHE = 450_000
+#: Bytes of a word that enters a query whole; bytes of a span at first, of which half is also in the next.
+WHOLE = 192
+SPAN = 96
+#: Tokens that are decoded together.
+IDS = 2_000_000
 
 #: step: k is the rank of the pair that begins at p, with p itself in the low 32 bits (null if it is no pair). Each step
 #: finds the least k of each word, best. The second row of that pair goes, the first takes the merged token; only it and
 #: the row before it get another pair, so only they are joined with the merge table again. A word without a pair is done.
 ENCODE = """
-WITH RECURSIVE step(w, p, t, k, done) AS (
+WITH RECURSIVE step(w, p, t, k, done) {kept} AS (
     SELECT w, p, t, (CAST(id AS BIGINT) << 32) + p, FALSE FROM bytes LEFT JOIN merges ON a = t AND b = n
   UNION ALL
     SELECT w, p, t, CASE WHEN n IS NULL THEN k ELSE (CAST(id AS BIGINT) << 32) + p END, done
@@ -50,23 +61,7 @@ WITH RECURSIVE step(w, p, t, k, done) AS (
           WHERE best IS NULL OR before IS DISTINCT FROM best)
     LEFT JOIN merges ON a = t AND b = n
 )
-SELECT w, string_agg(t, ' ' ORDER BY p) AS ids, unhex(string_agg(hex, '' ORDER BY p)) AS raw
-FROM step JOIN vocabulary ON id = t WHERE done GROUP BY w
-"""
-#: A step of a long word by itself. A pair of the least rank may occur many times; these are contracted at once, from the
-#: left in each run of overlapping ones. If the merged token may form a pair of a lower rank ($solo), so only where no two
-#: occurrences touch, and the step is taken back for the leftmost alone if such a pair came up (then without $whole).
-LONG = 512
-PAIRS = "SELECT p, t, id AS k FROM (SELECT p, t, lead(t) OVER (ORDER BY p) AS n FROM {}) LEFT JOIN merges ON a = t AND b = n"
-STEP = f"""
-CREATE TEMP TABLE word_after AS
-WITH i AS (SELECT p, t, k, row_number() OVER (ORDER BY p) AS n FROM word),
-h AS (SELECT p, n, n - row_number() OVER (ORDER BY p) AS run FROM i WHERE k = $best),
-o AS (SELECT p, n, row_number() OVER (ORDER BY p) AS f, n - lag(n) OVER (ORDER BY p) = 2 AS touches FROM (SELECT p, n, row_number() OVER (PARTITION BY run ORDER BY p) AS j FROM h) WHERE j % 2 = 1),
-c AS (SELECT p FROM o WHERE f = 1 OR NOT $solo OR $whole AND NOT (SELECT coalesce(bool_or(touches), FALSE) FROM o)),
-m AS (SELECT i.p, CASE WHEN c.p IS NULL THEN t ELSE $best END AS t, c.p IS NOT NULL AS hit FROM i LEFT JOIN c USING (p)),
-g AS (SELECT p, t FROM (SELECT p, t, lag(hit, 1, FALSE) OVER (ORDER BY p) AS gone FROM m) WHERE NOT gone)
-{PAIRS.format("g")}
+SELECT w, string_agg(t, ' ' ORDER BY p) AS ids FROM step WHERE done GROUP BY w
 """
 DECODE = "SELECT s, unhex(string_agg(hex, '' ORDER BY p)) AS raw FROM ids JOIN vocabulary USING (id) GROUP BY s"
 
@@ -86,18 +81,20 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.ranks = read_ranks(path)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.beside = np.zeros((256, 256), bool)  # bytes that stand side by side in a token
+        for t, r in self.ranks.items():
+            self.size[r] = len(t)
+            own = np.frombuffer(t, np.uint8)
+            self.beside[own[:-1], own[1:]] = True
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(os.environ.get("TMPDIR", "/tmp"), "duckdb-spill")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.load("merges", pa.table([a, b, r], ["a", "b", "id"]))
         self.load("vocabulary", pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"]))
-        #: Tokens that can form a pair of a lower rank than their own.
-        self.solo = {x for a, b, r in pairs for x in (a, b) if r < x}
         #: By word, the ids in decimal joined by a space, of words met of late, and of those before.
         self.ids: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        #: What words decode to, where that isn't the word itself.
-        self.other: dict[str, bytes] = {}
 
     def load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -105,25 +102,36 @@ class Codec:
         self.db.unregister("incoming")
 
     def add(self, words: list[str]) -> None:
-        """Codes distinct words that aren't known yet."""
-        todo: list[tuple[str, bytes]] = []
+        """Codes distinct words that aren't known yet. A word that is a token is that token, as in tiktoken."""
+        todo: list[str] = []
         for w in words:
-            raw = w.encode()
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                self.ids[w] = str(rank)
-            elif len(raw) >= LONG:
-                self.contract_long(w, raw)
+            rank = self.ranks.get(w.encode())
+            if rank is None:
+                todo.append(w)
             else:
-                todo.append((w, raw))
-        todo.sort(key=lambda x: len(x[1]))  # a lot takes as many steps as its longest word
+                self.ids[w] = str(rank)
+        raws = [w.encode() for w in todo]
+        whole = [i for i, raw in enumerate(raws) if len(raw) <= WHOLE]
+        self.ids.update(zip([todo[i] for i in whole], self.contracted([raws[i] for i in whole]), strict=True))
+        for w, raw in zip(todo, raws, strict=True):
+            if len(raw) > WHOLE:
+                self.ids[w] = self.in_parts(raw)
+
+    def contracted(self, raws: list[bytes]) -> list[str]:
+        """The ids of byte strings, in lots of similar length: a lot takes as many steps as its longest."""
+        out = [""] * len(raws)
+        order = sorted(range(len(raws)), key=lambda i: len(raws[i]))
         at = 0
-        while at < len(todo):
-            to = min(len(todo), at + LOT, at + max(1, 12 * LOT // len(todo[min(len(todo), at + LOT) - 1][1])))
-            self.contract(*zip(*todo[at:to], strict=True))
+        while at < len(order):
+            longest = len(raws[order[min(len(order), at + LOT) - 1]])
+            kept = longest <= WHOLE  # spans that had to grow keep the last row of each position only, which takes longer
+            to = min(len(order), at + min(LOT, max(1, STEPS // (longest**2 if kept else 16 * longest))))
+            for i, ids in zip(order[at:to], self.contract([raws[i] for i in order[at:to]], "" if kept else "USING KEY (w, p)"), strict=True):
+                out[i] = ids
             at = to
+        return out
 
-    def contract(self, words: tuple[str, ...], raws: tuple[bytes, ...]) -> None:
+    def contract(self, raws: list[bytes], kept: str) -> list[str]:
         lengths = np.fromiter(map(len, raws), np.int64, len(raws))
         ends = np.cumsum(lengths)
         t = self.byte[np.frombuffer(b"".join(raws), np.uint8)]
@@ -132,44 +140,61 @@ class Codec:
         n = pa.array(np.append(t[1:], np.int32(0)), mask=last)
         w, p = np.repeat(np.arange(len(raws), dtype=np.int32), lengths), (np.arange(len(t)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
         self.load("bytes", pa.table([pa.array(w), pa.array(p), pa.array(t), n], ["w", "p", "t", "n"]))
-        found = self.db.sql(ENCODE).to_arrow_table()
-        for k, ids, raw in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
-            self.keep(words[k], ids, raw, raws[k])
-
-    def keep(self, word: str, ids: str, raw: bytes, own: bytes) -> None:
-        self.ids[word] = ids
-        if raw != own:
-            self.other[word] = raw
-
-    def contract_long(self, word: str, raw: bytes) -> None:
-        """Memory and steps stay those of one word and its distinct pairs, where the recursive query would keep every step's rows."""
-        db = self.db
-        self.load("bytes", pa.table([pa.array(np.arange(len(raw), dtype=np.int32)), pa.array(self.byte[np.frombuffer(raw, np.uint8)])], ["p", "t"]))
-        db.execute(f"CREATE OR REPLACE TEMP TABLE word AS {PAIRS.format('bytes')}")
-        least = lambda table: db.execute(f"SELECT min(k) FROM {table}").fetchall()[0][0]
-        best = least("word")
-        while best is not None:
-            solo = best in self.solo
-            db.execute(STEP, {"best": best, "solo": solo, "whole": True})
-            after = least("word_after")
-            if solo and after is not None and after < best:
-                db.execute("DROP TABLE word_after")
-                db.execute(STEP, {"best": best, "solo": True, "whole": False})
-                after = least("word_after")
-            db.execute("DROP TABLE word")
-            db.execute("ALTER TABLE word_after RENAME TO word")
-            best = after
-        ids = [r[0] for r in db.execute("SELECT t FROM word ORDER BY p").fetchall()]
-        self.keep(word, " ".join(map(str, ids)), self.decode([ids])[0], raw)
-
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
-        """The bytes of sequences of ids."""
-        lengths = np.array([len(ids) for ids in sequences], np.int64)
-        s = np.repeat(np.arange(len(sequences), dtype=np.int32), lengths)
-        p = (np.arange(len(s)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        ids = np.fromiter((i for own in sequences for i in own), np.int32, len(s))
-        self.load("ids", pa.table([pa.array(s), pa.array(p), pa.array(ids)], ["s", "p", "id"]))
-        out = [b""] * len(sequences)
+        found = self.db.sql(ENCODE.format(kept=kept)).to_arrow_table()
+        out = [""] * len(raws)
+        for k, ids in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            out[k] = ids
+        return out
+
+    def in_parts(self, raw: bytes) -> str:
+        """The ids of a word that is too long to enter whole."""
+        own = np.frombuffer(raw, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.beside[own[:-1], own[1:]]) + 1).tolist(), len(raw)]
+        parts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        short = [*{x for x in parts if len(x) <= WHOLE}]
+        ids = dict(zip(short, self.contracted(short), strict=True))
+        for x in parts:
+            if x not in ids:
+                ids[x] = self.in_spans(x)
+        return " ".join([ids[x] for x in parts])
+
+    def in_spans(self, raw: bytes) -> str:
+        """The ids of a byte string, by spans that overlap."""
+        spans = laid(0, len(raw), SPAN)
+        known: dict[bytes, np.ndarray] = {}
+        while True:
+            new = [*{raw[a:b] for a, b in spans}.difference(known)]
+            known.update((x, np.array(ids.split(), np.int64)) for x, ids in zip(new, self.contracted(new), strict=True))
+            bounds = [np.append(a, a + np.cumsum(self.size[known[raw[a:b]]])) for a, b in spans]
+            seams, failed, least = [], [], 0
+            for i in range(len(spans) - 1):
+                seam = common_token(bounds[i], bounds[i + 1], least)
+                failed.append(seam is None)
+                least = spans[i + 1][0] if seam is None else seam
+                seams.append(least)
+            if not any(failed):
+                break
+            longer, i = [], 0
+            while i < len(spans):
+                j = i
+                while j < len(failed) and failed[j]:
+                    j += 1
+                if j > i:
+                    longer += laid(spans[i][0], spans[j][1], 2 * max(b - a for a, b in spans[i : j + 1]))
+                else:
+                    longer.append(spans[i])
+                i = j + 1
+            spans = longer
+        out = []
+        for (a, b), own, start, end in zip(spans, bounds, [0, *seams], [*seams, len(raw)], strict=True):
+            out += known[raw[a:b]][np.searchsorted(own, start) : np.searchsorted(own, end)].tolist()
+        return " ".join(map(str, out))
+
+    def decode(self, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The bytes of sequences of ids, which lie one after another."""
+        out = [b""] * len(lengths)
+        s = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.load("ids", pa.table([pa.array(s), pa.array(np.arange(len(s))), pa.array(ids, pa.int32())], ["s", "p", "id"]))
         found = self.db.sql(DECODE).to_arrow_table()
         for k, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
             out[k] = raw
@@ -186,16 +211,30 @@ class Codec:
         self.add([*missing.difference(known)])
         return self.ids
 
-    def decoded(self, words: list[str]) -> bytes:
-        """What the ids of words decode to."""
-        if self.other and not self.other.keys().isdisjoint(words):
-            return b"".join([self.other.get(w, b"") if w in self.other else w.encode() for w in words])
-        return "".join(words).encode()
+    def forget(self, texts: list[list[str]]) -> None:
+        """Long words aren't kept: known words are bounded in number, so their length must be too."""
+        for w in {w for words in texts for w in words if len(w) > WHOLE}:
+            self.ids.pop(w, None)
 
     def words(self, text: str) -> list[str]:
         return self.find(text)
 
 
+def laid(a: int, b: int, span: int) -> list[tuple[int, int]]:
+    """Spans from a to b, each of which has its second half in common with the next."""
+    step = span // 2
+    n = max(1, -(-(b - a - step) // step))
+    return [(a + i * step, b if i == n - 1 else a + i * step + span) for i in range(n)]
+
+
+def common_token(left: np.ndarray, right: np.ndarray, least: int) -> int | None:
+    """The first boundary from least on at which the same token begins in two overlapping spans, by the boundaries of their tokens."""
+    left = left[np.searchsorted(left, right[0]) :]
+    begin, i, j = np.intersect1d(left[:-1], right[:-1], return_indices=True)
+    hit = np.flatnonzero((left[i + 1] == right[j + 1]) & (begin >= least))
+    return int(begin[hit[0]]) if len(hit) else None
+
+
 CODECS: dict[tuple[str, str], Codec] = {}
 CACHES.append(CODECS.clear)
 
@@ -219,22 +258,39 @@ def lots(texts: list[str], limit: int) -> Iterator[list[str]]:
         yield held
 
 
+def ids_of(own: Codec, texts: list[str]) -> list[str]:
+    """The ids of some texts, in decimal joined by a space."""
+    split = [own.words(t) for t in texts]
+    of = own.coded(split)
+    out = [" ".join(map(of.__getitem__, words)) for words in split]
+    own.forget(split)
+    return out
+
+
+def numbers(joined: list[str]) -> np.ndarray:
+    return np.array(" ".join(joined).split(), np.int32)
+
+
+def raws(own: Codec, joined: list[str]) -> Iterator[bytes]:
+    """What sequences of ids decode to, some of them at a time."""
+    for some in lots(joined, 6 * IDS):
+        yield from own.decode(np.array([x.count(" ") + bool(x) for x in some]), numbers([x for x in some if x]))
+
+
 def digests(path: str, pattern: str, passed: int = 1):
-    """Rows (others..., text) -> (others..., n_tokens, ids_sha256, decoded_sha256); decoded bytes are digested as they come."""
+    """Rows (others..., text) -> (others..., n_tokens, ids_sha256, decoded_sha256), decoded from the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)  # with its known words it stays for the worker's next task
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            counts, ids, raws = [], [], []
+            counts, ids, decoded_to = [], [], []
             for texts in lots([t or "" for t in b.column(passed).to_pylist()], PIECE):
-                split = [own.words(t) for t in texts]
-                of = own.coded(split)
-                for words in split:
-                    joined = " ".join(map(of.__getitem__, words))
-                    counts.append(joined.count(" ") + bool(words))
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    raws.append(hashlib.sha256(own.decoded(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(raws, pa.string())], [*b.schema.names[:passed], "n_tokens", "ids_sha256", "decoded_sha256"])
+                joined = ids_of(own, texts)
+                counts += [x.count(" ") + bool(x) for x in joined]
+                ids += [sha(x.encode()) for x in joined]
+                decoded_to += map(sha, raws(own, joined))
+            yield pa.RecordBatch.from_arrays([*b.columns[:passed], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded_to, pa.string())], [*b.schema.names[:passed], "n_tokens", "ids_sha256", "decoded_sha256"])
         release(caches=False)
 
     return run
@@ -246,12 +302,8 @@ def encoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            out = []
-            for texts in lots([t or "" for t in b.column(1).to_pylist()], PIECE):
-                split = [own.words(t) for t in texts]
-                of = own.coded(split)
-                out += [[int(i) for w in words for i in of[w].split()] for words in split]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], [b.schema.names[0], "ids"])
+            joined = [x for texts in lots([t or "" for t in b.column(1).to_pylist()], PIECE) for x in ids_of(own, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([numbers([x]) for x in joined], pa.list_(pa.int32()))], [b.schema.names[0], "ids"])
 
     return run
 
@@ -262,7 +314,9 @@ def decoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.decode([x or [] for x in b.column(1).to_pylist()]), pa.binary())], [b.schema.names[0], "raw"])
+            sequences = [x or [] for x in b.column(1).to_pylist()]
+            raw = own.decode(np.array([len(x) for x in sequences], np.int64), np.array([i for x in sequences for i in x], np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], [b.schema.names[0], "raw"])
 
     return run
 

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 import zipfile
 import zlib
 
@@ -304,22 +306,38 @@ def test_bpe_round_trip(spark, tokenizer):
         assert r["ids"] == enc.encode_ordinary(r["text"]) and back[r["doc_id"]] == r["text"]
 
 
-@pytest.mark.parametrize("word", ["a" * 5001, "ab" * 900, "aab" * 400 + "aaa" * 33, "é" * 700, "thequickbrownfox" * 40 + "lazydog" * 30])
-def test_long_words_take_their_steps_alone(tokenizer, word):
+def mixed_word(letters: list[str], n: int, seed: int) -> str:
+    r = random.Random(seed)
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+@pytest.mark.parametrize("word", ["a" * 5001, "ab" * 900, "aab" * 400 + "aaa" * 33, "é" * 700, "thequickbrownfox" * 40 + "lazydog" * 30, "=" * 70_001, "ÃÂ" * 900, "\u3002" * 999, mixed_word([*"abcdefghijklmnopqrstuvwxyz"], 9000, 1), mixed_word(["inter", "nation", "al", "ization", "s"], 900, 2), mixed_word([*"-=_*"], 2500, 3), mixed_word(["-" * 7, "=" * 90, "-" * 33], 60, 4), mixed_word([*"漢字語文"], 900, 5)])
+def test_long_words_in_parts(tokenizer, word):
     path, pattern, enc = tokenizer
     own = bpe.codec(path, pattern)
-    own.add([word])
-    assert [int(i) for i in own.ids[word].split()] == enc.encode_ordinary(word) and own.decoded([word]) == word.encode()
+    (ids,) = bpe.ids_of(own, [word])
+    assert [int(i) for i in ids.split()] == enc.encode_ordinary(word) and [*bpe.raws(own, [ids])] == [word.encode()]
+    assert word not in own.ids
+
+
+def test_a_word_of_a_megabyte(tokenizer):
+    path, pattern, _ = tokenizer
+    own = bpe.codec(path, pattern)
+    word = mixed_word([*"abcdefghijklmnopqrstuvwxyz"], 1_000_000, 6)
+    began = time.monotonic()
+    (ids,) = bpe.ids_of(own, [word])
+    assert [*bpe.raws(own, [ids])] == [word.encode()] and time.monotonic() - began < 60
 
 
-def test_what_ids_decode_to_counts(tokenizer):
-    """A decoded word that isn't the word shows in the document."""
+@pytest.mark.parametrize(("token", "text"), [(b"x", "qqxqqx ok"), (b" the", "hello world, the cat")])
+def test_what_ids_decode_to_counts(tokenizer, token, text):
+    """Bytes of the vocabulary show in the document, those of whole-word tokens too."""
     path, pattern, _ = tokenizer
     own = bpe.Codec(path, pattern)
-    own.db.execute("UPDATE vocabulary SET hex = '21' WHERE id = (SELECT id FROM vocabulary WHERE hex = '78')")
-    words = own.words("qqxqqx ok")
-    own.coded([words])
-    assert own.decoded(words) != b"qqxqqx ok" and own.decoded(words).endswith(b" ok")
+    joined = bpe.ids_of(own, [text])
+    assert [*bpe.raws(own, joined)] == [text.encode()]
+    own.db.execute(f"UPDATE vocabulary SET hex = '21' WHERE hex = '{token.hex()}'")
+    assert [*bpe.raws(own, joined)] == [text.encode().replace(token, b"!")]
 
 
 def test_known_words_are_forgotten(tokenizer, monkeypatch):
