@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at a time; bounds the memory of a Python worker.
 PIECE = 1 << 20
-#: Blocks of documents, and buckets, for each shuffle partition. A block and a bucket exchange one packed row at most, so
-#: their product bounds the rows of an exchange; a partition of some 10 to 30 MB of text keeps a block in a worker's memory.
+#: Blocks of documents, and buckets, for each shuffle partition at least, and bytes of text of a block at most on average:
+#: a block is held in a worker's memory, whatever the number of partitions. A block and a bucket exchange one packed row at
+#: most, and none for nothing, so an exchange has no more rows than it has stretches or windows to send.
 BLOCKS = 2
 BUCKETS = 2
+BLOCK_BYTES = 16 << 20
 #: Stands for a null doc_id: such rows come after all others in the order of documents.
 NO_ID = (1 << 63) - 1
 U = np.uint64
@@ -31,6 +33,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def blocks_and_buckets(docs: DataFrame) -> tuple[int, int]:
+    """Their numbers, from the bytes of text and the number of shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    least, n = -(-size // BLOCK_BYTES), partitions(docs.sparkSession)
+    return max(BLOCKS * n, least), max(BUCKETS * n, least)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; a new local one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,7 +104,9 @@ def keyed(docs: DataFrame, n_blocks: int, more: tuple[str, ...] = ()) -> DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     extra = [F.col(c) for c in more] + [F.col("text").isNull().alias("no_text")] * bool(more)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), text.alias("text"), *extra)
-    own = (F.xxhash64("text").alias("rid"), F.pmod(F.xxhash64("did"), F.lit(n_blocks)).cast("int").alias("block"))
+    rid = F.xxhash64("text")
+    # by text too: rows that share a doc_id, or have none, may be many
+    own = (rid.alias("rid"), F.pmod(F.xxhash64("did", rid), F.lit(n_blocks)).cast("int").alias("block"))
     return rows.select("did", *own, "text", *(c for c in rows.columns if c not in ("did", "text")))
 
 

@@ -1,17 +1,20 @@
 """Operator 9, suffix-array dedup: removes every byte that lies in a window of 100 bytes that also starts earlier.
 
-Method: blockwise suffix sorting with a difference cover. The suffixes (window starts) of the whole corpus are dealt to
-buckets by the rarest-hashed 16-byte word of their window, which equal windows share; neighbouring suffixes of a bucket
-travel as one stretch of text, so that a bucket holds the text that its suffixes need and nothing else. Stretches whose
-word no other stretch has chosen hold no repeat and stay behind (words go round first, by hash). Buckets are then sorted
-one at a time: the suffixes by their first and last 31 bytes, and what still ties by the ranks of a sample of the bucket's
-suffixes at the positions of a difference cover modulo 31, which are computed first. Memory is that of one bucket.
-
-A word that very many different stretches have chosen (it lies in a passage that a third of all documents hold, say) is
-hot: its suffixes go one by one, by a hash of their window.
-
-Equal stretches are one before the shuffle (in each block of documents) and again in their bucket: thousands of copies
-of a document or passage send each of its stretches once for each block.
+Method: blockwise suffix sorting with a difference cover. Which windows are equal is read off sorted suffixes alone. In each
+window one 16-byte word is chosen, that of least hash, so that equal windows choose the same at the same offset; the
+suffixes that begin at chosen words are sorted. Windows that choose the same word place are one stretch of text: what
+follows the word is the suffix, and what lies before it, read backwards, a second one. Buckets are ranges of the suffixes'
+lexicographic order, parted by splitters from a sample of all suffixes, and are sorted one at a time: by the first 31 bytes,
+and what ties there by the ranks of a sample of suffixes at the positions of a difference cover modulo 31, which are
+computed first. Two windows are equal if the common prefixes along both orders reach as far as the window does to both
+sides of the word. Memory is that of one bucket.
+
+Copies: a block of documents sorts its own stretches in the same way first. Stretches all of whose windows start earlier in
+the block stay behind, so that thousands of copies of a document or passage send each stretch once for each block; in the
+order of a bucket copies are runs of equal suffixes, of which the first stands for all. Stretches whose word no other
+stretch has chosen hold no repeat and stay behind too (words go round first, by hash). A word that very many different
+stretches have chosen is hot: its windows go one by one, each to the range of its own suffix, so that no bucket gets all
+the surroundings of a common passage.
 
 Order: by doc_id, then by start. A null doc_id comes last. Rows that share a doc_id count as one document, in which
 starts decide; repeated rows therefore never remove each other. A null text is empty; texts of under 100 bytes and empty
@@ -27,14 +30,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from xxhash import xxh64_intdigest
+from pyspark.sql import functions as F
 
-from .common import BLOCKS, BUCKETS, MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, buckets_of, exclusive, grouped, keyed, lean_cogroup, lean_group, mixed, pack, partitions, ranges, unpack
+from .common import MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, blocks_and_buckets, buckets_of, exclusive, grouped, keyed, lean_cogroup, lean_group, mixed, pack, ranges, unpack
 
 WINDOW = 100
 WORD = 16
 #: Different stretches from which a class is hot.
 HOT = 20_000
+#: Ranges of the suffix order at most (their splitters go with each task); further buckets part a range by hash. Sampled
+#: suffixes for each range.
+RANGES = 1024
+SAMPLED = 32
+#: Suffixes of a bucket that are sorted together; a word's suffixes stay together.
+LOT = 1 << 15
 #: A perfect difference set: each residue modulo 31 is a difference of two of these (fixed values).
 PERIOD = 31
 COVER = np.array([0, 1, 3, 8, 12, 18])
@@ -149,7 +158,6 @@ class Stretches:
         self.doc, self.start, self.count, self.word, self.hash = (np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds))
         self.at = docs.bounds[self.doc] + self.start
 
-
     def variants(self, raw: np.ndarray) -> np.ndarray:
         """A number of both ends and the length of each stretch: different numbers, different stretches."""
         eight = np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,)) if len(self.at) else np.zeros(0, U)
@@ -193,10 +201,27 @@ def shared(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(blocks, pa.int32()), pa.array(marks, pa.binary())], ["block", "marks"])
 
 
-def deal(n_buckets: int):
-    """A block and its shared classes -> (bucket, stretches) of classes with different stretches and, with a bucket of
-    -1 - block, the marks of stretches that an earlier one of the block equals. Stretches of hot classes go window by
-    window, each by a hash of its own, so that no bucket gets all of a common passage's surroundings."""
+def splitters(docs: DataFrame, n: int) -> np.ndarray:
+    """Ends of n ranges at most of the order of suffixes, from SAMPLED * n suffixes at hashed places of documents drawn by length."""
+    size = F.length("text")
+    chance = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    place = (F.pmod(F.xxhash64("text", "doc_id"), size) + 1).cast("int")
+    drawn = docs.where(size >= WINDOW // 4).select((-F.log(chance) / size).alias("k"), F.substring(F.col("text"), place, F.lit(WINDOW)).alias("suffix"))
+    found = drawn.orderBy("k", "suffix").limit(SAMPLED * n).collect()  # a bounded sample
+    ordered = np.sort(np.array([r["suffix"].encode()[:WINDOW] for r in found], f"S{WINDOW}"))
+    return np.unique(ordered[(np.arange(1, n) * len(ordered)) // n]) if len(ordered) else ordered
+
+
+def deal(n_buckets: int, ends: np.ndarray):
+    """A block and its shared classes -> (bucket, stretches) of classes that other blocks hold too and, with a bucket of
+    -1 - block, the marks of windows that start earlier in the block."""
+    n_ranges = len(ends) + 1
+    parts_of_range = max(1, n_buckets // n_ranges)
+
+    def bucket_of(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        own = padded(raw, at, np.full(len(at), length), length, False)
+        where = np.searchsorted(ends, own.view(f"S{length}").ravel().astype(f"S{WINDOW}"), "right") if len(at) else at
+        return where * parts_of_range + buckets_of(mixed(word_hashes_at(raw, at)), parts_of_range)
 
     def run(rows: pa.Table, marks: pa.Table) -> pa.Table:
         docs = block_docs(rows)
@@ -207,38 +232,59 @@ def deal(n_buckets: int):
             place, is_hot = unpack(v.as_py())
             own = back[np.cumsum(place, dtype=np.int64)]
             elsewhere[own], hot[own] = True, is_hot > 0
-        near = np.flatnonzero(elsewhere[back] | (size[back] > 1))
-        cold, warm = near[~hot[back[near]]], near[hot[back[near]]]
-        n = s.count[warm].astype(np.int64)
-        at = np.concatenate([s.at[cold], ranges(s.at[warm], n)])
-        doc = np.concatenate([s.doc[cold], np.repeat(s.doc[warm], n)])
-        start = np.concatenate([s.start[cold], ranges(s.start[warm], n)])
-        count = np.concatenate([s.count[cold], np.ones(int(n.sum()), np.int8)])
-        word = np.concatenate([s.word[cold], (np.repeat(s.word[warm], n) - ranges(np.zeros(len(n), np.int64), n)).astype(np.int8)])
-        raw, seen = memoryview(docs.raw), {}
-        texts = [raw[a:b].tobytes() for a, b in zip(at.tolist(), (at + count + (WINDOW - 1)).tolist(), strict=True)]
-        h = np.concatenate([s.hash[cold], np.array([xxh64_intdigest(t) for t in texts[len(cold) :]], U)])
-        ship = np.append(elsewhere[back[cold]], np.ones(len(at) - len(cold), bool))
-        places = zip(docs.did[doc].tolist(), start.tolist(), strict=True)
-        fresh = np.array([seen.setdefault(t, p) == p for t, p in zip(texts, places, strict=True)], bool)
-        del seen
         keys, values = [], []
-        old = np.flatnonzero(~fresh)
-        if len(old):
+        near = np.flatnonzero(size[back] > 1)
+        which, first, n = repeats(docs.raw, s.at[near], docs.did[s.doc[near]], s.start[near], s.count[near].astype(np.int64), s.word[near].astype(np.int64))
+        which = near[which]
+        if len(which):
             keys.append(-1 - docs.block)
-            values.append(pack(*joined(doc[old], start[old], count[old].astype(np.int64))))
-        _, kind = np.unique(h, return_inverse=True)
-        again = np.bincount(kind[fresh], minlength=int(kind.max()) + 1 if len(kind) else 0) > 1
-        new = np.flatnonzero(fresh & (ship | again[kind]))
-        for bucket, part in grouped(buckets_of(mixed(h[new]), n_buckets)):
-            own = new[part]
-            keys.append(bucket)
-            values.append(pack(np.array([docs.block]), np.diff(docs.did[doc[own]], prepend=0), np.diff(doc[own], prepend=0).astype(np.int32), start[own].astype(np.int64), count[own], word[own], h[own], np.frombuffer(b"".join([texts[i] for i in own.tolist()]), np.uint8)))
+            values.append(pack(*joined(s.doc[which], s.start[which] + first, n)))
+        left = s.count - np.bincount(which, n, len(s.at)).astype(np.int64) > 0
+        ship = left & elsewhere[back]
+        cold, warm = np.flatnonzero(ship & ~hot[back]), np.flatnonzero(ship & hot[back])
+        count = s.count[warm].astype(np.int64)
+        inside = exclusive(count)
+        gone = np.zeros(inside[-1] + 1, np.int32)
+        of = np.full(len(s.at), -1)
+        of[warm] = np.arange(len(warm))
+        hit = of[which] >= 0
+        np.add.at(gone, inside[of[which[hit]]] + first[hit], 1)
+        np.add.at(gone, inside[of[which[hit]]] + first[hit] + n[hit], -1)
+        stay = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
+        one = lambda x: ranges(x[warm], count)[stay]
+        at = np.concatenate([s.at[cold], one(s.at)])
+        doc = np.concatenate([s.doc[cold], np.repeat(s.doc[warm], count)[stay]])
+        start = np.concatenate([s.start[cold], one(s.start)])
+        count = np.concatenate([s.count[cold], np.ones(len(stay), np.int8)])
+        word = np.concatenate([s.word[cold], np.zeros(len(stay), np.int8)])  # a window that goes alone is its own suffix
+        bucket = np.concatenate([bucket_of(docs.raw, at[: len(cold)] + word[: len(cold)], WORD), bucket_of(docs.raw, at[len(cold) :], WINDOW)])
+        for b, own in grouped(bucket):
+            keys.append(b)
+            values.append(pack(np.array([docs.block]), np.diff(docs.did[doc[own]], prepend=0), np.diff(doc[own], prepend=0).astype(np.int32), start[own].astype(np.int64), count[own].astype(np.int8), word[own].astype(np.int8), docs.raw[ranges(at[own], count[own].astype(np.int64) + (WINDOW - 1))]))
         return pa.table([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["bucket", "packed"])
 
     return run
 
 
+def word_hashes_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of word_hashes() at some positions."""
+    eight = np.ndarray((max(0, len(raw) - 7),), "<u8", np.ascontiguousarray(raw), 0, (1,))
+    h = eight[at] * U(0x9E3779B97F4A7C15)
+    h ^= h >> U(29)
+    return mixed(h + eight[at + 8])
+
+
+def padded(text: np.ndarray, begin: np.ndarray, length: np.ndarray, width: int, backwards: bool) -> np.ndarray:
+    """A row for each stretch of text, filled up with zeros; backwards: read from its end."""
+    out = np.zeros((len(begin), width), np.uint8)
+    if backwards:
+        inside = np.arange(int(length.sum())) - np.repeat(exclusive(length)[:-1], length)
+        out[np.arange(width) < length[:, None]] = text[np.repeat(begin + length - 1, length) - inside]
+    else:
+        out[np.arange(width) < length[:, None]] = text[ranges(begin, length)]
+    return out
+
+
 def refine(group: np.ndarray, keys: list, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts order inside its groups by one key after another; only suffixes that still tie are looked at.
 
@@ -296,33 +342,88 @@ def by_cover(group: np.ndarray, order: np.ndarray, ranks: np.ndarray) -> tuple[n
     return order, group
 
 
-def equal_windows(text: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts, sorted within their class by first bytes, last bytes and cover ranks, and a number that equal windows share.
-
-    Only windows that tie on both ends reach the ranks. A rank spans WINDOW - PERIOD + 1 bytes, so whatever the shift it
-    spans all that the two ends leave open: equal ranks are then equal windows. Each start has WINDOW bytes after it."""
-    order = np.argsort(classes, kind="stable")
-    group = np.cumsum(np.append(0, np.diff(classes[order]) != 0)) if len(order) else order
-    order = starts[order]
-    ends = [big_endian(text, a) for a in (0, 8, 16, PERIOD - 8, WINDOW - PERIOD, WINDOW - PERIOD + 8, WINDOW - PERIOD + 16, WINDOW - 8)]
-    order, group = refine(group, ends, order)
-    size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-    tied = np.flatnonzero(size[group] > 1) if len(group) else np.zeros(0, np.int64)
-    if not len(tied):
-        return order, group
-    needed = np.zeros(len(text) + 1, np.int32)
-    np.add.at(needed, order[tied], 1)
-    np.add.at(needed, order[tied] + PERIOD, -1)
-    residue = np.zeros(PERIOD, bool)
-    residue[COVER] = True
-    sample = np.flatnonzero((np.cumsum(needed[:-1], dtype=np.int32) > 0) & np.resize(residue, len(text)))
-    ranks = cover_ranks(text, sample, WINDOW - PERIOD + 1)
-    own, sub = by_cover(group[tied], order[tied].copy(), ranks)
-    return own, sub
+def suffix_order(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicographic order of rows by their first depth bytes at least, and how many of the first depth bytes each has in common with the one before it.
+
+    Rows have PERIOD bytes more. Those that tie on PERIOD bytes are ordered by the ranks of the cover sample at the shift at which both meet it."""
+    n, width = rows.shape
+    text = np.append(rows.ravel(), np.zeros(8, np.uint8))
+    order, group = refine(np.zeros(n, np.int64), [big_endian(text, a) for a in (0, 8, 16, PERIOD - 8)], np.arange(n) * width)
+    size = np.bincount(group) if n else np.zeros(0, np.int64)
+    tied = np.flatnonzero(size[group] > 1) if n else np.zeros(0, np.int64)
+    if len(tied):
+        residue = np.zeros(PERIOD, bool)
+        residue[COVER] = True
+        near = (np.sort(order[tied])[:, None] + np.arange(PERIOD)).ravel()
+        ranks = cover_ranks(text, near[residue[near % PERIOD]], depth)
+        order[tied], _ = by_cover(group[tied], order[tied].copy(), ranks)
+    order //= width
+    common = np.zeros(n, np.int64)
+    for a in range(1, n, 1 << 14):
+        to = min(n, a + (1 << 14))
+        other = rows[order[a:to], :depth] != rows[order[a - 1 : to - 1], :depth]
+        common[a:to] = np.where(other.any(1), other.argmax(1), depth)
+    return order, common
+
+
+def runs(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """By row, the number of its run of rows that have depth bytes in common."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
+
+
+def reach(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """By row, how many bytes it has in common with any other row."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], 0))
+    return out
+
+
+def repeats(text: np.ndarray, begin: np.ndarray, did: np.ndarray, start: np.ndarray, count: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (begin in text; document; start there; number of windows; place of the word) -> windows that start earlier
+    elsewhere among them: stretch, first window, number of windows."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+    if len(begin):
+        eight = np.ndarray((len(text) - 7,), ">u8", np.ascontiguousarray(text), 0, (1,))
+        high, low = eight[begin + word], eight[begin + word + 8]
+        order = np.lexsort((low, high))
+        same = np.cumsum(np.append(0, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
+        order = order[np.bincount(same)[same] > 1]
+        same = same[np.bincount(same)[same] > 1]
+        for part in lots(same, np.ones(len(same), np.int64), LOT):
+            own = order[part]
+            own = own[np.lexsort(((start + word)[own], did[own]))]  # from here on the smaller index is the earlier
+            found += [(own[w], k, n) for w, k, n in repeats_of_lot(text, begin[own], did[own], (start + word)[own], count[own], word[own])]
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def repeats_of_lot(text: np.ndarray, begin: np.ndarray, did: np.ndarray, place: np.ndarray, count: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of stretches in order of (did, place of the word)."""
+    n = len(begin)
+    least = word - count + 1  # the least offset of the word in its windows
+    right, left = (WINDOW, WINDOW - least), (WINDOW - WORD, word)
+    after = suffix_order(padded(text, begin + word, right[1], right[0] + PERIOD + 1, False), right[0])
+    before = suffix_order(padded(text, begin, left[1], left[0] + PERIOD + 1, True), left[0])
+    # of runs of equal stretches the first stands for all
+    kind = ((runs(*after, right[0]) * n + runs(*before, left[0])) * WINDOW + word) * WINDOW + count
+    _, first, back = np.unique(kind, return_index=True, return_inverse=True)
+    first = first[back]
+    copy = (first != np.arange(n)) & ((did != did[first]) | (place != place[first]))
+    yield np.flatnonzero(copy), np.zeros(int(copy.sum()), np.int64), count[copy]
+    low, high = np.maximum(least, WINDOW - reach(*after)), np.minimum(word, reach(*before))
+    live = np.flatnonzero(~copy & (low <= high))
+    low, high = low[live], high[live]
+    for offset in range(int(low.min()), int(high.max()) + 1) if len(live) else ():
+        own = live[(low <= offset) & (offset <= high)]
+        _, first, back = np.unique(runs(*after, WINDOW - offset)[own] * n + runs(*before, offset)[own], return_index=True, return_inverse=True)
+        first = own[first[back]]
+        late = own[(did[own] != did[first]) | (place[own] != place[first])]
+        yield late, word[late] - offset, np.ones(len(late), np.int64)
 
 
 def lots(classes: np.ndarray, size: np.ndarray, limit: int) -> Iterator[slice]:
-    """Whole classes (equal numbers in a row), some at a time, of some limit bytes together; a larger class comes alone."""
+    """Whole classes (equal numbers in a row), some at a time, of some limit together; a larger class comes alone."""
     ends = np.append(np.flatnonzero(np.diff(classes)) + 1, len(classes)) if len(classes) else np.zeros(0, np.int64)
     total, at, before = exclusive(size), 0, 0
     for end in ends.tolist():
@@ -342,50 +443,13 @@ def sort_bucket(table: pa.Table) -> pa.Table:
     parts = [unpack(v.as_py()) for v in table.column("packed")]
     block = np.repeat([int(p[0][0]) for p in parts], [len(p[1]) for p in parts])
     did, doc = (np.concatenate([np.cumsum(p[i], dtype=np.int64) for p in parts]) for i in (1, 2))
-    start, count, word, h = (np.concatenate([p[i] for p in parts]).astype(k) for i, k in ((3, np.int64), (4, np.int64), (5, np.int64), (6, U)))
-    text = np.concatenate([p[7] for p in parts])
-    place = exclusive(count + WINDOW - 1)
-    marks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    several = np.unique(h, return_inverse=True, return_counts=True)
-    alone = several[2][several[1]] == 1
-    # the first of equal stretches stands for all; the others are marked whole
-    busy = np.flatnonzero(~alone)
-    busy = busy[np.lexsort((start[busy], did[busy]))]
-    held, seen = memoryview(text), {}
-    places = zip(did[busy].tolist(), start[busy].tolist(), strict=True)
-    fresh = np.array([seen.setdefault(held[a:b].tobytes(), p) == p for a, b, p in zip(place[busy].tolist(), place[busy + 1].tolist(), places, strict=True)], bool)
-    del seen
-    again = busy[~fresh]
-    marks.append((again, start[again], count[again]))
-    keep = busy[fresh]
-    kind = several[1][keep]
-    keep = keep[np.bincount(kind, minlength=len(several[0]))[kind] > 1] if len(keep) else keep
-    keep = keep[np.argsort(several[1][keep], kind="stable")]
-    for part in lots(several[1][keep], count[keep] + WINDOW - 1, PIECE):
-        run = keep[part]
-        length = count[run] + WINDOW - 1
-        own = text[ranges(place[run], length)]
-        at = exclusive(length)[:-1]
-        starts = ranges(at, count[run])
-        stretch = np.repeat(np.arange(len(run)), count[run])
-        ahead_of = np.repeat(at + word[run], count[run]) - starts
-        order, group = equal_windows(np.append(own, np.zeros(8, np.uint8)), starts, several[1][run][stretch] * WINDOW + ahead_of)
-        if len(order):
-            mine = np.searchsorted(at, order, "right") - 1
-            run = run[mine]
-            d, s = did[run], start[run] + order - at[mine]
-            by = np.lexsort((s, d, group))
-            d, s, g, run = d[by], s[by], group[by], run[by]
-            head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            size = np.diff(np.append(head, len(g)))
-            later = (d != np.repeat(d[head], size)) | (s != np.repeat(s[head], size))
-            marks.append((run[later], s[later], np.ones(int(later.sum()), np.int64)))
-    of, start_m, count_m = (np.concatenate([m[i] for m in marks]) for i in range(3))
+    start, count, word = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (3, 4, 5))
+    text = np.concatenate([p[6] for p in parts])
+    which, first, n = repeats(text, exclusive(count + WINDOW - 1)[:-1], did, start, count, word)
     out_b, out_m = [], []
-    for b, part in grouped(block[of]):
+    for b, part in grouped(block[which]):
         out_b.append(b)
-        out_m.append(pack(*joined(doc[of[part]], start_m[part], count_m[part])))
+        out_m.append(pack(*joined(doc[which[part]], start[which[part]] + first[part], n[part])))
     return pa.table([pa.array(out_b, pa.int32()), pa.array(out_m, pa.binary())], ["block", "marks"])
 
 
@@ -439,10 +503,11 @@ def kept_texts(rows: pa.Table, marks: pa.Table) -> pa.Table:
 
 
 def run(docs: DataFrame, last, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
-    n = partitions(docs.sparkSession)
-    blocks = keyed(docs, BLOCKS * n, more).groupBy("block")
-    alike = blocks.applyInArrow(lean_group(classes(BUCKETS * n)), PACKED).groupBy("bucket").applyInArrow(lean_group(shared), MARKS)
-    dealt = blocks.cogroup(alike.groupBy("block")).applyInArrow(lean_cogroup(deal(BUCKETS * n)), PACKED)
+    n_blocks, n_buckets = blocks_and_buckets(docs)
+    ends = splitters(docs, min(n_buckets, RANGES))
+    blocks = keyed(docs, n_blocks, more).groupBy("block")
+    alike = blocks.applyInArrow(lean_group(classes(n_buckets)), PACKED).groupBy("bucket").applyInArrow(lean_group(shared), MARKS)
+    dealt = blocks.cogroup(alike.groupBy("block")).applyInArrow(lean_cogroup(deal(n_buckets, ends)), PACKED)
     marks = dealt.groupBy("bucket").applyInArrow(lean_group(sort_bucket), MARKS)
     return blocks.cogroup(marks.groupBy("block")).applyInArrow(lean_cogroup(last), schema)
 
