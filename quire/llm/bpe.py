@@ -95,6 +95,7 @@ class Codec:
         #: By word, the ids in decimal joined by a space, of words met of late, and of those before.
         self.ids: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.long: list[str] = []
 
     def load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -208,13 +209,16 @@ class Codec:
         missing = met.difference(self.ids)
         known = missing.intersection(self.old)
         self.ids.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        self.add([*missing.difference(known)])
+        new = [*missing.difference(known)]
+        self.add(new)
+        self.long += [w for w in new if len(w) > WHOLE]
         return self.ids
 
-    def forget(self, texts: list[list[str]]) -> None:
+    def forget(self) -> None:
         """Long words aren't kept: known words are bounded in number, so their length must be too."""
-        for w in {w for words in texts for w in words if len(w) > WHOLE}:
-            self.ids.pop(w, None)
+        for w in self.long:
+            del self.ids[w]
+        self.long = []
 
     def words(self, text: str) -> list[str]:
         return self.find(text)
@@ -263,12 +267,12 @@ def ids_of(own: Codec, texts: list[str]) -> list[str]:
     split = [own.words(t) for t in texts]
     of = own.coded(split)
     out = [" ".join(map(of.__getitem__, words)) for words in split]
-    own.forget(split)
+    own.forget()
     return out
 
 
 def numbers(joined: list[str]) -> np.ndarray:
-    return np.array(" ".join(joined).split(), np.int32)
+    return np.fromstring(" ".join(joined), np.int32, sep=" ")
 
 
 def raws(own: Codec, joined: list[str]) -> Iterator[bytes]:
