@@ -3,12 +3,19 @@
 Method: a page is cut into its leaf blocks (stretches of text between block-level tags, implied ends of p, li, td and the
 like included); each has features of its ancestors (tags, classes, ids) and of its text (length, share of link text,
 punctuation, telling words, place). A linear chain over the labels "main" and "other" is trained by gradient steps on the
-exact likelihood (forward-backward) on labelled pages, which labelled_pages() makes from many layouts with a fixed seed;
-pages are decoded by Viterbi. Training takes a bounded number of small pages, on the driver; its weights go with the task.
-
-In a block white space is one space, references are decoded, br is white space; scripts, styles and comments are no text.
-A null or empty html, or one without a main block, gives the empty text. Rows are judged one by one, so repeated rows and
-null page_ids stay as they are; an empty table gives no rows.
+exact likelihood (forward-backward) on labelled pages, which labelled_pages() makes with a fixed seed, half from the
+hand-written layouts of html_layouts.py and half from parts put together at random; pages are decoded by Viterbi. Where no
+block is main on the best path although the page has prose outside of what its tags call navigation, a header, a footer, a form or the like,
+the best path with that prose is taken. Training takes a bounded number of small pages, on the driver; its weights go with the task.
+
+Tags follow the HTML standard's tokenizer: a quote inside an unquoted value is part of it, a tag that the page ends in is
+dropped with all that it swallowed. The time is in proportion to the page: open elements are found by name, and what an
+element adds to its parent's features is kept with it.
+
+In a block white space is one space, references are decoded, br is white space; scripts, styles, templates, drawings (svg),
+embedded frames and comments are no text; formulas (math) and what stands in object for want of it are. A null or empty html, or one without a main block,
+gives the empty text. Rows are judged one by one, so repeated rows and null page_ids stay as they are; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+from .html_layouts import LAYOUTS
+
+#: The rest of a tag after its name: attributes, whose values are quoted or go up to white space or ">".
+ATTRIBUTES = re.compile(r"""(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?![\s"'>])[^\s>]++)?+)?+|=)*+""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+CLASS = re.compile(r"(?<![^\s/])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
-RAW = frozenset(("script", "style", "template", "svg", "math", "iframe", "object", "noframes", "noembed", "xmp"))
-VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "template", "svg", "iframe", "noframes", "noembed", "xmp"))
+#: Elements whose content is text up to their end tag.
+PLAIN = frozenset(("title", "textarea"))
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul video audio canvas".split()
 )
@@ -39,84 +51,151 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 TELLING = re.compile(r"cookie|subscri|newsletter|sign ?up|log ?in|copyright|©|all rights|advert|sponsor|privacy|comment|reply|share|menu|related|read more|click|terms", re.I)
 SENTENCE = re.compile(r"[.!?…:;\"'»”)\]]$")
 LABELS = 2
-PAGES = 320
+PAGES = 640
+#: Stands before the label of a made block (a character of private use).
+MARK = "\ue000"
 STEPS = 120
 
 
+#: An end tag closes nothing beyond one of these, unless it is one itself.
+SCOPE = frozenset(("table", "td", "th", "caption"))
+#: Words of a path that say that what is inside is no article.
+ASIDE = frozenset(f"in={x}" for x in "nav header footer aside form dialog menu button select title head".split()) | frozenset(
+    f"in.{x}" for x in "nav menu navigation navbar sidebar footer header masthead banner cookie consent ad ads advert advertisement promo sponsor sponsored comment comments newsletter share social related login breadcrumb breadcrumbs copyright widget".split()
+)
+
+
+class Element:
+    """An open element: tag, class and id words, and the features of all that it lies in."""
+
+    __slots__ = ("found", "inner", "key", "score", "tag", "up", "words")
+
+    def __init__(self, up: Element | None, tag: str, words: tuple[str, ...], names: dict[str, int] | None):
+        self.tag, self.words, self.up, self.score = tag, words, up, None
+        self.inner = words[0] if words else tag if tag in SECTIONS or up is None else up.inner
+        more = [f"in={tag}", *(f"in.{w}" for w in words)]
+        if names is not None:  # only those that the model knows: a set bounded by the model
+            more = [f for f in more if f in names or f in ASIDE]
+        above = up.found if up else NOTHING
+        more = [f for f in more if f not in above]
+        self.found = above.union(more) if more else above
+
+    def features(self) -> list[str]:
+        out = {f"own={self.tag}", *(f"own.{w}" for w in self.words), f"inner={self.inner}", *self.found}
+        if self.up and self.up.tag != "none":
+            out.add(f"up={self.up.tag}")
+        return sorted(out)
+
+
+SECTIONS = frozenset(("article", "main", "nav", "aside", "header", "footer", "form", "section", "dialog"))
+NOTHING: frozenset[str] = frozenset()
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]
+    at: Element
     text: str
     linked: float
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page, in order: path of open elements (tag, then class and id words), text, share of it in links."""
+def leaf_blocks(html: str, names: dict[str, int] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order: innermost open element, text, share of it in links. names: features to keep (all)."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    root = Element(None, "none", (), names)
+    root.found = NOTHING
+    stack: list[Element] = [root]
+    where: dict[str, list[int]] = {}  # by tag, the places in the stack
     parts: list[str] = []
-    links, linked, at = 0, 0, 0
+    links, linked, at, n = 0, 0, 0, len(html)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(s[1] for s in stack), text, min(1.0, linked / len(text))))
+                out.append(Block(stack[-1], text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    def close(names, until=frozenset()) -> None:
-        """Ends the innermost element of names, with all in it; not beyond one of until."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in until:
-                return
+    def last(tags) -> int:
+        return max([where[t][-1] for t in tags if where.get(t)], default=0)
+
+    def close(tags, until=NOTHING) -> None:
+        """Ends the innermost element of tags, with all in it; not beyond one of until."""
+        i = last(tags)
+        if i and i > last(until):
+            flush()
+            while len(stack) > i:
+                where[stack.pop().tag].pop()
+
+    def text(piece: str) -> None:
+        nonlocal linked
+        if "&" in piece:
+            piece = html_lib.unescape(piece)
+        parts.append(piece)
+        if links:
+            linked += len(piece.strip())
 
-    n = len(html)
     while at < n:
-        m = TAG.search(html, at)
-        piece = html[at : m.start()] if m else html[at:]
-        if piece:
-            if "&" in piece:
-                piece = html_lib.unescape(piece)
-            parts.append(piece)
-            if links:
-                linked += len(piece.strip())
-        if not m:
+        tag_at = html.find("<", at)
+        if tag_at < 0:
+            text(html[at:])
             break
-        at = m.end()
-        if m.group(2) is None:
+        if tag_at > at:
+            text(html[at:tag_at])
+        at = tag_at + 1
+        closing = html.startswith("/", at)
+        m = NAME.match(html, at + closing)
+        if not m:
+            if html.startswith("!--", at):
+                short = next((len(x) for x in ("!-->", "!--->") if html.startswith(x, at)), 0)
+                end = at + short - 1 if short else html.find("-->", at + 3)
+                at = n if end < 0 else end + (1 if short else 3)
+            elif closing or html.startswith(("!", "?"), at):
+                end = html.find(">", at)
+                at = n if end < 0 else end + 1
+            else:
+                text("<")
             continue
-        name, closing = m.group(2).lower(), m.group(1)
+        name = m.group().lower()
+        rest = ATTRIBUTES.match(html, m.end())
+        at = rest.end()
+        if not html.startswith(">", at):
+            break  # the page ends in this tag
+        at += 1
+        attributes = rest.group()
         if closing:
             if name == "a":
-                links = max(0, links - 1)
+                links = 0
             elif name in BLOCK:
-                if name == "p" and all(s[0] != "p" for s in stack):
+                if name == "p" and not where.get("p"):
                     flush()
-                close({name})
+                close((name,), NOTHING if name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or name in SCOPE else SCOPE)
             continue
-        if name in RAW:
-            if not m.group(3).endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+        if name in RAW or name in PLAIN:
+            if not attributes.endswith("/") or name != "svg":
+                end = ending(name).search(html, at)
+                if name in PLAIN:
+                    flush()
+                    stack.append(Element(stack[-1], name, described(attributes), names))
+                    text(html[at : end.start() if end else n])
+                    flush()
+                    stack.pop()
                 at = end.end() if end else n
             continue
         if name in BLOCK:
             flush()
             if name in ENDS:
                 close(*ENDS[name])
-            if name not in ("button", "label", "option", "select") and stack and any(s[0] == "p" for s in stack):
-                close({"p"}, {"button", "td", "th", "table", "li"} if name != "p" else {"button", "td", "th", "table"})
-            if name in ("body", "main", "article") and any(s[0] == "head" for s in stack):
-                close({"head"})
-            stack.append((name, described(name, m.group(3))))
+            if name not in ("button", "label", "option", "select") and where.get("p"):
+                close(("p",), ("button", "td", "th", "table", "li") if name != "p" else ("button", "td", "th", "table"))
+            if name in ("body", "main", "article"):
+                close(("head",))
+            where.setdefault(name, []).append(len(stack))
+            stack.append(Element(stack[-1], name, described(attributes), names))
             links = 0  # an unclosed link ends with its block
         elif name == "a":
             links = 1
-        elif name == "br" or name == "hr" or name == "img":
+        elif name in ("br", "hr", "img"):
             parts.append(" ")
             if name == "hr":
                 flush()
@@ -124,30 +203,15 @@ def leaf_blocks(html: str) -> list[Block]:
     return out
 
 
+@lru_cache(16)
+def ending(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I)
+
+
 @lru_cache(1 << 16)
-def described(name: str, attributes: str) -> str:
-    if not attributes.strip():
-        return name
-    words = [w for g in CLASS.findall(attributes) for w in TOKEN.findall("".join(g).lower())]
-    return " ".join([name, *words[:12]])
-
-
-def path_features(path: tuple[str, ...]) -> list[str]:
-    own = path[-1].split() if path else ["none"]
-    found = {f"own={own[0]}", *(f"own.{w}" for w in own[1:])}
-    if len(path) > 1:
-        found.add(f"up={path[-2].split()[0]}")
-    inner = ""
-    for step in path:
-        tag, *words = step.split()
-        found.add(f"in={tag}")
-        found.update(f"in.{w}" for w in words)
-        if tag in ("article", "main", "nav", "aside", "header", "footer", "form", "section", "dialog"):
-            inner = tag
-        if words:
-            inner = words[0]
-    found.add(f"inner={inner}")
-    return sorted(found)
+def described(attributes: str) -> tuple[str, ...]:
+    """The words of an element's classes, ids and roles, each once."""
+    return tuple(dict.fromkeys(w for g in CLASS.findall(attributes) for w in TOKEN.findall("".join(g).lower()))) if attributes else ()
 
 
 def text_features(block: Block, i: int, n: int) -> list[str]:
@@ -167,31 +231,35 @@ class Chain:
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, ends: np.ndarray):
         self.names, self.emit, self.move, self.ends = names, emit, move, ends
-        self.by_path: dict[tuple[str, ...], np.ndarray] = {}
+        self.weight = {f: (float(emit[i, 0]), float(emit[i, 1])) for f, i in names.items()}
 
-    def score(self, features: list[str]) -> np.ndarray:
-        at = [self.names[f] for f in features if f in self.names]
-        return self.emit[at].sum(0)
+    def score(self, features: list[str]) -> tuple[float, float]:
+        known = [self.weight[f] for f in features if f in self.weight]
+        return sum(w[0] for w in known), sum(w[1] for w in known)
 
-    def scores(self, blocks: list[Block]) -> np.ndarray:
-        out = np.zeros((len(blocks), LABELS))
+    def scores(self, blocks: list[Block]) -> list[tuple[float, float]]:
+        out = []
         for i, b in enumerate(blocks):
-            path = self.by_path.get(b.path)
-            if path is None:
-                if len(self.by_path) > 1 << 14:
-                    self.by_path.clear()
-                path = self.by_path[b.path] = self.score(path_features(b.path))
-            out[i] = path + self.text_score(b, i, len(blocks))
+            if b.at.score is None:
+                b.at.score = self.score(b.at.features())
+            own = self.score(text_features(b, i, len(blocks)))
+            out.append((b.at.score[0] + own[0], b.at.score[1] + own[1]))
         return out
 
-    def text_score(self, b: Block, i: int, n: int) -> np.ndarray:
-        return self.score(text_features(b, i, n))
-
     def decode(self, blocks: list[Block]) -> list[int]:
         """Viterbi."""
         if not blocks:
             return []
-        scores, back = self.scores(blocks).tolist(), []
+        scores = self.scores(blocks)
+        found = self.best(scores)
+        if not any(found):
+            prose = [is_prose(b) for b in blocks]
+            if any(prose):
+                found = self.best([(-1e9, s[1]) if p else s for s, p in zip(scores, prose, strict=True)])
+        return found
+
+    def best(self, scores: list[tuple[float, float]]) -> list[int]:
+        back = []
         (a, b), (c, d) = self.move.tolist()
         x, y = scores[0][0] + self.ends[0, 0], scores[0][1] + self.ends[0, 1]
         for s in scores[1:]:
@@ -206,10 +274,15 @@ class Chain:
         return out[::-1]
 
     def main_text(self, html: str | None) -> str:
-        blocks = leaf_blocks(html or "")
+        blocks = leaf_blocks(html or "", self.names)
         return "\n".join(b.text for b, label in zip(blocks, self.decode(blocks), strict=True) if label)
 
 
+def is_prose(b: Block) -> bool:
+    """Sentences, hardly any of them links, outside of what tags or classes set apart from an article."""
+    return b.text.count(" ") >= 5 and b.linked < 0.3 and bool(SENTENCE.search(b.text)) and not TELLING.search(b.text) and b.at.found.isdisjoint(ASIDE)
+
+
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -282,10 +355,11 @@ class Writer:
         return f' {self.r.choice(("class", "class", "id"))}="{name}"' if name else ""
 
     def mark(self, text: str, main: bool) -> str:
-        return f"{text} {int(main)}"
+        return f"{text} {MARK}{int(main)}"
 
     def para(self, main: bool) -> str:
-        text = self.mark(self.prose(), main)
+        # articles too say what footers and notices say
+        text = self.mark(self.r.choice(("All rights reserved.", "Released under these terms.", "Read more about it in the comments.", "Subscribe to it, and share it.")) if self.r.random() < 0.08 else self.prose(), main)
         kind = self.r.random()
         if kind < 0.15:
             text = f"<b>{text}<br>" if self.sloppy else f"<b>{text}</b>"
@@ -366,21 +440,65 @@ class Writer:
         if self.r.random() < 0.4:
             self.r.shuffle(before)
         title = self.mark(self.words(2, 9), False)
-        head = f'<head><meta charset="utf-8"><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>'
+        head = f"<head><title>{title}</title></head>"
         body = "".join(map(self.other, before)) + self.article() + "".join(map(self.other, after))
         if self.r.random() < 0.3:
             body = f"<div{self.attribute('wrapper', 'page', 'container', 'site')}>{body}</div>"
         return f"<!DOCTYPE html><html>{head}<body>{body}" + ("" if self.sloppy else "</body></html>")
 
 
+    def slot(self, kind: str) -> str:
+        """What stands in a slot of a layout (html_layouts.py)."""
+        r, main = self.r, lambda text: self.mark(text, True)
+        end = "" if self.sloppy else "</p>"
+        if kind in "Hh":
+            return f"<h{1 if kind == 'H' else r.choice((2, 3))}>{main(self.words(1, 9))}</h{1 if kind == 'H' else 2}>"
+        if kind == "P":
+            return "".join(self.para(True) for _ in range(r.choice((1, 2, 3, 5))))
+        if kind == "T":
+            return main(self.prose())
+        if kind == "S":
+            return main(self.words(2, 10))
+        if kind == "B":
+            return "<ul>" + "".join(f"<li>{main(self.prose() if r.random() < 0.5 else self.words(1, 8))}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
+        if kind == "Q":
+            return f"<blockquote><p>{main(self.prose())}{end}</blockquote>"
+        if kind == "C":
+            return main(self.words(4, 40))
+        if kind == "X":
+            return "<table>" + "".join(f"<tr><td>{main(self.words(1, 3))}</td><td>{main(self.words(1, 6))}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>"
+        if kind == "n":
+            return self.links()
+        if kind == "i":
+            return r.choice((" | ", " ", " &middot; ")).join(f'<a href="/{i}">{self.mark(self.words(1, 3), False)}</a>' for i in range(r.randint(2, 6)))
+        if kind == "t":
+            return self.mark(self.words(1, 6), False)
+        if kind == "p":
+            return f"<p>{self.mark(self.prose(), False)}{end}"
+        if kind == "f":
+            return self.other("form")
+        if kind == "k":
+            return f"<p>{self.mark(r.choice(('We use cookies. ', 'This site uses cookies. ', 'Please accept our terms. ')) + self.prose(), False)}</p><button>{self.mark('OK', False)}</button>"
+        if kind == "d":
+            return "".join(f"<div class=comment><b>{self.mark(self.words(1, 3), False)}</b>{self.para(False)}</div>" for _ in range(r.randint(1, 4)))
+        return f"<p>{self.mark(r.choice(('&copy; ', 'Copyright ', '', 'All rights reserved. ')) + self.words(1, 8), False)}{end}"
+
+    def laid_out(self, layout: str) -> str:
+        """A page of a layout; now and then without its classes and ids, so that tags and texts must tell."""
+        if self.r.random() < 0.35:
+            layout = re.sub(r" (?:class|id|role)=(?:\"[^\"]*\"|\w+)", "", layout)
+        return re.sub(r"\{(\w)\}", lambda m: self.slot(m[1]), layout)
+
+
 def labelled_pages(n: int, seed: int = 0) -> list[tuple[list[Block], list[int]]]:
     """Blocks and labels of n made pages."""
     out = []
     for i in range(n):
         blocks, labels = [], []
-        for b in leaf_blocks(Writer(seed * 1_000_003 + i).page()):
-            marks = re.findall("([01])", b.text)
-            text = " ".join(re.sub("[01]", "", b.text).split())
+        writer = Writer(seed * 1_000_003 + i)
+        for b in leaf_blocks(writer.page() if i % 2 else writer.laid_out(LAYOUTS[i // 2 % len(LAYOUTS)])):
+            marks = re.findall(f"{MARK}([01])", b.text)
+            text = " ".join(re.sub(f"{MARK}[01]", "", b.text).split())
             if text and marks:
                 blocks.append(b._replace(text=text))
                 labels.append(int(marks[0]))
@@ -391,7 +509,7 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[list[Block], list[int]]]
 @lru_cache(4)
 def trained(pages: int = PAGES, seed: int = 0) -> Chain:
     made = [(b, y) for b, y in labelled_pages(pages, seed) if b]
-    return fit([([path_features(b.path) + text_features(b, i, len(bs)) for i, b in enumerate(bs)], y) for bs, y in made])
+    return fit([([b.at.features() + text_features(b, i, len(bs)) for i, b in enumerate(bs)], y) for bs, y in made])
 
 
 def extracted(chain: Chain):
