@@ -1,13 +1,18 @@
 """Operator 1, quality classifier: co-training of a text-content view and a page-metadata view.
 
-Method: two targets, low quality and toxicity. For each, a classifier of the text (which words and beginnings of words
-occur, and the text's shape) and one of the metadata (language, source, length) are trained on labelled rows; in each
-round either view labels the unlabelled rows that it is most sure of, for the other view to train on. Then each view is
-calibrated on labelled rows that neither has seen, the calibrated views are combined by a logistic model fitted on the same
-rows, and every document is scored. A document is kept if it is rather good than bad and rather clean than toxic.
-
-Fitting is on a bounded sample: the LABELLED rows of labels and the POOL other documents with the least hash of their
-doc_id; scoring covers all rows, each whole. Sample rows are found by a broadcast of these ids (at most LABELLED + POOL).
+Method: two targets, low quality and toxicity. For each there is a classifier of the content (which words and beginnings of
+words occur) and one of the metadata: what is recorded of a page (language, source, length) and statistics of its layout
+(shares of capitals, symbols, repeated lines and the like), nothing of which words it holds. Both are trained on labelled
+rows. Then, in each round, either view labels all rows without a label that it is surest of, for the other view: of the rows
+that it gives to a class, the half with the highest probability, judged by calibration on labelled rows that neither view has
+seen. What a view gets from these rows is how often each of its features occurs in either class; a document's likelihood
+ratio by these counts is a feature of the next round's classifier, which learns on labelled rows how far to trust it. Last,
+the calibrated views are combined by a logistic model fitted on the same held-out rows, and every document is scored. A
+document is kept if it is rather good than bad and rather clean than toxic.
+
+Classifiers are fitted on a bounded sample of labelled rows, the LABELLED ones with the least hash of their doc_id (found
+by a broadcast of their ids); a row's features are SPACE at most. All rows without a label take part in the exchange and
+all are scored, each whole. Features are made once and written to the shared folder; a round reads them.
 
 Null texts are empty and null metadata a value of its own; null labels are left out, a doc_id with several label rows
 trains once for each. A target without rows of both kinds (so also an empty labels table) rejects nothing. Rows are judged
@@ -26,14 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, written
 
 LABELLED = 12_000
-POOL = 4_000
-ROUNDS = 3
-#: Calibrated probability from which a view labels a row for the other, and how many rows of each kind a round adds.
-SURE = 0.97
-ADDED = 400
+ROUNDS = 2
+#: Of the rows that a view gives to a class, the share that it is surest of and labels for the other view.
+SUREST = 0.5
 SPACE = 1 << 18
 #: Features that a text model keeps, by the z-score of their rates; least number of rows that have them; least z-score, for
 #: which chance among some ten thousand features is slight.
@@ -43,7 +46,11 @@ SURE_Z = 4
 WORD = re.compile(r"[^\W\d_]+")
 TARGETS = ("low", "toxic")
 SHAPE = 10
-FEATURES = "row long, doc_id long, words array<int>, shape array<double>, meta array<int>"
+FEATURES = "doc_id long, words array<int>, shape array<double>, meta array<int>"
+COUNTS = "target int, view int, class int, feature int, n long"
+#: Stands for the documents themselves among the features that are counted, and for all rows among classes.
+DOCUMENTS = -1
+ALL = 2
 SCORES = "p_quality double, p_toxic double, keep boolean"
 
 
@@ -69,16 +76,23 @@ def text_features(text: str) -> tuple[set[int], list[float]]:
     return found, shape
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
+def meta_features(lang: str | None, source: str | None, n_chars: int | None, shape: list[float]) -> list[int]:
     size = "none" if n_chars is None else str(int(np.log2(1 + max(0, n_chars)) * 2))
-    return [hashed("l", str(lang)), hashed("s", str(source)), hashed("n", size), hashed("b", f"{lang} {size}")]
+    recorded = [hashed("l", str(lang)), hashed("s", str(source)), hashed("n", size), hashed("b", f"{lang} {size}")]
+    return recorded + [hashed("v", f"{i} {int(min(x, 9) * 20)}") for i, x in enumerate(shape)]
+
+
+def features_of(b: pa.RecordBatch) -> tuple[list[set[int]], list[list[float]], list[list[int]]]:
+    """Content features, layout and metadata features of rows (doc_id, text, lang, source, n_chars)."""
+    texts = [text_features(t or "") for t in b.column(1).to_pylist()]
+    metas = [meta_features(*m, t[1]) for m, t in zip(zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True), texts, strict=True)]
+    return [t[0] for t in texts], [t[1] for t in texts], metas
 
 
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [text_features(t or "") for t in b.column(2).to_pylist()]
-        metas = [meta_features(*m) for m in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(t[0]) for t in texts], pa.list_(pa.int32())), pa.array([t[1] for t in texts], pa.list_(pa.float64())), pa.array(metas, pa.list_(pa.int32()))], ["row", "doc_id", "words", "shape", "meta"])
+        words, shape, meta = features_of(b)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(w) for w in words], pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "words", "shape", "meta"])
 
 
 class Rows(NamedTuple):
@@ -143,23 +157,38 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and a constant of a logistic model of a few columns, by Newton steps with a little shrinkage."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-4])
-    for _ in range(30):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-        w = w - step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
-    return w
+    """Weights and a constant of a logistic model of a few columns, by Newton steps with a little shrinkage. A column that would count against itself gets no weight."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        own = np.column_stack([x[:, used], np.ones(len(x))])
+        w = np.zeros(own.shape[1])
+        ridge = np.diag([1e-2] * int(used.sum()) + [1e-4])
+        for _ in range(30):
+            p = sigmoid(own @ w)
+            step = np.linalg.solve((own * (p * (1 - p) + 1e-9)[:, None]).T @ own + ridge, own.T @ (p - y) + ridge @ w)
+            w = w - step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
+        out = np.zeros(x.shape[1] + 1)
+        out[np.append(used, True)] = w
+        if not (out[:-1] < 0).any():
+            return out
+        used &= out[:-1] >= 0
 
 
 class View(NamedTuple):
+    """A classifier, its calibration, what it got from the other view, and from where on it labels for that view."""
+
     model: Linear
     scale: np.ndarray
+    ratio: np.ndarray
+    sure: tuple[float, float]
 
     def logits(self, rows: Rows) -> np.ndarray:
-        return np.clip(self.model.logits(rows), -30, 30) * self.scale[0] + self.scale[1]
+        return np.clip(self.model.logits(with_ratio(rows, self.ratio)), -30, 30) * self.scale[0] + self.scale[1]
+
+    def given(self, rows: Rows) -> list[np.ndarray]:
+        """The rows that this view labels 0, and 1."""
+        z = self.logits(rows)
+        return [np.flatnonzero(z <= self.sure[0]), np.flatnonzero(z >= self.sure[1])]
 
 
 class Target(NamedTuple):
@@ -170,29 +199,41 @@ class Target(NamedTuple):
         return sigmoid(np.column_stack([v.logits(r) for v, r in zip(self.views, views, strict=True)]) @ self.mix[:-1] + self.mix[-1])
 
 
-def trained(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray) -> Target | None:
-    """Co-training. y: 0, 1, or nan for rows without a label; held: labelled rows for calibration."""
+def with_ratio(rows: Rows, ratio: np.ndarray) -> Rows:
+    """rows with the log-likelihood ratio of their features as one more dense value."""
+    total = sums(ratio[rows.index].astype(float), rows.at)
+    return rows._replace(dense=np.column_stack([rows.dense, total / np.sqrt(np.maximum(1, np.diff(rows.at)))]))
+
+
+def likelihood(counts: dict[int, np.ndarray], documents: dict[int, int]) -> np.ndarray:
+    """Log ratio of each feature's rate in class 1 and in class 0; all rows stand for a class that no row was given."""
+    rates = [np.log((counts[c] + 0.5) / (documents[c] + 1)) for c in (1 if documents[1] else ALL, 0 if documents[0] else ALL)]
+    ratio = (rates[0] - rates[1]).astype(np.float32)
+    ratio[counts[0] + counts[1] < LEAST_ROWS] = 0
+    return ratio
+
+
+def fitted_view(rows: Rows, y: np.ndarray, held: np.ndarray, ratio: np.ndarray) -> View:
+    """A view trained on the rows that are not held, calibrated on those that are."""
+    whole = with_ratio(rows, ratio)
+    fit, check = np.flatnonzero(~held), np.flatnonzero(held)
+    model = Linear(whole.take(fit), y[fit])
+    scale = fitted(np.clip(model.logits(whole.take(check)), -30, 30)[:, None], y[check])
+    view = View(model, scale, ratio, (0.0, 0.0))
+    z = view.logits(rows.take(check))
+    low, high = z[z < 0], z[z >= 0]
+    return view._replace(sure=(float(np.quantile(low, SUREST)) if len(low) else -np.inf, float(np.quantile(high, 1 - SUREST)) if len(high) else np.inf))
+
+
+def trained(views: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray, ratios: tuple[np.ndarray, np.ndarray] | None = None) -> Target | None:
+    """Both views from labelled rows (y: 0, 1, or nan for rows without a label) and from what they got so far."""
     known = ~np.isnan(y)
-    fit, check = np.flatnonzero(known & ~held), np.flatnonzero(known & held)
-    if min((y[fit] == k).sum() for k in (0, 1)) < 2 or min((y[check] == k).sum() for k in (0, 1)) < 1:
+    if min((y[known & ~held] == k).sum() for k in (0, 1)) < 2 or min((y[known & held] == k).sum() for k in (0, 1)) < 1:
         return None
-    extra: list[dict[int, float]] = [{}, {}]
-    for last in [False] * ROUNDS + [True]:
-        own = []
-        for rows, more in zip(views, extra, strict=True):
-            at = np.concatenate([fit, np.fromiter(more, np.int64, len(more))])
-            model = Linear(rows.take(at), np.concatenate([y[fit], np.fromiter(more.values(), float, len(more))]))
-            own.append(View(model, fitted(np.clip(model.logits(rows.take(check)), -30, 30)[:, None], y[check])))
-        if last:
-            break
-        for k, view in enumerate(own):
-            pool = np.array([i for i in np.flatnonzero(~known).tolist() if i not in extra[1 - k]], np.int64)
-            p = sigmoid(view.logits(views[k].take(pool)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:ADDED]
-                extra[1 - k].update(dict.fromkeys(pool[best[sure[best] >= SURE]].tolist(), label))
-    logits = np.column_stack([v.logits(r.take(check)) for v, r in zip(own, views, strict=True)])
-    return Target(tuple(own), fitted(logits, y[check]))
+    at = np.flatnonzero(known)
+    own = tuple(fitted_view(r.take(at), y[at], held[at], ratio) for r, ratio in zip(views, ratios or (np.zeros(SPACE, np.float32),) * 2, strict=True))
+    check = np.flatnonzero(known & held)
+    return Target(own, fitted(np.column_stack([v.logits(r.take(check)) for v, r in zip(own, views, strict=True)]), y[check]))
 
 
 def as_rows(lists: pa.Array, dense: np.ndarray) -> Rows:
@@ -200,78 +241,151 @@ def as_rows(lists: pa.Array, dense: np.ndarray) -> Rows:
     return Rows(at - at[0], lists.values.to_numpy()[at[0] : at[-1]], dense)
 
 
+def views_of(table: pa.Table | pa.RecordBatch) -> tuple[Rows, Rows]:
+    """The content view (no dense values) and the metadata view of featured rows."""
+    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    flat_all = lambda c: pa.concat_arrays(flat(c).chunks) if isinstance(flat(c), pa.ChunkedArray) and flat(c).num_chunks else flat(c)
+    shape = flat_all(table.column("shape"))
+    return as_rows(flat_all(table.column("words")), np.zeros((table.num_rows, 0))), as_rows(flat_all(table.column("meta")), shape.flatten().to_numpy().reshape(-1, SHAPE))
+
+
+def counted(models: dict[str, Target | None], labelled: np.ndarray):
+    """Featured rows -> how often each feature of a view occurs in the rows that the other view labels, and in all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int, int], np.ndarray] = {}
+
+        def add(target: int, view: int, kind: int, rows: Rows) -> None:
+            n = total.setdefault((target, view, kind), np.zeros(SPACE + 1, np.int64))
+            n[:SPACE] += np.bincount(rows.index, minlength=SPACE)
+            n[SPACE] += len(rows.at) - 1
+
+        for b in batches:
+            b = b.filter(pa.array(~np.isin(b.column(0).fill_null(0).to_numpy(), labelled) | b.column(0).is_null().to_numpy(zero_copy_only=False)))
+            if not b.num_rows:
+                continue
+            views = views_of(b)
+            for k, rows in enumerate(views):
+                add(DOCUMENTS, k, ALL, rows)
+            for t, name in enumerate(TARGETS):
+                for k, view in enumerate(models[name].views if models[name] else ()):
+                    for label, own in enumerate(view.given(views[k])):
+                        add(t, 1 - k, label, views[1 - k].take(own))
+        for (target, view, kind), n in total.items():
+            at = np.flatnonzero(n)
+            constant = lambda v: pa.array(np.full(len(at), v, np.int32))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([constant(target), constant(view), constant(kind), pa.array(np.where(at == SPACE, DOCUMENTS, at).astype(np.int32)), pa.array(n[at])], ["target", "view", "class", "feature", "n"])
+
+    return run
+
+
+def exchanged(rows: DataFrame, models: dict[str, Target | None], labelled: np.ndarray) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[tuple[str, int, int], int]]:
+    """What each view gets from the other (rows: all featured rows): ratios by target and view, and how many rows of each class."""
+    found = rows.mapInArrow(lean(counted(models, labelled)), COUNTS).groupBy("target", "view", "class", "feature").agg(F.sum("n").alias("n"))
+    table = found.where((F.col("n") >= LEAST_ROWS) | (F.col("feature") == DOCUMENTS)).toArrow()  # at most SPACE rows a group
+    columns = [table.column(c).to_numpy() for c in ("target", "view", "class", "feature", "n")]
+
+    def group(target: int, view: int, kind: int) -> tuple[np.ndarray, int]:
+        own = (columns[0] == target) & (columns[1] == view) & (columns[2] == kind)
+        feature, n = columns[3][own], columns[4][own]
+        out = np.zeros(SPACE)
+        out[feature[feature >= 0]] = n[feature >= 0]
+        return out, int(n[feature == DOCUMENTS].sum())
+
+    ratios, given = {}, {}
+    for t, name in enumerate(TARGETS):
+        own = []
+        for view in (0, 1):
+            of = {0: group(t, view, 0), 1: group(t, view, 1), ALL: group(DOCUMENTS, view, ALL)}
+            own.append(likelihood({k: v[0] for k, v in of.items()}, {k: v[1] for k, v in of.items()}))
+            given.update({(name, 1 - view, k): of[k][1] for k in (0, 1)})
+        ratios[name] = tuple(own)
+    return ratios, given
+
+
 def columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Target | None]:
-    """The models of both targets."""
-    order = F.xxhash64("doc_id")
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, report: list | None = None) -> dict[str, Target | None]:
+    """The models of both targets, from featured rows. report gets, of each round, how many rows of each class each view gave."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic")).where("doc_id is not null")
-    known = marks.orderBy(order, "quality", "toxic").limit(labelled)
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(order).limit(labelled + pool)
-    ids = known.select("doc_id").unionAll(rest).distinct()
-    sample = columns(docs).join(F.broadcast(ids), "doc_id", "left_semi").select("row", "doc_id", "text", "lang", "source", "n_chars").mapInArrow(lean(featured), FEATURES).toArrow().combine_chunks()
-    ids_of = sample.column("doc_id").to_numpy()
+    known = marks.orderBy(F.xxhash64("doc_id"), "quality", "toxic").limit(labelled).collect()  # at most the bound
     by: dict[int, list[tuple]] = {}
-    for r in known.collect():  # at most the bound
+    for r in known:
         by.setdefault(r["doc_id"], []).append((r["quality"], r["toxic"]))
-    at, low, toxic, free = [], [], [], 0
+    if not by:
+        return dict.fromkeys(TARGETS)
+    ids = rows.sparkSession.createDataFrame([(i,) for i in by], "doc_id long")
+    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "words", "shape", "meta").toArrow()
+    ids_of = sample.column("doc_id").to_numpy()
+    at, low, toxic = [], [], []
     for i in np.lexsort((ids_of, [zlib.crc32(str(d).encode()) for d in ids_of.tolist()])).tolist():
-        for quality, bad in by.get(ids_of[i], [(None, None)] if free < pool else []):
-            free += quality is None and bad is None
+        for quality, bad in by[ids_of[i]]:
             at.append(i)
             low.append(np.nan if quality is None else 1.0 - quality)
             toxic.append(np.nan if bad is None else float(bad))
     if not at:
         return dict.fromkeys(TARGETS)
     at = np.array(at)
-    one = lambda c: sample.column(c).combine_chunks() if isinstance(sample.column(c), pa.ChunkedArray) else sample.column(c)
-    flat = lambda a: a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
-    shape = np.array(flat(one("shape")).values.to_numpy()).reshape(-1, SHAPE)
-    views = as_rows(flat(one("words")), shape).take(at), as_rows(flat(one("meta")), np.zeros((len(shape), 1))).take(at)
+    views = tuple(v.take(at) for v in views_of(sample))
     held = np.array([zlib.crc32(f"held {d}".encode()) % 4 == 0 for d in ids_of[at].tolist()])
-    return {t: trained(views, y, held) for t, y in zip(TARGETS, (np.array(low), np.array(toxic)), strict=True)}
+    truth = dict(zip(TARGETS, (np.array(low), np.array(toxic)), strict=True))
+    models = {t: trained(views, y, held) for t, y in truth.items()}
+    for _ in range(rounds if any(models.values()) else 0):
+        ratios, given = exchanged(rows, models, np.array(sorted(by), np.int64))
+        models = {t: trained(views, y, held, ratios[t]) for t, y in truth.items()}
+        if report is not None:
+            report.append(given)
+    return models
+
+
+def judged(models: dict[str, Target | None], views: tuple[Rows, Rows], n: int) -> list[pa.Array]:
+    """p_quality, p_toxic, keep."""
+    low, toxic = (np.zeros(n) if models[t] is None else models[t].score(views) for t in TARGETS)
+    return [pa.array(np.round(1 - low, 6)), pa.array(np.round(toxic, 6)), pa.array((low < 0.5) & (toxic < 0.5))]
 
 
 def scored(models: dict[str, Target | None]):
-    """Rows (row, doc_id, text, lang, source, n_chars) -> doc_id, p_quality, p_toxic, keep."""
+    """Featured rows -> doc_id, p_quality, p_toxic, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                texts = [text_features(t or "") for t in part.column(2).to_pylist()]
-                metas = [meta_features(*m) for m in zip(*(part.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
-                words = Rows(np.append(0, np.cumsum([len(t[0]) for t in texts])), np.fromiter((i for t in texts for i in t[0]), np.int64), np.array([t[1] for t in texts]).reshape(-1, SHAPE))
-                meta = Rows(np.arange(len(metas) + 1) * 4, np.array(metas, np.int64).ravel(), np.zeros((len(metas), 1)))
-                low, toxic = (np.zeros(len(texts)) if models[t] is None else models[t].score((words, meta)) for t in TARGETS)
-                keep = (low < 0.5) & (toxic < 0.5)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.round(1 - low, 6)), pa.array(np.round(toxic, 6)), pa.array(keep)], ["doc_id", "p_quality", "p_toxic", "keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *judged(models, views_of(b), b.num_rows)], ["doc_id", "p_quality", "p_toxic", "keep"])
 
     return run
 
 
+def features(docs: DataFrame) -> DataFrame:
+    """The features of all docs, as a table in the shared folder."""
+    return written(columns(docs).mapInArrow(lean(featured), FEATURES), "features")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_quality, p_toxic, keep: a row for each of docs."""
-    return columns(docs).mapInArrow(lean(scored(train(docs, labels))), f"doc_id long, {SCORES}")
+    rows = features(docs)
+    return rows.mapInArrow(lean(scored(train(rows, labels))), f"doc_id long, {SCORES}")
 
 
 def kept_rows(models: dict[str, Target | None]):
-    """Rows (row, doc_id, text, lang, source, n_chars) -> those to keep."""
-    judge = scored(models)
+    """Rows (doc_id, text, lang, source, n_chars) -> those to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.concat_arrays([x.column(3) for x in judge([b])]) if b.num_rows else pa.array([], pa.bool_())
-            yield b.filter(keep)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                words, shape, meta = features_of(part)
+                size = lambda own: np.append(0, np.cumsum([len(x) for x in own]))
+                index = lambda own: np.fromiter((i for x in own for i in x), np.int64)
+                views = Rows(size(words), index(words), np.zeros((len(words), 0))), Rows(size(meta), index(meta), np.array(shape).reshape(-1, SHAPE))
+                yield part.filter(judged(models, views, part.num_rows)[2])
 
     return run
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, lang, source, n_chars of the rows of docs that are kept."""
-    return columns(docs).mapInArrow(lean(kept_rows(train(docs, labels))), "row long, doc_id long, text string, lang string, source string, n_chars long").drop("row")
+    return columns(docs).mapInArrow(lean(kept_rows(train(features(docs), labels))), "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

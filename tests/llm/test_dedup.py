@@ -149,9 +149,9 @@ def test_suffix_order_is_lexicographic(seed, letters, n):
 
 def test_buckets_are_ranges_of_suffixes(many_rows, spark):
     docs = spark.createDataFrame(many_rows, "doc_id long, text string")
-    ends = suffix_dedup.splitters(docs, 8)
+    ends = suffix_dedup.splitters(docs, 8, common.text_size(docs))
     assert 1 <= len(ends) < 8 and ends.tolist() == sorted(ends.tolist())
-    assert len(suffix_dedup.splitters(docs.limit(0), 8)) == 0
+    assert len(suffix_dedup.splitters(docs.limit(0), 8, 0)) == 0
 
 
 def brute_components(fps):

@@ -45,19 +45,42 @@ def test_quality_of_odd_rows(odd_documents, spark):
     assert quality.accepted(odd_documents, none).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_views_teach_each_other():
-    """Rows without labels get them from the surer view."""
+def test_views_teach_each_other(spark):
+    """Rows without labels get them from either view, in each round, and what a view gets tells the classes apart."""
+    d = "/root/testdata/sf0.1"
+    rows, labels, report = quality.features(spark.read.parquet(f"{d}/documents.parquet")), spark.read.parquet(f"{d}/labels.parquet"), []
+    models = quality.train(rows, labels, report=report)
+    assert len(report) == quality.ROUNDS
+    for given in report:
+        for target in quality.TARGETS:
+            for view in (0, 1):
+                assert given[target, view, 0] + given[target, view, 1] > 0
+    assert all(report[0]["low", view, label] > 0 for view in (0, 1) for label in (0, 1))
+    assert all(np.abs(v.ratio).max() > 0 for t in models.values() for v in t.views)
+    assert all((t.mix[:-1] >= 0).all() and t.mix[:-1].max() > 0 for t in models.values())
+
+
+def test_a_view_learns_words_that_no_label_shows(spark):
+    """A word that only unlabelled rows hold, which the layout tells to be bad, ends up in the content view."""
     r = np.random.default_rng(1)
-    y = (np.arange(400) % 2).astype(float)
-    at = np.arange(401)
-    words = quality.Rows(at, (y * 7 + 3).astype(np.int64), np.zeros((400, 1)))
-    meta = quality.Rows(at, r.integers(50, 60, 400), np.zeros((400, 1)))
-    known = y.copy()
-    known[100:] = np.nan
-    held = np.arange(400) // 2 % 4 == 0
-    target = quality.trained((words, meta), known, held)
-    assert (np.round(target.score((words, meta))) == y).mean() == 1.0
-    assert quality.trained((words, meta), np.full(400, np.nan), held) is None
+    word = lambda: "".join(r.choice([*"abcdefgh"], 5))
+    rows = []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = [word() for _ in range(30)] + (["zzyzx"] * (i > 300) if bad else [])
+        rows.append((i, " ".join(words).upper() if bad else " ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    low = quality.train(quality.features(docs), labels)["low"]
+    own = quality.text_features("zzyzx")[0]
+    assert all(low.views[0].ratio[f] > 1 for f in own)
+
+
+def test_rows_without_both_kinds_train_nothing():
+    at = np.arange(11)
+    views = quality.Rows(at, np.arange(10), np.zeros((10, 0))), quality.Rows(at, np.arange(10), np.zeros((10, 1)))
+    held = np.arange(10) % 2 == 0
+    assert quality.trained(views, np.full(10, np.nan), held) is None and quality.trained(views, np.ones(10), held) is None
 
 
 # 3 licenses
@@ -240,6 +263,54 @@ def test_html_on_held_out_layouts():
     assert wrong < 0.01 * total
 
 
+#: Pages written apart from the layouts that are trained on, with the lines of their main text.
+PAGES = [
+    ("<body><p>The ferry leaves the island at dawn, whatever the weather.</p><p>Nobody has missed it twice.</p></body>", ["The ferry leaves the island at dawn, whatever the weather.", "Nobody has missed it twice."]),
+    ("<body><div><p>First she oiled the hinges.</p><p>Then she waited for the night to come down over the yard.</p><p>Then she left.</p></div></body>", ["First she oiled the hinges.", "Then she waited for the night to come down over the yard.", "Then she left."]),
+    ("<div class=wiki><p>Basalt is a rock that cools quickly near the surface.</p><h2>Uses</h2><p>It is crushed for roads, and cut into blocks for walls.</p></div>", ["Basalt is a rock that cools quickly near the surface.", "Uses", "It is crushed for roads, and cut into blocks for walls."]),
+    ("<div id=mw-content-text><p>The lake was formed by a glacier.</p><p>Its outflow drives two mills, of which one still works.</p></div>", ["The lake was formed by a glacier.", "Its outflow drives two mills, of which one still works."]),
+    ("<p title=don't>First main sentence, it's here.</p><p>Second main sentence, and it's here as well.</p>", ["First main sentence, it's here.", "Second main sentence, and it's here as well."]),
+    ("<table width=700><tr><td width=140><a href=/>Home</a><br><a href=/news>News</a><br><a href=/links>Links</a></td><td><h1>Keeping bees</h1><p>A hive needs shade in the afternoon and water within a short flight.</p><p>Open it on warm days only, and never without smoke.</p></td></tr></table>", ["Keeping bees", "A hive needs shade in the afternoon and water within a short flight.", "Open it on warm days only, and never without smoke."]),
+    ('<body><div id="hd"><a href="/">The Valley Post</a></div><ul id="nv"><li><a href="/a">Sport</a><li><a href="/b">Opinion</a><li><a href="/c">Weather</a></ul><div id="bd"><h1>Bridge reopens after two years</h1><p>The old bridge over the river was opened again on Monday.</p><p>Traders on both banks said that they had lost half of their customers.</p></div><div id="ft">&copy; 2024 The Valley Post. All rights reserved.</div></body>', ["Bridge reopens after two years", "The old bridge over the river was opened again on Monday.", "Traders on both banks said that they had lost half of their customers."]),
+    ('<main class="doc"><h1>Install</h1><p>Unpack the archive and run the script inside.</p><pre>tar xf tool.tar\n./install</pre><p>The script asks for a folder; press return to keep the one it offers.</p></main><aside><h4>On this page</h4><ul><li><a href="#i">Install</a></li></ul></aside>', ["Install", "Unpack the archive and run the script inside.", "tar xf tool.tar ./install", "The script asks for a folder; press return to keep the one it offers."]),
+    ('<article><h1>Soup of leeks</h1><p>Wash four leeks and cut them into rings.</p><ul><li>4 leeks<li>2 potatoes<li>salt</ul><p>Cook everything for half an hour.</p></article><section id="comments"><h3>2 comments</h3><div class="comment"><p>I made this yesterday and my family loved it, thank you so much!</p></div></section>', ["Soup of leeks", "Wash four leeks and cut them into rings.", "4 leeks", "2 potatoes", "salt", "Cook everything for half an hour."]),
+    ('<body><div class="cookie-consent"><p>We use cookies to improve your experience. You can change your settings at any time.</p><button>Accept</button></div><nav><a href="/">Home</a><a href="/shop">Shop</a></nav><div class="post"><h2>On walking</h2><p>I walk to think, and I think best uphill.</p><blockquote><p>All truly great thoughts are conceived while walking.</p></blockquote><p>There is something to it.</p></div><footer><p>Copyright 2023 A. Walker</p></footer></body>', ["On walking", "I walk to think, and I think best uphill.", "All truly great thoughts are conceived while walking.", "There is something to it."]),
+    ("<body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>About</a></li></ul></nav><footer><p>&copy; 2020 Somebody</p></footer></body>", []),
+    ("<body><h1>Notes</h1>The first line stands bare, without any element of its own.<br><br>The second one does so as well; it is a little longer than the first.<hr><a href=/>Back</a></body>", ["Notes", "The first line stands bare, without any element of its own. The second one does so as well; it is a little longer than the first."]),
+]
+
+
+def test_html_of_pages_written_apart():
+    chain, right, found, wanted = html_extract.trained(), 0, 0, 0
+    for page, lines in PAGES:
+        got = [x for x in chain.main_text(page).split("\n") if x]
+        right += len(set(got) & set(lines))
+        found += len(got)
+        wanted += len(lines)
+        assert bool(got) == bool(lines), page
+    f1 = 2 * right / (found + wanted)
+    print(f"F1 by blocks {f1:.3f}")
+    assert f1 > 0.93
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div>x" * 100_000, "<p class=" * 100_000, "<li><ul>" * 50_000 + "y", "<" * 1_000_000, "<!--" * 250_000, "<div><td>" + "<section>" * 50_000 + "</div>" * 50_000, "".join(f"<div class=c{i}x>z" for i in range(50_000)), "<script>" * 100_000, "<a b='" * 150_000, "<title>" * 100_000, "&amp" * 250_000])
+def test_html_takes_time_in_proportion(page):
+    chain, began = html_extract.trained(), time.monotonic()
+    chain.main_text(page)
+    assert time.monotonic() - began < 5
+
+
+def test_html_tags_by_the_standard():
+    text = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert text("<p a='x>y' b=\"<p>\" c=it's>one</p>two") == ["one", "two"]
+    assert text("a < b <3 </3> c<!-- <p> -->d<!-->e<?x>f<!doctype html>g") == ["a < b <3 cdefg"]
+    assert text("<title>a <b> &amp; c</title><script>'</scr' </script>d<style><p></style>e<svg><text>no</text></svg>f") == ["a <b> & c", "def"]
+    assert text("one<p>two <a x") == ["one", "two"]
+    assert text("<table><tr><td><div>a</td><td>b</div>c</td></tr></table>") == ["a", "bc"]
+    assert text("<math><mi>x</mi></math> is <object>kept</object>") == ["x is kept"]
+    assert text("") == text("<p></p>") == text("<!--") == []
+
+
 def test_html_of_test_tables(spark):
     import html
     import re
