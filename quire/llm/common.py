@@ -24,6 +24,8 @@ PIECE = 1 << 20
 BLOCKS = 2
 BUCKETS = 2
 BLOCK_BYTES = 16 << 20
+#: Rows from which a key may be hot.
+HOT_ROWS = 10_000
 #: Stands for a null doc_id: such rows come after all others in the order of documents.
 NO_ID = (1 << 63) - 1
 U = np.uint64
@@ -33,10 +35,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def blocks_and_buckets(docs: DataFrame) -> tuple[int, int]:
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
+def blocks_and_buckets(spark: SparkSession, size: int) -> tuple[int, int]:
     """Their numbers, from the bytes of text and the number of shuffle partitions."""
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    least, n = -(-size // BLOCK_BYTES), partitions(docs.sparkSession)
+    least, n = -(-size // BLOCK_BYTES), partitions(spark)
     return max(BLOCKS * n, least), max(BUCKETS * n, least)
 
 
@@ -68,6 +74,23 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold a thousandth of all rows or more, and HOT_ROWS at least: a thousand of them at most."""
+    least = max(HOT_ROWS, rows.count() // 1000 + 1)
+    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= least).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
+    """left.join(right, key, "left") for a right side with one narrow row a key; left rows of hot_keys() are spread over all partitions."""
+    n = partitions(left.sparkSession)
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.col(key).isin(hot)
+    spread = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(n)).cast("int")).otherwise(0))
+    copies = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    return spread.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

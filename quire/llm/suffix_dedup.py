@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, blocks_and_buckets, buckets_of, exclusive, grouped, keyed, lean_cogroup, lean_group, mixed, pack, ranges, unpack
+from .common import MARKS, NO_ID, PACKED, PIECE, U, Docs, block_docs, blocks_and_buckets, buckets_of, exclusive, grouped, keyed, lean_cogroup, lean_group, mixed, pack, ranges, text_size, unpack
 
 WINDOW = 100
 WORD = 16
@@ -201,13 +201,13 @@ def shared(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(blocks, pa.int32()), pa.array(marks, pa.binary())], ["block", "marks"])
 
 
-def splitters(docs: DataFrame, n: int) -> np.ndarray:
-    """Ends of n ranges at most of the order of suffixes, from SAMPLED * n suffixes at hashed places of documents drawn by length."""
-    size = F.length("text")
+def splitters(docs: DataFrame, n: int, size: int) -> np.ndarray:
+    """Ends of n ranges at most of the order of suffixes, from some SAMPLED * n suffixes at hashed places of documents drawn by length. size: bytes of all texts."""
+    length = F.octet_length("text")
     chance = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
-    place = (F.pmod(F.xxhash64("text", "doc_id"), size) + 1).cast("int")
-    drawn = docs.where(size >= WINDOW // 4).select((-F.log(chance) / size).alias("k"), F.substring(F.col("text"), place, F.lit(WINDOW)).alias("suffix"))
-    found = drawn.orderBy("k", "suffix").limit(SAMPLED * n).collect()  # a bounded sample
+    place = (F.pmod(F.xxhash64("text", "doc_id"), F.length("text")) + 1).cast("int")
+    drawn = docs.where((length >= WINDOW) & (-F.log(chance) / length <= F.lit(SAMPLED * n / max(1, size))))
+    found = drawn.select(F.substring(F.col("text"), place, F.lit(WINDOW)).alias("suffix")).collect()  # its expected size is bounded
     ordered = np.sort(np.array([r["suffix"].encode()[:WINDOW] for r in found], f"S{WINDOW}"))
     return np.unique(ordered[(np.arange(1, n) * len(ordered)) // n]) if len(ordered) else ordered
 
@@ -503,8 +503,9 @@ def kept_texts(rows: pa.Table, marks: pa.Table) -> pa.Table:
 
 
 def run(docs: DataFrame, last, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
-    n_blocks, n_buckets = blocks_and_buckets(docs)
-    ends = splitters(docs, min(n_buckets, RANGES))
+    size = text_size(docs)
+    n_blocks, n_buckets = blocks_and_buckets(docs.sparkSession, size)
+    ends = splitters(docs, min(n_buckets, RANGES), size)
     blocks = keyed(docs, n_blocks, more).groupBy("block")
     alike = blocks.applyInArrow(lean_group(classes(n_buckets)), PACKED).groupBy("bucket").applyInArrow(lean_group(shared), MARKS)
     dealt = blocks.cogroup(alike.groupBy("block")).applyInArrow(lean_cogroup(deal(n_buckets, ends)), PACKED)

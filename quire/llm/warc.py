@@ -8,9 +8,13 @@ revisit finds its payload's figures through WARC-Refers-To.
 Archives are gzip with a member for each record, written to the shared folder by the tasks; a committed table names the
 files of finished tasks, so attempts that fail leave nothing that is read.
 
-A null html or url is empty. Rows with equal payloads: the largest page_id is the response, rows that share it are
-responses too, the others revisit it; a null page_id is smaller than any other, and where all are null each is a response.
-Repeated rows are captures of their own. An empty table writes no archive and gives no rows.
+A record's identifier comes from what it holds (page_id, url, payload, and a number among rows equal in all three), so that
+it is the same whenever a task runs again. Payloads go to the tasks that write them once each, pre-aggregated; revisits are
+written from narrow rows, and keys that many rows share are salted.
+
+A null html or url is empty. Of rows with equal payloads that with the largest page_id (then the largest url) is the
+response, all others revisit it; a null page_id is smaller than any other. Repeated rows are captures of their own. An empty
+table writes no archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, written
+from .common import hot_keys, new_path, partitions, salted_join, written
 from .files import Rolling, at
 
 #: Least payload bytes of which a repeat becomes a revisit.
@@ -39,11 +43,12 @@ RECORDS = "record_id string, type string, concurrent_to string, refers_to string
 
 SQL = """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, url, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+d AS (SELECT page_id, url, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top,
+             row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, coalesce(url, '') DESC) = 1 AS first FROM p),
 b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', h[i]) - 1), 4, '0')), '') AS bits FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
        array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CAST(bits[5 * i + j + 1] AS INTEGER) * (1 << (4 - j)))) AS INTEGER)]), '') AS payload_digest,
-       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, coalesce(url, '') AS target_uri, TRUE AS digest_matches
+       CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first THEN NULL ELSE top END AS refers_to, coalesce(url, '') AS target_uri, TRUE AS digest_matches
 FROM b
 """
 
@@ -62,7 +67,7 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def capture_id(key: int, part: str) -> str:
+def capture_id(key: str, part: str) -> str:
     return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{part} {key}'.encode(), usedforsecurity=False).digest())}"
 
 
@@ -71,16 +76,17 @@ def line(value: str) -> str:
     return " ".join(value.split()) if "\n" in value or "\r" in value else value
 
 
-def capture(page_id: int | None, url: str, html: bytes, key: int, top: int) -> Iterator[bytes]:
-    """The records of one row; top is the key of the response that holds its payload, itself if it is one."""
-    own, uri, digest = capture_id(key, "response"), line(url), base32_sha1(html)
+def capture(page_id: int | None, url: str, html: bytes | None, sha: str, key: str, top: str) -> Iterator[bytes]:
+    """The records of one row. html: the payload, null in a revisit, whose sha is its digest in hexadecimal; top: the key of the response that is revisited."""
+    own, uri = capture_id(key, "response"), line(url)
+    digest = base32_sha1(html) if html is not None else base64.b32encode(bytes.fromhex(sha)).decode()
     path = uri.split("://", 1)[-1].partition("/")
     yield record("request", capture_id(key, "request"), uri, "application/http; msgtype=request", f"GET /{path[2]} HTTP/1.1\r\nHost: {path[0]}\r\n\r\n".encode(), ("WARC-Concurrent-To", f"<{own}>"))
-    answer = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
-    if top == key:
-        yield record("response", own, uri, "application/http; msgtype=response", answer + html, ("WARC-Payload-Digest", f"sha1:{digest}"))
+    answer = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+    if html is not None:
+        yield record("response", own, uri, "application/http; msgtype=response", f"{answer}Content-Length: {len(html)}\r\n\r\n".encode() + html, ("WARC-Payload-Digest", f"sha1:{digest}"))
     else:
-        yield record("revisit", own, uri, "application/http; msgtype=response", answer, ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{capture_id(top, 'response')}>"))
+        yield record("revisit", own, uri, "application/http; msgtype=response", f"{answer}\r\n".encode(), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{capture_id(top, 'response')}>"))
     yield record("metadata", capture_id(key, "metadata"), uri, "application/warc-fields", f"page_id: {'' if page_id is None else page_id}\r\n".encode(), ("WARC-Concurrent-To", f"<{own}>"))
 
 
@@ -88,8 +94,9 @@ def write_archives(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rolling(folder, ".warc.gz")
         for b in batches:
-            for page_id, url, html, key, top in zip(*(b.column(i) for i in range(5)), strict=True):
-                for r in capture(page_id.as_py(), url.as_py(), html.as_buffer().to_pybytes(), key.as_py(), top.as_py()):
+            for page_id, url, html, sha, key, top in zip(*(b.column(i) for i in range(6)), strict=True):
+                payload = html.as_buffer().to_pybytes() if html.is_valid else None
+                for r in capture(page_id.as_py(), url.as_py(), payload, sha.as_py(), key.as_py(), top.as_py()):
                     out.write(member(r))
                 out.member_over()
         done = out.finished()
@@ -100,14 +107,21 @@ def write_archives(folder: str):
 
 def archive(pages: DataFrame) -> DataFrame:
     """Writes pages (page_id, url, html) as archives; gives the table of their files."""
-    spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("key"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html"))
-    top = rows.groupBy("sha").agg(F.max(F.struct("page_id", "key")).alias("top"))
-    joined = rows.join(top, "sha")
-    first = F.coalesce(F.col("page_id") == F.col("top.page_id"), F.col("top.page_id").isNull()) | (F.octet_length("html") < LEAST)
-    laid = joined.select("page_id", "url", "html", "key", F.when(first, F.col("key")).otherwise(F.col("top.key")).alias("to"))
-    return written(laid.mapInArrow(write_archives(new_path(spark, "warc")), FILES), "warc-files")
+    key = lambda page_id, url, n: F.concat_ws(" ", F.coalesce(F.col(page_id).cast("string"), F.lit("-")), F.xxhash64(url).cast("string"), "sha", F.col(n).cast("string") if isinstance(n, str) else n)
+    # a response for each payload: tasks combine their copies before the shuffle
+    first = rows.groupBy("sha").agg(F.max(F.struct("page_id", "url", "html")).alias("top")).select("sha", "top.page_id", "top.url", "top.html")
+    responses = first.select("page_id", "url", "html", "sha", key("page_id", "url", F.lit("0")).alias("key"), F.lit(None).cast("string").alias("to"))
+    # the other rows, without payloads
+    narrow = written(rows.where(F.octet_length("html") >= LEAST).groupBy("sha", "page_id", "url").agg(F.count("*").alias("n")), "warc-rows")
+    top = narrow.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
+    # a payload without a copy is its own response and drops out of the inner side before the join
+    again = salted_join(narrow, top, "sha", hot_keys(narrow, "sha")).where("copies is not null")
+    is_first = F.col("page_id").eqNullSafe(F.col("top.page_id")) & (F.col("url") == F.col("top.url"))
+    numbered = again.select("page_id", "url", "sha", F.col("top.page_id").alias("t"), F.col("top.url").alias("u"), F.explode(F.when(~is_first, F.sequence(F.lit(0), F.col("n") - 1)).when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1))).alias("i"))
+    revisits = numbered.select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", key("page_id", "url", "i").alias("key"), key("t", "u", F.lit("0")).alias("to"))
+    return written(responses.unionAll(revisits).mapInArrow(write_archives(new_path(pages.sparkSession, "warc")), FILES), "warc-files")
 
 
 def members(uri: str) -> Iterator[bytes]:
@@ -177,8 +191,12 @@ def captures(files: DataFrame, with_payload: bool = True) -> DataFrame:
     own = records.where("type in ('response', 'revisit')")
     kept = own.select(F.col("record_id").alias("id"), "type", "target_uri", "date", "refers_to", "declared_digest", "payload_bytes", "payload_digest", "payload")
     whole = kept.join(requests, "id", "left").join(notes, "id", "left")
-    target = whole.where("type = 'response'").select(F.col("id").alias("refers_to"), F.col("metadata.page_id").alias("t_page"), F.col("payload_bytes").alias("t_bytes"), F.col("payload_digest").alias("t_digest"), F.col("payload").alias("t_payload"))
-    out = whole.join(target, "refers_to", "left")
+    # a response is its own target: no null keys, which would all meet in one partition
+    whole = whole.withColumn("target", F.coalesce("refers_to", "id"))
+    figures = [F.col("payload_bytes").alias("t_bytes"), F.col("payload_digest").alias("t_digest"), F.col("payload").alias("t_payload")]
+    targets = kept.where("type = 'response'").select("id", *figures).join(notes, "id", "left").select(F.col("id").alias("target"), F.col("metadata.page_id").alias("t_of"), "t_bytes", "t_digest", "t_payload")
+    hot = hot_keys(own.select(F.coalesce("refers_to", "record_id").alias("target")), "target")
+    out = salted_join(whole, targets, "target", hot).withColumn("t_page", F.when(F.col("type") == "revisit", F.col("t_of")))
     response = F.struct(
         F.col("id").alias("record_id"), "type", "target_uri", "date", "refers_to", F.col("t_page").alias("refers_to_page"), "declared_digest",
         F.coalesce("payload_bytes", "t_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "t_digest").alias("payload_digest"), F.coalesce("payload", "t_payload").alias("payload"),

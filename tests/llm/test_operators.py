@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 
-from quire.llm import bpe, decontaminate, html_extract, licenses, media, quality, warc
+from quire.llm import bpe, common, decontaminate, html_extract, licenses, media, quality, warc
 from quire.llm.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
@@ -427,11 +427,22 @@ def test_known_words_are_forgotten(tokenizer, monkeypatch):
 def test_warc_of_odd_rows(spark):
     x = spark.createDataFrame([(1, "u", "a", 5), (2, None, "a", 5), (2, None, "a", 5), (None, "v", "a", 1), (None, "v", "b", 1), (None, "v", "b", 1), (7, "x\r\ny", None, 3), (8, "http://h/é?q", "", 3), (9, "z", "line\r\n\r\nWARC/1.1\r\n" * 3000, 3)], "page_id long, url string, html string, bucket int")
     got = [(r["metadata"]["page_id"], r["response"]["type"], r["response"]["refers_to_page"], bytes(r["response"]["payload"]).decode()) for r in warc.captures(warc.archive(x)).collect()]
-    want = [(1, "revisit", 2, "a"), (2, "response", None, "a"), (2, "response", None, "a"), (None, "revisit", 2, "a"), (None, "response", None, "b"), (None, "response", None, "b"), (7, "revisit", 8, ""), (8, "response", None, ""), (9, "response", None, "line\r\n\r\nWARC/1.1\r\n" * 3000)]
+    want = [(1, "revisit", 2, "a"), (2, "response", None, "a"), (2, "revisit", 2, "a"), (None, "revisit", 2, "a"), (None, "response", None, "b"), (None, "revisit", None, "b"), (7, "revisit", 8, ""), (8, "response", None, ""), (9, "response", None, "line\r\n\r\nWARC/1.1\r\n" * 3000)]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert warc.captures(warc.archive(x.limit(0))).count() == 0
 
 
+def test_warc_of_a_hot_payload(spark, monkeypatch):
+    """A payload that most rows share is salted; identifiers are the same in each run."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    x = spark.createDataFrame([(i, f"u{i % 7}", "same" if i % 5 else f"own {i}") for i in range(200)] + [(199, "u3", "same")] * 3, "page_id long, url string, html string")
+    assert common.hot_keys(x, "html") == ["same"]
+    got = [sorted((r["capture_id"], r["metadata"]["page_id"], r["response"]["type"], r["response"]["refers_to_page"], bytes(r["response"]["payload"])) for r in warc.captures(warc.archive(x)).collect()) for _ in range(2)]
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) == len(got[0]) == 203
+    assert sorted(r[1:] for r in got[0] if r[2] == "response") == sorted([(i, "response", None, f"own {i}".encode()) for i in range(0, 200, 5)] + [(199, "response", None, b"same")])
+    assert all(r[3] == 199 and r[4] == b"same" for r in got[0] if r[2] == "revisit")
+
+
 def test_warc_members_are_plain_records(spark):
     x = spark.createDataFrame([(1, "http://h/p", "<p>")], "page_id long, url string, html string")
     (file,) = [r["file"] for r in warc.archive(x).where("members > 0").collect()]
