@@ -6,8 +6,8 @@ items: u - ceil(0.8 u) + 1, or all that it has. A document that holds 0.8 of an
 it holds one of the sketch; the search loses nothing, however long the document. Only document shingles whose hash is not
 above the largest sketch hash are looked up. Candidates are verified by exact containment of shingles, as strings.
 
-Everything is DataFrame functions. The sketches are broadcast only while they are below a checked size; beyond it the
-lookup is a shuffled join.
+Everything is DataFrame functions. Sketches, candidates and documents found are broadcast only while they are below a
+checked size; beyond it their joins are shuffled.
 
 Words are runs of letters and digits of the lower-cased text. An item or document of fewer than five words has no
 shingles: the item matches nothing, the document holds nothing. Null texts have none. Rows with a null or repeated item_id
@@ -25,7 +25,7 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Upper sizes of the partitions grow by this factor.
 GROWTH = 1.25
-#: Sketch rows up to which the lookup is by broadcast (16 bytes each).
+#: Rows up to which a side is broadcast: sketches, candidate pairs, documents found (16 to 24 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 SQL = """
@@ -85,10 +85,14 @@ def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     low = hashed.select("doc_id", "rid", F.explode(F.array_distinct(F.filter(F.transform("s", lambda x: F.xxhash64(x)), lambda h: h <= F.lit(top)))).alias("h"))
     if rows <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
-    # written first: whether the texts are then found by broadcast or by a shuffled join hangs on the size of this table
+    # written first: whether the texts are then found by broadcast or by a shuffled join hangs on its size
     candidates = written(low.join(lookup, "h").select("doc_id", "rid", "item").distinct(), "candidates", narrow=True)
-    exact = candidates.join(d, (candidates["doc_id"].eqNullSafe(d["doc_id"])) & (candidates["rid"] == d["rid"])).select(candidates["doc_id"], candidates["rid"], "item", "text")
-    split = exact.select("doc_id", "rid", "item", words(F.col("text")).alias("w")).select("doc_id", "rid", "item", shingles(F.col("w")).alias("own"))
+    # a document is tokenised once, whatever the number of its candidate items (at most those of the benchmark)
+    of = candidates.groupBy("doc_id", "rid").agg(F.collect_set("item").alias("items"))
+    if candidates.count() <= BROADCAST_ROWS:
+        of = F.broadcast(of)
+    exact = d.join(of, (d["doc_id"].eqNullSafe(of["doc_id"])) & (d["rid"] == of["rid"])).select(d["doc_id"], d["rid"], "items", shingles(words(F.col("text"))).alias("own"))
+    split = exact.select("doc_id", "rid", F.explode("items").alias("item"), "own")
     shared = F.size(F.array_intersect("s", "own")).cast("long")
     pairs = split.join(items.select("item", "s", "n"), "item").select("doc_id", "rid", "item", shared.alias("n_shared"), F.col("n").cast("long").alias("n_shingles"))
     return pairs.where(F.col("n_shared") >= F.col("n_shingles") * CONTAINMENT - 1e-9)
@@ -104,7 +108,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text contains an item."""
-    hit = verified(docs, benchmark).select(F.col("doc_id").alias("__hit"), F.col("rid").alias("__rid")).distinct()
+    hit = written(verified(docs, benchmark).select(F.col("doc_id").alias("__hit"), F.col("rid").alias("__rid")).distinct(), "leaks", narrow=True)
+    if hit.count() <= BROADCAST_ROWS:  # else the texts are shuffled
+        hit = F.broadcast(hit)
     same = docs["doc_id"].eqNullSafe(hit["__hit"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["__rid"])
     return docs.join(hit, same, "left_anti")
 
