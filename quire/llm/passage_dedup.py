@@ -8,7 +8,8 @@ compared by doc_id. A block of documents sends each of its anchors and windows o
 
 Words are what lies between bytes 0x20 and 0x09-0x0D, unchanged. A null text is empty, a null doc_id counts as larger
 than any other, rows that share a doc_id never remove each other's words. Texts of under 13 words and empty tables give
-rows with nothing removed, or none. Windows are compared by a 64-bit hash of words.
+rows with nothing removed, or none. Anchors only propose, by 64 bits; windows are compared by 128 bits, of words that are
+themselves hashed to 128 bits, so that among 10^13 windows a chance agreement is out of the question.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BLOCKS, MARKS, NO_ID, PACKED, U, Docs, block_docs, buckets_of, grouped, keyed, lean_cogroup, lean_group, mixed, pack, partitions, places, ranges, several_blocks, unpack
+from .common import BUCKETS, MARKS, NO_ID, PACKED, U, Docs, block_docs, blocks_and_buckets, buckets_of, grouped, keyed, lean_cogroup, lean_group, mixed, pack, places, ranges, several_blocks, text_size, unpack
 
 WINDOW = 13
 #: A perfect difference set: each residue modulo 7 is a difference of two of these (fixed values).
@@ -50,7 +51,8 @@ class Words:
     """The words of a block: start and end in raw, a hash, the document and the place in it."""
 
     def __init__(self, docs: Docs):
-        raw, bounds = docs.raw, docs.bounds
+        self.raw = raw = docs.raw
+        bounds = docs.bounds
         inside = ~SEPARATOR[raw]
         edge = np.zeros(len(raw), bool)
         edge[bounds[:-1][bounds[:-1] < len(raw)]] = True
@@ -63,36 +65,55 @@ class Words:
         self.doc = np.repeat(np.arange(len(docs.did)), self.count)
         self.place = np.arange(len(self.start)) - self.first[self.doc]
         self.hash = word_hashes(raw, self.start, self.end)
+        self.other: np.ndarray | None = None
 
     def runs(self, length: int) -> np.ndarray:
         """Whether length words of the document start at each word."""
         return self.place + length <= self.count[self.doc]
 
-    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        h = self.hash[at]
+    def hashes(self, at: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+        """64 bits of the runs at some words; second: 64 others, of other hashes of the words."""
+        if second and self.other is None:
+            self.other = word_hashes(self.raw, self.start, self.end, 1)
+        own, factor = (self.other, U(0xD1342543DE82EF95)) if second else (self.hash, U(0x9E3779B97F4A7C15))
+        h = own[at]
         for i in range(1, length):
-            h = h * U(0x9E3779B97F4A7C15) + self.hash[at + i]
+            h = h * factor + own[at + i]
         return mixed(h)
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Eight bytes at a time; long words by XXH64."""
+#: Factors of the two hashes of a word (odd numbers).
+FACTORS = ((0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Eight bytes at a time; of very long words, by their XXH64 (their number of steps would be that of all)."""
+    by_length, by_lane = map(U, FACTORS[which])
     eight = np.ndarray((len(raw) + 1,), "<u8", np.append(raw, np.zeros(8, np.uint8)), 0, (1,))
     length = end - start
-    h = length.astype(U) * U(0xD6E8FEB86659FD93)
+    h = length.astype(U) * by_length
     live, at = np.flatnonzero((length > 0) & (length <= LONG)), 0
     while len(live):
         lane, rest = eight[start[live] + at].astype(U), length[live] - at
         part = rest < 8
         lane[part] &= (U(1) << (rest[part].astype(U) * U(8))) - U(1)
-        h[live] = (h[live] ^ mixed(lane)) * U(0x9E3779B97F4A7C15)
+        h[live] = (h[live] ^ mixed(lane * by_lane if which else lane)) * by_lane
         at += 8
         live = live[rest > 8]
     for i in np.flatnonzero(length > LONG).tolist():
-        h[i] = U(xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes()))
+        h[i] = U(xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes(), which))
     return mixed(h)
 
 
+def alike(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of hashes: the first place of each distinct pair, in the order of h, and the number of each place's pair."""
+    order = np.lexsort((h2, h))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1]))[: len(h)]
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 def anchors(n_buckets: int):
     """A block -> its anchors by bucket: each hash once, with its place (word of the block), or apart if the block repeats it."""
 
@@ -119,8 +140,8 @@ def repeated(table: pa.Table) -> pa.Table:
     return several_blocks([(int(p[0][0]), p[2], p[3]) for p in parts], [p[1] for p in parts])
 
 
-def candidates(docs: Docs, words: Words, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows that hold a repeated anchor: one that other blocks hold, or that this block holds twice."""
+def candidates(docs: Docs, words: Words, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and both hashes of the windows that hold a repeated anchor: one that other blocks hold, or that this block holds twice."""
     at = np.flatnonzero(words.runs(ANCHOR) & np.isin(words.place % PERIOD, COVER))
     _, back, count = np.unique(words.hashes(at, ANCHOR), return_inverse=True, return_counts=True)
     near = np.zeros(len(words.start) + 1, np.int64)
@@ -129,7 +150,7 @@ def candidates(docs: Docs, words: Words, marked: np.ndarray) -> tuple[np.ndarray
     np.add.at(near, np.maximum(hit - (PERIOD - 1), words.first[words.doc[hit]]), 1)
     np.add.at(near, hit + 1, -1)
     starts = np.flatnonzero((np.cumsum(near[:-1]) > 0) & words.runs(WINDOW))
-    return starts, words.hashes(starts, WINDOW)
+    return starts, words.hashes(starts, WINDOW), words.hashes(starts, WINDOW, True)
 
 
 def extended(n_buckets: int):
@@ -140,13 +161,14 @@ def extended(n_buckets: int):
         keys, values = [], []
         if len(docs.did):
             words = Words(docs)
-            starts, hashes = candidates(docs, words, places(marks))
-            h, first = np.unique(hashes, return_index=True)
+            starts, h, h2 = candidates(docs, words, places(marks))
+            first, _ = alike(h, h2)
             did = docs.did[words.doc[starts[first]]]
-            for bucket, part in grouped(buckets_of(h, n_buckets)):
+            for bucket, part in grouped(buckets_of(h[first], n_buckets)):
                 part = part[np.argsort(first[part])]
+                own = first[part]
                 keys.append(bucket)
-                values.append(pack(np.array([docs.block]), h[part], np.diff(did[part], prepend=0), np.diff(first[part], prepend=0).astype(np.int32)))
+                values.append(pack(np.array([docs.block]), h[own], np.diff(did[part], prepend=0), np.diff(own, prepend=0).astype(np.int32), h2[own]))
         return pa.table([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["bucket", "packed"])
 
     return run
@@ -157,7 +179,7 @@ def earlier(table: pa.Table) -> pa.Table:
     parts = [unpack(v.as_py()) for v in table.column("packed")]
     h = np.concatenate([p[1] for p in parts])
     did = np.concatenate([np.cumsum(p[2]) for p in parts])
-    _, back = np.unique(h, return_inverse=True)
+    _, back = alike(h, np.concatenate([p[4] for p in parts]))
     least = np.full(int(back.max()) + 1 if len(back) else 0, NO_ID)
     np.minimum.at(least, back, did)
     late = did > least[back]
@@ -173,8 +195,8 @@ def earlier(table: pa.Table) -> pa.Table:
 
 def removed(docs: Docs, words: Words, anchored: np.ndarray, late: np.ndarray) -> np.ndarray:
     """Which words go."""
-    starts, hashes = candidates(docs, words, anchored)
-    h, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    starts, h, h2 = candidates(docs, words, anchored)
+    first, back = alike(h, h2)
     did = docs.did[words.doc[starts]]
     gone = did > did[first[back]]  # an earlier document of this block holds it
     known = np.zeros(len(starts), bool)
@@ -224,8 +246,9 @@ def kept_texts(rows: pa.Table, marks: pa.Table) -> pa.Table:
 def run(docs: DataFrame, last, schema: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    n = partitions(docs.sparkSession)
-    rows = keyed(docs, BLOCKS * n)
+    n_blocks, n_buckets = blocks_and_buckets(docs.sparkSession, text_size(docs))
+    n = max(1, n_buckets // BUCKETS)  # one bucket a partition is enough here
+    rows = keyed(docs, n_blocks)
     blocks = rows.groupBy("block")
     again = blocks.applyInArrow(lean_group(anchors(n)), PACKED).groupBy("bucket").applyInArrow(lean_group(repeated), MARKS)
     late = blocks.cogroup(again.groupBy("block")).applyInArrow(lean_cogroup(extended(n)), PACKED).groupBy("bucket").applyInArrow(lean_group(earlier), MARKS)

@@ -47,6 +47,18 @@ def test_passages_of_odd_rows(odd_documents, plain):
     assert Counter(map(tuple, got)) == Counter((r[0], *x) for r, x in zip(rows, passages(rows), strict=True))
 
 
+def test_windows_that_agree_in_one_hash_stay(odd_documents, plain, monkeypatch):
+    """A chance agreement of the first 64 bits removes nothing."""
+    rows = plain(odd_documents)
+    docs = common.Docs(np.arange(len(rows)), np.arange(len(rows)), 0, np.append(0, np.cumsum([len(t.encode()) for _, t in rows])), np.frombuffer("".join(t for _, t in rows).encode(), np.uint8))
+    true = passage_dedup.Words.hashes
+    monkeypatch.setattr(passage_dedup.Words, "hashes", lambda self, at, n, second=False: true(self, at, n, second) if second else np.zeros(len(at), np.uint64))
+    words, none = passage_dedup.Words(docs), np.zeros(0, np.int64)
+    gone = passage_dedup.removed(docs, words, none, none)
+    want = [x[1] for x in passages([(i, t) for i, (_, t) in enumerate(rows)])]
+    assert np.bincount(words.doc[gone], minlength=len(rows)).tolist() == want and sum(want)
+
+
 def suffixes(rows):
     """Brute force of operator 9."""
     first = {}
