@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import grouped, lean, lean_group, pack, unpack, written
 
 LABELLED = 12_000
 ROUNDS = 2
@@ -48,6 +48,10 @@ TARGETS = ("low", "toxic")
 SHAPE = 10
 FEATURES = "doc_id long, words array<int>, shape array<double>, meta array<int>"
 COUNTS = "target int, view int, class int, feature int, n long"
+PACKED_COUNTS = "target int, view int, class int, chunk int, packed binary"
+#: Rows that a worker turns into features, or judges, at a time; features whose counts travel as one value.
+SLICE = 500
+CHUNK = 1 << 12
 #: Stands for the documents themselves among the features that are counted, and for all rows among classes.
 DOCUMENTS = -1
 ALL = 2
@@ -89,8 +93,14 @@ def features_of(b: pa.RecordBatch) -> tuple[list[set[int]], list[list[float]], l
     return [t[0] for t in texts], [t[1] for t in texts], metas
 
 
-def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
         words, shape, meta = features_of(b)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(w) for w in words], pa.list_(pa.int32())), pa.array(shape, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))], ["doc_id", "words", "shape", "meta"])
 
@@ -260,7 +270,7 @@ def counted(models: dict[str, Target | None], labelled: np.ndarray):
             n[:SPACE] += np.bincount(rows.index, minlength=SPACE)
             n[SPACE] += len(rows.at) - 1
 
-        for b in batches:
+        for b in sliced(batches):
             b = b.filter(pa.array(~np.isin(b.column(0).fill_null(0).to_numpy(), labelled) | b.column(0).is_null().to_numpy(zero_copy_only=False)))
             if not b.num_rows:
                 continue
@@ -271,18 +281,34 @@ def counted(models: dict[str, Target | None], labelled: np.ndarray):
                 for k, view in enumerate(models[name].views if models[name] else ()):
                     for label, own in enumerate(view.given(views[k])):
                         add(t, 1 - k, label, views[1 - k].take(own))
-        for (target, view, kind), n in total.items():
+        rows = []
+        for key, n in total.items():
             at = np.flatnonzero(n)
-            constant = lambda v: pa.array(np.full(len(at), v, np.int32))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([constant(target), constant(view), constant(kind), pa.array(np.where(at == SPACE, DOCUMENTS, at).astype(np.int32)), pa.array(n[at])], ["target", "view", "class", "feature", "n"])
+            for chunk, own in grouped(at // CHUNK):
+                rows.append((*key, chunk, pack(np.diff(at[own], prepend=chunk * CHUNK).astype(np.int32), n[at[own]])))
+        kinds = (*[pa.int32()] * 4, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in PACKED_COUNTS.split(", ")])
 
     return run
 
 
+def summed(table: pa.Table) -> pa.Table:
+    """A chunk of counts from all tasks -> what each feature comes to; the number of rows stands at the feature DOCUMENTS."""
+    target, view, kind, chunk = (table.column(i)[0].as_py() for i in range(4))
+    n = np.zeros(CHUNK, np.int64)
+    for v in table.column("packed"):
+        step, own = unpack(v.as_py())
+        n[np.cumsum(step)] += own
+    at = np.flatnonzero((n >= LEAST_ROWS) | (n > 0) & (chunk * CHUNK + np.arange(CHUNK) == SPACE))
+    constant = lambda v: pa.array(np.full(len(at), v, np.int32))
+    feature = chunk * CHUNK + at
+    return pa.table([constant(target), constant(view), constant(kind), pa.array(np.where(feature == SPACE, DOCUMENTS, feature).astype(np.int32)), pa.array(n[at])], ["target", "view", "class", "feature", "n"])
+
+
 def exchanged(rows: DataFrame, models: dict[str, Target | None], labelled: np.ndarray) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[tuple[str, int, int], int]]:
     """What each view gets from the other (rows: all featured rows): ratios by target and view, and how many rows of each class."""
-    found = rows.mapInArrow(lean(counted(models, labelled)), COUNTS).groupBy("target", "view", "class", "feature").agg(F.sum("n").alias("n"))
-    table = found.where((F.col("n") >= LEAST_ROWS) | (F.col("feature") == DOCUMENTS)).toArrow()  # at most SPACE rows a group
+    found = rows.mapInArrow(lean(counted(models, labelled)), PACKED_COUNTS).groupBy("target", "view", "class", "chunk").applyInArrow(lean_group(summed), COUNTS)
+    table = found.toArrow()  # at most SPACE rows of each target, view and class
     columns = [table.column(c).to_numpy() for c in ("target", "view", "class", "feature", "n")]
 
     def group(target: int, view: int, kind: int) -> tuple[np.ndarray, int]:
@@ -350,7 +376,7 @@ def scored(models: dict[str, Target | None]):
     """Featured rows -> doc_id, p_quality, p_toxic, keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), *judged(models, views_of(b), b.num_rows)], ["doc_id", "p_quality", "p_toxic", "keep"])
 
     return run
@@ -371,14 +397,12 @@ def kept_rows(models: dict[str, Target | None]):
     """Rows (doc_id, text, lang, source, n_chars) -> those to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                words, shape, meta = features_of(part)
-                size = lambda own: np.append(0, np.cumsum([len(x) for x in own]))
-                index = lambda own: np.fromiter((i for x in own for i in x), np.int64)
-                views = Rows(size(words), index(words), np.zeros((len(words), 0))), Rows(size(meta), index(meta), np.array(shape).reshape(-1, SHAPE))
-                yield part.filter(judged(models, views, part.num_rows)[2])
+        for part in sliced(batches):
+            words, shape, meta = features_of(part)
+            size = lambda own: np.append(0, np.cumsum([len(x) for x in own]))
+            index = lambda own: np.fromiter((i for x in own for i in x), np.int64)
+            views = Rows(size(words), index(words), np.zeros((len(words), 0))), Rows(size(meta), index(meta), np.array(shape).reshape(-1, SHAPE))
+            yield part.filter(judged(models, views, part.num_rows)[2])
 
     return run
 
