@@ -47,9 +47,11 @@ def blocks_and_buckets(spark: SparkSession, size: int) -> tuple[int, int]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; where that is unset, a local one if all of Spark runs in this machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         kept = getattr(shared_dir, "own", None)
         if kept is None:
             import tempfile
@@ -59,8 +61,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: What this driver has written to the shared folder and not removed, in order.
+PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    PATHS.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
@@ -97,6 +105,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def remove_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
+    """Removes what was written since PATHS had mark entries, but for one path: for when all that was made of it is written."""
+    for path in [p for p in PATHS[mark:] if p != keep]:
+        remove(spark, path)
+        PATHS.remove(path)
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value; the bytes of numbers are put by significance, which compresses better."""
     head, body = [struct.pack("<B", len(arrays))], []

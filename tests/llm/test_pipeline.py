@@ -53,3 +53,31 @@ def test_stages(spark):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50
+
+
+def test_odd_rows(odd_documents, spark, tmp_path):
+    """Nulls in any column, repeated rows, shared ids, clashing columns: stage by stage by texts, and an empty table."""
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=str)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = stages["quality classifier"](spark, odd_documents, str(tmp_path))
+    assert rows(kept) == rows(odd_documents)
+    label = brute_components([fingerprint(t or "") for _, t in rows(kept)])
+    alone = stages["SimHash near-dedup"](spark, kept, str(tmp_path))
+    assert alone.count() == len(set(label))
+    texts = stages["suffix-array dedup"](spark, alone, str(tmp_path))
+    assert sorted(map(str, (r[0] for r in rows(texts)))) == sorted(map(str, (r[0] for r in rows(alone))))
+    clean = stages["benchmark decontamination"](spark, texts, str(tmp_path))
+    assert rows(clean) == rows(texts)
+    last = stages["byte-level BPE"](spark, clean, str(tmp_path)).collect()
+    want = sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows(clean))
+    assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in last) == want
+    odd_documents.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_only_the_last_stage_stays_on_disk(spark):
+    mark = len(corpus_pipeline.common.PATHS)
+    corpus_pipeline.run(spark, SMALL).count()
+    assert len(corpus_pipeline.common.PATHS) == mark + 1
