@@ -1,7 +1,8 @@
 """A pipeline over documents: each stage calls one operator of quire.llm on all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last have the columns of documents. Rows keep their
-doc_id; n_chars follows the text. Rows with null columns, repeated rows and empty tables pass as the operators state.
+doc_id; n_chars follows the text. A null text is empty for every stage and stays null where its row is kept; repeated rows and
+rows that share a doc_id or have none are judged by their texts; of equal texts one row stays. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -58,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """The last stage's rows. Once a stage is written, what came before it is removed from the shared folder."""
+    docs, mark = _table(spark, sf_dir, "documents"), len(common.PATHS)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = common.written(docs, f"stage-{i}")
+            common.remove_since(spark, mark, keep=common.PATHS[-1])
     return docs
