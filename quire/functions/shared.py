@@ -1,20 +1,33 @@
-"""Folders that the whole cluster sees."""
+"""Folders and tables that the whole cluster sees."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a local folder only where that is unset."""
+def root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a local one if all of Spark runs in this machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="quire-state-"))
-        at = _OWN[0]
-    return f"{at.rstrip('/')}/quire/{name}-{uuid.uuid4().hex[:12]}"
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="quire-state-"))
+    return _OWN[0]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{root(spark)}/quire/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: it is computed once and survives lost executors."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accented letters and their plain forms, position by position.
-ACCENTED = "àáâãäåăąāçćčĉċďđèéêëēėęěĝğġģìíîïīįłľñńňņòóôõöøōőŕřśšşșŝťţțùúûüūůűųŭýÿźżž"
-PLAIN = "aaaaaaaaacccccddeeeeeeeeggggiiiiiillnnnnoooooooorrsssssttt" + "uuuuuuuuuyyzzz"
+ACCENTED = "àáâãäåăąāçćčĉċďđðèéêëēėęěĝğġģìíîïīįıłľñńňņòóôõöøōőŕřśšşșŝťţțùúûüūůűųŭýÿźżž"
+PLAIN = "aaaaaaaaacccccdddeeeeeeeeggggiiiiiiillnnnnoooooooorrsssssttt" + "uuuuuuuuuyyzzz"
+# Letters that fold to two.
+TWO_LETTERS = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th"}
 # Phrases that head the licence division of an electronic edition.
 LICENCE_PHRASES = ("the full project gutenberg license", "à propos de cette édition électronique", "ende dieses projekt gutenberg etextes", "questo e-book è stato realizzato")
 
@@ -33,13 +35,24 @@ def preview(c: Column, n: int = 280) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without the common accents."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "æ", "ae"), "œ", "oe")
+    """Lower case in ASCII as far as letters of the Latin script go."""
+    out = F.translate(F.regexp_replace(F.lower(c), "[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+    for letter, plain in TWO_LETTERS.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
+
+
+def folded(s: str) -> str:
+    """fold() of a Python string."""
+    out = "".join(x for x in s.lower() if not "\u0300" <= x <= "\u036f").translate(str.maketrans(ACCENTED, PLAIN))
+    for letter, plain in TWO_LETTERS.items():
+        out = out.replace(letter, plain)
+    return out
 
 
 def tokens(c: Column) -> Column:
-    """Runs of letters and digits of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits of the folded text: the terms of the generic analyzer, without stop words or stemming."""
+    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def contains_ci(c: Column, q: str) -> Column:
@@ -222,3 +235,76 @@ def event_details(**details: Column) -> Column:
     """A map of strings without the null ones."""
     pairs = [x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+# Browsers that run a reader's application, and clients that only look like them.
+MODERN_BROWSER = r"(?i)Chrome/|Chromium/|CriOS/|Edg/|OPR/|Firefox/|FxiOS/|Safari/"
+NO_BROWSER = r"(?i)bot|crawl|spider|curl|wget|python-requests|httpclient|okhttp|libwww|lynx|links|w3m|postman|axios|go-http-client|java/"
+# First path segments that are no authors.
+RESERVED = ("css", "img", "js", "api", "util", "search", "p", "admin", "app", "v2", "v3", "webjars", "swagger-ui", "swagger-ui.html", "quote", "dav")
+
+
+def is_modern_browser(agent: Column) -> Column:
+    return F.coalesce((F.trim(agent) != "") & agent.rlike(MODERN_BROWSER) & ~agent.rlike(NO_BROWSER), F.lit(False))
+
+
+def is_author_slug(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[a-z0-9_]+$") & ~c.isin(*RESERVED), F.lit(False))
+
+
+def is_work_slug(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"^[a-z0-9_.]+$"), F.lit(False))
+
+
+def is_source_path(c: Column) -> Column:
+    """A path of a fragment's source: 2000 characters at most, without query, anchor or dot segments."""
+    dots = F.exists(F.split(c, "/"), lambda s: s.isin(".", ".."))
+    return F.coalesce((F.length(c) <= 2000) & ~c.rlike("[?#]") & ~dots, F.lit(False))
+
+
+def is_revision(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[a-f0-9]{64}$"), F.lit(False))
+
+
+def point_id(sha256: Column) -> Column:
+    """The id of a vector store's point: the first 32 hex digits of the digest, as a UUID."""
+    return F.regexp_replace(F.substring(sha256, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def relative_root(path: Column) -> Column:
+    """From a path back to the top: "/.." for each of its segments."""
+    return F.repeat(F.lit("/.."), F.size(path_fragments(path)))
+
+
+def rfc1123(at: Column) -> Column:
+    """A date as in HTTP headers, of a timestamp in UTC."""
+    return F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+def int_path(c: Column) -> Column:
+    """The numbers of a dotted path; null if it is none."""
+    return F.when(c.rlike(r"^\d+(\.\d+)*$"), F.transform(F.split(c, r"\."), lambda x: x.cast("int")))
+
+
+def relevant(text: Column, pattern: str) -> Column:
+    """Whether a judged query's regular expression, in any case, finds the text relevant."""
+    return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))
+
+
+def preferences(c: Column) -> Column:
+    """A JSON object as stored, {} where it is bad or none; null where it is too long to store."""
+    good = F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c)
+    return F.when(F.length(c) > 100_000, F.lit(None)).otherwise(F.coalesce(good, F.lit("{}")))
+
+
+def sha3(c: Column) -> Column:
+    """SHA3-256 in hex, which the JVM functions don't have."""
+    import hashlib
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def digest(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else hashlib.sha3_256(x.encode()).hexdigest())
+
+    return digest(c)

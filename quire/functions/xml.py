@@ -7,24 +7,21 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-# Where a TEI header keeps what a catalogue card shows.
-BOOK_METADATA = {
-    "title": "/TEI/teiHeader/fileDesc/titleStmt/title",
-    "author": "/TEI/teiHeader/fileDesc/titleStmt/author",
+# Where a TEI header, and a work itself (the element in which it stands), keep what a cover shows.
+HEADER = {
+    "editor": "/TEI/teiHeader/fileDesc/titleStmt/editor[not(@role) or @role='editor']",
     "translator": "/TEI/teiHeader/fileDesc/titleStmt/editor[@role='translator']",
-    "editor": "/TEI/teiHeader/fileDesc/titleStmt/editor[not(@role)]",
-    "edition": "/TEI/teiHeader/fileDesc/editionStmt/edition",
-    "publisher": "/TEI/teiHeader/fileDesc/publicationStmt/publisher",
     "pubPlace": "/TEI/teiHeader/fileDesc/publicationStmt/pubPlace",
-    "date": "/TEI/teiHeader/fileDesc/publicationStmt/date",
-    "idno": "/TEI/teiHeader/fileDesc/publicationStmt/idno",
-    "licence": "/TEI/teiHeader/fileDesc/publicationStmt/availability",
-    "source": "/TEI/teiHeader/fileDesc/sourceDesc",
+    "date": "/TEI/teiHeader/fileDesc/editionStmt/edition/date",
+    "isbn": "/TEI/teiHeader/fileDesc/sourceDesc//idno[@type='ISBN']",
     "series": "/TEI/teiHeader/fileDesc/seriesStmt/title",
-    "extent": "/TEI/teiHeader/fileDesc/extent",
-    "language": "/TEI/teiHeader/profileDesc/langUsage/language",
-    "keywords": "/TEI/teiHeader/profileDesc/textClass/keywords/term",
+    "volume": "/TEI/teiHeader/fileDesc/seriesStmt/biblScope[@unit='volume']",
+    "genre": "/TEI/teiHeader/profileDesc/textClass/keywords/term",
 }
+EDITION_NOTICE = "/TEI/teiHeader/fileDesc/editionStmt/edition/text()"
+WORK = {"subtitle": "/*/subtitle", "tagline_quote": "/*/epigraph"}
+PUBLISHER = "Biblioteca"
+LICENCE = "/TEI/teiHeader/fileDesc/publicationStmt/availability"
 
 
 def plain(xml: Column) -> Column:
@@ -51,14 +48,16 @@ def only(xml: Column, path: str) -> Column:
     return F.when(matches(xml, path) == 1, F.xpath_string(plain(xml), F.lit(path))).otherwise(F.raise_error(F.lit(f"not exactly one {path}")).cast("string"))
 
 
-def book_metadata(xml: Column) -> Column:
-    """A struct of what the header says of the book; null where it says nothing."""
-    own = lambda p: F.nullif(T.squeeze(F.array_join(strings(xml, p), " ")), F.lit(""))
-    return F.struct(*(own(p).alias(k) for k, p in BOOK_METADATA.items()))
+def book_metadata(header: Column, work: Column, head: Column, author: Column, lang: Column) -> Column:
+    """A struct of what a cover shows, from the header's XML, the work's own XML, and its row; empty where nothing is said."""
+    told = lambda c: F.coalesce(c, F.lit(""))
+    own = {k: string(header, p) for k, p in HEADER.items()} | {k: string(work, p) for k, p in WORK.items()}
+    own |= {"title": told(head), "author": told(author), "publisher": F.lit(PUBLISHER), "language": told(lang), "edition_notice": F.array_join(F.xpath(plain(header), F.lit(EDITION_NOTICE)), "")}
+    return F.struct(*(told(own[k]).alias(k) for k in sorted(own)))
 
 
 def licence_text(xml: Column) -> Column:
     """The licence with the targets of its pointers."""
-    base = BOOK_METADATA["licence"]
+    base = LICENCE
     targets = F.xpath(plain(xml), F.lit(f"{base}//@target"))
     return T.squeeze(F.concat_ws(" ", string(xml, base), F.array_join(targets, " ")))

@@ -90,13 +90,26 @@ def without_image_data(c: Column) -> Column:
 def not_repeated(requests: DataFrame, key: str, at: str, minutes: int) -> DataFrame:
     """Requests of which none of the key was granted in the minutes before: one in each, counted from the one granted.
 
-    The grant chain is a fold over each key's ordered times, held as an array of that key alone."""
-    kind = requests.schema[at].dataType
-    seconds = F.unix_micros(F.col(at).cast("timestamp"))
-    times = F.array_sort(F.collect_set(seconds))
-    step = lambda granted, t: F.when((F.size(granted) == 0) | (t - F.element_at(granted, -1) >= minutes * 60_000_000), F.concat(granted, F.array(t))).otherwise(granted)
-    granted = requests.groupBy(key).agg(times.alias("_ts")).select(key, F.explode(F.aggregate("_ts", F.array().cast("array<bigint>"), step)).alias("_us"))
-    return granted.select(key, F.timestamp_micros("_us").cast(kind).alias(at))
+    Rows are sorted by key and time within partitions and streamed: what is kept is the last grant of one key."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    least = minutes * 60_000_000
+
+    def granted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = object(), 0
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if k != last_key or t - last >= least:
+                    keep[i], last_key, last = True, k, t
+            yield b.filter(pa.array(keep))
+
+    rows = requests.where(F.col(at).isNotNull()).select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "_us")
+    return rows.mapInArrow(granted, rows.schema).select(key, F.timestamp_micros("_us").cast(requests.schema[at].dataType).alias(at))
 
 
 def replaced(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,6 @@ Divisions of an edition: path, parent, head, position, chain (headings from the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -102,19 +101,18 @@ def nearest(rows: DataFrame, path: str, live: DataFrame) -> DataFrame:
 
 
 def resolved(relocations: DataFrame, wanted: DataFrame, hops: int = HOPS) -> DataFrame:
-    """path, target: where each of wanted (path) has moved to, null after a loop or too many hops or if it hasn't moved."""
-    step = relocations.select(F.col("old").alias("at"), "new")
-    open_ = wanted.select("path", F.col("path").alias("at"), F.array("path").alias("seen"))
-    done: list[DataFrame] = []
-    for _ in range(hops):
-        joined = open_.join(step, "at", "left")
-        done.append(joined.where("new is null and size(seen) > 1").select("path", F.col("at").alias("target")))
-        open_ = joined.where("new is not null and not array_contains(seen, new)").select("path", F.col("new").alias("at"), F.concat("seen", F.array("new")).alias("seen"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionAll(d)
-    last = open_.join(step, "at", "left_anti").select("path", F.col("at").alias("target"))
-    return wanted.join(out.unionAll(last), "path", "left")
+    """path, target: where each of wanted (path) lives now, canonical: the end of its chain, or where it stands after so many
+    hops. Null if it hasn't moved, comes home or goes round in a loop. One join a hop; a chain that has ended is spread by
+    its own path rather than joined by null."""
+    # of a path and the same without its leading slash the first counts
+    step = relocations.select(F.startswith("old", F.lit("/")).alias("first"), T.canonical_path(F.col("old")).alias("key"), T.canonical_path(F.col("new")).alias("next")).groupBy("key").agg(F.max_by("next", F.struct("first", "next")).alias("next"))
+    start = T.canonical_path(F.col("path"))
+    rows = wanted.select("path").distinct().select("path", start.alias("start"), start.alias("at"), F.array(start).alias("seen"), F.lit(True).alias("open"))
+    for hop in range(hops):
+        rows = rows.withColumn("key", F.when(F.col("open"), F.col("at")).otherwise(F.concat(F.lit("\0"), "path"))).join(step, "key", "left")
+        loop = F.array_contains("seen", F.col("next")) if hop < hops - 1 else F.lit(False)
+        rows = rows.select("path", "start", F.when(F.col("open") & loop, F.lit(None)).otherwise(F.coalesce("next", "at")).alias("at"), F.when(F.col("next").isNotNull(), F.concat("seen", F.array("next"))).otherwise(F.col("seen")).alias("seen"), (F.col("open") & F.col("next").isNotNull() & ~F.coalesce(loop, F.lit(False))).alias("open"))
+    return wanted.join(rows.select("path", F.when(F.col("at") != F.col("start"), F.col("at")).alias("target")), "path", "left")
 
 
 def repointed(relocations: DataFrame, moves: DataFrame, live: DataFrame) -> DataFrame:
@@ -134,17 +132,3 @@ def rewritten(references: DataFrame, moves: DataFrame, column: str = "path") ->
 def heading_similarity(a: Column, b: Column) -> Column:
     split = lambda c: F.filter(F.split(T.heading_normal(c), " "), lambda w: w != "")
     return T.jaccard(split(a), split(b))
-
-
-def chains(rows: Iterator) -> list:
-    """For tests: headings from the top, of nested (head, children)."""
-    out = []
-
-    def walk(nodes, above):
-        for head, children in nodes:
-            own = [*above, _normal(head)]
-            out.append(" / ".join(own))
-            walk(children, own)
-
-    walk(rows, [])
-    return out

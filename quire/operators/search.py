@@ -23,7 +23,7 @@ def query_terms(q: str, least: int = 3) -> list[str]:
 
     if len(q.strip()) < least:
         raise ValueError(f"a query has {least} characters at least")
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", q.lower())))
+    return list(dict.fromkeys(re.findall(r"[^\W_]+", T.folded(q))))
 
 
 def field_postings(docs: DataFrame, key: str, field: Column) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +42,7 @@ def field_scores(docs: DataFrame, key: str, field: Column, terms: list[str]) ->
     counts = [F.size(F.filter("w", equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     some = F.lit(False)
     for t in terms:
-        some = some | F.contains(F.lower(field), F.lit(t))
+        some = some | F.contains(T.fold(field), F.lit(t))
     held = lambda rows: once(rows, key, T.tokens(field)).select(key, F.size("w").alias("len"), *counts).where("len > 0")
     stats = held(docs).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)

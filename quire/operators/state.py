@@ -21,10 +21,36 @@ def attention(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum(seconds).alias("attention_seconds"))
 
 
-def scrolls(updates: DataFrame, current: DataFrame, by: list[str], division: str, fraction: str, at: str) -> DataFrame:
-    """The last scroll position of each key, of updates for its current division only, within 0 and 1."""
+def scrolls(updates: DataFrame, current: DataFrame, by: list[str], division: str, fraction: str, *at: str) -> DataFrame:
+    """The last scroll position of each key, of updates for its current division only, within 0 and 1. at: a total order."""
     own = updates.join(current.select(*by, division), [*by, division], "left_semi")
-    return own.groupBy(*by).agg(F.max_by(T.clamp(F.col(fraction)), at).alias("scroll"))
+    return own.groupBy(*by).agg(F.max_by(T.clamp(F.col(fraction)), F.struct(*at)).alias("scroll"))
+
+
+def reading_state(events: DataFrame, by: list[str], kind: str, division: str, value: str, *at: str) -> DataFrame:
+    """What a log of events (kind: save, scroll or attention) comes to for each reader and work.
+
+    touches, division (of the last save), attention_seconds, scroll, read, refused. A save of another division starts at its
+    top, one of the same division keeps the place. A scroll update counts if it names the division that is saved at that
+    time. Updates before the first save are refused and only counted."""
+    order = Window.partitionBy(*by).orderBy(*at)
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    saved = F.when(F.col(kind) == "save", F.col(division))
+    rows = events.withColumn("_now", F.last(saved, ignorenulls=True).over(before)).withColumn("_was", F.lag("_now").over(order))
+    place = F.struct(*at)
+    moved = (F.col(kind) == "save") & ~F.col("_now").eqNullSafe(F.col("_was"))
+    here = (F.col(kind) == "scroll") & F.col("_now").isNotNull() & (F.col("_now") == F.col(division))
+    known = F.col("_now").isNotNull()
+    out = rows.groupBy(*by).agg(
+        F.count_if(F.col(kind) == "save").alias("touches"),
+        F.max_by("_now", place).alias("division"),
+        F.coalesce(F.sum(F.when((F.col(kind) == "attention") & known, F.col(value))), F.lit(0.0)).alias("attention_seconds"),
+        F.max(F.when(moved, place)).alias("_moved"),
+        F.max(F.when(here, F.struct(place.alias("p"), T.clamp(F.col(value)).alias("v")))).alias("_scroll"),
+        F.count_if((F.col(kind) != "save") & ~known).alias("refused"),
+    )
+    scroll = F.when(F.col("_scroll.p") > F.col("_moved"), F.col("_scroll.v")).otherwise(F.lit(0.0))
+    return out.select(*by, "touches", "division", "attention_seconds", F.when(F.col("touches") > 0, scroll).alias("scroll"), (F.col("touches") >= READ_AFTER).alias("read"), "refused")
 
 
 def reordered(items: DataFrame, listed: DataFrame, by: str, id_: str, old: str) -> DataFrame:
@@ -38,10 +64,47 @@ def next_order(items: DataFrame, by: str, order: str) -> DataFrame:
     return items.groupBy(by).agg((F.coalesce(F.max(order), F.lit(-1)) + 1).alias("next_order"))
 
 
+MAX_NAME = 200
+MAX_QUERY = 500
+MAX_SNIPPET = 2000
+
+
+def first_free(base: str, used: set[str], most: int = MAX_NAME) -> str:
+    """base, or with " (2)", " (3)", ... the first that isn't used; cut so that it keeps the limit."""
+    name, n = base, 2
+    while name in used:
+        suffix = f" ({n})"
+        name, n = base[: most - len(suffix)] + suffix, n + 1
+    return name
+
+
 def unique_names(saved: DataFrame, owner: str, name: str, order: str) -> DataFrame:
-    """Names with " (2)", " (3)", ... for those that their owner has used before."""
-    n = F.row_number().over(Window.partitionBy(owner, name).orderBy(order))
-    return saved.withColumn(name, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    """saved, in order, with names that their owner has not used before: a fold over one owner's names."""
+    import pandas as pd
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        rows = rows.sort_values(order)
+        names = []
+        for base in rows[name]:
+            names.append(first_free(base, used))
+            used.add(names[-1])
+        return rows.assign(**{name: names})
+
+    return saved.groupBy(owner).applyInPandas(fold, saved.schema)
+
+
+def searches_saved(hits: DataFrame, searches: DataFrame, owner: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """Saved searches (owner, order, name, query) as collections, and their hits (owner, order, place, path, snippet) as items.
+
+    The name is the query where none is given; blank queries are refused, blank paths left out, positions close up."""
+    if not searches.where(F.coalesce(F.trim("query"), F.lit("")) == "").isEmpty():
+        raise ValueError("a search has a query")
+    base = F.substring(F.trim(F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("query"))), 1, MAX_NAME)
+    named = unique_names(searches.withColumn("name", base), owner, "name", order).withColumn("query", F.substring("query", 1, MAX_QUERY))
+    kept = hits.where(F.coalesce(F.trim("path"), F.lit("")) != "").withColumn("snippet", F.substring("snippet", 1, MAX_SNIPPET))
+    position = F.row_number().over(Window.partitionBy(owner, order).orderBy("place")) - 1
+    return named, kept.withColumn("position", position)
 
 
 def compare_and_set(stored: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -58,7 +121,6 @@ def preference(c: Column, path: str) -> Column:
 
 
 FAVOURITES = "favourites"
-MAX_NAME = 200
 
 
 def collection_added(collections: DataFrame, owner: str, name: str) -> DataFrame:

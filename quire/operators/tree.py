@@ -6,25 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-
-#: Levels that paths() follows at most; deeper trees are refused.
-DEEPEST = 64
+from quire.functions.shared import written
 
 
 def paths(elems: DataFrame, id_: str = "id", parent: str = "parent_id", name: str = "slug", order: str = "pos") -> DataFrame:
     """id, root_id, path, depth (0 for roots) and place (array of sibling orders: its order is preorder).
 
-    A level is one equi-join on the parent; the levels' frontier is counted, not collected."""
+    A level is one equi-join of the elements with the level above, written once: no level is computed again, whatever the
+    depth. It ends with the first level without rows; elements in a cycle hang on no root and come in no level."""
     own = elems.select(F.col(id_).alias("id"), F.col(parent).alias("parent_id"), F.col(name).alias("name"), F.struct(F.col(order).alias("o"), F.col(id_).alias("i")).alias("o"))
-    level = own.where("parent_id is null").select("id", F.col("id").alias("root_id"), F.col("name").alias("path"), F.lit(0).alias("depth"), F.array("o").alias("place"))
-    out = level
-    for depth in range(1, DEEPEST):
-        up = level.select(F.col("id").alias("parent_id"), "root_id", F.col("path").alias("up"), F.col("place").alias("above"))
-        level = own.join(up, "parent_id").select("id", "root_id", F.concat_ws("/", "up", "name").alias("path"), F.lit(depth).alias("depth"), F.concat("above", F.array("o")).alias("place"))
+    level = out = written(own.where("parent_id is null").select("id", F.col("id").alias("root_id"), F.col("name").alias("path"), F.lit(0).alias("depth"), F.array("o").alias("place")), "level")
+    below = written(own.where("parent_id is not null"), "elements")
+    while True:
+        up = level.select(F.col("id").alias("parent_id"), "root_id", F.col("path").alias("up"), F.col("place").alias("above"), "depth")
+        level = written(below.join(up, "parent_id").select("id", "root_id", F.concat_ws("/", "up", "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("above", F.array("o")).alias("place")), "level")
         if level.isEmpty():
             return out
         out = out.unionAll(level)
-    raise ValueError(f"a tree of more than {DEEPEST} levels")
 
 
 def preorder(placed: DataFrame, by: str = "root_id") -> DataFrame:
@@ -88,3 +86,31 @@ def spans(rows: DataFrame, by: str, order: str, text: str = "text", gap: int = 1
     before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length(text) + gap).over(before), F.lit(0))
     return rows.withColumn("start", start.cast("long")).withColumn("end", (start + F.length(text)).cast("long"))
+
+
+def virtual(files: DataFrame, folders: list[str], name: str, columns: list[str], ending: str = ".txt") -> DataFrame:
+    """path, is_file and columns of an exported tree: a file for each row, under the folders that columns name, and these."""
+    at = lambda n: F.concat(*(x for c in folders[:n] for x in (F.lit("/"), F.col(c))))
+    out = files.select(F.concat(at(len(folders)), F.lit("/"), F.col(name), F.lit(ending)).alias("path"), F.lit(True).alias("is_file"), *columns)
+    for n in range(1, len(folders) + 1):
+        own = files.select(at(n).alias("path")).distinct()
+        out = out.unionAll(own.select("path", F.lit(False).alias("is_file"), *(F.lit(None).cast(files.schema[c].dataType).alias(c) for c in columns)))
+    return out
+
+
+def member_neighbours(rows: DataFrame, by: str, order: str, of: str, member) -> DataFrame:
+    """The row of one member with those before and after it; ValueError if it is none."""
+    own = neighbours(rows, by, order, of).where(F.col(of) == member)
+    if own.isEmpty():
+        raise ValueError(f"{member} is not in the table of contents")
+    return own
+
+
+def to_levels(placed: DataFrame, levels: int | None, headed: str = "headed") -> DataFrame:
+    """Of one tree's rows (path, depth, place, headed), those at most some levels below its root. A row without a heading is no level: what is below it counts as its parent's."""
+    if levels is None:
+        return placed
+    up = placed.select(F.col("place").alias("_p"), F.col(headed).cast("int").alias("_h"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("place")), lambda n: F.slice("place", 1, n))
+    level = placed.select("place", F.explode(prefixes).alias("_p")).join(up, "_p").groupBy("place").agg(F.sum("_h").alias("_n"))
+    return placed.join(level, "place").where(F.col("_n") - 1 <= levels).drop("_n")

@@ -110,8 +110,175 @@ def judged(ranking: DataFrame, cut: int = 10) -> DataFrame:
     return got.join(first, "query").select("query", "precision", F.coalesce(F.col("dcg") / F.nullif(best, F.lit(0.0)), F.lit(0.0)).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
+def judged_neighbours(queries: DataFrame, vectors: DataFrame, label: str, cut: int = 10, key: str = "vec_id") -> DataFrame:
+    """query, precision, ndcg, rr of the ranking of vectors by distance to each of a stated set of queries (itself left out), relevant those of its label.
+
+    Only the nearest few leave a block. The first relevant one's rank is one more than the number of nearer ones, which is
+    counted only for queries without a relevant one among the few."""
+    own = queries.select(F.col(key).alias("query"), F.col(label).alias("m"), F.col("embedding").alias("q"))
+    of = vectors.select(F.col(key).alias("key"), F.col(label).alias("l"))
+    near = knn_join(queries, vectors, cut + 1, key).where("query != key").join(of, "key").join(own.select("query", "m"), "query")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).where(F.col("rank") <= cut)
+    gain = F.when(F.col("l") == F.col("m"), 1).otherwise(0)
+    some = ranked.groupBy("query").agg((F.sum(gain) / cut).alias("precision"), F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"), F.min(F.when(gain == 1, F.col("rank"))).alias("first"))
+    n = vectors.groupBy(F.col(label).alias("m")).agg(F.count("*").alias("n"))
+    sized = own.join(F.broadcast(n), "m", "left").select("query", "m", "q", F.least(F.coalesce("n", F.lit(1)) - 1, F.lit(cut)).alias("ideal"))
+    out = sized.join(some, "query", "left").select("query", "m", "q", "ideal", "precision", "dcg", "first")
+    late = out.where("first is null and ideal > 0").select("query", "m", "q")
+    far = vectors.join(F.broadcast(late), vectors[key] != late["query"]).select("query", F.col(key).alias("key"), (F.col(label) == F.col("m")).alias("same"), T.l2(F.col("embedding"), F.col("q")).alias("distance"))
+    place = F.struct("distance", "key")
+    least = far.where("same").groupBy("query").agg(F.min(place).alias("hit"))
+    behind = far.join(F.broadcast(least), "query").where(place < F.col("hit")).groupBy("query").agg((F.count("*") + 1).alias("later"))
+    best = F.aggregate(F.when(F.col("ideal") > 0, F.sequence(F.lit(1).cast("long"), F.col("ideal"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda x, r: x + 1 / F.log2(r + 1))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.join(F.broadcast(behind), "query", "left").select("query", zero(F.col("precision")).alias("precision"), zero(F.col("dcg") / F.nullif(best, F.lit(0.0))).alias("ndcg"), zero(1 / F.coalesce("first", "later")).alias("rr"))
+
+
 def upserted(stored: DataFrame, new: DataFrame, key: str = "sha256") -> DataFrame:
     """Stored rows with new ones in the place of those with their key; of several new ones the last by seq."""
     last = Window.partitionBy(key).orderBy(F.desc("seq"))
     own = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "seq")
     return stored.join(own.select(key), key, "left_anti").unionByName(own)
+
+
+#: How many more candidates than asked for a quantised search rescores.
+OVERSAMPLING = 3
+
+
+def quantized(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    """key, code (array of small integers), step: each vector in 8 bits a component, by its own largest component."""
+    step = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))) / 127
+    rows = vectors.select(key, F.col("embedding").alias("v"), F.when(step > 0, step).otherwise(F.lit(1.0)).alias("step"))
+    return rows.select(key, F.transform("v", lambda x: F.round(x.cast("double") / F.col("step")).cast("tinyint")).alias("code"), "step")
+
+
+def knn_quantized(codes: DataFrame, vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", oversampling: int = OVERSAMPLING) -> DataFrame:
+    """key, distance of the k nearest: k * oversampling candidates by their codes, rescored by their full vectors. Only the codes are read for all rows."""
+    q = F.array(*map(F.lit, map(float, query)))
+    near = F.sqrt(F.aggregate(F.zip_with("code", q, lambda c, x: (c * F.col("step") - x) * (c * F.col("step") - x)), F.lit(0.0), lambda s, x: s + x))
+    found = codes.select(key, F.round(near, 9).alias("_near")).orderBy("_near", key).limit(k * oversampling).select(key)
+    return knn(vectors.join(F.broadcast(found), key, "left_semi"), q, k, key)
+
+
+def centres(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, seed: int = 0) -> np.ndarray:
+    """The centres of an inverted file: k-means on a bounded sample, those of least hash."""
+    rows = vectors.where("embedding is not null").select(F.xxhash64(F.lit(seed), "embedding").alias("h"), F.col("embedding").cast("array<double>").alias("v"))
+    least = rows.count()
+    if least > sample:  # about as many as asked for, by their hash alone
+        rows = rows.where(F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * sample / least)))
+    points = np.array([r["v"] for r in rows.select("h", "v").orderBy("h", "v").collect()])
+    own = points[:: max(1, len(points) // lists)][:lists].copy()
+    for _ in range(rounds):
+        at = ((points[:, None, :] - own[None]) ** 2).sum(2).argmin(1) if len(points) * len(own) < 1 << 22 else np.concatenate([((p[:, None, :] - own[None]) ** 2).sum(2).argmin(1) for p in np.array_split(points, 1 + len(points) * len(own) // (1 << 22))])
+        for i in range(len(own)):
+            if (at == i).any():
+                own[i] = points[at == i].mean(0)
+    return own
+
+
+def in_lists(vectors: DataFrame, centre: np.ndarray, probes: int = 1, name: str = "list") -> DataFrame:
+    """vectors with the number of their nearest centre (probes: a row for each of the nearest ones). The centres go with the task."""
+    of = F.array(*(F.array(*map(F.lit, c.tolist())) for c in centre))
+    far = F.transform(of, lambda c, i: F.struct(T.l2(F.col("embedding"), c).alias("d"), i.alias("i")))
+    return vectors.withColumn(name, F.explode(F.transform(F.slice(F.array_sort(far), 1, probes), lambda x: x["i"])))
+
+
+def knn_by_lists(queries: DataFrame, indexed: DataFrame, centre: np.ndarray, k: int, probes: int = 8, key: str = "vec_id") -> DataFrame:
+    """query, key, distance, rank: the k nearest among the lists (see in_lists) nearest to each query. Approximate: recall grows with the probes."""
+    asked = in_lists(queries.select(F.col(key).alias("query"), "embedding"), centre, probes).select("query", "list", F.col("embedding").alias("q"))
+    found = indexed.join(asked, "list").select("query", F.col(key).alias("key"), T.l2(F.col("embedding"), F.col("q")).alias("distance"))
+    best = Window.partitionBy("query").orderBy("distance", "key")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def method_scores(scores: DataFrame, key: str, least: int = 150) -> DataFrame:
+    """method, key, score of the seven ways to rank passages (key, dense, sparse, multi, chars); "passages only" leaves out those shorter than least."""
+    dense, sparse, multi, long = F.col("dense"), F.col("sparse"), F.col("multi"), F.col("chars") >= least
+    both, all_three = dense + 0.3 * sparse, dense + 0.3 * sparse + multi
+    ways = {"dense": (dense, False), "dense, passages only": (dense, True), "sparse": (sparse, False), "multi-vector": (multi, False), "dense+sparse+multi": (all_three, False), "dense+sparse, passages only": (both, True), "all three, passages only": (all_three, True)}
+    rows = F.array(*(F.struct(F.lit(n).alias("method"), F.when(long | F.lit(not cut), s).alias("score")) for n, (s, cut) in ways.items()))
+    return scores.select(key, F.explode(rows).alias("m")).select("m.method", key, "m.score").where("score is not null")
+
+
+class Collections:
+    """Named vector collections in a folder that all machines share: each a table (key, ..., embedding) and its parameters."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, name: str, part: str) -> str:
+        return f"{self.path}/{name}/{part}"
+
+    def names(self) -> list[str]:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return sorted(r[0] for r in self.spark.read.json(f"{self.path}/*/parameters").select("name").distinct().collect())
+        except AnalysisException:
+            return []
+
+    def create(self, name: str, size: int, metric: str = "euclidean", quantised: bool = True, lists: int = 0) -> None:
+        if name in self.names():
+            raise ValueError(f"there is a collection {name}")
+        self.spark.createDataFrame([(name, size, metric, quantised, lists)], "name string, size int, metric string, quantised boolean, lists int").coalesce(1).write.json(self._at(name, "parameters"))
+
+    def parameters(self, name: str) -> dict:
+        if name not in self.names():
+            raise ValueError(f"no collection {name}")
+        return self.spark.read.json(self._at(name, "parameters")).first().asDict()
+
+    def drop(self, name: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def read(self, name: str) -> DataFrame | None:
+        """The rows, of the last version; None before the first upsert."""
+        versions = self._versions(name)
+        return self.spark.read.parquet(self._at(name, f"rows/v{versions[-1]}")) if versions else None
+
+    def _versions(self, name: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self._at(name, "rows"))
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        found = [f.getPath() for f in fs.listStatus(at)]
+        return sorted(int(p.getName()[1:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def upsert(self, name: str, new: DataFrame, key: str = "sha256") -> None:
+        """new (key, ..., embedding, seq) in the place of rows with their key, as a new version."""
+        size = self.parameters(name)["size"]
+        if not new.where(F.size("embedding") != size).isEmpty():
+            raise ValueError(f"vectors of {name} have {size} components")
+        stored = self.read(name)
+        rows = upserted(stored if stored is not None else new.drop("seq").limit(0), new, key)
+        rows.write.parquet(self._at(name, f"rows/v{(self._versions(name) or [0])[-1] + 1}"))
+
+    def reembed(self, source: str, target: str, embedding: Column, size: int) -> None:
+        """A new collection of the same rows with other vectors (a Column over the old rows)."""
+        if source == target:
+            raise ValueError("a collection can't be embedded into itself")
+        rows = self.read(source)
+        self.create(target, size)
+        rows.withColumn("embedding", embedding).write.parquet(self._at(target, "rows/v1"))
+
+
+def reembedded(rows: DataFrame, embedding: Column) -> DataFrame:
+    """The same rows with other vectors."""
+    return rows.withColumn("embedding", embedding)
+
+
+def by_sha(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Stored vectors (sha256, ...) of wanted digests (sha256), with the id of their point."""
+    return vectors.join(wanted.select("sha256").distinct(), "sha256", "left_semi").withColumn("point", T.point_id(F.col("sha256")))
+
+
+def to_embed(texts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (sha256, url, text) whose vector isn't stored, one for each digest; and stored vectors (sha256, url, ...) whose text now stands
+    at another url, with that url (the least)."""
+    known = vectors.select("sha256").distinct()
+    new = texts.join(known, "sha256", "left_anti").groupBy("sha256").agg(F.min(F.struct("url", "text")).alias("t")).select("sha256", "t.url", "t.text")
+    at = texts.groupBy("sha256").agg(F.min("url").alias("_url"), F.collect_set("url").alias("_urls"))
+    moved = vectors.join(at, "sha256").where(~F.array_contains("_urls", F.col("url"))).withColumn("url", F.col("_url")).drop("_url", "_urls")
+    return new, moved

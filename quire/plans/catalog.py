@@ -92,12 +92,15 @@ def elems_without_file(spark, d):
     return maintain.orphans(t.lineitem, kept, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT n_name AS name, coalesce(suppliers, []) AS suppliers FROM nation LEFT JOIN (SELECT s_nationkey, list(s_name ORDER BY s_suppkey) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
+@query("""SELECT p AS path, coalesce(n_name, p) AS name, list(u ORDER BY o) AS urls FROM (SELECT p, u, min(o) AS o FROM (SELECT 'n' || (s_nationkey + 3) AS p, s_suppkey AS o, 'http://m/' || (s_suppkey % 40) || '.png' AS u FROM supplier) GROUP BY p, u)
+LEFT JOIN nation ON 'n' || n_nationkey = p GROUP BY ALL""")
 def author_media_left(spark, d):
+    from quire.operators.catalog import media_of
+
     t = Tables(spark, d)
-    media = t.supplier.where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"]).alias("suppliers"))
-    out = t.nation.join(media, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return out.select(F.col("n_name").alias("name"), F.coalesce("suppliers", F.array().cast("array<string>")).alias("suppliers"))
+    media = t.supplier.select(F.concat(F.lit("n"), F.col("s_nationkey") + 3).alias("path"), F.concat(F.lit("http://m/"), F.col("s_suppkey") % 40, F.lit(".png")).alias("url"), "s_suppkey")
+    authors = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("str_id"), F.col("n_name").alias("display_name"))
+    return media_of(authors, media, "str_id", "path", "url", "s_suppkey")
 
 
 @query("SELECT i AS place, CAST(k AS BIGINT) AS id, p_name AS name FROM (SELECT unnest([5, 1, 99, 5, 42]) AS k, unnest(range(0, 5)) AS i) JOIN part ON p_partkey = k")
@@ -197,9 +200,9 @@ def dav_frontier(spark, d):
     return tree.frontier(tree.paths(e).join(e.select("id", "parent_id"), "id"), 1).select("path")
 
 
-@query(f"WITH {W}, {P} SELECT doc_id, nth, sha256(text) AS sha FROM p WHERE nth <= 3")
+@query(f"WITH {W}, {P} SELECT doc_id, nth, sha256(text) AS sha FROM p")
 def paragraph_sha(spark, d):
-    return lines(works(Tables(spark, d).documents)).where("nth <= 3").select("doc_id", "nth", F.sha2("text", 256).alias("sha"))
+    return lines(works(Tables(spark, d).documents)).select("doc_id", "nth", F.sha2("text", 256).alias("sha"))
 
 
 SQUEEZE = "trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
@@ -281,14 +284,19 @@ def nearest_ancestor(spark, d):
     return relocate.nearest(docs.select("doc_id", F.concat(up, F.lit("/d"), F.col("doc_id")).alias("path")), "path", live).select("doc_id", "ancestor")
 
 
-RELOCATIONS = "r AS (SELECT 'p' || i AS old, 'p' || (CASE WHEN i % 10 = 9 THEN i - 3 ELSE i + 1 END) AS new FROM range(0, 200) t(i) WHERE i % 10 <> 4)"
+# Chains of up to fourteen moves; every third ends in a loop. Some old paths lack their slash, new ones have an ending.
+RELOCATIONS = "r AS (SELECT '/src/p' || doc_id AS old, '/src/p' || (CASE WHEN doc_id % 15 < 14 THEN doc_id + 1 ELSE doc_id - 3 END) AS new FROM documents WHERE doc_id % 15 < 14 OR (doc_id // 15) % 3 = 0)"
 
 
-@query(f"WITH RECURSIVE {RELOCATIONS}, s AS (SELECT old AS path, old AS p, [old] AS seen FROM r UNION ALL SELECT path, new, list_append(seen, new) FROM s JOIN r ON r.old = s.p WHERE NOT list_contains(seen, new) AND len(seen) <= 10) SELECT path, max(CASE WHEN q.old IS NULL THEN p END) AS target FROM s LEFT JOIN (SELECT old FROM r) q ON q.old = p GROUP BY path")
+@query(f"""WITH RECURSIVE {RELOCATIONS}, s AS (SELECT '/src/p' || doc_id AS path, '/src/p' || doc_id AS pos, ['/src/p' || doc_id] AS seen, 0 AS hop, FALSE AS loop FROM documents
+UNION ALL SELECT path, new, list_append(seen, new), hop + 1, list_contains(seen, new) AND hop + 1 < 10 FROM s JOIN r ON r.old = pos WHERE hop < 10 AND NOT loop)
+SELECT path, CASE WHEN arg_max(loop, hop) OR arg_max(pos, hop) = path THEN NULL ELSE arg_max(pos, hop) END AS target FROM s GROUP BY path""")
 def relocation_resolve(spark, d):
-    i = F.col("id")
-    r = spark.range(200).where("id % 10 != 4").select(F.concat(F.lit("p"), i).alias("old"), F.concat(F.lit("p"), F.when(i % 10 == 9, i - 3).otherwise(i + 1)).alias("new"))
-    return relocate.resolved(r, r.select(F.col("old").alias("path")))
+    i = F.col("doc_id")
+    docs = Tables(spark, d).documents
+    to = F.when(i % 15 < 14, i + 1).when(F.floor(i / 15) % 3 == 0, i - 3)
+    r = docs.where(to.isNotNull()).select(F.concat(F.when(i % 4 == 1, "src/p").otherwise("/src/p"), i).alias("old"), F.concat(F.lit("/src/p"), to, F.lit(".html")).alias("new"))
+    return relocate.resolved(r, docs.select(F.concat(F.lit("/src/p"), i).alias("path")))
 
 
 @query(f"WITH {OLD}, {NEW}, g AS (SELECT path, parent FROM o WHERE path NOT IN (SELECT path FROM n)) SELECT g.path AS old, '/' || parent || '/d' AS up FROM g WHERE EXISTS (SELECT 1 FROM n WHERE n.parent = g.parent)")
@@ -347,9 +355,9 @@ def progress_latest(spark, d):
     return state.progress(e, "user_id", "event_type", "ts", "division", "event_id")
 
 
-@query("SELECT user_id, event_type, count(*) AS touches, count(*) >= 3 AS read FROM events WHERE value > 20 GROUP BY ALL")
+@query("SELECT user_id, event_type, count(*) AS touches, count(*) >= 3 AS read FROM events GROUP BY ALL")
 def progress_touch_read(spark, d):
-    e = Tables(spark, d).events.where("value > 20")
+    e = Tables(spark, d).events
     return state.progress(e, "user_id", "event_type", "ts", "event_id", "event_id").select("user_id", "event_type", "touches", "read")
 
 
@@ -358,16 +366,16 @@ def attention_sum(spark, d):
     return state.attention(Tables(spark, d).events, ["user_id", "event_type"], "value").select("user_id", "event_type", F.round("attention_seconds", 2).alias("attention_seconds"))
 
 
-@query("WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 3 AS division FROM events), c AS (SELECT user_id, arg_max(division, (ts, event_id)) AS division FROM e GROUP BY user_id) SELECT user_id, round(arg_max(least(greatest(value / 50, 0), 1), ts), 6) AS scroll FROM e JOIN c USING (user_id, division) GROUP BY user_id")
+@query("WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) % 3 AS division FROM events), c AS (SELECT user_id, arg_max(division, (ts, event_id)) AS division FROM e GROUP BY user_id) SELECT user_id, round(arg_max(least(greatest(value / 50, 0), 1), (ts, event_id)), 6) AS scroll FROM e JOIN c USING (user_id, division) GROUP BY user_id")
 def scroll_clamped(spark, d):
     e = Tables(spark, d).events.withColumn("division", F.get_json_object("props", "$.k").cast("int") % 3).withColumn("fraction", F.col("value") / 50)
     now = e.groupBy("user_id").agg(F.max_by("division", F.struct("ts", "event_id")).alias("division"))
-    return state.scrolls(e, now, ["user_id"], "division", "fraction", "ts").select("user_id", F.round("scroll", 6).alias("scroll"))
+    return state.scrolls(e, now, ["user_id"], "division", "fraction", "ts", "event_id").select("user_id", F.round("scroll", 6).alias("scroll"))
 
 
-@query("WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey < 200), m AS (SELECT DISTINCT l_partkey, -l_partkey AS place FROM l WHERE l_partkey % 3 = 0) SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY place NULLS LAST, l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM l LEFT JOIN m USING (l_partkey)")
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), m AS (SELECT DISTINCT l_partkey, -l_partkey AS place FROM l WHERE l_partkey % 3 = 0) SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY place NULLS LAST, l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM l LEFT JOIN m USING (l_partkey)")
 def collection_reorder(spark, d):
-    items = Tables(spark, d).lineitem.where("l_orderkey < 200").withColumn("old", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    items = Tables(spark, d).lineitem.withColumn("old", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
     listed = items.where("l_partkey % 3 = 0").select("l_partkey", (-F.col("l_partkey")).alias("place")).distinct()
     return state.reordered(items, listed, "l_orderkey", "l_partkey", "old").select("l_orderkey", "l_linenumber", "l_partkey", L("position"))
 
@@ -377,9 +385,16 @@ def next_sort_order(spark, d):
     return state.next_order(Tables(spark, d).lineitem, "l_orderkey", "l_linenumber").select("l_orderkey", L("next_order"))
 
 
-@query("SELECT event_id, CASE WHEN n = 1 THEN event_type ELSE event_type || ' (' || n || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)")
+@query("""WITH RECURSIVE o AS (SELECT c_nationkey AS owner, c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment || ' (2)' ELSE c_mktsegment END AS base, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+s AS (SELECT owner, id, base AS name, k, [base] AS used FROM o WHERE k = 1
+UNION ALL SELECT owner, id, name, k, list_append(used, name) FROM (
+  SELECT o.owner, o.id, o.k, used, CASE WHEN NOT list_contains(used, base) THEN base ELSE list_filter(list_transform(range(2, len(used) + 3), lambda n: base || ' (' || n || ')'), lambda x: NOT list_contains(used, x))[1] END AS name
+  FROM s JOIN o ON o.owner = s.owner AND o.k = s.k + 1))
+SELECT id, name FROM s""")
 def saved_search_unique_name(spark, d):
-    return state.unique_names(Tables(spark, d).events.withColumn("name", F.col("event_type")), "user_id", "name", "event_id").select("event_id", "name")
+    base = F.when(F.col("c_custkey") % 7 == 0, F.concat("c_mktsegment", F.lit(" (2)"))).otherwise(F.col("c_mktsegment"))
+    own = Tables(spark, d).customer.select(F.col("c_nationkey").alias("owner"), F.col("c_custkey").alias("id"), base.alias("name"))
+    return state.unique_names(own, "owner", "name", "id").select("id", "name")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events), g AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id
@@ -393,15 +408,19 @@ def failure_backoff(spark, d):
     return spark.range(1, 15).select(F.col("id").alias("attempts"), T.backoff_hours(F.col("id")).alias("hours"))
 
 
-@query("SELECT event_type AS model, count(*) AS batches, round(avg(value), 6) AS mean, round(sum(value), 2) AS total, max(value) AS longest FROM events GROUP BY event_type")
+@query("SELECT event_type AS model, count(*) AS batches, round(avg(value), 6) AS mean, round(sum(value), 2) AS total, max(event_id % 60) AS longest, round(sum(value) / sum(event_id % 60), 6) AS rate FROM events GROUP BY event_type")
 def embedding_batch_stats(spark, d):
-    return Tables(spark, d).events.groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("batches"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("longest"))
+    from quire.operators.catalog import batch_stats
+
+    e = Tables(spark, d).events.select(F.col("event_type").alias("model"), "value", (F.col("event_id") % 60).alias("seconds"))
+    return batch_stats(e, ["model"], "value", "seconds").select("model", "batches", F.round("mean", 6).alias("mean"), F.round("total", 2).alias("total"), "longest", F.round("rate", 6).alias("rate"))
 
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) ORDER BY CAST(n > 1 AS INT), doc_id LIMIT 10")
 def language_diverse_pick(spark, d):
-    r = S.ranked(Tables(spark, d).documents, ["lang"], F.asc("doc_id"), name="n")
-    return r.orderBy((F.col("n") > 1).cast("int"), "doc_id").limit(10).select("doc_id", "lang")
+    from quire.operators.catalog import first_of_each
+
+    return first_of_each(Tables(spark, d).documents.select("doc_id", "lang"), "lang", "doc_id", 10)
 
 
 @query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3) WHERE k <= 14")
@@ -428,10 +447,10 @@ def html_title_text(spark, d):
     return Tables(spark, d).pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query("SELECT event_id, map_keys(m) AS keys FROM (SELECT event_id, map_from_entries(list_filter([('k', json_extract_string(props, '$.k')), ('type', CASE WHEN value > 20 THEN event_type END)], lambda x: x[2] IS NOT NULL)) AS m FROM events)")
+@query("SELECT event_id, map_keys(m) AS keys, map_values(m) AS vals FROM (SELECT event_id, map_from_entries(list_filter([('k', json_extract_string(props, '$.k')), ('type', CASE WHEN value > 20 THEN event_type END)], lambda x: x[2] IS NOT NULL)) AS m FROM events)")
 def event_details_nonnull(spark, d):
     m = T.event_details(k=F.get_json_object("props", "$.k"), type=F.when(F.col("value") > 20, F.col("event_type")))
-    return Tables(spark, d).events.select("event_id", F.map_keys(m).alias("keys"))
+    return Tables(spark, d).events.select("event_id", F.map_keys(m).alias("keys"), F.map_values(m).alias("vals"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 > 0 THEN json_extract_string(props, '$.k') END AS k FROM events")
@@ -453,10 +472,24 @@ def enrichment_fill_blanks(spark, d):
     return maintain.enriched(s, s.select("id", F.concat(F.lit("given "), F.col("id")).alias("bio")), "id", ["bio"])
 
 
-@query("SELECT doc_id, lang, CAST(repo AS BIGINT) AS repo FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY repo) AS n FROM (SELECT doc_id, lang, 1 AS repo, doc_id % 300 AS name FROM documents WHERE doc_id < 200 UNION ALL SELECT doc_id, lang, 2, doc_id % 300 FROM documents WHERE doc_id >= 300 AND doc_id < 600)) WHERE n = 1 AND repo = 2")
+REPOS = "(SELECT doc_id, lang, name, CASE WHEN source IN ('src1', 'src3', 'src5') THEN 1 WHEN source IN ('src2', 'src4') THEN 2 ELSE 3 END AS repo FROM (SELECT *, lang || '/' || (doc_id // 3) AS name FROM documents))"
+
+
+def repositories(spark, d) -> list[DataFrame]:
+    docs = Tables(spark, d).documents.select("doc_id", "lang", "source", F.concat("lang", F.lit("/"), F.floor(F.col("doc_id") / 3)).alias("name"))
+    first, second = F.col("source").isin("src1", "src3", "src5"), F.col("source").isin("src2", "src4")
+    return [docs.where(w).drop("source") for w in (first, second, ~(first | second))]
+
+
+@query(f"SELECT name, CAST(min(repo) AS BIGINT) AS repo FROM {REPOS} GROUP BY name")
 def combined_repo_first(spark, d):
     from quire.sources.repos import combined
 
-    docs = Tables(spark, d).documents.select("doc_id", "lang", (F.col("doc_id") % 300).alias("name"))
-    first, second = docs.where("doc_id < 200"), docs.where("doc_id >= 300 and doc_id < 600")
-    return combined([first, second], "name").where("repo = 2").select("doc_id", "lang", "repo")
+    return combined([r.select("name").distinct() for r in repositories(spark, d)]).select("name", "repo")
+
+
+@query(f"SELECT doc_id, name, CAST(repo AS BIGINT) AS repo FROM {REPOS} WHERE repo <> 2")
+def combined_repo_list(spark, d):
+    from quire.sources.repos import union_all
+
+    return union_all(repositories(spark, d), [True, False, True]).select("doc_id", "name", "repo")

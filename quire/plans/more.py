@@ -34,12 +34,20 @@ def works_left_authors(spark, d):
     return out.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
-@query("SELECT r_name AS author, p_name AS work, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_quantity > 45 GROUP BY ALL")
+@query("SELECT p_partkey AS work, s_name AS author FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey")
 def bridge_join_counts(spark, d):
+    from quire.operators.catalog import with_authors
+
+    works, of, authors = bridge(spark, d)
+    return with_authors(works, of, authors).select(F.col("id").alias("work"), F.col("name").alias("author"))
+
+
+def bridge(spark, d):
+    """Parts as works, suppliers as authors, order lines as the bridge between them."""
     t = Tables(spark, d)
-    own = t.lineitem.where("l_quantity > 45").join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    own = own.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return own.groupBy(F.col("r_name").alias("author"), F.col("p_name").alias("work")).agg(F.count("*").alias("n"))
+    works = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("file_id"), F.col("p_name").alias("head"))
+    of = t.lineitem.select(F.col("l_partkey").alias("file_id"), F.col("l_suppkey").alias("author_id")).distinct()
+    return works, of, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_acctbal")
 
 
 @query("SELECT conv_id, a.turn AS turn, b.turn AS next, b.role AS next_role FROM conversations a JOIN conversations b USING (conv_id) WHERE b.turn = a.turn + 1")
@@ -49,9 +57,15 @@ def sibling_self_join(spark, d):
     return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", "next", "next_role")
 
 
-@query("SELECT page_id, coalesce(regexp_matches(html, '(?i)track') AND NOT regexp_matches(url, '(?i)bot|crawl|spam'), FALSE) AS modern FROM pages")
+AGENTS = ("Mozilla/5.0 Chrome/120.0 Safari/537.36", "Mozilla/5.0 (compatible; Googlebot/2.1) Chrome/120", "curl/8.1", "Mozilla/5.0 Firefox/121.0", "Lynx/2.8", "", "Opera/9.8 OPR/70")
+
+
+@query(f"""SELECT page_id, coalesce(trim(a) <> '' AND regexp_matches(a, '(?i)Chrome/|Chromium/|CriOS/|Edg/|OPR/|Firefox/|FxiOS/|Safari/') AND NOT regexp_matches(a, '(?i)bot|crawl|spider|curl|wget|python-requests|httpclient|okhttp|libwww|lynx|links|w3m|postman|axios|go-http-client|java/'), FALSE) AS modern
+FROM (SELECT page_id, CASE WHEN page_id % 8 < 7 THEN [{', '.join(repr(a) for a in AGENTS)}][1 + page_id % 8] END AS a FROM pages)""")
 def user_agent_filter(spark, d):
-    return Tables(spark, d).pages.select("page_id", F.coalesce(F.col("html").rlike("(?i)track") & ~F.col("url").rlike("(?i)bot|crawl|spam"), F.lit(False)).alias("modern"))
+    agents = F.array(*map(F.lit, AGENTS))
+    agent = F.try_element_at(agents, (F.col("page_id") % 8 + 1).cast("int"))
+    return Tables(spark, d).pages.select("page_id", T.is_modern_browser(agent).alias("modern"))
 
 
 @query("SELECT DISTINCT sha256(text) AS sha FROM conversations WHERE length(text) BETWEEN 20 AND 3000")
@@ -75,20 +89,20 @@ def find_by_sha(spark, d):
     return docs.join(F.broadcast(docs.where("doc_id in (3, 5, 8)").select("sha").distinct()), "sha", "left_semi").join(t.embeddings, F.col("vec_id") == F.col("doc_id")).select("doc_id", "label")
 
 
-@query("SELECT vec_id, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE) * 2, 6)) AS head FROM embeddings WHERE label = 1")
+@query("SELECT vec_id, label, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 2, 6)) AS embedding FROM embeddings")
 def reembed_collection(spark, d):
-    e = Tables(spark, d).embeddings.where("label = 1").withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * 2))
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 6)).alias("head"))
+    again = V.reembedded(Tables(spark, d).embeddings, F.transform("embedding", lambda x: F.round(x.cast("double") * 2, 6)))
+    return again.select("vec_id", "label", "embedding")
 
 
-@query("WITH l AS (SELECT 'p' || i AS old, 'p' || (i + 100) AS new FROM range(0, 50) t(i)), m AS (SELECT 'p' || (i + 100) AS old, 'q' || i AS new FROM range(0, 50, 2) t(i)) SELECT l.old, coalesce(m.new, l.new) AS new FROM l LEFT JOIN m ON m.old = l.new WHERE l.old NOT IN ('p1', 'p2') UNION ALL SELECT old, new FROM m")
+@query("""WITH l AS (SELECT 'p' || doc_id AS old, 'p' || (doc_id + 1000000) AS new, doc_id FROM documents), m AS (SELECT 'p' || (doc_id + 1000000) AS old, 'q' || doc_id AS new FROM documents WHERE doc_id % 2 = 0)
+SELECT l.old, coalesce(m.new, l.new) AS new FROM l LEFT JOIN m ON m.old = l.new WHERE doc_id % 10 <> 3 UNION ALL SELECT old, new FROM m""")
 def relocation_repoint(spark, d):
-    i = F.col("id")
-    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    earlier = spark.range(50).select(name("p", i).alias("old"), name("p", i + 100).alias("new"), F.lit("MOVED").alias("reason"))
-    moves = spark.range(0, 50, 2).select(name("p", i + 100).alias("old"), name("q", i).alias("new"), F.lit("MOVED").alias("reason"))
-    live = spark.createDataFrame([("p1",), ("p2",)], "path string")
-    return relocate.repointed(earlier, moves, live).select("old", "new")
+    i, docs = F.col("doc_id"), Tables(spark, d).documents
+    name = lambda p, c: F.concat(F.lit(p), c)
+    earlier = docs.select(name("p", i).alias("old"), name("p", i + 1000000).alias("new"), F.lit("MOVED").alias("reason"))
+    moves = docs.where(i % 2 == 0).select(name("p", i + 1000000).alias("old"), name("q", i).alias("new"), F.lit("MOVED").alias("reason"))
+    return relocate.repointed(earlier, moves, docs.where(i % 10 == 3).select(name("p", i).alias("path"))).select("old", "new")
 
 
 @query("SELECT s_suppkey AS id, split_part(s_name, '#', 2) AS last, split_part(s_name, '#', 1) AS first FROM supplier")
@@ -103,28 +117,48 @@ def text_preview(spark, d):
     return works(Tables(spark, d).documents).select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS safe FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS safe FROM pages")
 def xml_escape(spark, d):
-    return Tables(spark, d).pages.select("page_id", T.escape_xml(F.substring("html", 1, 200)).alias("safe"))
+    return Tables(spark, d).pages.select("page_id", T.escape_xml(F.col("html")).alias("safe"))
 
 
-@query("SELECT p_partkey AS id, p_name AS title, p_brand AS author, CAST(NULL AS VARCHAR) AS editor FROM part WHERE p_partkey < 500")
-def cover_metadata(spark, d):
-    card = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title> '), "p_name", F.lit("</title><author>"), "p_brand", F.lit("</author></titleStmt></fileDesc></teiHeader></TEI>"))
-    m = xml.book_metadata(F.col("x"))
-    rows = Tables(spark, d).part.where("p_partkey < 500").select(F.col("p_partkey").alias("id"), card.alias("x"))
-    return rows.select("id", m.alias("m")).select("id", "m.title", "m.author", "m.editor")
+COVER = "title author editor translator pubPlace date isbn series volume genre edition_notice subtitle tagline_quote language publisher".split()
 
 
-@query("SELECT lang FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT lang FROM documents WHERE n_chars > 1000")
+@query("""SELECT p_partkey AS id, p_name AS title, p_brand AS author, 'E' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN 'F' ELSE '' END AS editor, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END AS translator, 'Town ' || p_partkey AS "pubPlace",
+'19' || (p_partkey % 100) AS date, 'isbn-' || p_partkey AS isbn, p_type AS series, CAST(p_partkey % 9 AS VARCHAR) AS volume, 'novel' || CASE WHEN p_partkey % 2 = 0 THEN 'verse' ELSE '' END AS genre, 'Edition of ' AS edition_notice,
+CASE WHEN p_partkey % 4 = 0 THEN 'sub ' || p_partkey ELSE '' END AS subtitle, 'to ' || p_type AS tagline_quote, CASE WHEN p_partkey % 5 > 0 THEN 'ro' ELSE '' END AS language, 'Biblioteca' AS publisher FROM part""")
+def cover_metadata(spark, d):
+    k = F.col("p_partkey")
+    when = lambda m, text: F.when(k % m == 0, text).otherwise("")
+    header = F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><editor>E'), k, F.lit("</editor>"), when(2, "<editor role='editor'>F</editor>"), when(3, F.concat(F.lit("<editor role='translator'>"), "p_brand", F.lit("</editor>"))),
+        F.lit("</titleStmt><editionStmt><edition>Edition of <date>19"), k % 100, F.lit("</date></edition></editionStmt><publicationStmt><pubPlace>Town "), k, F.lit("</pubPlace></publicationStmt><seriesStmt><title>"), "p_type",
+        F.lit("</title><biblScope unit='page'>1</biblScope><biblScope unit='volume'>"), k % 9, F.lit("</biblScope></seriesStmt><sourceDesc><bibl><idno type='ISBN'>isbn-"), k, F.lit("</idno><idno>other</idno></bibl></sourceDesc></fileDesc><profileDesc><textClass><keywords><term>novel</term>"),
+        when(2, "<term>verse</term>"), F.lit("</keywords></textClass></profileDesc></teiHeader></TEI>"),
+    )
+    work = F.concat(F.lit("<div xmlns='http://www.tei-c.org/ns/1.0'>"), when(4, F.concat(F.lit("<subtitle>sub "), k, F.lit("</subtitle>"))), F.lit("<epigraph><p>to "), "p_type", F.lit("</p></epigraph><div><epigraph>inner</epigraph></div></div>"))
+    m = xml.book_metadata(header, work, F.col("p_name"), F.col("p_brand"), F.when(k % 5 > 0, "ro"))
+    return Tables(spark, d).part.select(k.alias("id"), m.alias("m")).select("id", *(F.col("m")[c].alias(c) for c in COVER))
+
+
+@query("SELECT source FROM documents WHERE lang = 'fr' INTERSECT SELECT source FROM documents WHERE lang = 'de'")
 def languages_in_both(spark, d):
     docs = Tables(spark, d).documents
-    return docs.where("doc_id % 2 = 0").select("lang").intersect(docs.where("n_chars > 1000").select("lang"))
+    return docs.where("lang = 'fr'").select("source").intersect(docs.where("lang = 'de'").select("source"))
 
 
-@query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next_id, count(*) FILTER (o_orderstatus = 'F') AS moved, count(*) FILTER (o_orderstatus <> 'F') AS dropped FROM orders")
+@query("""WITH b AS (SELECT '/' || source || '/d' || doc_id AS path, doc_id FROM documents), a AS (SELECT path FROM b WHERE doc_id % 5 <> 0), m AS (SELECT path AS old, CASE WHEN doc_id % 10 = 0 THEN 'MOVED' ELSE 'PARENT' END AS reason FROM b WHERE doc_id % 5 = 0 AND doc_id % 15 <> 0)
+SELECT count(*) FILTER (reason = 'MOVED') AS moved, count(*) FILTER (reason = 'PARENT') AS parent, (SELECT count(*) FROM b WHERE doc_id % 15 = 0) AS unrecognised,
+(SELECT count(*) FROM b WHERE doc_id % 4 = 0 AND doc_id % 5 = 0 AND doc_id % 15 <> 0) AS repointed, (SELECT count(*) FROM a JOIN b USING (path) WHERE doc_id % 7 = 0) AS dropped, (SELECT count(*) FROM b JOIN labels USING (doc_id) JOIN m ON old = path) AS "references" FROM m""")
 def outcome_counters(spark, d):
-    return Tables(spark, d).orders.agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_id"), F.count_if(F.col("o_orderstatus") == "F").alias("moved"), F.count_if(F.col("o_orderstatus") != "F").alias("dropped"))
+    from quire.operators.catalog import outcome
+
+    t, i = Tables(spark, d), F.col("doc_id")
+    b = t.documents.select("doc_id", F.concat(F.lit("/"), "source", F.lit("/d"), "doc_id").alias("path"))
+    moves = b.where((i % 5 == 0) & (i % 15 != 0)).select(F.col("path").alias("old"), F.concat(F.lit("/new"), "path").alias("new"), F.when(i % 10 == 0, "MOVED").otherwise("PARENT").alias("reason"))
+    earlier = b.where(i % 4 == 0).select(F.concat(F.lit("/was"), "path").alias("old"), F.col("path").alias("new")).unionAll(b.where(i % 7 == 0).select(F.col("path").alias("old"), F.lit("/x").alias("new")))
+    return outcome(b, b.where(i % 5 != 0), earlier, moves, b.join(t.labels, "doc_id").select("path"))
 
 
 @query("SELECT c_custkey AS id, least(greatest(c_acctbal / 10000, 0), 1) AS fraction, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS kept FROM customer")
@@ -133,10 +167,11 @@ def clamp_and_clear(spark, d):
     return Tables(spark, d).customer.select(F.col("c_custkey").alias("id"), T.clamp(F.col("c_acctbal") / 10000, 0, 1).alias("fraction"), name.alias("kept"))
 
 
-@query(f"WITH {W} SELECT lang, source || '/doc_' || doc_id AS path, sha256(text) AS digest FROM w WHERE doc_id < 100")
+@query(f"""WITH {W} SELECT '/' || lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, TRUE AS is_file, sha256(text) AS digest FROM w
+UNION ALL SELECT DISTINCT '/' || lang, FALSE, CAST(NULL AS VARCHAR) FROM w UNION ALL SELECT DISTINCT '/' || lang || '/' || source, FALSE, CAST(NULL AS VARCHAR) FROM w""")
 def export_tree(spark, d):
-    w = works(Tables(spark, d).documents).where("doc_id < 100")
-    return w.select("lang", F.element_at(tree.breadcrumb(F.col("path")), -1).alias("path"), F.sha2("text", 256).alias("digest"))
+    w = works(Tables(spark, d).documents).select("lang", F.col("source").alias("author"), F.concat(F.lit("doc_"), "doc_id").alias("name"), F.sha2("text", 256).alias("digest"))
+    return tree.virtual(w, ["lang", "author"], "name", ["digest"])
 
 
 @query("SELECT doc_id, n FROM (SELECT doc_id, (length(text) - length(replace(lower(text), 'the', ''))) / 3 AS k, CAST(len(string_split(lower(text), 'the')) - 1 AS BIGINT) AS n FROM documents) WHERE n > 20 ORDER BY n DESC, doc_id LIMIT 15")
@@ -145,7 +180,7 @@ def occurrences_topk(spark, d):
     return S.top(Tables(spark, d).documents.select("doc_id", n.alias("n")).where("n > 20"), "n", "doc_id", 15)
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), lambda w: NOT list_contains(string_split('der die das und ist nicht ein eine zu den mit sich auf von', ' '), w)) AS a FROM documents WHERE lang = 'de')
+@query("""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\\p{L}\\p{N}]+'), lambda w: NOT list_contains(string_split('der die das und ist nicht ein eine zu den mit sich auf von', ' '), w)) AS a FROM documents WHERE lang = 'de')
 SELECT doc_id, CAST(len(a) AS BIGINT) AS terms, CAST(len(list_distinct(list_transform(a, lambda w: regexp_replace(w, '^(.{4,}?)(?:ungen|keiten|heiten|ung|keit|heit|lich|isch|en|er|es|em|e|n|s)$', '\\1')))) AS BIGINT) AS stems FROM t""")
 def language_analyzer(spark, d):
     from quire.functions.analyze import analyzed

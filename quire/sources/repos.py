@@ -37,3 +37,73 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
     """key, value of a properties file: lines k=v, those with # left out."""
     lines = spark.read.text(path).where("trim(value) != '' and not ltrim(value) like '#%'")
     return lines.select(F.trim(F.substring_index("value", "=", 1)).alias("key"), F.trim(F.regexp_extract("value", "^[^=]*=(.*)$", 1)).alias("value"))
+
+
+def union_all(repos: list[DataFrame], enabled: list[bool] | None = None) -> DataFrame:
+    """What all enabled repositories list, names that several have included."""
+    out = None
+    for i, r in enumerate(repos, 1):
+        if enabled is None or enabled[i - 1]:
+            own = r.withColumn("repo", F.lit(i).cast("long"))
+            out = own if out is None else out.unionByName(own)
+    return repos[0].limit(0).withColumn("repo", F.lit(0).cast("long")) if out is None else out
+
+
+#: What a repository lists if it isn't told otherwise.
+GLOBS = ("**/*.tei.xml", "**/*.xml")
+
+
+def matches_globs(name: Column, globs: tuple[str, ...] = GLOBS) -> Column:
+    """Whether a name below the root matches any of some globs: ** any folders, * and ? within one. Names that leave the root match none."""
+    found = F.lit(False)
+    for g in globs:
+        found = found | name.rlike("^" + _regex(g) + "$")
+    leaves = F.exists(F.split(name, "/"), lambda s: s == "..") | F.startswith(name, F.lit("/"))
+    return F.coalesce(found & ~leaves, F.lit(False))
+
+
+def _regex(glob: str) -> str:
+    import re
+
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob)
+    kinds = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "".join(kinds.get(p) or re.escape(p) for p in parts if p)
+
+
+def globbed(files: DataFrame, globs: tuple[str, ...] = GLOBS) -> DataFrame:
+    """Listed files (name, ...) that match any of the globs, each once, by name."""
+    return files.where(matches_globs(F.col("name"), globs)).dropDuplicates(["name"]).orderBy("name")
+
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of a resource, each once, trimmed, without those that begin with #."""
+    return spark.read.text(path).select(F.trim("value").alias("value")).where("not value like '#%'").distinct()
+
+
+def special_authors(spark: SparkSession, path: str) -> DataFrame:
+    """display_name, str_id, first_name, last_name of lines key=str_id;first;last;display; an error for a line without four parts."""
+    parts = F.split(F.regexp_extract("value", "^[^=]*=(.*)$", 1), ";", -1)
+    checked = F.when(F.size(parts) == 4, parts).otherwise(F.raise_error(F.lit("a special author has four parts")).cast("array<string>"))
+    rows = entries(spark, path).where("value != ''").select(checked.alias("p"))
+    return rows.select(*(F.trim(F.col("p")[i]).alias(n) for i, n in ((3, "display_name"), (0, "str_id"), (1, "first_name"), (2, "last_name"))))
+
+
+def in_batches(rows: DataFrame, key: str, size: int = 1000):
+    """The rows in order of a key, as lists of some size: a stream over partitions, of which one is here at a time."""
+    held = []
+    for r in rows.orderBy(key).toLocalIterator(prefetchPartitions=True):
+        held.append(r)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def binary_object(content: Column, xml_id: str) -> Column:
+    """The bytes of the embedded object with this xml:id; null if there is none."""
+    from quire.functions import xml
+    from quire.functions.text import binary_object as decoded
+
+    found = F.xpath(xml.plain(content), F.lit(f"//binaryObject[@*[name()='xml:id' or local-name()='id']='{xml_id}']/text()"))
+    return F.when(F.size(found) > 0, decoded(F.array_join(found, "")))
