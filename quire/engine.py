@@ -2,7 +2,8 @@
 
 Tables: authors (id, str_id, first_name, last_name, display_name, original_name), files (id, filename, author_id, repo),
 divisions (id, parent_id, file_id, path, head, lang, pos, depth, root_id), paragraphs (div_id, path, nth, text, sha256),
-vectors (sha256, url, embedding), relocations (old, new, reason)."""
+vectors (sha256, url, embedding), relocations (old, new, reason), and, where files have several authors, file_authors
+(file_id, author_id) in the place of files.author_id."""
 
 from __future__ import annotations
 
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import relocate, search, tree, vectors
+from quire.operators import catalog, relocate, search, tree, vectors
+from quire.operators.fulltext import Index
 
 
 def hash_embedding(text: str, size: int = 64) -> list[float]:
@@ -37,6 +39,8 @@ class Corpus:
     paragraphs: DataFrame
     vectors: DataFrame | None = None
     relocations: DataFrame | None = None
+    file_authors: DataFrame | None = None
+    index: Index | None = None
     embed: object = field(default=hash_embedding)
 
     # search
@@ -61,7 +65,12 @@ class Corpus:
         return tree.leaves(self.divisions).select("id", "path", "head", "lang").join(text, "id")
 
     def full_text(self, q: str, limit: int | None = None, scopes: list[str] | None = None) -> DataFrame:
+        """Of a stored index where there is one, else of the texts themselves."""
         docs = self.leaf_texts()
+        if self.index is not None:
+            search.query_terms(q)
+            hits = self.index.search(q, search.search_limit(limit), T.in_scope(F.col("key"), T.normal_scopes(scopes))).select(F.col("key").alias("path"), "score")
+            return F.broadcast(hits).join(docs, "path").orderBy(F.desc("score"), "path")
         hits = search.bm25(docs, "path", q, search.search_limit(limit), F.col("content"), F.coalesce("head", F.lit("")), T.in_scope(F.col("path"), T.normal_scopes(scopes)))
         return hits.join(docs, "path").orderBy(F.desc("score"), "path")
 
@@ -83,8 +92,18 @@ class Corpus:
     # catalogue
 
     def works(self) -> DataFrame:
-        own = self.divisions.where("parent_id is null").join(self.files.select(F.col("id").alias("file_id"), "author_id", "repo", "filename"), "file_id", "left")
-        return own.join(self.authors.select(F.col("id").alias("author_id"), "str_id", "first_name", "last_name", "display_name"), "author_id", "left")
+        """A row for each work and author; works without an author have one row."""
+        own = self.divisions.where("parent_id is null").join(self.files.select(F.col("id").alias("file_id"), "repo", "filename"), "file_id", "left")
+        return catalog.with_authors(own, self.bridge(), self.authors.select("id", "str_id", "first_name", "last_name", "display_name"), "left")
+
+    def bridge(self) -> DataFrame:
+        """file_id, author_id."""
+        return self.files.select(F.col("id").alias("file_id"), "author_id").where("author_id is not null") if self.file_authors is None else self.file_authors.select("file_id", "author_id")
+
+    def index_documents(self) -> DataFrame:
+        """key, work, lang, head, content: what an index of this corpus holds."""
+        work = F.array_join(F.slice(T.path_fragments(F.col("path")), 1, 2), "/")
+        return self.leaf_texts().select(F.col("path").alias("key"), work.alias("work"), "lang", "head", "content")
 
     def works_page(self, q: str | None = None, lang: str | None = None, page: int = 1, size: int = 12) -> DataFrame:
         return search.page(self._works(q, lang), ["id"], page, size)
@@ -162,6 +181,30 @@ class Corpus:
         div = self.by_path(m.group(1)).select(F.col("id").alias("div_id"))
         return self.paragraphs.where(F.col("nth") == int(m.group(2))).join(div, "div_id", "left_semi")
 
+    def at(self, path: str) -> DataFrame:
+        """The one division at a path; ValueError for fewer than two segments, LookupError for none, RuntimeError for several."""
+        if len([s for s in path.split("/") if s]) < 2:
+            raise ValueError("a path has two segments at least")
+        found = self.by_path(path)
+        n = found.limit(2).count()
+        if n != 1:
+            raise RuntimeError(f"several divisions at {path}") if n else LookupError(f"nothing at {path}")
+        return found
+
+    def context(self, division) -> DataFrame:
+        """A division with those before and after it in its work; ValueError if it is none of it."""
+        root = self.divisions.where(F.col("id") == division).select("root_id")
+        rows = self.divisions.join(F.broadcast(root.limit(1)), "root_id", "left_semi")
+        return tree.member_neighbours(rows, "root_id", "pos", "id", division)
+
+    def located(self, items: DataFrame, path: str = "path") -> DataFrame:
+        """Items with the id and head of what is at their path."""
+        return catalog.located(items, self.divisions, path)
+
+    def authors_by_work(self) -> DataFrame:
+        """A row for each work with all its authors."""
+        return catalog.works_with_author_lists(self.works(), "id", ["path", "head", "lang", "filename"], ["str_id", "display_name"], "str_id")
+
     def toc(self, root_id) -> DataFrame:
         rows = self.divisions.where(F.col("root_id") == root_id)
         return tree.neighbours(rows, "root_id", "pos", "id").orderBy("pos")

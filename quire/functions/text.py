@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -301,8 +302,6 @@ def sha3(c: Column) -> Column:
     """SHA3-256 in hex, which the JVM functions don't have."""
     import hashlib
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else hashlib.sha3_256(x.encode()).hexdigest())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.frames import whole
 
 MAX_DEPTH = 12
 MAX_PAGE = 100
@@ -154,7 +155,7 @@ def unclashing(incoming: DataFrame, taken: DataFrame, name: str, owner: str, ord
                 own = unique_slug(r.head, used)
             used.add(own)
             out.append(own)
-        return mine.sort_values(order).assign(**{name: out})
+        return whole(mine.sort_values(order).assign(**{name: out}))
 
     return incoming.groupBy(owner).cogroup(taken.select(owner, name).groupBy(owner)).applyInPandas(fold, incoming.schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.frames import whole
 
 READ_AFTER = 3
 
@@ -89,7 +90,7 @@ def unique_names(saved: DataFrame, owner: str, name: str, order: str) -> DataFra
         for base in rows[name]:
             names.append(first_free(base, used))
             used.add(names[-1])
-        return rows.assign(**{name: names})
+        return whole(rows.assign(**{name: names}))
 
     return saved.groupBy(owner).applyInPandas(fold, saved.schema)
 

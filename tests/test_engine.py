@@ -73,10 +73,60 @@ def test_hierarchy(corpus):
     assert corpus.random_leaf(3).first()["id"] in (2, 4, 5)
 
 
+def test_stored_index(corpus, spark, tmp_path):
+    """Searched without accents, by the stems of a text's language, after replacing and removing works; scopes don't score."""
+    from quire.operators.fulltext import Index
+
+    docs = [("a/w1/1", "a/w1", "ro", "Pădurea", "Ștefan merge în pădure și cântă."), ("a/w1/2", "a/w1", "ro", "Marea", "Marea e liniștită."), ("b/w2/1", "b/w2", "en", "Oceans", "The oceans are calm, the boats sailing."), ("b/w3/1", "b/w3", "la", "Mare", "mare nostrum"), ("b/w3/2", "b/w3", "en", "Empty", "  ")]
+    schema = "key string, work string, lang string, head string, content string"
+    index = Index(spark, f"file://{tmp_path}/index").build(spark.createDataFrame(docs, schema), 2)
+    keys = lambda q, **k: [r["key"] for r in index.search(q, 10, **k).collect()]
+    assert keys("STEFAN") == ["a/w1/1"] and keys("padure") == ["a/w1/1"] and keys("Ştefan + -x") == ["a/w1/1"]
+    assert keys("ocean") == ["b/w2/1"] and keys("sails boat") == ["b/w2/1"]
+    assert keys("mare")[0] == "b/w3/1" and "a/w1/2" in keys("mare")
+    assert keys("mare", where=F.startswith("key", F.lit("a/"))) == ["a/w1/2"]
+    assert len(index.commits()) == 2 and index.commits()[-1]["complete"] and index.build(spark.createDataFrame(docs, schema)).commits() == index.commits()
+    index.replace(spark.createDataFrame([("a/w1/9", "a/w1", "ro", "Nou", "Marea nouă")], schema))
+    assert keys("stefan") == [] and "a/w1/9" in keys("marea")
+    index.remove(spark.createDataFrame([("b/w3",)], "work string"))
+    assert keys("nostrum") == []
+    again = Index(spark, f"file://{tmp_path}/other").build(spark.createDataFrame([d for d in docs if d[1] not in ("a/w1", "b/w3")] + [("a/w1/9", "a/w1", "ro", "Nou", "Marea nouă")], schema))
+    scored = lambda i: [(r["key"], round(r["score"], 9)) for r in i.search("marea the oceans nou", 10).collect()]
+    assert scored(index) == scored(again) and scored(index)
+    assert len(index.clauses(" ".join(f"word{i}" for i in range(400)))) <= 1024 and index.clauses("  ") == []
+    corpus.index = Index(spark, f"file://{tmp_path}/third").build(corpus.index_documents())
+    assert [h["path"] for h in corpus.full_text("whale land").collect()][0] == "/roe/land"
+    corpus.index = None
+
+
+def test_paths_and_neighbours(corpus):
+    assert ids(corpus.at("/doe/sea/one.xml")) == [2]
+    for path, error in (("/doe", ValueError), ("/doe/none", LookupError)):
+        with pytest.raises(error):
+            corpus.at(path)
+    own = corpus.context(2).first()
+    assert (own["prev_id"], own["next_id"]) == (1, 3)
+    with pytest.raises(ValueError):
+        corpus.context(99)
+    items = corpus.divisions.sparkSession.createDataFrame([("doe//sea.html", 1), ("/gone", 2)], "path string, n int")
+    assert {(r["n"], r["div_id"], r["head"]) for r in corpus.located(items).collect()} == {(1, 1, "The Sea"), (2, None, None)}
+    assert {r["id"]: [a["str_id"] for a in r["authors"]] for r in corpus.authors_by_work().collect()} == {1: ["doe"], 4: ["roe"], 5: ["doe"]}
+
+
+def test_several_authors(corpus):
+    from dataclasses import replace
+
+    both = corpus.files.sparkSession.createDataFrame([(1, 1), (1, 2), (2, 2)], "file_id long, author_id long")
+    own = replace(corpus, file_authors=both)
+    assert {r["id"]: [a["str_id"] for a in r["authors"]] for r in own.authors_by_work().collect()} == {1: ["doe", "roe"], 4: ["roe"], 5: []}
+    assert {r["str_id"]: r["works"] for r in own.work_counts().collect()} == {"doe": 1, "roe": 2, "poe": 0}
+
+
 def test_xml(spark):
     row = spark.createDataFrame([(TEI,)], "x string")
-    m = row.select(xml.book_metadata(F.col("x")).alias("m")).first()["m"]
-    assert (m["title"], m["author"], m["publisher"], m["editor"]) == ("My Book", "Doe", "P", None)
+    work = F.lit("<div><subtitle>Sub</subtitle><epigraph>A <hi>b</hi></epigraph><div><epigraph>inner</epigraph></div></div>")
+    m = row.select(xml.book_metadata(F.col("x"), work, F.lit("My Book"), F.lit("Jane Doe"), F.lit(None).cast("string")).alias("m")).first()["m"]
+    assert (m["title"], m["author"], m["publisher"], m["editor"], m["subtitle"], m["tagline_quote"], m["language"]) == ("My Book", "Jane Doe", "Biblioteca", "", "Sub", "A b", "")
     assert row.select(xml.licence_text(F.col("x"))).first()[0] == "Free. http://l"
     assert row.select(xml.only(F.col("x"), "//author")).first()[0] == "Doe"
     with pytest.raises(Exception, match="not exactly one"):

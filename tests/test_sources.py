@@ -133,3 +133,120 @@ def test_collections(spark):
     downs = spark.createDataFrame([("s", "2024-01-01 00:00:00"), ("t", "2024-01-01 00:00:50")], "service string, at string").withColumn("at", F.col("at").cast("timestamp"))
     got = state.available(downs, "service", "at", F.lit("2024-01-01 00:01:00").cast("timestamp"), 60)
     assert {r["service"]: r["available"] for r in got.collect()} == {"s": True, "t": False}
+
+
+def test_names_until_free():
+    used = {"a", "a (2)"}
+    assert state.first_free("a", used) == "a (3)" and state.first_free("b", used) == "b"
+    long = "n" * 200
+    assert state.first_free(long, {long}) == "n" * 196 + " (2)"
+
+
+def test_chains_of_moves(spark):
+    from quire.operators import relocate
+
+    rows = [(f"/a/p{i}", f"/a/p{i + 1}.html") for i in range(12)] + [("x/y", "/x/z"), ("/l/1", "/l/2"), ("/l/2", "/l/1"), ("/h/1", "/h/2"), ("/h/2", "/h/1x/../1")]
+    moves = spark.createDataFrame(rows[:-2], "old string, new string")
+    wanted = spark.createDataFrame([("/a/p0",), ("/a/p5.xml",), ("/x/y",), ("/l/1",), ("/none/at",)], "path string")
+    got = {r["path"]: r["target"] for r in relocate.resolved(moves, wanted).collect()}
+    assert got == {"/a/p0": "/a/p10", "/a/p5.xml": "/a/p12", "/x/y": "/x/z", "/l/1": None, "/none/at": None}
+
+
+def test_resources(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# no\n one \ntwo\none\n")
+    assert sorted(r[0] for r in repos.entries(spark, str(tmp_path / "list.txt")).collect()) == ["one", "two"]
+    (tmp_path / "special.txt").write_text("# c\nk=id;First;Last;Shown\n")
+    assert tuple(repos.special_authors(spark, str(tmp_path / "special.txt")).first()) == ("Shown", "id", "First", "Last")
+    (tmp_path / "bad.txt").write_text("k=id;First\n")
+    with pytest.raises(Exception, match="four parts"):
+        repos.special_authors(spark, str(tmp_path / "bad.txt")).collect()
+    assert [len(b) for b in repos.in_batches(spark.range(2500), "id")] == [1000, 1000, 500]
+
+
+def test_scalars(spark):
+    import hashlib
+
+    from quire.functions import text as T
+
+    row = spark.range(1).select(T.sha3(F.lit("é")).alias("a"), T.binary_object(F.lit(" aGk = ")).alias("b"), T.rfc1123(F.lit("2024-03-01 10:00:00").cast("timestamp")).alias("c"), T.byte_truncate(F.lit("aé漢"), 4).alias("d")).first()
+    assert (row["a"], bytes(row["b"]), row["c"], row["d"]) == (hashlib.sha3_256("é".encode()).hexdigest(), b"hi", "Fri, 01 Mar 2024 10:00:00 GMT", "aé")
+    assert T.folded("Ștefan Straße Œuvre ĐOÑA") == "stefan strasse oeuvre dona"
+
+
+def test_nodes_of_xml():
+    from xml.dom import minidom
+
+    from quire.functions import dom
+
+    doc = minidom.parseString("<TEI><text><body> <div><head>A</head><p>x</p><div><p>y</p><div><head>B</head><div><head>C</head></div></div></div></div><p/></body></text></TEI>")
+    for node in doc.getElementsByTagName("*"):
+        assert dom.at_dom_path(doc, dom.dom_path(node)) is node
+    c = next(e for e in doc.getElementsByTagName("head") if e.firstChild.data == "C")
+    assert dom.x_path(c) == "/TEI/text/body/div[1]/div[1]/div[1]/div[1]/head" and dom.at_dom_path(doc, "1/9") is None
+    for levels, left in ((0, "Axy"), (1, "AxyB"), (2, "AxyBC")):
+        own = minidom.parseString(doc.getElementsByTagName("div")[0].toxml()).documentElement
+        dom.pruned(own, levels)
+        assert dom.whole_text(own) == left
+
+
+def test_vector_collections(spark, tmp_path):
+    store = vectors.Collections(spark, f"file://{tmp_path}/vectors")
+    store.create("a", 2)
+    for bad in (lambda: store.create("a", 2), lambda: store.parameters("b"), lambda: store.upsert("a", spark.createDataFrame([("x", [1.0], 1)], "sha256 string, embedding array<double>, seq int"))):
+        with pytest.raises(ValueError):
+            bad()
+    rows = lambda *r: spark.createDataFrame(list(r), "sha256 string, embedding array<double>, seq int")
+    store.upsert("a", rows(("x", [1.0, 2.0], 1), ("y", [3.0, 4.0], 1)))
+    store.upsert("a", rows(("x", [5.0, 6.0], 1)))
+    assert {r["sha256"]: r["embedding"] for r in store.read("a").collect()} == {"x": [5.0, 6.0], "y": [3.0, 4.0]}
+    store.reembed("a", "b", F.transform("embedding", lambda x: x * 2), 2)
+    assert store.names() == ["a", "b"] and store.parameters("b")["metric"] == "euclidean"
+    assert {r["sha256"]: r["embedding"] for r in store.read("b").collect()} == {"x": [10.0, 12.0], "y": [6.0, 8.0]}
+    with pytest.raises(ValueError):
+        store.reembed("a", "a", F.col("embedding"), 2)
+    store.drop("a")
+    assert store.names() == ["b"]
+
+
+SCENES = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title><author>{author}</author></titleStmt></fileDesc></teiHeader><text><body><div><head>The Play</head>{scenes}</div></body></text></TEI>"""
+
+
+def scenes(*own, author="Doe, Jane"):
+    return SCENES.format(author=author, scenes="".join(f"<div><head>{h}</head><p>{t}</p></div>" for h, t in own)).encode()
+
+
+def test_import_and_reimport(spark, tmp_path):
+    """A second edition: one scene retitled, one edited, one removed; a broken file; authors known by another spelling; a file that goes."""
+    from quire.sources.library import Library
+
+    own = Library(spark, f"file://{tmp_path}/library")
+    files = lambda *f: spark.createDataFrame(list(f), "name string, content binary")
+    first = scenes(("Dawn at sea", "one text here"), ("A quiet noon", "two text here"), ("Dusk", "three text here"), ("Night", "four text here"), ("End", "five text here"))
+    done = own.import_files(files(("p.xml", first), ("q.xml", scenes(("Solo", "alone"), author="jane DOE")), ("bad.xml", b"<TEI>")))
+    assert done == {"files": 2, "divisions": 8, "moved": 0, "parent": 0, "failed": 1}
+    assert sorted(r["path"] for r in own.read("divisions").where("depth = 0").collect()) == ["/doe/the_play", "/doe/the_play_2"]
+    assert {r["author_id"] for r in own.read("authors").collect()} == {"doe"} and own.read("failures").first()["attempts"] == 1
+    with pytest.raises(ValueError):
+        own.import_files(files(("p.xml", first)), replace=False)
+    second = scenes(("Sunrise", "one text here"), ("A quiet noon", "two text here, edited"), ("Dusk again today", "three, all new"), ("Night", "four text here"))
+    done = own.import_files(files(("p.xml", second), ("bad.xml", b"<TEI>")))
+    moves = {r["old"]: (r["new"], r["reason"]) for r in own.read("relocations").collect()}
+    assert moves["/doe/the_play/dawn_at_sea"] == ("/doe/the_play/sunrise", "MOVED") and moves["/doe/the_play/end"] == ("/doe/the_play", "PARENT")
+    assert moves["/doe/the_play/dusk"][0] == "/doe/the_play/dusk_again_today" and "/doe/the_play/a_quiet_noon" not in moves
+    assert (done["moved"], done["parent"], done["failed"]) == (2, 1, 1) and own.read("failures").first()["attempts"] == 2
+    assert own.read("paragraphs").where("file = 'p.xml'").count() == 9 and own.read("divisions", 1).where("file = 'p.xml'").count() == 6
+    assert own.prune(spark.createDataFrame([("p.xml",)], "name string")) == 1 and own.prune(spark.createDataFrame([("p.xml",)], "name string")) == 0
+    assert own.read("files").count() == 1 and own.read("paragraphs").where("file = 'q.xml'").count() == 0
+
+
+def test_scheduled_import(spark, tmp_path):
+    from quire.sources.library import Library, scheduled
+
+    (tmp_path / "in" / "en").mkdir(parents=True)
+    (tmp_path / "in" / "en" / "a.xml").write_bytes(scenes(("One", "text")))
+    own = Library(spark, f"file://{tmp_path}/library")
+    for n in (1, 2):
+        scheduled(spark, f"file://{tmp_path}/in", own, f"file://{tmp_path}/state").awaitTermination()
+        assert own.read("files").count() == n
+        (tmp_path / "in" / "b.xml").write_bytes(scenes(("Two", "text"), author="Roe"))
+    assert sorted(r["name"] for r in own.read("files").collect()) == ["b.xml", "en/a.xml"]
