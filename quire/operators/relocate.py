@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.shared import written
 
 SIMILAR = 0.5
 NEAR = 0.01
@@ -24,23 +25,23 @@ def editions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(siblings) - 1).withColumn("occurrence", F.row_number().over(same))
 
 
-def unique_by(rows: DataFrame, key: str) -> DataFrame:
+def unique_by(rows: DataFrame, *key: str) -> DataFrame:
     """Rows whose key no other has. A join of a count, so no group is gathered."""
-    once = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n = 1").select(key)
-    return rows.join(once, key)
+    once = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n = 1").select(*key)
+    return rows.join(once, [*key])
 
 
-def by_digest(before: DataFrame, after: DataFrame) -> DataFrame:
-    """old, new: divisions whose digest is unique on both sides, where the path changed."""
-    old = unique_by(before.where("digest is not null"), "digest").select("digest", F.col("path").alias("old"))
-    new = unique_by(after.where("digest is not null"), "digest").select("digest", F.col("path").alias("new"))
-    return old.join(new, "digest").where("old != new").select("old", "new")
+def by_digest(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """old, new: divisions whose digest is unique on both sides (by: in their file, say), where the path changed."""
+    old = unique_by(before.where("digest is not null"), *by, "digest").select(*by, "digest", F.col("path").alias("old"))
+    new = unique_by(after.where("digest is not null"), *by, "digest").select(*by, "digest", F.col("path").alias("new"))
+    return old.join(new, [*by, "digest"]).where("old != new").select("old", "new")
 
 
-def by_chain(before: DataFrame, after: DataFrame) -> DataFrame:
+def by_chain(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """old, new: divisions with the same headings from the top and the same occurrence of them."""
-    new = after.select("chain", "occurrence", F.col("path").alias("new"))
-    return before.select("chain", "occurrence", F.col("path").alias("old")).join(new, ["chain", "occurrence"]).where("old != new").select("old", "new")
+    new = after.select(*by, "chain", "occurrence", F.col("path").alias("new"))
+    return before.select(*by, "chain", "occurrence", F.col("path").alias("old")).join(new, [*by, "chain", "occurrence"]).where("old != new").select("old", "new")
 
 
 def similarity(a: str, b: str) -> float:
@@ -70,26 +71,25 @@ def _normal(head: str | None) -> str:
     return " ".join(re.sub(r"[!-/:-@\[-`{-~\s]+", " ", (head or "").lower()).split())
 
 
-def match(before: DataFrame, after: DataFrame) -> DataFrame:
+def match(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """old, new, reason for paths of before that are gone: by digest, then headings, then a similar sibling, then the nearest
-    ancestor that is left (PARENT). Live paths are never redirected and a new path is taken once."""
+    ancestor that is left (PARENT). Live paths are never redirected and a new path is taken once. by: columns within which
+    divisions are matched (their file, where several are imported at once)."""
     live = after.select(F.col("path").alias("new")).distinct()
-    gone = before.join(live, before["path"] == live["new"], "left_anti")
-    first = by_digest(before, after).join(gone.select(F.col("path").alias("old")), "old", "left_semi").withColumn("tier", F.lit(1))
-    rest = gone.join(first.select(F.col("old").alias("path")), "path", "left_anti")
-    free = after.join(first.select(F.col("new").alias("path")), "path", "left_anti").join(before.select("path"), "path", "left_anti")
-    second = by_chain(rest, free).withColumn("tier", F.lit(2))
-    second = second.withColumn("_n", F.row_number().over(Window.partitionBy("new").orderBy("old"))).where("_n = 1").drop("_n")
-    rest = rest.join(second.select(F.col("old").alias("path")), "path", "left_anti")
-    free = free.join(second.select(F.col("new").alias("path")), "path", "left_anti")
+    gone = written(before.join(live, before["path"] == live["new"], "left_anti"), "gone")
+    without = lambda rows, taken, c: rows.join(taken.select(F.col(c).alias("path")), "path", "left_anti")
+    # a tier's pairs are written, so that the next ones don't compute them again
+    first = written(by_digest(before, after, by).join(gone.select(F.col("path").alias("old")), "old", "left_semi"), "tier")
+    rest, free = without(gone, first, "old"), without(without(after, first, "new"), before, "path")
+    second = by_chain(rest, free, by)
+    second = written(second.withColumn("_n", F.row_number().over(Window.partitionBy("new").orderBy("old"))).where("_n = 1").drop("_n"), "tier")
+    rest, free = without(rest, second, "old"), without(free, second, "new")
     columns = ["parent", "side", "path", "head", "position"]
     both = rest.withColumn("side", F.lit(0)).select(*columns).unionAll(free.withColumn("side", F.lit(1)).select(*columns))
-    third = both.groupBy("parent").applyInPandas(greedy, "old string, new string").withColumn("tier", F.lit(3))
-    moved = first.unionByName(second).unionByName(third)
-    left = rest.join(third.select(F.col("old").alias("path")), "path", "left_anti")
-    up = nearest(left.select(F.col("path").alias("old")), "old", after.select("path"))
-    parents = up.where("ancestor is not null").select("old", F.col("ancestor").alias("new"), F.lit(4).alias("tier"))
-    return moved.unionByName(parents).select("old", "new", F.when(F.col("tier") < 4, "MOVED").otherwise("PARENT").alias("reason"))
+    third = written(both.groupBy("parent").applyInPandas(greedy, "old string, new string"), "tier")
+    up = nearest(without(rest, third, "old").select(F.col("path").alias("old")), "old", after.select("path"))
+    moved = first.unionByName(second).unionByName(third).select("old", "new", F.lit("MOVED").alias("reason"))
+    return moved.unionAll(up.where("ancestor is not null").select("old", "ancestor", F.lit("PARENT")))
 
 
 def nearest(rows: DataFrame, path: str, live: DataFrame) -> DataFrame:

@@ -482,3 +482,46 @@ def relocation_cascade(spark, d):
     after = kept.select(*row(at(F.when(i % 10 == 1, "/m").otherwise("")), F.md5(F.concat("text", F.when(i % 10 == 3, "!").otherwise("")))))
     works_ = docs.select(F.concat(F.lit("/a/"), "source").alias("path")).distinct().select(F.lit(1), F.lit(None).cast("string"), "path", F.lit(""), F.lit(0).cast("long"), F.concat(F.lit("w"), "path"), F.lit(1), F.lit(None).cast("string"))
     return relocate.match(before.unionAll(works_), after.unionAll(works_))
+
+
+# Importing: each source is a file, its documents the divisions of one work; a second edition retitles some and drops others.
+
+HEADED = "d AS (SELECT doc_id, source, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS q FROM documents)"
+
+
+def books(spark, d, second: bool = False):
+    i = F.col("doc_id")
+    docs = Tables(spark, d).documents
+    if second:
+        docs = docs.where(i % 10 != 2)
+    title = F.concat(F.when((i % 10 == 1) & F.lit(second), "Text ").otherwise("Doc "), i)
+    paragraphs = F.concat(F.lit("<p>"), F.replace(T.escape_xml(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")), F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p>"))
+    div = F.concat(F.lit("<div><head>"), title, F.lit("</head>\n"), paragraphs, F.lit("</div>\n"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", div.alias("x")))), lambda x: x["x"]), "")
+    head = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title><author>'), "source", F.lit("</author></titleStmt></fileDesc></teiHeader><text><body><div><head>Works</head>\n"))
+    files = docs.groupBy("source").agg(body.alias("b")).select(F.concat("source", F.lit(".xml")).alias("name"), F.encode(F.concat(head, "b", F.lit("</div></body></text></TEI>")), "UTF-8").alias("content"))
+    return files
+
+
+def imported(spark, d):
+    from quire.sources.library import Library
+
+    own = Library(spark, new_folder(spark, "library"))
+    own.import_files(books(spark, d))
+    return own
+
+
+@query(f"WITH {HEADED} SELECT source || '.xml' AS file, '/' || source || '/works/doc_' || doc_id AS path, 'Doc ' || doc_id AS head, 1 AS depth, CAST(len(string_split(text, chr(10))) AS BIGINT) AS paragraphs FROM d UNION ALL SELECT DISTINCT source || '.xml', '/' || source || '/works', 'Works', 0, 0 FROM d")
+def import_divisions(spark, d):
+    own = imported(spark, d)
+    n = own.read("paragraphs").where("name = 'p'").groupBy("path").agg(F.count("*").alias("paragraphs"))
+    return own.read("divisions").join(n, "path", "left").select("file", "path", "head", "depth", F.coalesce("paragraphs", F.lit(0).cast("long")).alias("paragraphs"))
+
+
+@query(f"""WITH {HEADED}, u AS (SELECT source || q AS q FROM d GROUP BY source, q HAVING count(*) = 1)
+SELECT '/' || source || '/works/doc_' || doc_id AS old, '/' || source || '/works' || CASE WHEN doc_id % 10 = 1 AND source || q IN (SELECT q FROM u) THEN '/text_' || doc_id ELSE '' END AS new,
+CASE WHEN doc_id % 10 = 1 AND source || q IN (SELECT q FROM u) THEN 'MOVED' ELSE 'PARENT' END AS reason FROM d WHERE doc_id % 10 IN (1, 2) AND source IN (SELECT source FROM d WHERE doc_id % 10 <> 2)""")
+def import_relocations(spark, d):
+    own = imported(spark, d)
+    own.import_files(books(spark, d, True))
+    return own.read("relocations").select("old", "new", "reason")
