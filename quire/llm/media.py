@@ -171,25 +171,34 @@ def read_member(f, entry: zipfile.ZipInfo) -> bytes:
 
 
 def in_range(uri: str, start: int, end: int, opened=None, tries: int = TRIES, wait: float = 0.2) -> Iterator[tuple[zipfile.ZipInfo, bytes]]:
-    """The members whose header starts in start..end - 1. opened: opens a file, for tests."""
-    files, path = at(uri)
-    opened = opened or (lambda: files.open_input_file(path))
-    f = opened()
-    try:
-        for entry in (e for e in zipfile.ZipFile(f).infolist() if start <= e.header_offset < end):
-            for left in range(tries - 1, -1, -1):
-                try:
-                    media = read_member(f, entry)
-                    break
-                except (OSError, struct.error):
-                    if not left:
-                        raise
-                    time.sleep(wait)
-                    f.close()
+    """The members whose header starts in start..end - 1. Opening, the directory and each member are tried again by themselves. opened: opens a file, for tests."""
+    if opened is None:
+        files, path = at(uri)
+        opened = lambda: files.open_input_file(path)
+    f = None
+
+    def again(use):
+        """use(f), with a file opened anew after each failure."""
+        nonlocal f
+        for left in range(tries - 1, -1, -1):
+            try:
+                if f is None:
                     f = opened()
-            yield entry, media
+                return use(f)
+            except (OSError, struct.error, zipfile.BadZipFile):
+                if f is not None:
+                    f.close()
+                    f = None
+                if not left:
+                    raise
+                time.sleep(wait)
+
+    try:
+        for entry in again(lambda g: [e for e in zipfile.ZipFile(g).infolist() if start <= e.header_offset < end]):
+            yield entry, again(lambda g, e=entry: read_member(g, e))
     finally:
-        f.close()
+        if f is not None:
+            f.close()
 
 
 class MediaArchive(DataSource):

@@ -252,6 +252,20 @@ def test_members_are_retried_alone(tmp_path):
         list(media.in_range(f"file://{path}", 0, 1 << 30, again, wait=0))
 
 
+def test_opening_is_retried(tmp_path):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(zipfile.ZipInfo("0_0.png"), b"x" * 50)
+    failures = [OSError("away"), OSError("away")]
+
+    def opens():
+        if failures:
+            raise failures.pop()
+        return open(path, "rb")
+
+    assert [m for _, m in media.in_range(f"file://{path}", 0, 1 << 30, opens, wait=0)] == [b"x" * 50]
+
+
 # 7 HTML
 
 
