@@ -91,8 +91,8 @@ def verified(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of = candidates.groupBy("doc_id", "rid").agg(F.collect_set("item").alias("items"))
     if candidates.count() <= BROADCAST_ROWS:
         of = F.broadcast(of)
-    exact = d.join(of, (d["doc_id"].eqNullSafe(of["doc_id"])) & (d["rid"] == of["rid"])).select(d["doc_id"], d["rid"], "items", shingles(words(F.col("text"))).alias("own"))
-    split = exact.select("doc_id", "rid", F.explode("items").alias("item"), "own")
+    exact = d.join(of, (d["doc_id"].eqNullSafe(of["doc_id"])) & (d["rid"] == of["rid"])).select(d["doc_id"], d["rid"], "items", words(F.col("text")).alias("w"))
+    split = exact.select("doc_id", "rid", "items", shingles(F.col("w")).alias("own")).select("doc_id", "rid", F.explode("items").alias("item"), "own")
     shared = F.size(F.array_intersect("s", "own")).cast("long")
     pairs = split.join(items.select("item", "s", "n"), "item").select("doc_id", "rid", "item", shared.alias("n_shared"), F.col("n").cast("long").alias("n_shingles"))
     return pairs.where(F.col("n_shared") >= F.col("n_shingles") * CONTAINMENT - 1e-9)
