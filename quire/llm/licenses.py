@@ -4,7 +4,7 @@ Method: conditional compression. A candidate block (a line that speaks of licens
 after it, as far as the template reaches, over blank lines too) is compressed with each template as a zstandard raw dictionary,
 and without one; templates rank by how much smaller the block gets. All are confirmed in that order by their exact
 wording: the words of template and block are aligned, the differences are given, and a template holds if they are one word or
-a tenth of its words at most (none in templates of three words) and touch none of its telling words (versions and variants). Short templates are
+a tenth of its words at most (none in templates of three words, SPDX identifiers, headings, and further licenses after "or" and "and") and touch none of its telling words (versions and variants). Short templates are
 held against the line alone and with the lines after it up to a blank one. The words before and after a statement are searched
 on until no template holds; the place given is that of the lines that a statement stands in.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Wordings of public licenses and of the notices that name them. <...> stands for up to eight words.
-TEMPLATES = (
+WORDINGS = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -67,9 +67,41 @@ TEMPLATES = (
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
 )
-CUES = ("licen", "copyright", "©", "spdx", "permission", "redistribut", "public domain", "creative commons", "all rights reserved")
+# SPDX identifiers beside the license that they name, and names of licenses as texts write them.
+IDENTIFIERS = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "0BSD": "0BSD", "ISC": "ISC", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0", "Unlicense": "Unlicense", "WTFPL": "WTFPL",
+    "MPL-2.0": "MPL-2.0", "EPL-2.0": "EPL-2.0", "EUPL-1.2": "EUPL-1.2", "Artistic-2.0": "Artistic-2.0", "PostgreSQL": "PostgreSQL", "CDDL-1.0": "CDDL-1.0", "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0",
+    **{f"{n}{e}": n for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for e in ("", "-only", "-or-later")},
+}
+NAMES = (
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("GPL-2.0", "GNU General Public License, Version 2"), ("GPL-3.0", "GNU General Public License, Version 3"),
+    ("GPL-2.0", "GNU General Public License v2.0"), ("GPL-3.0", "GNU General Public License v3.0"), ("LGPL-2.1", "GNU Lesser General Public License, Version 2.1"), ("LGPL-3.0", "GNU Lesser General Public License, Version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, Version 3"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("EPL-2.0", "Eclipse Public License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("Zlib", "zlib License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("Artistic-2.0", "Artistic License 2.0"), ("PostgreSQL", "PostgreSQL License"), ("EUPL-1.2", "European Union Public Licence 1.2"),
+)
+LEADS = ("Licensed under the", "Licensed under the terms of the", "Released under the", "Distributed under the", "Available under the", "Licensed under either of", "Dual licensed under the")
+#: What a template may be: a statement; the heading of a license, which must be a line's whole wording; or a further license
+#: ("or the ...", "AND ..."), which must follow a statement at once. Those of the last two kinds must stand as they are.
+STATEMENT, HEADING, FURTHER = range(3)
+
+
+def all_templates() -> tuple[tuple[str, str, int], ...]:
+    """license, wording, kind: the given wordings, then what identifiers and names make; of equal wordings the first."""
+    made = [(n, x, STATEMENT) for n, x in WORDINGS]
+    made += [(n, f"SPDX-License-Identifier: {i}", STATEMENT) for i, n in IDENTIFIERS.items()]
+    made += [(n, f"{lead} {x}", STATEMENT) for lead in LEADS for n, x in NAMES]
+    made += [(n, x, HEADING) for n, x in NAMES]
+    made += [(n, f"{by} {i}", FURTHER) for by in ("or", "and") for i, n in IDENTIFIERS.items()]
+    made += [(n, f"{by} {x}", FURTHER) for by in ("or", "and", "or the", "and the") for n, x in NAMES]
+    first: dict[tuple[str, int], tuple[str, str, int]] = {}
+    for n, x, kind in made:
+        first.setdefault((normal(x), kind), (n, x, kind))
+    return tuple(first.values())
+
+
+CUES = ("licen", "copyright", "©", "spdx", "permission", "redistribut", "public domain", "creative commons", "reserved")
 #: Words that tell licenses and their variants apart, besides all with digits.
-TELLING = frozenset("mit apache gnu general lesser affero mozilla bsd isc cc cc0 by sa nc nd sharealike attribution noncommercial only later proprietary public domain".split())
+TELLING = frozenset("mit apache gnu general lesser affero mozilla bsd isc cc cc0 by sa nc nd sharealike attribution noncommercial only later proprietary public domain gpl lgpl agpl mpl epl eupl bsl cddl zlib boost eclipse artistic postgresql unlicense wtfpl 0bsd software european union either dual".split())
 #: From so many words on a template is long: it is held against lines together.
 LONG = 30
 DIFFERENCE = 0.1
@@ -81,6 +113,7 @@ SCHEMA = "doc_id long, start long, end long, license string, template int, reduc
 
 class Template(NamedTuple):
     license: str
+    kind: int
     words: tuple[str, ...]
     squeeze: zstandard.ZstdCompressor
 
@@ -89,20 +122,23 @@ def normal(text: str) -> str:
     return " ".join(WORD.findall(text.lower()))
 
 
+TEMPLATES = all_templates()
+
+
 @lru_cache(1)
 def templates() -> tuple[list[Template], zstandard.ZstdCompressor]:
     options = {"level": 19, "write_content_size": False, "write_dict_id": False}
     made = []
-    for name, text in TEMPLATES:
+    for name, text, kind in TEMPLATES:
         words = normal(text)
         own = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made.append(Template(name, tuple(words.split(" ")) if "<" not in words else tuple(WORD.findall(words)), zstandard.ZstdCompressor(dict_data=own, **options)))
+        made.append(Template(name, kind, tuple(words.split(" ")) if "<" not in words else tuple(WORD.findall(words)), zstandard.ZstdCompressor(dict_data=own, **options)))
     return made, zstandard.ZstdCompressor(**options)
 
 
 def allowance(t: Template) -> float:
     """How many words may differ."""
-    return max(1, DIFFERENCE * len(t.words)) if len(t.words) > BRIEF else 0
+    return max(1, DIFFERENCE * len(t.words)) if len(t.words) > BRIEF and t.kind == STATEMENT and t.words[0] != "spdx" else 0
 
 
 def differences(template: tuple[str, ...], words: list[str]) -> tuple[list[str], int, tuple[int, int]] | None:
@@ -128,15 +164,17 @@ def differences(template: tuple[str, ...], words: list[str]) -> tuple[list[str],
     return found, touched, (ops[0][3], ops[-1][4])
 
 
-def matched(line: list[str], near: list[str], more: list[str]) -> tuple | None:
-    """The template that words answer from within line on: short ones in the line or with what stands near, long ones in the line with more."""
+def matched(line: list[str], near: list[str], more: list[str], whole: bool, follows: bool) -> tuple | None:
+    """The template that words answer from within line on: short ones in the line or with what stands near, long ones in the line with more.
+
+    whole: the words begin a line and are all of it; follows: they follow a statement."""
     made, plain = templates()
     tries = [(False, line), (False, near), (True, more)] if len(near) > len(line) else [(False, line), (True, more)]
     ranked = []
     for long, words in tries:
         text, held = " ".join(words).encode(), set(words)
         size = len(plain.compress(text))
-        ranked += [(1 - len(t.squeeze.compress(text)) / size, i, words, held) for i, t in enumerate(made) if (len(t.words) >= LONG) == long]
+        ranked += [(1 - len(t.squeeze.compress(text)) / size, i, words, held) for i, t in enumerate(made) if (len(t.words) >= LONG) == long and (t.kind == STATEMENT or t.kind == HEADING and whole and len(line) <= len(t.words) or t.kind == FURTHER and follows)]
     ranked.sort(key=lambda x: (-x[0], x[1]))
     best = None
     for reduction, i, words, held in ranked:
@@ -144,7 +182,7 @@ def matched(line: list[str], near: list[str], more: list[str]) -> tuple | None:
         if sum(w not in held for w in t.words if w[0] != "<") > allowance(t):
             continue  # too many words are missing, however the others stand
         told = differences(t.words, words)
-        if told and told[1] <= allowance(t) and told[2][0] < len(line):
+        if told and told[1] <= allowance(t) and told[2][0] < (len(line) if t.kind == STATEMENT else 1):
             key = (-len(t.words) + told[1] * 10, -reduction, i)
             if best is None or key < best[0]:
                 best = (key, i, reduction, told)
@@ -180,16 +218,16 @@ def scan(text: str) -> Iterator[tuple]:
             ends.append(len(block))
             k += 1
         near = len(block) if near is None else near
-        todo, found = [(0, len(block))], []
+        todo, found = [(0, len(block), False)], []
         while todo:
-            a, b = todo.pop()
-            if a >= min(b, own) or not any(c in " ".join(block[a:b]) for c in CUES):
+            a, b, follows = todo.pop()
+            if a >= min(b, own) or not (follows or any(c in " ".join(block[a:b]) for c in CUES)):
                 continue
-            best = matched(block[a : min(b, own)], block[a : min(b, near)], block[a:b])
+            best = matched(block[a : min(b, own)], block[a : min(b, near)], block[a:b], a == 0 and not used.get(i), follows)
             if best:
                 _, at, reduction, (told, touched, (c, d)) = best
                 found.append((a + c, a + d, at, reduction, touched, told))
-                todo += [(a, a + c), (a + d, b)]
+                todo += [(a, a + c, False), (a + d, b, True)]
         for _, to, at, reduction, touched, told in sorted(found, key=lambda x: x[:2]):
             j = next(n for n, e in enumerate(ends) if e >= to)
             for n in range(1, j + 1):

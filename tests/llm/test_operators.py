@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import time
 import zipfile
 import zlib
@@ -89,7 +90,7 @@ def test_rows_without_both_kinds_train_nothing():
 def test_licenses_of_test_tables(spark):
     """Against a plain search for the wordings that the tables hold."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary"}
     want = sorted((r["doc_id"], lines[x]) for r in docs.collect() for x in r["text"].split("\n") if x in lines)
     got = sorted((r["doc_id"], r["license"]) for r in licenses.license_scan(docs).collect() if r["exact"])
     assert got == want and want
@@ -107,11 +108,11 @@ def test_license_wording(text, license_, n):
 @pytest.mark.parametrize(("license_", "wording"), [("MIT", "Released under the MIT License."), ("ISC", "Licensed under the ISC License."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.")])
 def test_license_among_words_of_others(license_, wording):
     """A verbatim statement is found though the words around it make many other templates save more."""
-    others = [" ".join(x.split()[:-2]).replace("the ", "the so ") for _, x in licenses.TEMPLATES if len(x.split()) > 3 and "<" not in x]
+    others = [" ".join(x.split()[:-2]).replace("the ", "the so ") for _, x in licenses.WORDINGS if len(x.split()) > 3 and "<" not in x]
     assert [(f[2], f[5]) for f in licenses.scan(" so ".join([*others, wording]))] == [(license_, 0)]
 
 
-BSD = [x.replace("<number>", "\n\n*").replace("<holder>", "the copyright holder") for n, x in licenses.TEMPLATES if n.startswith("BSD") and "<number>" in x]
+BSD = [x.replace("<number>", "\n\n*").replace("<holder>", "the copyright holder") for n, x in licenses.WORDINGS if n.startswith("BSD") and "<number>" in x]
 NOTICE = "This {} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
 
 
@@ -146,6 +147,60 @@ def test_no_license(text):
     assert list(licenses.scan(text)) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        ("SPDX-License-Identifier: Foo-1.0", []),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", ["GPL-3.0"]),
+        ("MIT License\n\nCopyright (c) 2020 X", ["MIT"]),
+        ("I like the MIT License best.", []),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("This is licensed under the MIT License and the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("Licensed under the Foo License.", []),
+    ],
+)
+def test_identifiers_headings_and_several(text, want):
+    assert [(f[2], f[5]) for f in licenses.scan(text)] == [(x, 0) for x in want]
+
+
+def test_every_template_is_found_where_it_stands(spark):
+    """Against brute force: each wording, among the words of a line, in a line of its own, and wrapped."""
+    r = random.Random(4)
+    made = [(n, re.sub(r" *<[^>]*> *", " 2020 ", x), kind) for n, x, kind in licenses.TEMPLATES]
+    rows, want = [], {}
+    for i, (n, x, kind) in enumerate(made):
+        words = lambda k: " ".join("".join(r.choices("abdefg", k=5)) for _ in range(k))
+        own = {licenses.STATEMENT: [f"{words(9)} {x} {words(9)}", f"{words(5)}\n{x}\n{words(5)}", x.replace(" ", "\n", 1)], licenses.HEADING: [f"{words(3)}\n{x}\n{words(2)}"], licenses.FURTHER: [f"{words(4)} Licensed under the ISC License {x}."]}[kind]
+        for k, text in enumerate(own):
+            rows.append((10 * i + k, text))
+            want[10 * i + k] = sorted(["ISC", n] if kind == licenses.FURTHER else [n])
+    got = {}
+    for found in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if found["exact"]:
+            got.setdefault(found["doc_id"], []).append(found["license"])
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_licenses_by_brute_force(spark):
+    """Exact statements of the test table are those of a plain search for every wording, longest first."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    made = sorted(((n, licenses.WORD.findall(x.lower())) for n, x, kind in licenses.TEMPLATES if kind == licenses.STATEMENT and "<" not in x), key=lambda t: -len(t[1]))
+    want = []
+    for d in docs.collect():
+        for line in d["text"].split("\n"):
+            words, at = licenses.WORD.findall(line.lower()), 0
+            while at < len(words):
+                hit = next((t for t in made if words[at : at + len(t[1])] == t[1]), None)
+                want += [(d["doc_id"], hit[0])] if hit else []
+                at += len(hit[1]) if hit else 1
+    got = [(r["doc_id"], r["license"]) for r in licenses.license_scan(docs).collect() if r["exact"] and "<" not in licenses.TEMPLATES[r["template"]][1]]
+    assert sorted(got) == sorted(want) and want
+
+
 def test_licenses_of_odd_rows(odd_documents):
     assert licenses.license_scan(odd_documents).count() == 0 and licenses.license_scan(odd_documents.limit(0)).count() == 0
 
