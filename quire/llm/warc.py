@@ -114,7 +114,7 @@ def archive(pages: DataFrame) -> DataFrame:
     first = rows.groupBy("sha").agg(F.max(F.struct("page_id", "url", "html")).alias("top")).select("sha", "top.page_id", "top.url", "top.html")
     responses = first.select("page_id", "url", "html", "sha", key("page_id", "url", F.lit("0")).alias("key"), F.lit(None).cast("string").alias("to"))
     # the other rows, without payloads
-    narrow = written(rows.where(F.octet_length("html") >= LEAST).groupBy("sha", "page_id", "url").agg(F.count("*").alias("n")), "warc-rows")
+    narrow = written(rows.where(F.octet_length("html") >= LEAST).groupBy("sha", "page_id", "url").agg(F.count("*").alias("n")), "warc-rows", narrow=True)
     top = narrow.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("top"), F.sum("n").alias("copies")).where("copies > 1")
     # a payload without a copy is its own response and drops out of the inner side before the join
     again = salted_join(narrow, top, "sha", hot_keys(narrow, "sha")).where("copies is not null")
