@@ -31,3 +31,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cached(spark: SparkSession, name: str, version: str, make) -> DataFrame:
+    """The table of make(), kept in the shared folder under a name and version. An entry that can't be read, or that no finished job wrote, is a miss and is made anew."""
+    path = f"{root(spark)}/quire/cache/{name}/{version}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+        try:
+            kept = spark.read.parquet(path)
+            kept.limit(1).collect()
+            return kept
+        except Exception:  # noqa: BLE001  whatever is wrong with it, it is made anew
+            fs.delete(at, True)
+    # written beside and moved: who reads sees a whole entry or none
+    beside = f"{path}-{uuid.uuid4().hex[:12]}"
+    make().write.parquet(beside)
+    fs.mkdirs(at.getParent())
+    fs.delete(at, True)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(beside), at)
+    return spark.read.parquet(path)

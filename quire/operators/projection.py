@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
+from collections.abc import Iterator
 from html import escape
 from typing import NamedTuple
 from xml.dom import Node, minidom
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from quire.operators.fragments import MOST, Selector, parse_selector, units
 from quire.sources.tei import IMAGE, local
 
@@ -139,3 +145,68 @@ def to_json(node: Node) -> dict | str:
     if node.nodeType != Node.ELEMENT_NODE:
         return node.data
     return {"name": local(node), "attributes": {k: v for k, v in node.attributes.items() if not k.startswith("xmlns")}, "children": [to_json(c) for c in node.childNodes if c.nodeType in (Node.ELEMENT_NODE, Node.TEXT_NODE, Node.CDATA_SECTION_NODE)]}
+
+
+PROJECTED = "text string, revision string, spans array<struct<steps:string,start:int,end:int>>, error string"
+RESOLVED = "text string, html string, json string, start int, end int, selector string, revision string, path string, pages array<string>, error string"
+
+
+def projected(rows: DataFrame, key: str, xml: str) -> DataFrame:
+    """key, text, revision, spans (of each node, in order of their start), error of the divisions in an XML column."""
+
+    def one(source: str | None) -> dict:
+        try:
+            p = Projection(source or "")
+        except Exception as e:  # noqa: BLE001  any column may hold broken or too large XML; the row says so
+            return {"text": None, "revision": None, "spans": None, "error": str(e)[:200] or type(e).__name__}
+        spans = sorted(((s.start, -s.end, steps) for steps, s in p.spans.items()))
+        return {"text": p.text, "revision": p.revision, "spans": [{"steps": ".".join(map(str, steps)), "start": a, "end": -b} for a, b, steps in spans], "error": None}
+
+    return _mapped(rows.select(key, xml), key, PROJECTED, lambda r: one(r[xml]))
+
+
+def resolved_fragments(rows: DataFrame, key: str, xml: str, path: str, selector: str, revision: str | None = None) -> DataFrame:
+    """key and RESOLVED: what a selector names in a division: its text, HTML and JSON, the canonical address with its revision, and the
+    pages (elements of the division) on which it begins and ends; or why it names nothing. A blank selector names the whole division."""
+
+    def one(r: dict) -> dict:
+        none = dict.fromkeys(x.split()[0] for x in RESOLVED.split(", "))
+        try:
+            p = Projection(r[xml] or "")
+            if not (r[selector] or "").strip():
+                if revision and r[revision] is not None and r[revision] != p.revision:
+                    raise ValueError("the division has changed")
+                if not p.text or units(p.text) > MOST:
+                    raise ValueError("empty, reversed or too long a range")
+                found = {"text": p.text, "html": p.html(0, units(p.text)), "start": 0, "end": units(p.text), "selector": "", "revision": p.revision}
+                ends, node = [], p.root
+            else:
+                own = parse_selector(r[selector])
+                found = p.resolve(own, r[revision] if revision else None)
+                last = own.end or own.start
+                ends, node = [own.start.steps[0], last.steps[0]], p.nodes[own.start.steps]
+            at = "/" + (r[path] or "").strip("/")
+            pages = list(dict.fromkeys(f"{at}/_{i}" for i in ends)) or [at]
+            return none | found | {"json": json.dumps(to_json(node), ensure_ascii=False), "path": f"{at}{'/' + found['selector'] if found['selector'] else ''}?rev={p.revision}", "pages": pages}
+        except (ValueError, LookupError) as e:
+            return none | {"error": str(e)[:200]}
+        except Exception as e:  # noqa: BLE001  broken XML
+            return none | {"error": f"no XML: {e}"[:200]}
+
+    columns = list(dict.fromkeys([key, xml, path, selector, *([revision] if revision else [])]))
+    return _mapped(rows.select(*columns), key, RESOLVED, one)
+
+
+def _mapped(rows: DataFrame, key: str, schema: str, one) -> DataFrame:
+    """one(row) of each row, with its key, in Arrow batches."""
+    kind = rows.schema[key].dataType.simpleString()
+    full = f"`{key}` {kind}, {schema}"
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], full).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100).to_pylist()
+                yield pa.RecordBatch.from_pylist([{key: r[key], **one(r)} for r in part], arrow)
+
+    return rows.mapInArrow(run, full)

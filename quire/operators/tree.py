@@ -114,3 +114,15 @@ def to_levels(placed: DataFrame, levels: int | None, headed: str = "headed") ->
     prefixes = F.transform(F.sequence(F.lit(1), F.size("place")), lambda n: F.slice("place", 1, n))
     level = placed.select("place", F.explode(prefixes).alias("_p")).join(up, "_p").groupBy("place").agg(F.sum("_h").alias("_n"))
     return placed.join(level, "place").where(F.col("_n") - 1 <= levels).drop("_n")
+
+
+def listing(works: DataFrame, authors: str = "authors") -> DataFrame:
+    """place (from 1, among the entries of its folder) and path of each folder and work of an exported tree: languages by code, authors by
+    identifier, an author's works by filename and fragment. works: lang, authors (array of identifiers), filename, fragment."""
+    rows = works.where("lang is not null").select("lang", F.explode(authors).alias("author"), "filename", "fragment").distinct()
+    at = lambda *c: F.concat_ws("/", F.lit(""), *c)
+    langs = rows.select("lang").distinct().select(F.lit("").alias("folder"), at("lang").alias("path"), F.struct(F.col("lang").alias("a"), F.lit("").alias("b")).alias("_o"))
+    people = rows.select("lang", "author").distinct().select(at("lang"), at("lang", "author"), F.struct("author", F.lit("")))
+    own = rows.select(at("lang", "author"), at("lang", "author", "fragment"), F.struct("filename", "fragment"))
+    every = langs.unionAll(people).unionAll(own)
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("_o"))).drop("_o")

@@ -282,3 +282,8 @@ def to_embed(texts: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame
     at = texts.groupBy("sha256").agg(F.min("url").alias("_url"), F.collect_set("url").alias("_urls"))
     moved = vectors.join(at, "sha256").where(~F.array_contains("_urls", F.col("url"))).withColumn("url", F.col("_url")).drop("_url", "_urls")
     return new, moved
+
+
+def with_texts(hits: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Hits of a search (key, ...) with the text that they stand for; those whose text is gone or blank drop out, after the limit."""
+    return hits.join(texts, key).where(F.trim("text") != "")

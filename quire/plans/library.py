@@ -525,3 +525,65 @@ def import_relocations(spark, d):
     own = imported(spark, d)
     own.import_files(books(spark, d, True))
     return own.read("relocations").select("old", "new", "reason")
+
+
+# Fragments: a conversation is a division, its turns paragraphs.
+
+
+def divisions_xml(spark, d):
+    c = Tables(spark, d).conversations.where("trim(text) != ''")
+    p = F.concat(F.lit("<p>"), T.escape_xml(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\r]", "")), F.lit("</p>"))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", p.alias("x")))), lambda x: x["x"]), "")
+    return c.groupBy("conv_id").agg(F.concat(F.lit("<div><head>Talk "), F.col("conv_id"), F.lit("</head>"), parts, F.lit("</div>")).alias("xml"))
+
+
+TALK = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text FROM conversations WHERE trim(text) <> ''), j AS (SELECT conv_id, 'Talk ' || conv_id AS head, string_agg(text, chr(10) ORDER BY n) AS body, count(*) AS n, arg_min(text, n) AS first, arg_max(text, n) AS last FROM t GROUP BY conv_id)"
+
+
+@query(f"WITH {TALK} SELECT conv_id, head || chr(10) || chr(10) || body AS text, n + 2 AS nodes, length(head) AS head_end, length(head) + 2 AS body_start FROM j")
+def fragment_projection(spark, d):
+    from quire.operators.projection import projected
+
+    p = projected(divisions_xml(spark, d), "conv_id", "xml")
+    span = lambda s: F.filter("spans", lambda x: x["steps"] == s)[0]
+    return p.select("conv_id", "text", F.size("spans").cast("long").alias("nodes"), span("1")["end"].cast("long").alias("head_end"), span("2")["start"].cast("long").alias("body_start"))
+
+
+@query(f"WITH {TALK} SELECT conv_id, CASE WHEN length(first) > 3 THEN substr(first, 3) END AS text, CASE WHEN length(first) > 3 THEN 'section>p' END AS tags, CASE WHEN length(first) > 3 THEN '/talks/' || conv_id || '/_2:2..2:' || length(first) END AS path, CASE WHEN length(first) > 3 THEN ['/talks/' || conv_id || '/_2'] END AS pages, length(first) <= 3 AS refused FROM j")
+def fragment_resolve(spark, d):
+    from quire.operators.projection import resolved_fragments
+
+    first = Tables(spark, d).conversations.where("trim(text) != ''").groupBy("conv_id").agg(F.length(F.min_by("text", "turn")).alias("n"))
+    rows = divisions_xml(spark, d).join(first, "conv_id")
+    selector = F.when(F.col("n") > 3, F.concat(F.lit("_2:2..2:"), "n")).otherwise(F.lit("_2:9999..2:10000"))
+    out = resolved_fragments(rows.select("conv_id", "xml", F.concat(F.lit("talks/"), "conv_id").alias("at"), selector.alias("selector")), "conv_id", "xml", "at", "selector")
+    tags = F.array_join(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)>"), F.lit(1)), ">")
+    return out.select("conv_id", "text", tags.alias("tags"), F.substring_index("path", "?rev=", 1).alias("path"), "pages", F.col("error").isNotNull().alias("refused"))
+
+
+# More of the catalogue, readers' state and searches
+
+
+@query(f"SELECT vec_id, distance, n_chars FROM (SELECT vec_id, {DIST} AS distance FROM embeddings, {QV} ORDER BY {DIST}, vec_id LIMIT 40) JOIN documents ON doc_id = vec_id WHERE n_chars > 900")
+def vector_blank_dropped(spark, d):
+    t = Tables(spark, d)
+    hits = V.more_like(t.embeddings, 7, 40, keep_self=True).withColumn("distance", F.round("distance", 6))
+    texts = t.documents.select(F.col("doc_id").alias("vec_id"), F.when(F.col("n_chars") > 900, F.col("text")).otherwise(F.lit(" ")).alias("text"), "n_chars")
+    return V.with_texts(hits, texts, "vec_id").select("vec_id", "distance", "n_chars")
+
+
+@query("""WITH w AS (SELECT DISTINCT lang, source AS author, 'f' || (doc_id % 7) AS filename, 'w' || doc_id AS fragment FROM documents),
+e AS (SELECT DISTINCT '' AS folder, '/' || lang AS path, lang AS a, '' AS b FROM w UNION ALL SELECT DISTINCT '/' || lang, '/' || lang || '/' || author, author, '' FROM w UNION ALL SELECT '/' || lang || '/' || author, '/' || lang || '/' || author || '/' || fragment, filename, fragment FROM w)
+SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY a, b) AS place FROM e""")
+def dav_listing(spark, d):
+    w = Tables(spark, d).documents.select("lang", F.array("source").alias("authors"), F.concat(F.lit("f"), F.col("doc_id") % 7).alias("filename"), F.concat(F.lit("w"), "doc_id").alias("fragment"))
+    return tree.listing(w).select("folder", "path", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT l_orderkey AS collection, l_linenumber AS item, CAST(l_linenumber AS BIGINT) AS sort_order FROM lineitem
+UNION ALL SELECT o_orderkey, -1, coalesce(m, -1) + 1 FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def collection_items_added(spark, d):
+    t = Tables(spark, d)
+    items = t.lineitem.select(F.col("l_orderkey").alias("collection"), F.col("l_linenumber").cast("long").alias("item"), F.col("l_linenumber").cast("long").alias("sort_order"))
+    new = t.orders.select(F.col("o_orderkey").alias("collection"), F.lit(-1).cast("long").alias("item"), F.lit(1).alias("place"))
+    return state.items_added(items, new, ["collection"])

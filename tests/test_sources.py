@@ -250,3 +250,32 @@ def test_scheduled_import(spark, tmp_path):
         assert own.read("files").count() == n
         (tmp_path / "in" / "b.xml").write_bytes(scenes(("Two", "text"), author="Roe"))
     assert sorted(r["name"] for r in own.read("files").collect()) == ["b.xml", "en/a.xml"]
+
+
+def test_cache_entries(spark, tmp_path):
+    from quire.functions import shared
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        made = []
+        make = lambda: made.append(1) or spark.range(3)
+        assert shared.cached(spark, "toc", "v1", make).count() == 3 and shared.cached(spark, "toc", "v1", make).count() == 3 and len(made) == 1
+        for f in (tmp_path / "quire" / "cache" / "toc" / "v1").glob("*.parquet"):
+            f.write_bytes(b"broken")
+        for f in (tmp_path / "quire" / "cache" / "toc" / "v1").glob(".*.crc"):
+            f.unlink()
+        assert shared.cached(spark, "toc", "v1", make).count() == 3 and len(made) == 2
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
+def test_fragments_of_columns(spark):
+    from quire.operators.projection import projected, resolved_fragments
+
+    rows = spark.createDataFrame([(1, "<div><head>H</head><p>a🙂b</p></div>", "/x/y/", "_2:1..2:3"), (2, "<div><p>z", "x", "_1"), (3, None, None, None), (4, "<div><p>one</p></div>", "x/z", " "), (5, "<div><p>🙂</p></div>", "x", "_1:1..1:2"), (6, "<div><p>a</p></div>", "x", "_7")], "id long, xml string, at string, sel string")
+    got = {r["id"]: r for r in projected(rows, "id", "xml").collect()}
+    assert got[1]["text"] == "H\n\na🙂b" and [(s["steps"], s["start"], s["end"]) for s in got[1]["spans"]] == [("", 0, 7), ("1", 0, 1), ("2", 3, 7)]
+    assert got[2]["error"] and got[3]["error"] and got[2]["text"] is None
+    got = {r["id"]: r for r in resolved_fragments(rows, "id", "xml", "at", "sel").collect()}
+    assert (got[1]["text"], got[1]["path"].split("?")[0], got[1]["pages"], got[1]["json"]) == ("🙂", "/x/y/_2:1..2:3", ["/x/y/_2"], '{"name": "p", "attributes": {}, "children": ["a🙂b"]}')
+    assert (got[4]["text"], got[4]["pages"]) == ("one", ["/x/z"]) and all(got[i]["error"] for i in (2, 3, 5, 6))
