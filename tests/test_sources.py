@@ -252,21 +252,32 @@ def test_scheduled_import(spark, tmp_path):
     assert sorted(r["name"] for r in own.read("files").collect()) == ["b.xml", "en/a.xml"]
 
 
-def test_cache_entries(spark, tmp_path):
+def test_cache_entries(spark, tmp_path, monkeypatch):
     from quire.functions import shared
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        made = []
-        make = lambda: made.append(1) or spark.range(3)
-        assert shared.cached(spark, "toc", "v1", make).count() == 3 and shared.cached(spark, "toc", "v1", make).count() == 3 and len(made) == 1
-        for f in (tmp_path / "quire" / "cache" / "toc" / "v1").glob("*.parquet"):
-            f.write_bytes(b"broken")
-        for f in (tmp_path / "quire" / "cache" / "toc" / "v1").glob(".*.crc"):
-            f.unlink()
-        assert shared.cached(spark, "toc", "v1", make).count() == 3 and len(made) == 2
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(shared, "root", lambda spark: f"file://{tmp_path}")
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert shared.cached(spark, "toc", "v1", make).count() == 3 and shared.cached(spark, "toc", "v1", make).count() == 3 and len(made) == 1
+    for f in (tmp_path / "quire" / "cache" / "toc" / "v1").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "quire" / "cache" / "toc" / "v1").glob(".*.crc"):
+        f.unlink()
+    assert shared.cached(spark, "toc", "v1", make).count() == 3 and len(made) == 2
+
+
+def test_no_local_folder_on_a_cluster():
+    from quire.functions import shared
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Cluster:
+        conf = Conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        shared.root(Cluster)
 
 
 def test_fragments_of_columns(spark):
