@@ -31,11 +31,16 @@ def unique_by(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(once, [*key])
 
 
-def by_digest(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """old, new: divisions whose digest is unique on both sides (by: in their file, say), where the path changed."""
+def by_text(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """old, new: where divisions are now whose digest is unique on both sides (by: in their file, say), whether or not the path changed."""
     old = unique_by(before.where("digest is not null"), *by, "digest").select(*by, "digest", F.col("path").alias("old"))
     new = unique_by(after.where("digest is not null"), *by, "digest").select(*by, "digest", F.col("path").alias("new"))
-    return old.join(new, [*by, "digest"]).where("old != new").select("old", "new")
+    return old.join(new, [*by, "digest"]).select("old", "new")
+
+
+def by_digest(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Those of by_text() whose path changed."""
+    return by_text(before, after, by).where("old != new")
 
 
 def by_chain(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -73,23 +78,53 @@ def _normal(head: str | None) -> str:
 
 def match(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """old, new, reason for paths of before that are gone: by digest, then headings, then a similar sibling, then the nearest
-    ancestor that is left (PARENT). Live paths are never redirected and a new path is taken once. by: columns within which
-    divisions are matched (their file, where several are imported at once)."""
+    ancestor that is left or moved (PARENT). by: columns within which divisions are matched (their file, where several are
+    imported at once).
+
+    Live paths are never redirected. A path is taken if its old division stays there or if a division is known by its text to
+    be there now, and each is taken once; one whose old division moved away is free. Siblings are those under the same parent,
+    or under what the parent has become: parents are matched before their children, a level a round."""
     live = after.select(F.col("path").alias("new")).distinct()
     gone = written(before.join(live, before["path"] == live["new"], "left_anti"), "gone")
     without = lambda rows, taken, c: rows.join(taken.select(F.col(c).alias("path")), "path", "left_anti")
     # a tier's pairs are written, so that the next ones don't compute them again
-    first = written(by_digest(before, after, by).join(gone.select(F.col("path").alias("old")), "old", "left_semi"), "tier")
-    rest, free = without(gone, first, "old"), without(without(after, first, "new"), before, "path")
+    known = written(by_text(before, after, by), "tier")
+    first = known.join(gone.select(F.col("path").alias("old")), "old", "left_semi")
+    elsewhere = known.where("old != new").select(F.col("old").alias("path"))
+    stay = before.join(live, before["path"] == live["new"], "left_semi").join(elsewhere, "path", "left_anti")
+    rest, free = without(gone, first, "old"), without(without(after, known, "new"), stay, "path")
     second = by_chain(rest, free, by)
     second = written(second.withColumn("_n", F.row_number().over(Window.partitionBy("new").orderBy("old"))).where("_n = 1").drop("_n"), "tier")
-    rest, free = without(rest, second, "old"), without(free, second, "new")
+    moved = first.unionByName(second)
     columns = ["parent", "side", "path", "head", "position"]
-    both = rest.withColumn("side", F.lit(0)).select(*columns).unionAll(free.withColumn("side", F.lit(1)).select(*columns))
-    third = written(both.groupBy("parent").applyInPandas(greedy, "old string, new string"), "tier")
-    up = nearest(without(rest, third, "old").select(F.col("path").alias("old")), "old", after.select("path"))
-    moved = first.unionByName(second).unionByName(third).select("old", "new", F.lit("MOVED").alias("reason"))
-    return moved.unionAll(up.where("ancestor is not null").select("old", "ancestor", F.lit("PARENT")))
+    rest, free = written(without(rest, second, "old").select("parent", "path", "head", "position"), "rest"), without(free, second, "new")
+    fresh, third = moved, None
+    alive = live.select(F.col("new").alias("parent"))
+    asked = rest.join(alive, "parent", "left_semi")
+    while True:
+        through = rest.join(alive, "parent", "left_anti").join(fresh.select(F.col("old").alias("parent"), F.col("new").alias("_up")), "parent").withColumn("parent", F.col("_up")).drop("_up")
+        both = asked.unionByName(through).withColumn("side", F.lit(0)).select(*columns).unionAll(free.withColumn("side", F.lit(1)).select(*columns))
+        fresh = written(both.groupBy("parent").applyInPandas(greedy, "old string, new string"), "tier")
+        if fresh.isEmpty():
+            break
+        third = fresh if third is None else third.unionByName(fresh)
+        rest, free = without(rest, fresh, "old"), without(free, fresh, "new")
+        asked = asked.limit(0)
+    moved = moved if third is None else moved.unionByName(third)
+    to = live.select(F.col("new").alias("p"), F.col("new").alias("to")).unionAll(moved.select("old", "new"))
+    up = nearest(rest.select(F.col("path").alias("old")), "old", to.select(F.col("p").alias("path"))).where("ancestor is not null")
+    parents = up.join(to, up["ancestor"] == to["p"]).select("old", F.col("to").alias("new"), F.lit("PARENT").alias("reason"))
+    return moved.select("old", "new", F.lit("MOVED").alias("reason")).unionAll(parents)
+
+
+def displaced(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """old, new: divisions that went elsewhere while another one took their path. It is live and redirects nowhere, but what was saved for the old division follows it."""
+    return by_digest(before, after, by).join(after.select(F.col("path").alias("old")).distinct(), "old", "left_semi")
+
+
+def followed(moves: DataFrame, away: DataFrame) -> DataFrame:
+    """old, new: where each old division really went: moves, with displaced ones over them."""
+    return moves.select("old", "new").join(away.select("old"), "old", "left_anti").unionByName(away.select("old", "new"))
 
 
 def nearest(rows: DataFrame, path: str, live: DataFrame) -> DataFrame:
@@ -115,12 +150,13 @@ def resolved(relocations: DataFrame, wanted: DataFrame, hops: int = HOPS) -> Dat
     return wanted.join(rows.select("path", F.when(F.col("at") != F.col("start"), F.col("at")).alias("target")), "path", "left")
 
 
-def repointed(relocations: DataFrame, moves: DataFrame, live: DataFrame) -> DataFrame:
-    """Earlier relocations with their targets moved on at once (swaps don't chain), without those whose old path lives again."""
-    kept = relocations.join(live.select(F.col("path").alias("old")), "old", "left_anti")
-    step = moves.select(F.col("old").alias("new"), F.col("new").alias("_to"))
+def repointed(relocations: DataFrame, moves: DataFrame, live: DataFrame, follow: DataFrame | None = None) -> DataFrame:
+    """Earlier relocations with their targets moved on at once (swaps don't chain; follow: all that moved, if that is more than moves),
+    without those whose old path lives again or that came home; and moves, which replace earlier ones of their old path."""
+    kept = relocations.join(live.select(F.col("path").alias("old")), "old", "left_anti").join(moves.select("old"), "old", "left_anti")
+    step = (moves if follow is None else follow).select(F.col("old").alias("new"), F.col("new").alias("_to"))
     on = kept.join(step, "new", "left").select("old", F.coalesce("_to", "new").alias("new"), "reason")
-    return on.unionByName(moves.select("old", "new", "reason")).where("old != new").dropDuplicates(["old"])
+    return on.where("old != new").unionByName(moves.select("old", "new", "reason"))
 
 
 def rewritten(references: DataFrame, moves: DataFrame, column: str = "path") -> DataFrame:

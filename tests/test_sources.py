@@ -290,3 +290,96 @@ def test_fragments_of_columns(spark):
     got = {r["id"]: r for r in resolved_fragments(rows, "id", "xml", "at", "sel").collect()}
     assert (got[1]["text"], got[1]["path"].split("?")[0], got[1]["pages"], got[1]["json"]) == ("🙂", "/x/y/_2:1..2:3", ["/x/y/_2"], '{"name": "p", "attributes": {}, "children": ["a🙂b"]}')
     assert (got[4]["text"], got[4]["pages"]) == ("one", ["/x/z"]) and all(got[i]["error"] for i in (2, 3, 5, 6))
+
+
+def expected_moves(before, after):
+    """The rules of relocation, division by division in document order: (path, parent, head, position, chain, digest)."""
+    live, once = {d[0] for d in after}, lambda ds: {d[5]: d[0] for d in ds if d[5] and sum(e[5] == d[5] for e in ds) == 1}
+    new_once, old_once = once(after), once(before)
+    known = {p: new_once[g] for g, p in old_once.items() if g in new_once}
+    claimed = set(known.values()) | {d[0] for d in before if d[0] in live and known.get(d[0], d[0]) == d[0]}
+    moved, pending = {}, []
+    for d in before:
+        if d[0] in live:
+            continue
+        to = known.get(d[0])
+        if to is None:
+            to = next((e[0] for e in after if e[4] == d[4] and e[0] not in claimed), None)
+        if to is None:
+            pending.append(d)
+        else:
+            claimed.add(to)
+            moved[d[0]] = to
+    for d in pending:
+        parent = d[1] if d[1] in live else moved.get(d[1])
+        best, score = None, 0
+        for e in after:
+            if parent is not None and e[1] == parent and e[0] not in claimed:
+                a, b = set(d[2].split()), set(e[2].split())
+                own = (1.0 if a <= b or b <= a else len(a & b) / len(a | b)) + (0.01 if e[3] == d[3] else 0)
+                if own > score:
+                    best, score = e[0], own
+        if best is not None and score >= 0.5:
+            claimed.add(best)
+            moved[d[0]] = best
+    out = {k: (v, "MOVED") for k, v in moved.items()}
+    for d in before:
+        at = d[0]
+        while d[0] not in live and d[0] not in out and at.count("/") > 2:
+            at = at.rsplit("/", 1)[0]
+            if at in live or at in moved:
+                out[d[0]] = (moved.get(at, at), "PARENT")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_relocation_of_shuffled_editions(spark, seed):
+    import random
+
+    from quire.operators import relocate
+
+    r = random.Random(seed)
+    words = ["sea", "sky", "old", "house", "night"]
+
+    def edition(changed):
+        out = []
+        for w in range(2):
+            work = f"/a{w}/w"
+            out.append((work, f"/a{w}", f"work {w}", 0, f"{w}", f"t{w}"))
+            for i in range(4):
+                name = r.choice(words) + " " + r.choice(words) if changed and r.random() < 0.6 else f"{words[i]} {words[(i + w) % 5]}"
+                slug = name.replace(" ", "_") if changed and r.random() < 0.7 else f"c{i}"
+                if changed and r.random() < 0.2:
+                    continue
+                path = f"{work}/{slug}"
+                if any(d[0] == path for d in out):
+                    continue
+                out.append((path, work, name, i, f"{w}/{name}", f"g{w}{i}" if r.random() < 0.5 else f"x{r.random()}"))
+                for k in range(2):
+                    head = f"part {words[k]}"
+                    out.append((f"{path}/p{k if not changed or r.random() < 0.6 else k + 5}", path, head, k, f"{w}/{name}/{head}", f"g{w}{i}{k}" if r.random() < 0.4 else f"y{r.random()}"))
+        return out
+
+    before, after = edition(False), edition(True)
+    seen = lambda ds: [(*d[:5], sum(e[4] == d[4] for e in ds[: i + 1]), d[5]) for i, d in enumerate(ds)]
+    frame = lambda ds: spark.createDataFrame(seen(ds), "path string, parent string, head string, position int, chain string, occurrence int, digest string")
+    chained = lambda ds: [(*d[:4], f"{d[4]}#{n}", d[5]) for d, n in zip(ds, (x[5] for x in seen(ds)), strict=True)]
+    got = {m["old"]: (m["new"], m["reason"]) for m in relocate.match(frame(before), frame(after)).collect()}
+    assert got == expected_moves(chained(before), chained(after))
+
+
+def test_what_follows_a_division(spark):
+    """A path that another division took redirects nowhere, but earlier relocations to it follow the one that left; swaps don't chain."""
+    from quire.operators import relocate
+
+    ed = lambda *ds: spark.createDataFrame([(p, "/a/w", p, 0, p, 1, g) for p, g in ds], "path string, parent string, head string, position int, chain string, occurrence int, digest string")
+    before, after = ed(("/a/w/1", "x"), ("/a/w/2", "y"), ("/a/w/3", "z")), ed(("/a/w/1", "y"), ("/a/w/2", "x"), ("/a/w/4", "z"))
+    moves = relocate.match(before, after)
+    assert {tuple(m) for m in moves.collect()} == {("/a/w/3", "/a/w/4", "MOVED")}
+    follow = relocate.followed(moves, relocate.displaced(before, after))
+    assert {tuple(m) for m in follow.collect()} == {("/a/w/1", "/a/w/2"), ("/a/w/2", "/a/w/1"), ("/a/w/3", "/a/w/4")}
+    earlier = spark.createDataFrame([("/o/1", "/a/w/1", "MOVED"), ("/o/2", "/a/w/2", "MOVED"), ("/a/w/4", "/a/w/3", "MOVED"), ("/o/3", "/a/w/3", "MOVED")], "old string, new string, reason string")
+    got = {(m["old"], m["new"]) for m in relocate.repointed(earlier, moves, after, follow).collect()}
+    assert got == {("/o/1", "/a/w/2"), ("/o/2", "/a/w/1"), ("/o/3", "/a/w/4"), ("/a/w/3", "/a/w/4")}
+    saved = spark.createDataFrame([("/a/w/1",), ("/a/w/3",), ("/b",)], "path string")
+    assert sorted(x[0] for x in relocate.rewritten(saved, follow).collect()) == ["/a/w/2", "/a/w/4", "/b"]
