@@ -34,7 +34,7 @@ from .common import CACHES, release
 PIECE = 4 << 20
 #: Distinct words that go through a recursive query together, the rows that its steps may keep, and words that are kept.
 LOT = 20_000
-STEPS = 6_000_000
+STEPS = 4_000_000
 CACHE = 450_000
 #: Bytes of a word that enters a query whole; bytes of a span at first, of which half is also in the next.
 WHOLE = 192
@@ -88,7 +88,7 @@ class Codec:
             own = np.frombuffer(t, np.uint8)
             self.beside[own[:-1], own[1:]] = True
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.load("merges", pa.table([a, b, r], ["a", "b", "id"]))
         self.load("vocabulary", pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"]))
