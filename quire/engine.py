@@ -57,7 +57,7 @@ class Corpus:
     def grep(self, q: str, limit: int | None = None, scopes: list[str] | None = None) -> DataFrame:
         licences = self.divisions.where(T.is_licence(F.col("head"))).select(F.col("id").alias("div_id"))
         rows = self.paragraphs.join(licences, "div_id", "left_anti")
-        return search.grep(rows, q, search.search_limit(limit), ["path", "nth"], T.in_scope(F.col("path"), T.normal_scopes(scopes)))
+        return search.grep(rows, q, search.search_limit(limit), ["path", "nth"], T.in_scope(F.col("path"), T.normal_scopes(scopes)), bound=search.GREP_BOUND)
 
     def leaf_texts(self) -> DataFrame:
         """id, path, head, lang, content of the divisions that full-text search knows: leaves with any text."""

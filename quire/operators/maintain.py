@@ -82,6 +82,13 @@ def image_urls(urls: Column, most: int = 3) -> Column:
     return F.transform(F.slice(F.filter(urls, lambda u: u.rlike("^https?://")), 1, most), lambda u: F.struct(u.alias("url"), kind(u).alias("type")))
 
 
+def images_added(media: DataFrame, given: DataFrame, path: str = "path", url: str = "url", role: str = "ENRICHMENT") -> DataFrame:
+    """media (path, url, role) with the images (path, urls) that enrichment gives: none for a path that has any of the role already, none twice."""
+    has = media.where(F.col("role") == role).select(path).distinct()
+    new = given.join(has, path, "left_anti").select(path, F.explode(image_urls(F.col("urls"))["url"]).alias(url)).distinct()
+    return media.unionByName(new.join(media.select(path, url), [path, url], "left_anti").withColumn("role", F.lit(role)), allowMissingColumns=True)
+
+
 def without_image_data(c: Column) -> Column:
     """Null where a description is really base64 image data (fixed values: how PNG, JPEG and GIF begin in base64)."""
     return F.when(c.rlike("^(iVBORw0KGgo|/9j/|R0lGOD)"), F.lit(None)).otherwise(c)

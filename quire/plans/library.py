@@ -424,7 +424,7 @@ def slugs_made(spark, d):
     return Tables(spark, d).supplier.select(F.col("s_suppkey").alias("id"), (T.is_work_slug(own) & (F.length(own) <= 100)).alias("named"))
 
 
-@query(f"WITH {W}, {P}, l AS (SELECT doc_id FROM documents WHERE doc_id % 9 = 0) SELECT doc_id, nth, text FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l) AND contains(lower(text), 'rights') ORDER BY path, nth LIMIT 40")
+@query(f"WITH {W}, {P}, l AS (SELECT doc_id FROM documents WHERE doc_id % 9 = 0) q AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l) ORDER BY path, nth LIMIT {S.GREP_BOUND}) SELECT doc_id, nth, text FROM q WHERE contains(lower(text), 'rights') ORDER BY path, nth LIMIT 40")
 def corpus_grep(spark, d):
     """Of a corpus: paragraphs in order of their paths, licence divisions left out."""
     return corpus(spark, d).grep("RIGHTS", 40).select(F.col("div_id").alias("doc_id"), "nth", "text")
@@ -587,3 +587,15 @@ def collection_items_added(spark, d):
     items = t.lineitem.select(F.col("l_orderkey").alias("collection"), F.col("l_linenumber").cast("long").alias("item"), F.col("l_linenumber").cast("long").alias("sort_order"))
     new = t.orders.select(F.col("o_orderkey").alias("collection"), F.lit(-1).cast("long").alias("item"), F.lit(1).alias("place"))
     return state.items_added(items, new, ["collection"])
+
+
+@query("""WITH m AS (SELECT 's' || s_suppkey AS path, 'http://m/' || (s_suppkey % 3) || '.png' AS url, CASE WHEN s_suppkey % 4 = 0 THEN 'ENRICHMENT' ELSE 'COVER' END AS role FROM supplier),
+g AS (SELECT 's' || s_suppkey AS path, unnest(['http://m/0.png', 'http://n/' || s_suppkey || '.gif']) AS url FROM supplier WHERE s_suppkey % 4 > 0)
+SELECT * FROM m UNION ALL SELECT path, url, 'ENRICHMENT' FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.path = g.path AND m.url = g.url)""")
+def images_added(spark, d):
+    i = F.col("s_suppkey")
+    s = Tables(spark, d).supplier
+    path = F.concat(F.lit("s"), i).alias("path")
+    media = s.select(path, F.concat(F.lit("http://m/"), i % 3, F.lit(".png")).alias("url"), F.when(i % 4 == 0, "ENRICHMENT").otherwise("COVER").alias("role"))
+    given = s.select(path, F.array(F.lit("http://m/0.png"), F.lit("ftp://no"), F.concat(F.lit("http://n/"), i, F.lit(".gif"))).alias("urls"))
+    return maintain.images_added(media, given)

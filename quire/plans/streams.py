@@ -44,3 +44,17 @@ def stream_hour_windows(spark, d):
 def stream_progress(spark, d):
     stream = reading.progress(reading.event_stream(spark, d))
     return drained(spark, stream, "progress", "update", "user_id", "event_type").select("user_id", "event_type", "touches", "division", "read")
+
+
+@query("SELECT event_id, event_type AS mode, CAST(json_extract_string(props, '$.k') AS BIGINT) AS lim, user_id % 2 = 0 AS known FROM events")
+def stream_events_json(spark, d):
+    """Search events as JSON, with the fields that are null left out, written by a stream and read again."""
+    from quire.sources.sinks import events
+
+    stream = reading.event_stream(spark, d)
+    user = F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string"))
+    line = events(F.lit("search"), user, F.col("ts"), "catalogue", mode=F.col("event_type"), query=F.concat(F.lit("q"), "event_id"), limit=F.get_json_object("props", "$.k").cast("int"), results=F.lit(None).cast("int"))
+    out = drained(spark, stream.select(line.alias("value")), "json", "append")
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    fine = out.where((field("type") == "search") & ~F.contains("value", F.lit("results")))
+    return fine.select(F.substring(field("query"), 2, 20).cast("long").alias("event_id"), field("mode").alias("mode"), field("limit").cast("long").alias("lim"), F.contains("value", F.lit('"user"')).alias("known"))
