@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import CACHES, release
 
 #: Characters of text that are split into words at a time.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Distinct words that go through a recursive query together, the rows that its steps may keep, and words that are kept.
 LOT = 20_000
 STEPS = 4_000_000
 CACHE = 450_000
+#: The first and the last of these for executors that hold what earlier stages left: less memory, more time.
+SMALL = (1 << 20, 200_000)
 #: Bytes of a word that enters a query whole; bytes of a span at first, of which half is also in the next.
 WHOLE = 192
 SPAN = 96
@@ -74,11 +76,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder over one DuckDB connection."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int | None = None):
         import duckdb
         import regex
 
         self.find = regex.compile(pattern).findall
+        self.cache = CACHE if cache is None else cache
         self.ranks = read_ranks(path)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
@@ -89,6 +92,7 @@ class Codec:
             self.beside[own[:-1], own[1:]] = True
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db.execute("SET allocator_flush_threshold = '1MB'")
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.load("merges", pa.table([a, b, r], ["a", "b", "id"]))
         self.load("vocabulary", pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"]))
@@ -204,7 +208,7 @@ class Codec:
     def coded(self, texts: list[list[str]]) -> dict[str, str]:
         """Ids by word, of the words of some texts at least."""
         met = set().union(*texts)
-        if len(self.ids) + len(met) > CACHE:
+        if len(self.ids) + len(met) > self.cache:
             self.old, self.ids = self.ids, {}
         missing = met.difference(self.ids)
         known = missing.intersection(self.old)
@@ -239,15 +243,15 @@ def common_token(left: np.ndarray, right: np.ndarray, least: int) -> int | None:
     return int(begin[hit[0]]) if len(hit) else None
 
 
-CODECS: dict[tuple[str, str], Codec] = {}
+CODECS: dict[tuple, Codec] = {}
 CACHES.append(CODECS.clear)
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, cache: int | None = None) -> Codec:
     """One for each Python worker."""
-    if (path, pattern) not in CODECS:
-        CODECS[path, pattern] = Codec(path, pattern)
-    return CODECS[path, pattern]
+    if (path, pattern, cache) not in CODECS:
+        CODECS[path, pattern, cache] = Codec(path, pattern, cache)
+    return CODECS[path, pattern, cache]
 
 
 def lots(texts: list[str], limit: int) -> Iterator[list[str]]:
@@ -281,15 +285,15 @@ def raws(own: Codec, joined: list[str]) -> Iterator[bytes]:
         yield from own.decode(np.array([x.count(" ") + bool(x) for x in some]), numbers([x for x in some if x]))
 
 
-def digests(path: str, pattern: str, passed: int = 1):
+def digests(path: str, pattern: str, passed: int = 1, piece: int = PIECE, cache: int | None = None):
     """Rows (others..., text) -> (others..., n_tokens, ids_sha256, decoded_sha256), decoded from the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)  # with its known words it stays for the worker's next task
+        own = codec(path, pattern, cache)  # with its known words it stays for the worker's next task
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             counts, ids, decoded_to = [], [], []
-            for texts in lots([t or "" for t in b.column(passed).to_pylist()], PIECE):
+            for texts in lots([t or "" for t in b.column(passed).to_pylist()], piece):
                 joined = ids_of(own, texts)
                 counts += [x.count(" ") + bool(x) for x in joined]
                 ids += [sha(x.encode()) for x in joined]
@@ -334,8 +338,9 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(decoded(path, pattern), "doc_id long, raw binary")
 
 
-def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def bpe_digests(docs: DataFrame, path: str, pattern: str, piece: int = PIECE, cache: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. piece, cache: characters split at a time and words kept, which set a worker's memory, not the result."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests(path, pattern, 1, piece, cache), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
