@@ -43,7 +43,7 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     import public_tokenizers
 
-    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, *bpe.SMALL)
 
 
 STAGES = [
