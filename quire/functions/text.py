@@ -93,7 +93,7 @@ def parsed_name(original: Column) -> Column:
     by_comma = F.transform(F.split(name, ","), lambda x: F.trim(x))
     by_space = F.reverse(F.split(name, r"\s+"))
     parts = F.when(F.contains(name, F.lit(",")), by_comma).otherwise(by_space)
-    rest = F.trim(F.array_join(F.slice(parts, 2, 1000), " "))
+    rest = F.trim(F.array_join(F.filter(parts, lambda x, i: i > 0), " "))
     return F.struct(parts[0].alias("last"), F.when(F.size(parts) > 1, rest).alias("first"))
 
 

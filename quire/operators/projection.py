@@ -9,8 +9,10 @@ from html import escape
 from typing import NamedTuple
 from xml.dom import Node, minidom
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.operators.fragments import MOST, Selector, parse_selector, units
@@ -210,3 +212,37 @@ def _mapped(rows: DataFrame, key: str, schema: str, one) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{key: r[key], **one(r)} for r in part], arrow)
 
     return rows.mapInArrow(run, full)
+
+
+FORMS = ("text", "xml", "json", "html")
+
+
+def rendered(xml: Column, form: str = "text", depth: int | None = None) -> Column:
+    """A division's XML as a document's text, XML, JSON or HTML, with its own divisions down to some levels; null for what is no XML."""
+    from quire.functions import dom
+    from quire.sources.tei import document_text
+
+    if form not in FORMS:
+        raise ValueError(f"one of {', '.join(FORMS)}")
+
+    def one(source: str | None) -> str | None:
+        try:
+            root = minidom.parseString((source or "").encode()).documentElement
+            if depth is not None:
+                dom.pruned(root, depth)
+            if form == "text":
+                return document_text(root)
+            if form == "json":
+                return json.dumps(to_json(root), ensure_ascii=False)
+            if form == "xml":
+                return root.toxml()
+            p = Projection(root.toxml())
+            return p.html(0, units(p.text))
+        except Exception:  # noqa: BLE001  any column may hold broken XML
+            return None
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(xml)

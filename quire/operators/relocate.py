@@ -129,7 +129,7 @@ def followed(moves: DataFrame, away: DataFrame) -> DataFrame:
 
 def nearest(rows: DataFrame, path: str, live: DataFrame) -> DataFrame:
     """Adds ancestor: the longest proper prefix of the path (author and work at least) among live paths, by equi-joins on all prefixes."""
-    own = rows.select(path).distinct().select(path, F.explode(F.slice(T.prefixes(F.col(path)), 2, 1000)).alias("p"))
+    own = rows.select(path).distinct().select(path, F.explode(F.filter(T.prefixes(F.col(path)), lambda p, i: i > 0)).alias("p"))
     hit = own.join(live.select(T.canonical_path(F.col("path")).alias("p")).distinct(), "p", "left_semi")
     best = hit.groupBy(path).agg(F.max_by("p", F.length("p")).alias("ancestor"))
     return rows.join(best, path, "left")

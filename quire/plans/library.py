@@ -424,7 +424,7 @@ def slugs_made(spark, d):
     return Tables(spark, d).supplier.select(F.col("s_suppkey").alias("id"), (T.is_work_slug(own) & (F.length(own) <= 100)).alias("named"))
 
 
-@query(f"WITH {W}, {P}, l AS (SELECT doc_id FROM documents WHERE doc_id % 9 = 0) q AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l) ORDER BY path, nth LIMIT {S.GREP_BOUND}) SELECT doc_id, nth, text FROM q WHERE contains(lower(text), 'rights') ORDER BY path, nth LIMIT 40")
+@query(f"WITH {W}, {P}, l AS (SELECT doc_id FROM documents WHERE doc_id % 9 = 0), q AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l) ORDER BY path, nth LIMIT {S.GREP_BOUND}) SELECT doc_id, nth, text FROM q WHERE contains(lower(text), 'rights') ORDER BY path, nth LIMIT 40")
 def corpus_grep(spark, d):
     """Of a corpus: paragraphs in order of their paths, licence divisions left out."""
     return corpus(spark, d).grep("RIGHTS", 40).select(F.col("div_id").alias("doc_id"), "nth", "text")
@@ -599,3 +599,14 @@ def images_added(spark, d):
     media = s.select(path, F.concat(F.lit("http://m/"), i % 3, F.lit(".png")).alias("url"), F.when(i % 4 == 0, "ENRICHMENT").otherwise("COVER").alias("role"))
     given = s.select(path, F.array(F.lit("http://m/0.png"), F.lit("ftp://no"), F.concat(F.lit("http://n/"), i, F.lit(".gif"))).alias("urls"))
     return maintain.images_added(media, given)
+
+
+@query("""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM conversations WHERE trim(text) <> '')
+SELECT conv_id, 'Talk ' || conv_id || chr(10) || chr(10) || string_agg(text, chr(10) ORDER BY n) AS text, 'Talk ' || conv_id AS name, count(*) + 1 AS parts, 'section>h2' || repeat('>p', CAST(count(*) AS BIGINT)) AS tags FROM t GROUP BY conv_id""")
+def division_rendered(spark, d):
+    from quire.operators.projection import rendered
+
+    x = F.col("xml")
+    rows = divisions_xml(spark, d).select("conv_id", rendered(x).alias("text"), rendered(x, "json").alias("j"), rendered(x, "html", 0).alias("h"))
+    parts = F.json_array_length(F.get_json_object("j", "$.children"))
+    return rows.select("conv_id", "text", F.get_json_object("j", "$.children[0].children[0]").alias("name"), parts.cast("long").alias("parts"), F.array_join(F.regexp_extract_all("h", F.lit("<([a-z0-9]+)>"), F.lit(1)), ">").alias("tags"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.shared import written
+
 HREF = 'href="([^"]*)"'
 
 
@@ -19,15 +21,12 @@ def child_links(pages: DataFrame, base: str) -> DataFrame:
     return links(pages).where(F.startswith("href", F.lit(base)) & (rest != "") & ~rest.rlike("[#/]")).distinct()
 
 
-def walk(edges: DataFrame, start: str, depth: int = 32) -> DataFrame:
-    """Paths (from, to) reached from start: each once, with its least depth; leaves have no further link."""
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "path string, depth int")
-    level = seen
-    for n in range(1, depth + 1):
-        reached = level.join(edges, level["path"] == edges["from"]).select(F.col("to").alias("path")).distinct()
-        level = reached.join(seen, "path", "left_anti").withColumn("depth", F.lit(n))
-        if level.isEmpty():
-            break
+def walk(edges: DataFrame, start: str) -> DataFrame:
+    """Paths (from, to) reached from start: each once, with its least depth; leaves have no further link. A level is written once; the walk ends with the first that reaches nothing new."""
+    seen = level = written(edges.sparkSession.createDataFrame([(start, 0)], "path string, depth int"), "walk")
+    while not level.isEmpty():
+        reached = level.join(edges, level["path"] == edges["from"]).groupBy(F.col("to").alias("path")).agg((F.min("depth") + 1).alias("depth"))
+        level = written(reached.join(seen, "path", "left_anti"), "walk")
         seen = seen.unionAll(level)
     leaf = edges.select(F.col("from").alias("path")).distinct().withColumn("_inner", F.lit(True))
     return seen.join(leaf, "path", "left").select("path", "depth", F.col("_inner").isNull().alias("leaf"))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -41,21 +37,11 @@ def windows(events: DataFrame, size: str = "1 hour") -> DataFrame:
     return own.select(F.col("w.start").alias("start"), "event_type", "events")
 
 
-def _progress(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    touches, last, division = state.get if state.exists else (0, 0, None)
-    for frame in frames:
-        touches += len(frame)
-        newest = frame.sort_values(["us", "event_id"]).iloc[-1]
-        if newest.us >= last:
-            last, division = int(newest.us), newest.division
-    state.update((touches, last, division))
-    yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "touches": [touches], "division": [division], "read": [touches >= 3]})
-
-
 def progress(events: DataFrame) -> DataFrame:
-    """user_id, event_type, touches, division (last), read: kept per key, a row out at each change."""
-    own = events.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("us"), F.get_json_object("props", "$.k").alias("division"))
-    return own.groupBy("user_id", "event_type").applyInPandasWithState(_progress, "user_id long, event_type string, touches long, division string, read boolean", "touches long, last long, division string", "update", GroupStateTimeout.NoTimeout)
+    """user_id, event_type, touches, division (last), read: kept per key, a row out at each change. State is a count and the last place, in the JVM's store."""
+    last = F.max_by(F.get_json_object("props", "$.k"), F.struct("ts", "event_id")).alias("division")
+    own = events.groupBy("user_id", "event_type").agg(F.count("*").alias("touches"), last)
+    return own.select("user_id", "event_type", "touches", "division", (F.col("touches") >= 3).alias("read"))
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
