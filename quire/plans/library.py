@@ -610,3 +610,55 @@ def division_rendered(spark, d):
     rows = divisions_xml(spark, d).select("conv_id", rendered(x).alias("text"), rendered(x, "json").alias("j"), rendered(x, "html", 0).alias("h"))
     parts = F.json_array_length(F.get_json_object("j", "$.children"))
     return rows.select("conv_id", "text", F.get_json_object("j", "$.children[0].children[0]").alias("name"), parts.cast("long").alias("parts"), F.array_join(F.regexp_extract_all("h", F.lit("<([a-z0-9]+)>"), F.lit(1)), ">").alias("tags"))
+
+
+@query("SELECT doc_id, substr(text, 1, list_max(list_filter(range(0, 61), lambda k: octet_length(encode(substr(text, 1, k))) <= 60))) AS short FROM documents")
+def byte_cuts(spark, d):
+    return Tables(spark, d).documents.select("doc_id", T.byte_truncate(F.col("text"), 60).alias("short"))
+
+
+@query("SELECT s_suppkey AS id, 'Free to ' || s_name || '. http://l/' || s_suppkey AS licence FROM supplier")
+def licence_texts(spark, d):
+    i = F.col("s_suppkey")
+    doc = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><publicationStmt><availability>\n <p>Free  to '), "s_name", F.lit('. <ptr target="http://l/'), i, F.lit('"/></p></availability></publicationStmt></fileDesc></teiHeader></TEI>'))
+    return Tables(spark, d).supplier.select(i.alias("id"), xml.licence_text(doc).alias("licence"))
+
+
+ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query(f"SELECT conv_id, sha256('fragment-projection-v1' || chr(10) || '<div><head>Talk ' || conv_id || '</head>' || string_agg('<p>' || {ESCAPED} || '</p>', '' ORDER BY turn) || '</div>') AS revision FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def projection_revision(spark, d):
+    from quire.operators.projection import projected
+
+    return projected(divisions_xml(spark, d), "conv_id", "xml").select("conv_id", "revision")
+
+
+@query("SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'search_query: ' WHEN 1 THEN 'search_document: ' WHEN 2 THEN 'query: ' ELSE '' END || label AS asked FROM embeddings")
+def query_prefixes(spark, d):
+    from quire.engine import prefixed
+
+    i, c = F.col("vec_id"), F.col("label").cast("string")
+    asked = F.when(i % 4 == 0, prefixed(c, "nomic", True)).when(i % 4 == 1, prefixed(c, "nomic", False)).when(i % 4 == 2, prefixed(c, "e5", True)).otherwise(prefixed(c, "other", True))
+    return Tables(spark, d).embeddings.select("vec_id", asked.alias("asked"))
+
+
+@query(f"WITH {W} SELECT doc_id, path FROM w WHERE lang = 'en' ORDER BY doc_id LIMIT 200")
+def corpus_by_language(spark, d):
+    return corpus(spark, d).by_language("en").select(F.col("id").alias("doc_id"), "path")
+
+
+# Two editions in which every division holds the text of the one twenty further on: all paths live on, all texts moved.
+
+
+@query("""WITH b AS (SELECT '/a/' || source || '/d' || doc_id AS path, md5(text) AS g FROM documents), n AS (SELECT '/a/' || a.source || '/d' || a.doc_id AS path, md5(b.text) AS g FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20),
+bu AS (SELECT g, any_value(path) AS old FROM b GROUP BY g HAVING count(*) = 1), nu AS (SELECT g, any_value(path) AS new FROM n GROUP BY g HAVING count(*) = 1),
+k AS (SELECT old, new FROM bu JOIN nu USING (g) WHERE old <> new AND old IN (SELECT path FROM n)), m AS (SELECT '/a/' || source || '/d' || doc_id AS old, '/z' AS new FROM documents WHERE doc_id % 3 = 0)
+SELECT old, new FROM k UNION ALL SELECT old, new FROM m WHERE old NOT IN (SELECT old FROM k)""")
+def moves_followed(spark, d):
+    docs = Tables(spark, d).documents
+    row = lambda i, digest: [F.concat(F.lit("/a/"), "source", F.lit("/d"), i).alias("path"), digest.alias("digest")]
+    before = docs.select(*row(F.col("doc_id"), F.md5("text")))
+    after = docs.join(docs.select((F.col("doc_id") - 20).alias("doc_id"), F.md5("text").alias("g")), "doc_id").select(*row(F.col("doc_id"), F.col("g")))
+    moves = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("/a/"), "source", F.lit("/d"), "doc_id").alias("old"), F.lit("/z").alias("new"))
+    return relocate.followed(moves, relocate.displaced(before, after))
