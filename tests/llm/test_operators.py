@@ -395,7 +395,7 @@ def test_html_viterbi_is_the_best_path():
 
     chain = html_extract.trained()
     blocks = html_extract.leaf_blocks("<nav><a href=x>one</a></nav><div>perhaps</div><p>A sentence that stands here, long enough.</p><footer>&copy; x</footer>")
-    s = chain.scores(blocks)
+    s = np.array(chain.scores(blocks))
     value = lambda y: sum(s[i, k] for i, k in enumerate(y)) + sum(chain.move[a, b] for a, b in zip(y, y[1:], strict=False)) + chain.ends[0, y[0]] + chain.ends[1, y[-1]]
     assert chain.decode(blocks) == list(max(itertools.product((0, 1), repeat=len(blocks)), key=value))
 
