@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, licenses, media, passage_dedup, quality, simhash_dedup, suffix_dedup, warc
+from . import bpe, decontaminate, html_extract, licenses, media, passage_dedup, quality, simhash_dedup, spelling, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_spelling": spelling.op11_spelling,
 }
 SQL: dict[str, str] = {
     "op2_passage_dedup": passage_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_warc": warc.SQL,
+    "op11_spelling": spelling.SQL,
 }
