@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, licenses, media, passage_dedup, quality, simhash_dedup, spelling, suffix_dedup, warc
+from . import bpe, chat_format, conversations, decontaminate, html_extract, licenses, media, passage_dedup, quality, simhash_dedup, spelling, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_warc": warc.op10_warc,
     "op11_spelling": spelling.op11_spelling,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
 SQL: dict[str, str] = {
     "op2_passage_dedup": passage_dedup.SQL,
@@ -23,4 +25,6 @@ SQL: dict[str, str] = {
     "op9_suffix_dedup": suffix_dedup.SQL,
     "op10_warc": warc.SQL,
     "op11_spelling": spelling.SQL,
+    "op12_conversations": conversations.SQL,
+    "op13_chat_format": chat_format.SQL,
 }
