@@ -200,70 +200,6 @@ def method_scores(scores: DataFrame, key: str, least: int = 150) -> DataFrame:
     return scores.select(key, F.explode(rows).alias("m")).select("m.method", key, "m.score").where("score is not null")
 
 
-class Collections:
-    """Named vector collections in a folder that all machines share: each a table (key, ..., embedding) and its parameters."""
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _at(self, name: str, part: str) -> str:
-        return f"{self.path}/{name}/{part}"
-
-    def names(self) -> list[str]:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return sorted(r[0] for r in self.spark.read.json(f"{self.path}/*/parameters").select("name").distinct().collect())
-        except AnalysisException:
-            return []
-
-    def create(self, name: str, size: int, metric: str = "euclidean", quantised: bool = True, lists: int = 0) -> None:
-        if name in self.names():
-            raise ValueError(f"there is a collection {name}")
-        self.spark.createDataFrame([(name, size, metric, quantised, lists)], "name string, size int, metric string, quantised boolean, lists int").coalesce(1).write.json(self._at(name, "parameters"))
-
-    def parameters(self, name: str) -> dict:
-        if name not in self.names():
-            raise ValueError(f"no collection {name}")
-        return self.spark.read.json(self._at(name, "parameters")).first().asDict()
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    def read(self, name: str) -> DataFrame | None:
-        """The rows, of the last version; None before the first upsert."""
-        versions = self._versions(name)
-        return self.spark.read.parquet(self._at(name, f"rows/v{versions[-1]}")) if versions else None
-
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self._at(name, "rows"))
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        found = [f.getPath() for f in fs.listStatus(at)]
-        return sorted(int(p.getName()[1:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def upsert(self, name: str, new: DataFrame, key: str = "sha256") -> None:
-        """new (key, ..., embedding, seq) in the place of rows with their key, as a new version."""
-        size = self.parameters(name)["size"]
-        if not new.where(F.size("embedding") != size).isEmpty():
-            raise ValueError(f"vectors of {name} have {size} components")
-        stored = self.read(name)
-        rows = upserted(stored if stored is not None else new.drop("seq").limit(0), new, key)
-        rows.write.parquet(self._at(name, f"rows/v{(self._versions(name) or [0])[-1] + 1}"))
-
-    def reembed(self, source: str, target: str, embedding: Column, size: int) -> None:
-        """A new collection of the same rows with other vectors (a Column over the old rows)."""
-        if source == target:
-            raise ValueError("a collection can't be embedded into itself")
-        rows = self.read(source)
-        self.create(target, size)
-        rows.withColumn("embedding", embedding).write.parquet(self._at(target, "rows/v1"))
-
-
 def reembedded(rows: DataFrame, embedding: Column) -> DataFrame:
     """The same rows with other vectors."""
     return rows.withColumn("embedding", embedding)

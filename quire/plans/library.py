@@ -234,6 +234,42 @@ def vector_knn_quantized(spark, d):
     return V.knn_quantized(V.quantized(e), e, q, 10).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def stored_vectors(spark, d):
+    """A collection of all embeddings: every third comes first with another vector, and is replaced."""
+    from quire.sources.vector_store import Collections
+
+    e = Tables(spark, d).embeddings.select(F.col("vec_id").cast("string").alias("sha256"), "label", "embedding", F.lit(1).alias("seq"), "vec_id")
+    store = Collections(spark, new_folder(spark, "vectors"))
+    store.create("e", 64)
+    wrong = F.when(F.col("vec_id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    store.upsert("e", e.withColumn("embedding", wrong).drop("vec_id"))
+    store.upsert("e", e.where("vec_id % 3 = 0").drop("vec_id"))
+    return store, e.where("vec_id % 20 = 0").select(F.col("sha256").alias("query"), F.col("embedding").alias("q"))
+
+
+PAIR = "sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2))))"
+
+
+@query(f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS key, {PAIR} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT query, key, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, key) AS rank FROM p QUALIFY rank <= 10""")
+def vector_store_knn(spark, d):
+    """The ten nearest to every twentieth vector, by a stored collection: its codes find what an exact search does."""
+    store, asked = stored_vectors(spark, d)
+    near = store.search_all("e", asked, 10)
+    return near.select(F.col("query").cast("long").alias("query"), F.col("key").cast("long").alias("key"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def vector_store_recall(spark, d):
+    """Recall of the ten nearest to every twentieth vector by a stored collection, and which share of all vectors a query reads in full."""
+    store, asked = stored_vectors(spark, d)
+    e = Tables(spark, d).embeddings
+    near = store.search_all("e", asked, 10).select(F.col("query").cast("long").alias("query"), F.col("key").cast("long").alias("key"), F.lit(1).alias("hit"))
+    exact = V.knn_join(e.where("vec_id % 20 = 0"), e, 10).select("query", "key").join(near, ["query", "key"], "left")
+    read = exact.agg(F.count_distinct("query").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
+    return read.crossJoin(F.broadcast(e.agg((F.least(F.lit(30), F.count("*")) / F.count("*")).alias("share_read"))))  # both are one row
+
+
 @query("SELECT count(*) AS queries, TRUE AS found FROM embeddings WHERE vec_id % 20 = 0")
 def vector_knn_lists(spark, d):
     """Of the ten nearest to every twentieth vector, the share that an inverted file finds is 0.9 or more."""

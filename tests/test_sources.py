@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import maintain, search, state, tree, vectors
-from quire.sources import html, repos, sinks, tei
+from quire.sources import html, repos, sinks, tei, vector_store
 
 BOOK = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>{title}</title><author>{author}</author></titleStmt></fileDesc></teiHeader><text><body>
 <div><head><label>I</label> First<lb/>Part</head><p>The <hi>cat</hi> and the dog.</p>
@@ -190,7 +190,7 @@ def test_nodes_of_xml():
 
 
 def test_vector_collections(spark, tmp_path):
-    store = vectors.Collections(spark, f"file://{tmp_path}/vectors")
+    store = vector_store.Collections(spark, f"file://{tmp_path}/vectors")
     store.create("a", 2)
     for bad in (lambda: store.create("a", 2), lambda: store.parameters("b"), lambda: store.upsert("a", spark.createDataFrame([("x", [1.0], 1)], "sha256 string, embedding array<double>, seq int"))):
         with pytest.raises(ValueError):
@@ -208,6 +208,96 @@ def test_vector_collections(spark, tmp_path):
     assert store.names() == ["b"]
 
 
+def some_vectors(spark, n, size=16, seed=0, late=()):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, size)) * 2
+    values = {f"k{i}": (centres[i % 8] + rng.normal(size=size)).tolist() for i in range(n)}
+    return values, spark.createDataFrame([(k, f"/u/{k}", v, 1) for k, v in values.items()], "sha256 string, url string, embedding array<double>, seq int")
+
+
+def by_force(values, q, k, metric):
+    import numpy as np
+
+    def far(v):
+        v, w = np.array(v), np.array(q)
+        return {"euclidean": np.linalg.norm(v - w), "cosine": 1 - v @ w / np.linalg.norm(v) / np.linalg.norm(w), "dot": -(v @ w)}[metric]
+
+    return [k for _, k in sorted((round(far(v), 9), k) for k, v in values.items())[:k]]
+
+
+@pytest.mark.parametrize(("metric", "quantised"), [("euclidean", True), ("cosine", True), ("dot", False)])
+def test_stored_vectors_are_searched_by_lists_and_codes(spark, tmp_path, metric, quantised, monkeypatch):
+    monkeypatch.setattr(vector_store, "BLOCK", 64)
+    store = vector_store.Collections(spark, f"file://{tmp_path}/v")
+    store.create("a", 16, metric, quantised, lists=8)
+    values, rows = some_vectors(spark, 800)
+    store.upsert("a", rows)
+    changed, again = some_vectors(spark, 200, seed=5)
+    store.upsert("a", again.withColumn("url", F.lit("new")))
+    values |= changed
+    some = [values["k3"], [0.1] * 16, values["k700"]]
+    for q in some:
+        got = [r["sha256"] for r in store.search("a", q, 10).collect()]
+        assert len(set(got) & set(by_force(values, q, 10, metric))) >= 9
+    asked = spark.createDataFrame([(str(i), q) for i, q in enumerate(some)], "query string, q array<double>")
+    hits = store.search_all("a", asked, 10).collect()
+    for i, q in enumerate(some):
+        assert len({r["key"] for r in hits if r["query"] == str(i)} & set(by_force(values, q, 10, metric))) >= 9
+    few = store.search("a", values["k3"], 5, probes=1)
+    assert few.count() == 5 and (metric == "dot" or few.first()["sha256"] == "k3")
+    assert store.search("a", values["k3"], 5, where=F.col("url") == "new").count() <= 5
+    assert {r["url"] for r in store.by_key("a", ["k3", "k700", "none"]).collect()} == {"new", "/u/k700"}
+    assert store.read("a").count() == 800
+
+
+def test_a_search_reads_codes_and_few_vectors(spark, tmp_path):
+    store = vector_store.Collections(spark, f"file://{tmp_path}/v")
+    store.create("a", 16, lists=8)
+    values, rows = some_vectors(spark, 800)
+    store.upsert("a", rows)
+    scans = [x for x in store.search("a", values["k3"], 5, probes=2)._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "EqualTo(list" in scans[0] and "In(sha256" in scans[0]  # the candidates alone
+    log = store._log("a")
+    codes = spark.read.parquet(*[log.data("segments", s, "codes") for s in log.head()[1]["segments"]])
+    assert codes.agg(F.sum("n")).first()[0] == 800 and set(codes.columns) == {"list", "n", "keys", "codes", "steps"}
+    assert codes.select(F.octet_length("codes") / F.col("n")).distinct().collect() == [(16.0,)]  # a byte a component
+
+
+def test_segments_merge_and_versions_conflict(spark, tmp_path):
+    store = vector_store.Collections(spark, f"file://{tmp_path}/v")
+    store.create("a", 2, lists=1)
+    for i in range(7):
+        store.upsert("a", spark.createDataFrame([(f"k{i}", [float(i), 1.0], 1), ("same", [float(i), 0.0], 1), ("same", [9.0, 9.0], 0), (None, [1.0, 1.0], 1), ("n", None, 1)], "sha256 string, embedding array<double>, seq int"))
+    assert len(store._state("a")[1]["segments"]) <= 4
+    assert sorted((r["sha256"], r["embedding"][0]) for r in store.read("a").collect()) == [*((f"k{i}", float(i)) for i in range(7)), ("same", 6.0)]
+    assert [r["sha256"] for r in store.search("a", [6.0, 0.0], 2).collect()] == ["same", "k6"]
+    store.merge("a")
+    assert len(store._state("a")[1]["segments"]) == 1 and store.read("a").count() == 8
+    assert store.vacuum("a", least_age_s=0) and store.read("a").count() == 8 and [r["sha256"] for r in store.search("a", [6.0, 0.0], 2).collect()] == ["same", "k6"]
+
+
+def test_only_one_of_two_commits_is_made(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quire.sources.commits import Commits, Conflict
+
+    log = Commits(spark, f"file://{tmp_path}/log")
+    assert log.head() == (0, {})
+
+    def one(i):
+        try:
+            return log.commit(0, {"by": i, "segments": {}})
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(one, range(8)))
+    assert sorted(made, key=str) == [1, *[None] * 7] and log.head()[1]["by"] == made.index(1)
+    assert log.commit(1, {"é": "漢", "segments": {}}) == 2 and log.head() == (2, {"é": "漢", "segments": {}})
+
+
 SCENES = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title><author>{author}</author></titleStmt></fileDesc></teiHeader><text><body><div><head>The Play</head>{scenes}</div></body></text></TEI>"""
 
 
