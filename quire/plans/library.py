@@ -525,12 +525,12 @@ def relocation_cascade(spark, d):
 HEADED = "d AS (SELECT doc_id, source, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS q FROM documents)"
 
 
-def books(spark, d, second: bool = False):
+def books(spark, d, second: bool = False, every: int = 10):
     i = F.col("doc_id")
     docs = Tables(spark, d).documents
     if second:
-        docs = docs.where(i % 10 != 2)
-    title = F.concat(F.when((i % 10 == 1) & F.lit(second), "Text ").otherwise("Doc "), i)
+        docs = docs.where(i % every != 2)
+    title = F.concat(F.when((i % every == 1) & F.lit(second), "Text ").otherwise("Doc "), i)
     paragraphs = F.concat(F.lit("<p>"), F.replace(T.escape_xml(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")), F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p>"))
     div = F.concat(F.lit("<div><head>"), title, F.lit("</head>\n"), paragraphs, F.lit("</div>\n"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", div.alias("x")))), lambda x: x["x"]), "")
@@ -563,6 +563,19 @@ def import_relocations(spark, d):
     return own.read("relocations").select("old", "new", "reason")
 
 
+@query(f"""WITH {HEADED}, e AS (SELECT doc_id, source, CASE WHEN source IN ('src1', 'src4') AND doc_id % 3 = 1 THEN 'Text ' ELSE 'Doc ' END || doc_id AS head, text FROM d WHERE NOT (source IN ('src1', 'src4') AND doc_id % 3 = 2) AND source <> 'src3')
+SELECT source || '.xml' AS file, '/' || source || '/works/' || replace(lower(head), ' ', '_') AS path, head, CAST(len(string_split(text, chr(10))) AS BIGINT) AS paragraphs FROM e UNION ALL SELECT DISTINCT source || '.xml', '/' || source || '/works', 'Works', 0 FROM e""")
+def import_thrice(spark, d):
+    """A library after all files' first edition, two files' second edition in two imports, and a file's end: each writes its own rows alone."""
+    own = imported(spark, d)
+    second = books(spark, d, True, 3)
+    for name in ("src1.xml", "src4.xml"):
+        own.import_files(second.where(F.col("name") == name))
+    own.prune(own.read("files").where("name != 'src3.xml'").select("name"))
+    n = own.read("paragraphs").where("name = 'p'").groupBy("path").agg(F.count("*").alias("paragraphs"))
+    return own.read("divisions").join(n, "path", "left").select("file", "path", "head", F.coalesce("paragraphs", F.lit(0).cast("long")).alias("paragraphs"))
+
+
 # Fragments: a conversation is a division, its turns paragraphs.
 
 

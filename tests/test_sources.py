@@ -329,6 +329,75 @@ def test_import_and_reimport(spark, tmp_path):
     assert own.read("files").count() == 1 and own.read("paragraphs").where("file = 'q.xml'").count() == 0
 
 
+def test_an_import_writes_its_own_rows(spark, tmp_path):
+    """Segments: what is there stays unwritten; of two imports at a time one goes first; merging and dropping versions change no row."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quire.functions import names
+    from quire.sources.commits import Conflict
+    from quire.sources.library import Library
+
+    own = Library(spark, f"file://{tmp_path}/library", special={"Anon of X": "x_anon"}, forbidden=frozenset({"doe"}), recommended={"jr": "Roe, Jane"})
+    files = lambda *f: spark.createDataFrame(list(f), "name string, content binary")
+    own.import_files(files(*((f"{i}.xml", scenes(("A", f"one {i}"), ("B", f"two {i}"), author=a)) for i, a in enumerate(["Doe, Jo", "Roe, Jane", "Anon of X", "", "Anonim", "Doe, Jo"]))))
+    assert {r["author_id"] for r in own.read("authors").collect()} == {"doe_jo", "jr", "x_anon", names.TRADITION}
+    assert {r["slug"] for r in own.read("divisions").where("depth = 0 and path like '/doe_jo/%'").collect()} == {"the_play", "the_play_2"}
+    own.import_files(files(("1.xml", scenes(("A", "one 1"), ("C", "two 1"), author="Roe, Jane"))))
+    state = own.log.head()[1]
+    newest = max(state["segments"], key=lambda s: state["segments"][s]["seq"])
+    at = own.log.data("segments", newest)
+    assert spark.read.parquet(f"{at}/divisions").count() == 3 and {r["file"] for r in spark.read.parquet(f"{at}/paragraphs").collect()} == {"1.xml"}
+    assert own.read("divisions").count() == 18 and own.read("divisions", 1).where("head = 'B'").count() == 6 and own.read("relocations").first()["new"] == "/jr/the_play/c"
+
+    version, state = own.log.head()
+    with pytest.raises(Conflict):  # another import's commit comes between
+        own.log.commit(version - 1, state)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda i: own.import_files(files((f"n{i}.xml", scenes(("A", f"new {i}"), author="Poe, E"))), attempts=4), range(2)))
+    assert own.read("files").count() == 8 and {r["path"] for r in own.read("divisions").where("depth = 0 and path like '/poe/%'").collect()} == {"/poe/the_play", "/poe/the_play_2"}
+
+    tables = ("files", "authors", "file_authors", "divisions", "paragraphs", "relocations", "failures")
+    rows = lambda: {t: sorted(map(str, own.read(t).collect())) for t in tables}
+    before = rows()
+    own.merge(2)
+    assert rows() == before
+    own.merge()
+    assert rows() == before and len(own.log.head()[1]["segments"]) == 1
+    assert own.vacuum(least_age_s=0) and rows() == before and own.log.versions() == [own.version()]
+    with pytest.raises(Exception):  # noqa: B017  dropped
+        own.read("divisions", 1).count()
+
+
+def test_small_imports_are_merged(spark, tmp_path, monkeypatch):
+    from quire.sources import library
+
+    monkeypatch.setattr(library, "MERGED", 2)
+    own = library.Library(spark, f"file://{tmp_path}/library")
+    for i in range(2):
+        own.import_files(spark.createDataFrame([(f"{i}.xml", scenes(("A", f"text {i}")))], "name string, content binary"))
+    assert len(own.log.head()[1]["segments"]) == 1
+    assert own.read("files").count() == 2 and own.read("divisions").where("depth = 0").select("path").distinct().count() == 2
+
+
+def test_slugs_by_stem_equal_the_sequential_fold(spark):
+    import random
+
+    from quire.functions import names
+    from quire.sources.library import Library
+
+    draw = random.Random(2)
+    heads = ["The", "The 2", "The of", "the cat", "The Cat 2", "Cat", "cat 2", "2", "", "7", "3 of", "Poems", "POEMS", "A very long tale of many words about nothing at all", "A very long tale", "ro", "the ro", "The 2 ro"]
+    for author in ("doe", names.TRADITION):
+        works = [(author, f"f{i:03d}", 1, "1", draw.choice(heads), draw.choice(["ro", "en", None])) for i in range(250)]
+        taken = {"the", "cat_2", "3", "poems_3", "poems_ro"} if author == "doe" else set()
+        got = Library._work_slugs(spark.createDataFrame(works, "author_id string, file string, pos int, dom_path string, head string, lang string"), spark.createDataFrame([(author, names.stem(s), s) for s in taken] or [("x", "x", "x")], "author_id string, stem string, slug string"))
+        used, want = set(taken), {}
+        for _, f, _, _, head, lang in sorted(works, key=lambda w: w[1]):
+            want[f] = names.unique_slug(head, used, f"_{lang}" if author == names.TRADITION and lang else "")
+        rows = got.collect()
+        assert {r["file"]: r["slug"] for r in rows} == want and len({r["stem"] for r in rows}) > 5
+
+
 def test_scheduled_import(spark, tmp_path):
     from quire.sources.library import Library, scheduled
 
