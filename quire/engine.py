@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.frames import one_of
 from quire.operators import catalog, relocate, search, tree, vectors
 from quire.operators.fulltext import Index
 
@@ -59,18 +60,25 @@ class Corpus:
         rows = self.paragraphs.join(licences, "div_id", "left_anti")
         return search.grep(rows, q, search.search_limit(limit), ["path", "nth"], T.in_scope(F.col("path"), T.normal_scopes(scopes)), bound=search.GREP_BOUND)
 
-    def leaf_texts(self) -> DataFrame:
-        """id, path, head, lang, content of the divisions that full-text search knows: leaves with any text."""
-        text = tree.joined_text(self.paragraphs, "div_id", "nth").withColumnRenamed("div_id", "id")
-        return tree.leaves(self.divisions).select("id", "path", "head", "lang").join(text, "id")
+    def leaf_texts(self, paths: list[str] | None = None) -> DataFrame:
+        """id, path, head, lang, content of the divisions that full-text search knows: leaves with any text. paths: of these alone; only their paragraphs are put together."""
+        own = tree.leaves(self.divisions).select("id", "path", "head", "lang")
+        paragraphs = self.paragraphs
+        if paths is not None:
+            own = own.where(one_of(F.col("path"), paths))
+            paragraphs = paragraphs.where(one_of(F.col("path"), paths))
+        text = tree.joined_text(paragraphs, "div_id", "nth").withColumnRenamed("div_id", "id")
+        return own.join(text, "id")
 
     def full_text(self, q: str, limit: int | None = None, scopes: list[str] | None = None) -> DataFrame:
         """Of a stored index where there is one, else of the texts themselves."""
-        docs = self.leaf_texts()
         if self.index is not None:
             search.query_terms(q)
-            hits = self.index.search(q, search.search_limit(limit), T.in_scope(F.col("key"), T.normal_scopes(scopes))).select(F.col("key").alias("path"), "score")
-            return F.broadcast(hits).join(docs, "path").orderBy(F.desc("score"), "path")
+            hits = self.index.search(q, search.search_limit(limit), T.in_scope(F.col("key"), T.normal_scopes(scopes))).collect()  # the limit's rows, MAX_RESULTS at most
+            found = self.divisions.sparkSession.createDataFrame([(r["key"], r["score"]) for r in hits], "path string, score double")
+            docs = self.leaf_texts([r["key"] for r in hits])
+            return F.broadcast(found).join(docs, "path").orderBy(F.desc("score"), "path")
+        docs = self.leaf_texts()
         hits = search.bm25(docs, "path", q, search.search_limit(limit), F.col("content"), F.coalesce("head", F.lit("")), T.in_scope(F.col("path"), T.normal_scopes(scopes)))
         return hits.join(docs, "path").orderBy(F.desc("score"), "path")
 

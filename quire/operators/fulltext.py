@@ -1,9 +1,11 @@
 """A stored full-text index: built, appended to, replaced by work, and searched without reading the corpus.
 
-An index is a folder of segments. A segment holds postings (field, term, key, work, tf, len), in folders by a hash of the
-term, so that a search reads those of its terms only; the works that it replaces in earlier segments; and a commit row, which
-is written last: a segment without one doesn't exist, and a build that was cut short goes on after the last key committed.
-Each commit also holds, by field, how many documents have it and their length in all, so that a search needs no pass for statistics.
+An index is a folder of segments (see quire.sources.commits). A segment holds postings (field, term, key, work, tf, len), dealt by ranges
+of term and key to as many files as the texts need, so that a frequent term has files of its own; the range of terms of each file, by which a
+search names the files that it reads; what its works add to the statistics; and the works that it replaces in earlier segments. A commit names
+the segments and has, by field, how many documents have it and their length in all. A segment that no commit names doesn't exist: a build that
+was cut short goes on after the last key committed, and of two writers at a time one gets a Conflict. Once the newest segments
+are several of about one size they are merged, and what was replaced among them goes.
 
 Fields are the head and the content, and both again for each language that has an analyzer, from texts of that language. A
 query's text holds no operators. Any field may match any term; scores are BM25 of each, heads count threefold, and add up.
@@ -11,27 +13,34 @@ Documents without content are not indexed."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.analyze import ENDINGS, analyzed
+from quire.functions.frames import one_of
+from quire.sources.commits import Commits, Conflict
 
 from .search import B, HEAD_BOOST, K1, top
 
-#: Folders of postings of a segment.
-BUCKETS = 64
+#: Bytes of text whose postings one file holds, about.
+FILE_BYTES = 8 << 20
+#: Newest segments that are merged, at least, where the older is at most RATIO times as large as all newer ones.
+MERGED, RATIO = 4, 2
 #: Clauses (a term in a field) of a query at most; beyond them the first half of its words is searched.
 CLAUSES = 1024
-POSTINGS = "seg long, bucket int, field string, term string, key string, work string, tf long, len long"
+#: Files that a query names; beyond them their folder is read, and Parquet's own statistics choose.
+FILES = 4096
+POSTINGS = "field string, term string, key string, work string, tf long, len long, _seq long"
+PARTS = {
+    "postings": POSTINGS,
+    "ranges": "file string, low string, high string, postings long",
+    "works": "work string, field string, n double, len long, _seq long",
+    "replaced": "work string, _seq long",
+}
 LANGUAGES = tuple(sorted(ENDINGS))
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
 def postings(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """field, term, key, work, tf, len of documents (key, work, lang, head, content)."""
     held = docs.where(F.trim(F.coalesce("content", F.lit(""))) != "")
@@ -50,64 +59,114 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, languages: tuple[str, ...] = LANGUAGES):
         self.spark, self.path, self.languages = spark, path.rstrip("/"), languages
+        self.log = Commits(spark, self.path)
+
+    def commits(self) -> list[dict]:
+        """The state of each version: seq, last_key, complete, stats, segments."""
+        return [self.log.state(v) for v in self.log.versions()]
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}")
-        except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
+    def _state(self) -> tuple[int, dict]:
+        version, state = self.log.head()
+        return version, state or {"seq": 0, "last_key": None, "complete": False, "stats": {}, "segments": {}}
 
-    def commits(self) -> list:
-        """seg, last_key, complete, stats of each segment, in order; few rows."""
-        return self._read("commits", "seg long, last_key string, complete boolean, stats map<string, struct<n: bigint, len: bigint>>").orderBy("seg").collect()
+    def _read(self, part: str, segments: dict, paths: list[str] | None = None) -> DataFrame:
+        at = [self.log.data("segments", s, part) for s, info in segments.items() if part in info["parts"]] if paths is None else paths
+        return self.spark.read.schema(PARTS[part]).parquet(*at) if at else self.spark.createDataFrame([], PARTS[part])
 
-    def replaced_works(self) -> DataFrame:
-        return self._read("replaced", "seg long, work string")
+    def _live(self, part: str, segments: dict, rows: DataFrame | None = None) -> DataFrame:
+        """Rows of segments that no later one of them replaces."""
+        rows = self._read(part, segments) if rows is None else rows
+        if len(segments) < 2 or not any("replaced" in i["parts"] for i in segments.values()):
+            return rows
+        later = self._read("replaced", segments).groupBy(F.col("work").alias("_w")).agg(F.max("_seq").alias("_s"))
+        return rows.join(later, (rows["work"] == later["_w"]) & (rows["_seq"] < later["_s"]), "left_anti")
 
     def live(self) -> DataFrame:
-        """Postings of committed segments that no later one replaces."""
-        segments = [c["seg"] for c in self.commits()]
-        rows = self._read("postings", POSTINGS).where(F.col("seg").isin(segments) if segments else F.lit(False))
-        later = self.replaced_works().where(F.col("seg").isin(segments)).groupBy(F.col("work").alias("_w")).agg(F.max("seg").alias("_s")) if segments else None
-        return rows if later is None else rows.join(later, (F.col("work") == F.col("_w")) & (F.col("seg") < F.col("_s")), "left_anti")
+        """All postings that count."""
+        return self._live("postings", self._state()[1]["segments"]).drop("_seq")
+
+    def _write(self, seg: str, seq: int, rows: DataFrame, size: int, info: dict) -> None:
+        """postings, their files' ranges and their works' statistics. size: bytes of text that they come from."""
+        at = self.log.data("segments", seg, "postings")
+        n = max(1, -(-size // FILE_BYTES))
+        rows = rows.withColumn("_seq", F.lit(seq).cast("long")).select(*[x.split()[0] for x in POSTINGS.split(", ")])
+        rows.repartitionByRange(n, "term", "field", "key").sortWithinPartitions("term", "field", "key").write.parquet(at)
+        back = self._read("postings", {}, [at])
+        ranges = back.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"), F.count("*").alias("postings"))
+        ranges.repartitionByRange("low").sortWithinPartitions("low").write.parquet(self.log.data("segments", seg, "ranges"))
+        # tf / len of a document's postings add up to 1 in a field
+        works = back.groupBy("work", "field").agg(F.sum(F.col("tf") / F.col("len")).alias("n"), F.sum("tf").alias("len")).withColumn("_seq", F.lit(seq).cast("long"))
+        works.write.parquet(self.log.data("segments", seg, "works"))
+        info["parts"] += ["postings", "ranges", "works"]
+        info["rows"] += self._read("ranges", {}, [self.log.data("segments", seg, "ranges")]).agg(F.sum("postings")).first()[0] or 0
+
+    @staticmethod
+    def _totals(works: DataFrame) -> dict:
+        """By field: documents, and their length in all."""
+        return {r["field"]: (round(r["n"]), r["len"]) for r in works.groupBy("field").agg(F.sum("n").alias("n"), F.sum("len").alias("len")).collect()}  # a row a field
 
     def _commit(self, docs: DataFrame | None, works: DataFrame | None, last_key: str | None, complete: bool) -> None:
-        seg = 1 + max((c["seg"] for c in self.commits()), default=0)
-        if docs is not None:
-            rows = postings(docs, self.languages).withColumn("bucket", bucket(F.col("term")))
-            sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "term")
-            sorted_rows.select("field", "term", "key", "work", "tf", "len", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/seg={seg}")
-        if works is not None:
-            works.select("work").distinct().write.mode("overwrite").parquet(f"{self.path}/replaced/seg={seg}")
-        before = {k: (v["n"], v["len"]) for k, v in (self.commits() or [{"stats": {}}])[-1]["stats"].items()}
-        change = {}
+        version, state = self._state()
+        seq, seg, info = state["seq"] + 1, self.log.new_segment(), {"seq": state["seq"] + 1, "parts": [], "rows": 0}
+        change: dict = {}
         if docs is not None:
-            change = self._totals(self._read("postings", POSTINGS).where(F.col("seg") == seg))
+            size = docs.agg(F.sum(F.octet_length(F.coalesce("content", F.lit("")))), F.sum(F.octet_length(F.coalesce("head", F.lit(""))))).first()
+            self._write(seg, seq, postings(docs, self.languages), sum(x or 0 for x in size), info)
+            change = self._totals(self._read("works", {seg: info}))
         if works is not None:
-            gone = self.live().join(works.select("work").distinct(), "work", "left_semi")
-            change = self._less(change, self._totals(gone))
-        stats = {k: tuple(a + b for a, b in zip(before.get(k, (0, 0)), change.get(k, (0, 0)), strict=True)) for k in {*before, *change}}
-        row = self.spark.createDataFrame([(last_key, complete, stats)], "last_key string, complete boolean, stats map<string, struct<n: bigint, len: bigint>>")
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/seg={seg}")
-
-    @staticmethod
-    def _less(a: dict, b: dict) -> dict:
-        return {k: tuple(x - y for x, y in zip(a.get(k, (0, 0)), b.get(k, (0, 0)), strict=True)) for k in {*a, *b}}
-
-    @staticmethod
-    def _totals(rows: DataFrame) -> dict:
-        """By field: documents, and their length in all (postings of a document add up to it)."""
-        # a document's first posting stands for it: tf adds up to len
-        found = rows.groupBy("field").agg(F.sum(F.col("tf") / F.col("len")).alias("n"), F.sum("tf").alias("len")).collect()  # a row a field
-        return {r["field"]: (round(r["n"]), r["len"]) for r in found}
+            at = self.log.data("segments", seg, "replaced")
+            works.select("work").distinct().withColumn("_seq", F.lit(seq).cast("long")).write.parquet(at)
+            info["parts"].append("replaced")
+            gone = self._live("works", state["segments"]).join(self._read("replaced", {}, [at]).select("work"), "work", "left_semi")
+            less = self._totals(gone)
+            change = {k: (change.get(k, (0, 0))[0] - less.get(k, (0, 0))[0], change.get(k, (0, 0))[1] - less.get(k, (0, 0))[1]) for k in {*change, *less}}
+        before = state["stats"]
+        stats = {k: [a + b for a, b in zip(before.get(k, (0, 0)), change.get(k, (0, 0)), strict=True)] for k in {*before, *change}}
+        self.log.commit(version, {"seq": seq, "last_key": last_key, "complete": complete, "stats": stats, "segments": {**state["segments"], seg: info}})
+        self._merge_newest()
+
+    def _merge_newest(self) -> None:
+        segments = self._state()[1]["segments"]
+        newest = sorted(segments, key=lambda s: -segments[s]["seq"])
+        chosen, size = newest[:1], segments[newest[0]]["rows"]
+        for s in newest[1:]:
+            if segments[s]["rows"] > RATIO * max(1, size):
+                break
+            chosen.append(s)
+            size += segments[s]["rows"]
+        if len(chosen) >= MERGED:
+            try:
+                self.merge(len(chosen))
+            except Conflict:  # the next commit does it
+                return
+
+    def merge(self, newest: int | None = None) -> int:
+        """Makes one segment of the newest (all), of the postings that count. Gives the version."""
+        version, state = self._state()
+        segments = state["segments"]
+        chosen = sorted(segments, key=lambda s: -segments[s]["seq"])[:newest]
+        if len(chosen) < 2:
+            return version
+        part, seg = {s: segments[s] for s in chosen}, self.log.new_segment()
+        seq = max(i["seq"] for i in part.values())
+        info = {"seq": seq, "parts": [], "rows": 0}
+        files = self._read("ranges", part).count()  # each holds FILE_BYTES of text, about
+        self._write(seg, seq, self._live("postings", part).drop("_seq"), files * FILE_BYTES, info)
+        if len(chosen) < len(segments):
+            self._read("replaced", part).select("work").distinct().withColumn("_seq", F.lit(seq).cast("long")).write.parquet(self.log.data("segments", seg, "replaced"))
+            info["parts"].append("replaced")
+        return self.log.commit(version, {**state, "segments": {**{s: i for s, i in segments.items() if s not in part}, seg: info}})
+
+    def vacuum(self, keep: int = 1, least_age_s: float = 3600) -> list[str]:
+        return self.log.vacuum(keep, least_age_s)
 
     def build(self, docs: DataFrame, lots: int = 1) -> Index:
         """Indexes docs (key, work, lang, head, content) in lots of keys, each a commit; goes on where an earlier build stopped."""
-        done = self.commits()
-        if done and done[-1]["complete"]:
+        version, state = self._state()
+        if state["complete"]:
             return self
         ends = [*(self._ends(docs, lots) if lots > 1 else []), None]
-        last = done[-1]["last_key"] if done else None
+        last = state["last_key"]
         for end in ends:
             if end is not None and last is not None and end <= last:
                 continue
@@ -144,15 +203,26 @@ class Index:
             words = words[: len(words) // 2]
         return []
 
+    def hits(self, clauses: list[tuple[str, str, float]]) -> DataFrame:
+        """Postings of clauses that count, from the files whose terms may be among them."""
+        segments, terms = self._state()[1]["segments"], sorted({t for _, t, _ in clauses})
+        where = one_of(F.col("term"), terms)
+        within = F.exists(F.array(*map(F.lit, terms)), lambda t: (F.col("low") <= t) & (t <= F.col("high"))) if terms else F.lit(False)
+        files = [r["file"] for r in self._read("ranges", segments).where(within).select("file").limit(FILES + 1).collect()]
+        rows = self._read("postings", segments, files if 0 < len(files) <= FILES else None) if files else self._read("postings", {})
+        return self._live("postings", segments, rows.where(where))
+
     def scores(self, q: str) -> DataFrame:
         """key, work, score of the documents that hold any clause."""
-        wanted = self.spark.createDataFrame(self.clauses(q), "field string, term string, boost double").withColumn("bucket", bucket(F.col("term")))
-        buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # CLAUSES at most
-        stats = (self.commits() or [{"stats": {}}])[-1]["stats"]
-        of = self.spark.createDataFrame([(k, v["n"], v["len"] / max(1, v["n"])) for k, v in stats.items()], "field string, n long, mean double")
-        hits = self.live().where(F.col("bucket").isin(buckets)).join(F.broadcast(wanted), ["bucket", "field", "term"])
-        df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-        rows = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(of), "field")  # rows of both: clauses and fields at most
+        asked = self.clauses(q)
+        wanted = self.spark.createDataFrame(asked, "field string, term string, boost double")
+        stats = self._state()[1]["stats"]
+        of = self.spark.createDataFrame([(k, n, size / max(1, n)) for k, (n, size) in stats.items()], "field string, n long, mean double")
+        hits = self.hits(asked).join(F.broadcast(wanted), ["field", "term"])  # CLAUSES rows at most
+        # a document's postings go together; both uses below share this exchange, so the index is read once
+        per = hits.groupBy("key", "work").agg(F.collect_list(F.struct("field", "term", "tf", "len", "boost")).alias("c")).select("key", "work", F.explode("c").alias("c"))
+        df = per.groupBy(F.col("c.field").alias("field"), F.col("c.term").alias("term")).agg(F.count("*").alias("df"))
+        rows = per.select("key", "work", "c.*").join(F.broadcast(df), ["field", "term"]).join(F.broadcast(of), "field")  # rows of both: clauses and fields at most
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         own = F.col("boost") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
         return rows.groupBy("key", "work").agg(F.sum(own).alias("score"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.frames import one_of
 from quire.functions.shared import written
 from quire.operators import vectors as V
 
@@ -145,12 +146,6 @@ def pack_queries(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([t.column("list")[0].as_py()], pa.int32()), pa.array([t.column("query").to_pylist()], pa.list_(pa.string())), pa.array([v.tobytes()])], ["list", "queries", "q"])
 
 
-def one_of(c: Column, values: list) -> Column:
-    """c IN values, in parts of ten: so many a Parquet reader compares with a file's statistics one by one."""
-    parts = [c.isin(values[i : i + 10]) for i in range(0, len(values), 10)]
-    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
-
-
 class Collections:
     """Named collections: parameters and segments of each are in its commits."""
 

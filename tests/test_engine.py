@@ -99,6 +99,54 @@ def test_stored_index(corpus, spark, tmp_path):
     corpus.index = None
 
 
+def test_a_search_reads_the_files_of_its_terms_once(spark, tmp_path, monkeypatch):
+    from quire.operators import fulltext
+
+    monkeypatch.setattr(fulltext, "FILE_BYTES", 2000)
+    schema = "key string, work string, lang string, head string, content string"
+    docs = spark.createDataFrame([(f"a/w{i % 9}/{i:03d}", f"a/w{i % 9}", "en", f"Head {i}", "common " + " ".join(f"{c}{i % 23}word" for c in "abcdefghij")) for i in range(200)], schema)
+    index = fulltext.Index(spark, f"file://{tmp_path}/index", ()).build(docs)
+    state = index.log.head()[1]
+    ranges = index._read("ranges", state["segments"]).collect()
+    assert len(ranges) > 8  # more text, more files
+    assert sum(r["low"] <= "common" <= r["high"] for r in ranges) > 1  # a frequent term has several
+    hits = index.hits([("content", "c7word", 1.0)])
+    assert len(hits.inputFiles()) == sum(r["low"] <= "c7word" <= r["high"] for r in ranges) < 3
+    plan = index.scores("c7word common")
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+    assert "In(term" in final
+
+
+def test_segments_of_an_index_merge(spark, tmp_path):
+    from quire.operators.fulltext import MERGED, Index
+
+    schema = "key string, work string, lang string, head string, content string"
+    index = Index(spark, f"file://{tmp_path}/index", ()).build(spark.createDataFrame([(f"a/w{i}/1", f"a/w{i}", "en", "H", f"text {i} same") for i in range(3)], schema))
+    for i in range(MERGED):
+        index.replace(spark.createDataFrame([("a/w1/1", "a/w1", "en", "H", f"again {i} same")], schema))
+        assert len(index.log.head()[1]["segments"]) < MERGED
+    found = lambda: {q: sorted((r["key"], round(r["score"], 9)) for r in index.search(q, 10).collect()) for q in ("same", "again", "text", str(MERGED - 1))}
+    before, stats = found(), index.log.head()[1]["stats"]
+    assert len(before["same"]) == 3 and [k for k, _ in before["again"]] == ["a/w1/1"] and len(before["text"]) == 2
+    index.merge()
+    assert found() == before and len(index.log.head()[1]["segments"]) == 1
+    other = Index(spark, f"file://{tmp_path}/other", ()).build(spark.createDataFrame([(f"a/w{i}/1", f"a/w{i}", "en", "H", f"text {i} same" if i != 1 else f"again {MERGED - 1} same") for i in range(3)], schema))
+    assert other.log.head()[1]["stats"] == stats == index.log.head()[1]["stats"]
+    assert index.vacuum(least_age_s=0) and found() == before
+
+
+def test_full_text_puts_only_found_paragraphs_together(corpus, spark, tmp_path):
+    from quire.operators.fulltext import Index
+
+    corpus.index = Index(spark, f"file://{tmp_path}/index").build(corpus.index_documents())
+    plan = corpus.full_text("whale land")._jdf.queryExecution().optimizedPlan().toString()
+    corpus.index = None
+    below = plan[plan.index("collect_list") :]
+    assert "/roe/land" in below  # the filter by path is below the aggregate
+
+
 def test_paths_and_neighbours(corpus):
     assert ids(corpus.at("/doe/sea/one.xml")) == [2]
     for path, error in (("/doe", ValueError), ("/doe/none", LookupError)):
