@@ -42,6 +42,7 @@ class Corpus:
     relocations: DataFrame | None = None
     file_authors: DataFrame | None = None
     index: Index | None = None
+    ordered: search.Ordered | None = None
     embed: object = field(default=hash_embedding)
 
     # search
@@ -57,9 +58,18 @@ class Corpus:
 
     def grep(self, q: str, limit: int | None = None, scopes: list[str] | None = None) -> DataFrame:
         licences = self.divisions.where(T.is_licence(F.col("head"))).select(F.col("id").alias("div_id"))
+        if self.ordered is not None:
+            return self.ordered.first(T.contains_ci(F.col("text"), q), search.search_limit(limit), ~F.col("licence") & T.in_scope(F.col("path"), T.normal_scopes(scopes)), search.GREP_BOUND)[0].drop("licence")
         rows = self.paragraphs.join(licences, "div_id", "left_anti")
         return search.grep(rows, q, search.search_limit(limit), ["path", "nth"], T.in_scope(F.col("path"), T.normal_scopes(scopes)), bound=search.GREP_BOUND)
 
+    def order_paragraphs(self, path: str, file_rows: int = search.FILE_ROWS) -> search.Ordered:
+        """Writes the paragraphs in their order; grep() then reads as much of them as it needs."""
+        licences = self.divisions.where(T.is_licence(F.col("head"))).select(F.col("id").alias("div_id"), F.lit(True).alias("licence"))
+        rows = self.paragraphs.join(licences, "div_id", "left").withColumn("licence", F.coalesce("licence", F.lit(False)))
+        self.ordered = search.Ordered.write(rows, path, ("path", "nth"), file_rows)
+        return self.ordered
+
     def leaf_texts(self, paths: list[str] | None = None) -> DataFrame:
         """id, path, head, lang, content of the divisions that full-text search knows: leaves with any text. paths: of these alone; only their paragraphs are put together."""
         own = tree.leaves(self.divisions).select("id", "path", "head", "lang")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -11,6 +11,8 @@ K1, B = 1.2, 0.75
 HEAD_BOOST = 3.0
 MAX_RESULTS = 500
 GREP_BOUND = 50_000
+#: Rows of a file of paragraphs in order.
+FILE_ROWS = 50_000
 
 
 def search_limit(requested: int | None) -> int:
@@ -83,6 +85,58 @@ def grep(paragraphs: DataFrame, q: str, k: int, order: list[str], where: Column
     return rows.where(T.contains_ci(F.col("text"), q)).orderBy(*order).limit(k)
 
 
+class Ordered:
+    """Paragraphs on disk in their order: files of some FILE_ROWS rows, each before the next, and the first key of each.
+
+    A search for the first few reads files in order, twice as many each time, and stops once it has them or has looked at as many paragraphs as
+    it may; what comes later is never read. The list of files (a row for FILE_ROWS paragraphs) is all that the driver holds."""
+
+    def __init__(self, spark: SparkSession, path: str, order: tuple[str, ...] = ("path", "nth")):
+        self.spark, self.path, self.order = spark, path.rstrip("/"), order
+
+    @classmethod
+    def write(cls, rows: DataFrame, path: str, order: tuple[str, ...] = ("path", "nth"), file_rows: int = FILE_ROWS) -> Ordered:
+        own = cls(rows.sparkSession, path, order)
+        n = max(1, -(-rows.count() // file_rows))
+        rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(f"{own.path}/rows")
+        low = F.min(F.struct(*order)).alias("low")
+        own.rows().groupBy(F.col("_metadata.file_path").alias("file")).agg(low, F.count("*").alias("n")).coalesce(1).write.parquet(f"{own.path}/files")
+        return own
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def files(self) -> list[str]:
+        return [r["file"] for r in self.spark.read.parquet(f"{self.path}/files").orderBy("low").select("file").collect()]
+
+    def first(self, hit: Column, k: int, where: Column | None = None, bound: int | None = None) -> tuple[DataFrame, int]:
+        """The first k rows, in order, that are hits, and how many files were looked into. bound: only the first so many rows (that where holds for) are looked at."""
+        where, files = F.lit(True) if where is None else where, self.files()
+        looked, seen, hits, step = [], 0, 0, 1
+        while len(looked) < len(files) and hits < k and (bound is None or seen < bound):
+            batch = files[len(looked) : len(looked) + step]
+            rows = self.spark.read.parquet(*batch).where(where).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.count_if(hit).alias("h"))
+            found = {r["file"]: (r["n"], r["h"]) for r in rows.collect()}  # a row a file
+            for f in batch:
+                n, h = found.get(f, (0, 0))
+                looked.append((f, n))
+                seen, hits = seen + n, hits + h
+            step *= 2
+        whole, rest, left = [], [], bound
+        for f, n in looked:  # the file in which the bound falls is cut; later ones are out
+            if left is None or n <= left:
+                whole.append(f)
+                left = None if left is None else left - n
+            elif left > 0:
+                rest, left = [f], 0
+            else:
+                break
+        own = self.spark.read.parquet(*whole).where(where) if whole else self.rows().limit(0)
+        if rest:
+            own = own.unionByName(self.spark.read.parquet(*rest).where(where).orderBy(*self.order).limit(bound - sum(n for f, n in looked if f in whole)))
+        return own.where(hit).orderBy(*self.order).limit(k), len(looked)
+
+
 def union_by_key(parts: list[DataFrame], key: str) -> DataFrame:
     """Rows of all parts, one for each key (parts agree on the other columns)."""
     out = parts[0]

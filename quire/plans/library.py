@@ -13,7 +13,7 @@ from quire.operators import vectors as V
 from quire.sources import repos
 
 from .more import bridge
-from .registry import Tables, query
+from .registry import SQL, Tables, query
 from .search import DIST, QV, P, W, fold, lines, scored, works
 
 # A stored index: built in two lots, then two repositories' works replaced by their headings, one removed.
@@ -466,6 +466,14 @@ def corpus_grep(spark, d):
     return corpus(spark, d).grep("RIGHTS", 40).select(F.col("div_id").alias("doc_id"), "nth", "text")
 
 
+@query(SQL["corpus_grep"])
+def corpus_grep_ordered(spark, d):
+    """The same, from paragraphs that lie in order on disk: files are read until there are enough hits."""
+    own = corpus(spark, d)
+    own.order_paragraphs(new_folder(spark, "ordered"), 2000)
+    return own.grep("RIGHTS", 40).select(F.col("div_id").alias("doc_id"), "nth", "text")
+
+
 def corpus(spark, d):
     from quire.engine import Corpus
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.shared import new_folder
-from quire.streaming import reading
+from quire.streaming import reading, timers
 
 from .registry import query
 
@@ -58,3 +58,32 @@ def stream_events_json(spark, d):
     field = lambda name: F.get_json_object("value", f"$.{name}")
     fine = out.where((field("type") == "search") & ~F.contains("value", F.lit("results")))
     return fine.select(F.substring(field("query"), 2, 20).cast("long").alias("event_id"), field("mode").alias("mode"), field("limit").cast("long").alias("lim"), F.contains("value", F.lit('"user"')).alias("known"))
+
+
+GATED = """WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events), g AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id
+UNION ALL SELECT g.user_id, (SELECT min(e.ts) FROM e WHERE e.user_id = g.user_id AND e.ts >= g.ts + INTERVAL {0} MINUTE) FROM g WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = g.user_id AND e.ts >= g.ts + INTERVAL {0} MINUTE)) SELECT user_id, epoch_us(ts) AS us FROM g"""
+
+
+@query(GATED.format(30))
+def stream_request_gate(spark, d):
+    """Requests for enrichment: one of a user in 30 minutes, by kept state that a timer ends."""
+    out = drained(spark, timers.let_through(reading.event_stream(spark, d), "user_id", "ts", 30), "gate", "append")
+    return out.select(F.col("key").cast("long").alias("user_id"), "us")
+
+
+@query(GATED.format(360))
+def stream_probe_gate(spark, d):
+    """Probes of a cover: one of a user in six hours."""
+    out = drained(spark, timers.let_through(reading.event_stream(spark, d), "user_id", "ts", 360), "probe", "append")
+    return out.select(F.col("key").cast("long").alias("user_id"), "us")
+
+
+@query("""WITH f AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type <> 'view'), s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM f),
+r AS (SELECT user_id, n, min(ts) AS low, max(ts) AS high FROM s GROUP BY ALL), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events WHERE event_type <> 'view')
+SELECT user_id AS service, FALSE AS up, epoch_us(low) AS us FROM r UNION ALL
+SELECT user_id, TRUE, epoch_us(high + INTERVAL 2 HOUR) FROM r, w WHERE high + INTERVAL 2 HOUR <= w OR EXISTS (SELECT 1 FROM r x WHERE x.user_id = r.user_id AND x.n > r.n)""")
+def stream_availability(spark, d):
+    """Services (here users) that fail (here all events but views): down at a failure, up again two hours after the last. Timers wake those that no event does."""
+    failures = reading.event_stream(spark, d).where("event_type != 'view'")
+    out = drained(spark, timers.availability(failures, "user_id", "ts", 7200), "health", "append")
+    return out.select(F.col("key").cast("long").alias("service"), "up", "us")
