@@ -4,6 +4,7 @@ Divisions of an edition: path, parent, head, position, chain (headings from the
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -56,19 +57,84 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if x <= y or y <= x else len(x & y) / len(x | y)
 
 
+def alike(heads: list[frozenset[str]], others: list[frozenset[str]], least: float) -> list[list[tuple[float, int]]]:
+    """Of each of heads (sets of words), similarity and number of those of others with `least` or more.
+
+    Others are looked up by rare words alone. One that holds a head, or is held by it, has that one's rarest word; two heads that share
+    at least so many words share one of the rarest few of each."""
+    df: dict[str, int] = {}
+    for h in heads + others:
+        for w in h:
+            df[w] = df.get(w, 0) + 1
+    rare = lambda h: sorted(h, key=lambda w: (df[w], w))
+
+    def prefix(h: frozenset[str]) -> int:
+        sizes = range(max(2, math.ceil(least * len(h))), math.floor(len(h) / least) + 1)
+        shared = min((math.ceil(least / (1 + least) * (len(h) + s) - 1e-9) for s in sizes), default=len(h))
+        return max(1, len(h) - shared + 1)
+
+    by_word, by_rarest, by_prefix = ({}, {}, {})
+    for i, h in enumerate(others):
+        own = rare(h)
+        for table, words in ((by_word, own), (by_rarest, own[:1]), (by_prefix, own[: prefix(h)])):
+            for w in words:
+                table.setdefault(w, []).append(i)
+    out = []
+    for h in heads:
+        own = rare(h)
+        found = set(by_word.get(own[0], ())) if own else set()
+        for w in own:
+            found.update(by_rarest.get(w, ()))
+        for w in own[: prefix(h)]:
+            found.update(by_prefix.get(w, ()))
+        scored = ((1.0 if h <= others[i] or others[i] <= h else len(h & others[i]) / len(h | others[i]), i) for i in found)
+        out.append([(s, i) for s, i in scored if s >= least])
+    return out
+
+
 def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one parent's rows (side, path, head, position): each old one in order takes the most similar new one that is left."""
-    new = [(r.path, _normal(r.head), r.position) for r in frame[frame.side == 1].sort_values(["position", "path"]).itertuples()]
-    out, taken = [], set()
-    for r in frame[frame.side == 0].sort_values(["position", "path"]).itertuples():
-        best, score = None, 0.0
-        for path, head, position in new:
-            own = similarity(_normal(r.head), head) + (NEAR if position == r.position else 0)
-            if path not in taken and own >= SIMILAR and own > score:
-                best, score = path, own
-        if best is not None:
-            taken.add(best)
-            out.append((r.path, best))
+    """Of one parent's rows (side, path, head, position): each old one in order takes the most similar new one that is left.
+
+    Equal headings are looked up once, and each remembers how far its candidates are taken, so that time grows with the rows, not with their
+    pairs. A parent is part of one file."""
+    rows = frame.sort_values(["position", "path"])
+    olds, news = rows[rows.side == 0], rows[rows.side == 1]
+    words = lambda part: [frozenset(_normal(h).split()) for h in part["head"]]
+    old_words, new_words = words(olds), words(news)
+    old_sets, new_sets = list(dict.fromkeys(old_words)), list(dict.fromkeys(new_words))
+    members: dict[frozenset[str], list[int]] = {}
+    for i, h in enumerate(new_words):
+        members.setdefault(h, []).append(i)
+    places, paths = news["position"].tolist(), news["path"].tolist()
+    levels, at_place = {}, {}
+    for h, found in zip(old_sets, alike(old_sets, new_sets, SIMILAR - NEAR), strict=True):
+        by_score: dict[float, list[int]] = {}
+        for score, j in found:
+            if h and new_sets[j]:
+                by_score.setdefault(score, []).extend(members[new_sets[j]])
+        levels[h] = [[score, sorted(own), 0] for score, own in sorted(by_score.items(), reverse=True)]
+        at_place[h] = {}
+        for score, own, _ in levels[h]:
+            for i in own:
+                at_place[h].setdefault(places[i], []).append((score, i))
+    out, taken = [], [False] * len(paths)
+    for path, h, position in zip(olds["path"], old_words, olds["position"], strict=True):
+        # (score, the earlier the better): those in the same place, and of each similarity the first that is left
+        own = [(score + NEAR, -i) for score, i in at_place[h].get(position, ()) if not taken[i] and score + NEAR >= SIMILAR]
+        for level in levels[h]:
+            score, listed, at = level
+            if score < SIMILAR:
+                break
+            while at < len(listed) and taken[listed[at]]:
+                at += 1
+            level[2] = at
+            if at < len(listed):
+                own.append((score, -listed[at]))
+                break
+        if own:
+            best = -max(own)[1]
+            taken[best] = True
+            out.append((path, paths[best]))
     return pd.DataFrame(out, columns=["old", "new"])
 
 

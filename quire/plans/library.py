@@ -448,16 +448,18 @@ def preferences_stored(spark, d):
     return Tables(spark, d).events.select("event_id", T.preferences(raw).alias("stored"))
 
 
-@query("SELECT s_suppkey AS id, 'supplier_' || regexp_replace(split_part(s_name, '#', 2), '^0*', '0') IS NOT NULL AS named FROM supplier")
+@query("""WITH n AS (SELECT s_suppkey AS id, s_suppkey % 5 AS k, regexp_replace(split_part(s_name, '#', 2), '^ +', '') AS n FROM supplier)
+SELECT id, CASE k WHEN 0 THEN 'supplier_hash_' || n WHEN 1 THEN 'lange_strasse_' || n || '_elan' WHEN 2 THEN 'a_b_' || n WHEN 3 THEN n || '_percent_tekst' ELSE 'logos_' || n END AS slug FROM n""")
 def slugs_made(spark, d):
-    """Slugs of names are made of small letters, digits and underscores, 100 characters at most."""
+    """Headings as URL fragments: accents, German, Cyrillic and Greek letters, joining and dropped characters."""
 
     @F.pandas_udf("string")
     def slug(s):
         return s.map(names.slug)
 
-    own = slug(F.col("s_name"))
-    return Tables(spark, d).supplier.select(F.col("s_suppkey").alias("id"), (T.is_work_slug(own) & (F.length(own) <= 100)).alias("named"))
+    k, n = F.col("s_suppkey") % 5, F.ltrim(F.substring_index("s_name", "#", -1))
+    text = F.when(k == 0, F.concat(F.lit("Supplier # "), n, F.lit("..."))).when(k == 1, F.concat(F.lit(" LANGE  Straße "), n, F.lit(": «élan»"))).when(k == 2, F.concat(F.lit("(A) & b - "), n, F.lit("!"))).when(k == 3, F.concat(n, F.lit("% Текст"))).otherwise(F.concat(F.lit("Λόγος — "), n))
+    return Tables(spark, d).supplier.select(F.col("s_suppkey").alias("id"), slug(text).alias("slug"))
 
 
 @query(f"WITH {W}, {P}, l AS (SELECT doc_id FROM documents WHERE doc_id % 9 = 0), q AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l) ORDER BY path, nth LIMIT {S.GREP_BOUND}) SELECT doc_id, nth, text FROM q WHERE contains(lower(text), 'rights') ORDER BY path, nth LIMIT 40")
@@ -528,6 +530,24 @@ def relocation_cascade(spark, d):
     return relocate.match(before.unionAll(works_), after.unionAll(works_))
 
 
+@query("""WITH b AS (SELECT doc_id, source, doc_id % 7 AS w, (doc_id // 7) % 5 AS v FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, w, v ORDER BY doc_id) AS k FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY source, w, v ORDER BY doc_id DESC) AS k FROM b WHERE doc_id % 3 > 0)
+SELECT '/a/' || o.source || '/d' || o.doc_id AS old, '/a/' || o.source || coalesce('/e' || n.doc_id, '') AS new, CASE WHEN n.doc_id IS NULL THEN 'PARENT' ELSE 'MOVED' END AS reason FROM o LEFT JOIN n ON n.source = o.source AND n.w = o.w AND n.v = o.v AND n.k = o.k""")
+def relocation_similar(spark, d):
+    """The tier of similar siblings: every heading has a word changed, many are equal, a third of the divisions is gone and the others come in the opposite order: each takes the first that is left."""
+    i = F.col("doc_id")
+    docs = Tables(spark, d).documents
+    above = F.concat(F.lit("/a/"), "source")
+
+    def row(letter, word, position):
+        head = F.concat(F.lit(f"{word} w"), i % 7, F.lit(" v"), F.floor(i / 7) % 5)
+        return [F.lit(1).alias("file"), above.alias("parent"), F.concat(above, F.lit(f"/{letter}"), i).alias("path"), head.alias("head"), position.alias("position"), F.concat(F.lit(letter), i).alias("chain"), F.lit(1).alias("occurrence"), F.lit(None).cast("string").alias("digest")]
+
+    works_ = docs.select(above.alias("path")).distinct().select(F.lit(1), F.lit(None).cast("string"), "path", F.lit(""), F.lit(0).cast("long"), F.concat(F.lit("w"), "path"), F.lit(1), F.lit(None).cast("string"))
+    before, after = docs.select(*row("d", "Part", i)), docs.where(i % 3 > 0).select(*row("e", "Piece", -1 - i))
+    return relocate.match(before.unionAll(works_), after.unionAll(works_))
+
+
 # Importing: each source is a file, its documents the divisions of one work; a second edition retitles some and drops others.
 
 HEADED = "d AS (SELECT doc_id, source, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS q FROM documents)"

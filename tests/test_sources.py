@@ -398,6 +398,52 @@ def test_slugs_by_stem_equal_the_sequential_fold(spark):
         assert {r["file"]: r["slug"] for r in rows} == want and len({r["stem"] for r in rows}) > 5
 
 
+def greedy_by_force(rows):
+    """Each old one in order tries all new ones that are left."""
+    from quire.operators import relocate
+
+    new = [(r[1], relocate._normal(r[2]), r[3]) for r in sorted(rows, key=lambda r: (r[3], r[1])) if r[0] == 1]
+    out, taken = [], set()
+    for _, path, head, position in sorted((r for r in rows if r[0] == 0), key=lambda r: (r[3], r[1])):
+        best, score = None, 0.0
+        for other, text, place in new:
+            own = relocate.similarity(relocate._normal(head), text) + (relocate.NEAR if place == position else 0)
+            if other not in taken and own >= relocate.SIMILAR and own > score:
+                best, score = other, own
+        if best is not None:
+            taken.add(best)
+            out.append((path, best))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_similar_siblings_equal_trying_all(seed):
+    import random
+
+    import pandas as pd
+
+    from quire.operators import relocate
+
+    draw = random.Random(seed)
+    words = "part chapter one two three of the dawn sea".split()[: 4 + seed]
+    rows = [(side, f"/{side}/{i}", draw.choice([" ".join(draw.choices(words, k=draw.randint(0, 6))), "Chapter", None, "!"]), draw.randrange(60)) for side in (0, 1) for i in range(90)]
+    got = relocate.greedy(pd.DataFrame(rows, columns=["side", "path", "head", "position"]))
+    assert list(got.itertuples(index=False, name=None)) == greedy_by_force(rows)
+
+
+def test_many_siblings_take_seconds():
+    import time
+
+    import pandas as pd
+
+    from quire.operators import relocate
+
+    rows = [(side, f"/{side}/{i:06d}", f"Chapter {i}{' again' if side else ''}" if i % 2 else "Untitled", i + 7 * side) for side in (0, 1) for i in range(50_000)]
+    began = time.perf_counter()
+    assert len(relocate.greedy(pd.DataFrame(rows, columns=["side", "path", "head", "position"]))) == 50_000
+    assert time.perf_counter() - began < 30
+
+
 def test_scheduled_import(spark, tmp_path):
     from quire.sources.library import Library, scheduled
 
