@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.frames import one_of
-from quire.operators import catalog, relocate, search, tree, vectors
+from quire.operators import address, catalog, relocate, search, tree, vectors
 from quire.operators.fulltext import Index
 
 
@@ -199,6 +199,16 @@ class Corpus:
         div = self.by_path(m.group(1)).select(F.col("id").alias("div_id"))
         return self.paragraphs.where(F.col("nth") == int(m.group(2))).join(div, "div_id", "left_semi")
 
+    def walk(self, addresses: DataFrame) -> DataFrame:
+        """addresses (address) with code and id of what each leads to, all at once: see quire.operators.address. Ids of paragraphs are their division's and nth.
+        _N counts divisions too where divisions have elem_nth."""
+        parts = T.path_fragments(F.col("path"))
+        nth = F.col("elem_nth") if "elem_nth" in self.divisions.columns else F.lit(0)
+        works = self.divisions.where("parent_id is null").select(parts[0].alias("author"), parts[1].alias("slug"), F.col("id").cast("string").alias("id"))
+        divs = self.divisions.where("parent_id is not null").select(F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), F.element_at(parts, -1).alias("slug"), nth.alias("nth"), F.lit("div").alias("name"))
+        own = self.paragraphs.select(F.concat_ws("/", "div_id", F.concat(F.lit("_"), "nth")).alias("id"), F.col("div_id").cast("string").alias("parent_id"), F.lit(None).cast("string").alias("slug"), "nth", F.lit("p").alias("name"))
+        return address.walked(addresses, works, divs.unionAll(own))
+
     def at(self, path: str) -> DataFrame:
         """The one division at a path; ValueError for fewer than two segments, LookupError for none, RuntimeError for several."""
         if len([s for s in path.split("/") if s]) < 2:

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their plain forms, position by position.
-ACCENTED = "àáâãäåăąāçćčĉċďđðèéêëēėęěĝğġģìíîïīįıłľñńňņòóôõöøōőŕřśšşșŝťţțùúûüūůűųŭýÿźżž"
-PLAIN = "aaaaaaaaacccccdddeeeeeeeeggggiiiiiiillnnnnoooooooorrsssssttt" + "uuuuuuuuuyyzzz"
+# Letters with a stroke or another form, which Unicode doesn't take apart, and their plain forms, position by position.
+STROKED = "đðłøı"
+STROKED_PLAIN = "ddloi"
+MARKS = "[\u0300-\u036f]"
+
+
+def _decomposed() -> dict[str, str]:
+    """Small letters of any script that Unicode takes apart into one letter and accents -> that letter."""
+    out = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        own = unicodedata.normalize("NFD", c)
+        if len(own) > 1 and c == c.lower():
+            base = "".join(x for x in own if not "\u0300" <= x <= "\u036f")
+            if len(base) == 1:
+                out[c] = base
+    return out
+
+
+FOLDED = _decomposed() | dict(zip(STROKED, STROKED_PLAIN, strict=True))
 # Letters that fold to two.
 TWO_LETTERS = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th"}
 # Phrases that head the licence division of an electronic edition.
@@ -36,8 +54,8 @@ def preview(c: Column, n: int = 280) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case in ASCII as far as letters of the Latin script go."""
-    out = F.translate(F.regexp_replace(F.lower(c), "[\u0300-\u036f]", ""), ACCENTED, PLAIN)
+    """Lower case without accents, in any script whose letters Unicode takes apart; Latin letters end in ASCII."""
+    out = F.translate(F.regexp_replace(F.lower(c), MARKS, ""), "".join(FOLDED), "".join(FOLDED.values()))
     for letter, plain in TWO_LETTERS.items():
         out = F.replace(out, F.lit(letter), F.lit(plain))
     return out
@@ -45,7 +63,7 @@ def fold(c: Column) -> Column:
 
 def folded(s: str) -> str:
     """fold() of a Python string."""
-    out = "".join(x for x in s.lower() if not "\u0300" <= x <= "\u036f").translate(str.maketrans(ACCENTED, PLAIN))
+    out = "".join(x for x in s.lower() if not "\u0300" <= x <= "\u036f").translate(str.maketrans(FOLDED))
     for letter, plain in TWO_LETTERS.items():
         out = out.replace(letter, plain)
     return out

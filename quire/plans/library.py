@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import dom, names, xml
@@ -259,7 +260,7 @@ def vector_store_knn(spark, d):
     return near.select(F.col("query").cast("long").alias("query"), F.col("key").cast("long").alias("key"), F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query("SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, 1.0::DOUBLE AS recall, least(30, count(*)) / count(*) AS share_read FROM embeddings")
 def vector_store_recall(spark, d):
     """Recall of the ten nearest to every twentieth vector by a stored collection, and which share of all vectors a query reads in full."""
     store, asked = stored_vectors(spark, d)
@@ -548,6 +549,72 @@ def relocation_similar(spark, d):
     return relocate.match(before.unionAll(works_), after.unionAll(works_))
 
 
+@query("""WITH d AS (SELECT source, doc_id FROM documents), b AS (SELECT source, count(*) AS n, CAST(sum(length('Doc ' || doc_id)) AS BIGINT) AS heads FROM d GROUP BY source)
+SELECT source || '/book.xml' AS name, n + 1 AS divisions, heads + 4 AS heads, FALSE AS refused FROM b UNION ALL SELECT source || '/round.xml', NULL, NULL, TRUE FROM b UNION ALL SELECT source || '/loose.xml', 0, 4, FALSE FROM b""")
+def files_included(spark, d):
+    """A book of each source includes a file for each of its documents and one that all books share; others include each other in a round, or what isn't there."""
+    from quire.sources import include
+
+    docs = Tables(spark, d).documents
+    xi = 'xmlns:xi="http://www.w3.org/2001/XInclude"'
+    part = F.concat(F.lit("<div><head>Doc "), "doc_id", F.lit("</head></div>"))
+    parts = docs.select(F.concat(F.lit("parts/"), "source", F.lit("/"), "doc_id", F.lit(".xml")).alias("name"), part.alias("x"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('<xi:include href="../parts/'), "source", F.lit("/"), "doc_id", F.lit('.xml"/>')))), "")
+    books_ = docs.groupBy("source").agg(F.concat(F.lit(f"<body {xi}>"), listed, F.lit('<xi:include href="../parts/end.xml"/></body>')).alias("x")).select(F.concat("source", F.lit("/book.xml")).alias("name"), "x")
+    sources = docs.select("source").distinct()
+    round_ = sources.select(F.concat("source", F.lit("/round.xml")), F.concat(F.lit(f'<a {xi}><xi:include href="again.xml"/></a>')))
+    loose = sources.select(F.concat("source", F.lit("/loose.xml")), F.lit(f'<a {xi}><xi:include href="none.xml"><xi:fallback><head>none</head></xi:fallback></xi:include></a>'))
+    again = sources.select(F.concat("source", F.lit("/again.xml")), F.lit(f'<a {xi}><xi:include href="round.xml"/></a>'))
+    end = spark.range(1).select(F.lit("parts/end.xml"), F.lit(f'<div {xi}><xi:include href="last.xml" parse="xml"/></div>')).unionAll(spark.range(1).select(F.lit("parts/last.xml"), F.lit("<head>Last</head>")))
+    rows = lambda df: df.toDF("name", "x").select("name", F.encode("x", "UTF-8").alias("content"))
+    out = include.expanded(rows(books_.unionAll(round_).unionAll(loose)), rows(parts.unionAll(again).unionAll(end)))
+    x = F.decode("content", "UTF-8")
+    heads = F.array_join(F.regexp_extract_all(x, F.lit("<head>([^<]*)</head>"), F.lit(1)), "")
+    return out.select("name", F.size(F.regexp_extract_all(x, F.lit("<div[ >]"), F.lit(0))).cast("long").alias("divisions"), F.length(heads).cast("long").alias("heads"), F.col("error").isNotNull().alias("refused"))
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(substr(regexp_replace(text, '<[^>]+>', ' ', 'g'), 1, 3000), ' \n\t\r')) >= 80 THEN lang END AS lang FROM documents")
+def language_learned(spark, d):
+    """Language of every document, by a model trained on half of them (by a hash of the text): all of 80 characters or more come out right, those held back too."""
+    from quire.operators import languages
+
+    docs = Tables(spark, d).documents
+    model = languages.trained(docs.where(F.pmod(F.xxhash64(F.lit("trained"), "text"), F.lit(2)) == 0))
+    return docs.select("doc_id", languages.Detector(model).detected(F.col("text")).alias("lang"))
+
+
+# Addresses: a conversation is a work, its roles are divisions, their turns elements; some works share an address, some divisions have no heading.
+
+
+TALKS = """t AS (SELECT conv_id, turn, role, 'a' || conv_id % 10 AS author, CASE WHEN conv_id % 50 IN (7, 17) THEN 'twin' ELSE 'talk' || conv_id END AS slug FROM conversations),
+w AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 50 IN (7, 17) THEN 'a7' ELSE author END AS author, slug FROM t),
+g AS (SELECT conv_id, role, count(*) AS turns FROM t GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY role) AS nth FROM g),
+h AS (SELECT *, role <> 'system' AS headed FROM d), c AS (SELECT author, slug, count(*) AS works, min(conv_id) AS conv_id FROM w GROUP BY ALL)"""
+ASKED_FOR = ("", "/user", "/_1", "/user/_02", "/_1/_1", "/nobody", "/user/_99", "/_x", "/user/_1/_1", "/_0", "/_2/user", "/_99999999999")
+
+
+@query(f"""WITH {TALKS}, k AS (SELECT unnest(range({len(ASKED_FOR)})) AS k), q AS (SELECT w.author, w.slug, k.k, c.works FROM w, k, c WHERE c.author = w.author AND c.slug = w.slug),
+x AS (SELECT DISTINCT '/' || q.author || '/' || q.slug || [{", ".join(f"'{s}'" for s in ASKED_FOR)}][k + 1] AS address, k, q.works, c.conv_id,
+ (SELECT turns FROM h WHERE h.conv_id = c.conv_id AND role = 'user') AS users, (SELECT headed FROM h WHERE h.conv_id = c.conv_id AND nth = 1) AS one, (SELECT turns FROM h WHERE h.conv_id = c.conv_id AND nth = 1) AS turns, (SELECT headed FROM h WHERE h.conv_id = c.conv_id AND nth = 2) AS two
+ FROM q JOIN c ON c.author = q.author AND c.slug = q.slug)
+SELECT address, CASE WHEN works > 1 THEN 500 ELSE CASE k WHEN 0 THEN 200 WHEN 1 THEN CASE WHEN users IS NULL THEN 404 ELSE 200 END WHEN 2 THEN CASE WHEN one THEN 200 ELSE 500 END WHEN 3 THEN CASE WHEN users >= 2 THEN 200 ELSE 404 END
+ WHEN 4 THEN CASE WHEN one THEN 200 ELSE 500 END WHEN 7 THEN 500 WHEN 10 THEN CASE WHEN two IS NULL THEN 404 WHEN two THEN 404 ELSE 500 END WHEN 11 THEN 500 ELSE 404 END END AS code FROM x
+UNION ALL SELECT DISTINCT '/' || author, 400 FROM w UNION ALL SELECT DISTINCT '/' || author || '/none/_1', 404 FROM w""")
+def addresses_walked(spark, d):
+    """A dozen addresses of each conversation: all found by slug or by number at any step, or refused with the code that is due."""
+    from quire.operators import address
+
+    i = F.col("conv_id")
+    c = Tables(spark, d).conversations
+    twin = (i % 50).isin(7, 17)
+    works_ = c.select(i).distinct().select(F.when(twin, "a7").otherwise(F.concat(F.lit("a"), i % 10)).alias("author"), F.when(twin, "twin").otherwise(F.concat(F.lit("talk"), i)).alias("slug"), F.concat(F.lit("w"), i).alias("id"), i)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("role"))
+    roles = c.select("conv_id", "role").distinct().select(F.concat_ws("/", F.lit("d"), i, "role").alias("id"), F.concat(F.lit("w"), i).alias("parent_id"), F.when(F.col("role") != "system", F.col("role")).alias("slug"), place.alias("nth"), F.lit("div").alias("name"))
+    turns = c.select(F.concat_ws("/", F.lit("t"), i, "turn").alias("id"), F.concat_ws("/", F.lit("d"), i, "role").alias("parent_id"), F.lit(None).cast("string").alias("slug"), F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).alias("nth"), F.lit("p").alias("name"))
+    asked = works_.select("author", F.explode(F.array(*(F.concat(F.lit("/"), "author", F.lit("/"), "slug", F.lit(s)) for s in ASKED_FOR), F.concat(F.lit("/"), "author"), F.concat(F.lit("/"), "author", F.lit("/none/_1")))).alias("address"))
+    return address.walked(asked.select("address").distinct(), works_, roles.unionAll(turns)).select("address", "code")
+
+
 # Importing: each source is a file, its documents the divisions of one work; a second edition retitles some and drops others.
 
 HEADED = "d AS (SELECT doc_id, source, text, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS q FROM documents)"
