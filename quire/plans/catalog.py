@@ -229,13 +229,17 @@ def fragment_range(spark, d):
     return fragments.range_text(lines(works(Tables(spark, d).documents)), "doc_id", 2, 5, 4, 20)
 
 
-SELECTORS = ("_2.93:5..4.1:7", "_3", "_3:4", "_0.1..2", "_2..3", "2.3", "_01.2:0..1.20:9", "_1..2..3", "")
-
-
-@query(f"WITH s AS (SELECT unnest({list(SELECTORS)!r}) AS s), m AS (SELECT s, regexp_matches(s, '^_(\\d+(?:\\.\\d+)*)(?::(\\d+))?(?:\\.\\.(\\d+(?:\\.\\d+)*)(?::(\\d+))?)?$') AS ok FROM s) SELECT s, ok AND NOT regexp_matches(s, '[_.]0+([.:]|$)') AND NOT (contains(s, ':') AND NOT contains(s, '..')) AS valid FROM m")
+@query("""WITH s AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey % 9 AS a, l_suppkey % 7 AS b, CASE l_orderkey % 9 WHEN 0 THEN '_' || a || '.93:5..4.1:7' WHEN 1 THEN '_' || a WHEN 2 THEN '_3:' || b WHEN 3 THEN '_0.' || a || '..2' WHEN 4 THEN '_2..' || b WHEN 5 THEN a || '.3' WHEN 6 THEN '_0' || a || '.2:' || b || '..1.20:9' WHEN 7 THEN '_1..2..' || b ELSE '' END AS s FROM lineitem),
+m AS (SELECT *, regexp_matches(s, '^_(\\d+(?:\\.\\d+)*)(?::(\\d+))?(?:\\.\\.(\\d+(?:\\.\\d+)*)(?::(\\d+))?)?$') AS ok FROM s)
+SELECT id, n, s, ok AND NOT regexp_matches(s, '([_.]|\\.\\.)0+([.:]|$)') AND NOT (contains(s, ':') AND NOT contains(s, '..')) AS valid FROM m""")
 def fragment_selector_parse(spark, d):
-    rows = spark.createDataFrame([(s,) for s in SELECTORS], "s string")
-    return rows.select("s", fragments.selector_columns(F.col("s"))["valid"].alias("valid"))
+    a, b, k = F.col("l_partkey") % 9, F.col("l_suppkey") % 7, F.col("l_orderkey") % 9
+    forms = [("_", a, ".93:5..4.1:7"), ("_", a), ("_3:", b), ("_0.", a, "..2"), ("_2..", b), (a, ".3"), ("_0", a, ".2:", b, "..1.20:9"), ("_1..2..", b)]
+    s = F.lit("")
+    for i, f in enumerate(forms):
+        s = F.when(k == i, F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in f))).otherwise(s)
+    rows = Tables(spark, d).lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), s.alias("s"))
+    return rows.select("id", "n", "s", fragments.selector_columns(F.col("s"))["valid"].alias("valid"))
 
 
 # Two editions: before, every document; after, those without id 0 modulo 5, moved to another source where id is 1 modulo 5.
@@ -403,9 +407,10 @@ def request_dedupe_30min(spark, d):
     return maintain.not_repeated(Tables(spark, d).events, "user_id", "ts", 30)
 
 
-@query("SELECT n AS attempts, least(pow(2, least(n - 1, 10)), 24) AS hours FROM range(1, 15) t(n)")
+@query("WITH f AS (SELECT l_orderkey AS id, count(*) + l_orderkey % 8 AS n FROM lineitem GROUP BY l_orderkey) SELECT id, n AS attempts, least(pow(2, least(n - 1, 10)), 24) AS hours FROM f")
 def failure_backoff(spark, d):
-    return spark.range(1, 15).select(F.col("id").alias("attempts"), T.backoff_hours(F.col("id")).alias("hours"))
+    f = Tables(spark, d).lineitem.groupBy(F.col("l_orderkey").alias("id")).agg((F.count("*") + F.col("l_orderkey") % 8).alias("attempts"))
+    return f.select("id", "attempts", T.backoff_hours(F.col("attempts")).alias("hours"))
 
 
 @query("SELECT event_type AS model, count(*) AS batches, round(avg(value), 6) AS mean, round(sum(value), 2) AS total, max(event_id % 60) AS longest, round(sum(value) / sum(event_id % 60), 6) AS rate FROM events GROUP BY event_type")

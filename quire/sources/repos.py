@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.shared import written
+
 # The language codes of the catalogue.
 LANGUAGES = ("bg", "br", "ca", "da", "de", "en", "es", "fi", "fr", "gr", "hu", "it", "la", "nl", "no", "pt", "ro", "ru", "zh")
 
@@ -88,16 +90,30 @@ def special_authors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.trim(F.col("p")[i]).alias(n) for i, n in ((3, "display_name"), (0, "str_id"), (1, "first_name"), (2, "last_name"))))
 
 
+def numbered(rows: DataFrame, key: str, size: int = 1000) -> DataFrame:
+    """rows with batch (from 0): so many rows each, in order of a key (ties by the other columns). Each partition of a sort knows its
+    rows' places once the sizes of those before it are known; only these sizes come to the driver."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [key, *(c for c in rows.columns if c != key)]
+    own = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the lower 33 bits count within a partition, the upper ones are its number
+    own = written(own.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, at = {}, 0
+    for r in own.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row a partition
+        before[r["p"]], at = at, at + r["count"]
+    start = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[part] if before else F.lit(0)
+    return own.withColumn("batch", F.floor((start + place) / size).cast("long")).drop("_id")
+
+
 def in_batches(rows: DataFrame, key: str, size: int = 1000):
-    """The rows in order of a key, as lists of some size: a stream over partitions, of which one is here at a time."""
-    held = []
-    for r in rows.orderBy(key).toLocalIterator(prefetchPartitions=True):
-        held.append(r)
-        if len(held) == size:
+    """The rows in order of a key, as lists of some size, for a caller who takes them one by one: one batch is here at a time. For work on a cluster, see numbered()."""
+    own = numbered(rows, key, size)
+    order = [key, *(c for c in rows.columns if c != key)]
+    for n in range((own.agg(F.max("batch")).first()[0] or 0) + 1):
+        held = own.where(F.col("batch") == n).drop("batch").orderBy(*order).collect()  # size rows
+        if held:
             yield held
-            held = []
-    if held:
-        yield held
 
 
 def binary_object(content: Column, xml_id: str) -> Column:
