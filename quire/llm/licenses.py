@@ -1,12 +1,14 @@
 """Operator 3, license scans: which licenses the blocks of a document state, and in what wording.
 
-Method: conditional compression. A candidate block (a line that speaks of licensing; for long templates with the lines
-after it, as far as the template reaches, over blank lines too) is compressed with each template as a zstandard raw dictionary,
-and without one; templates rank by how much smaller the block gets. All are confirmed in that order by their exact
-wording: the words of template and block are aligned, the differences are given, and a template holds if they are one word or
-a tenth of its words at most (none in templates of three words, SPDX identifiers, headings, and further licenses after "or" and "and") and touch none of its telling words (versions and variants). Short templates are
-held against the line alone and with the lines after it up to a blank one. The words before and after a statement are searched
-on until no template holds; the place given is that of the lines that a statement stands in.
+Method: conditional compression. A candidate block (a line that speaks of licensing; for long templates with the lines after it, as
+far as the template reaches, over blank lines too; of a line of over WINDOW words, what a template reaches from each cue) is compressed with
+each template as a zstandard raw dictionary, and without one. Templates rank by how many bytes they save, and the first in that order whose
+exact wording is confirmed wins; nothing is left out beforehand but what can't be confirmed, templates of whose words more are missing than
+may differ. To confirm, the words of template and block are aligned and the differences are given: a template holds if they are one word or
+a tenth of its words at most (none in templates of three words, SPDX identifiers, headings, and further licenses after "or" and "and") and
+touch none of its telling words (versions and variants). Short templates are held against the line alone and with the lines after it up to a
+blank one. The words before and after a statement are searched on until no template holds; the place given is that of the lines that a
+statement stands in.
 
 Every line of the whole text is looked at. A null text has none. Rows are judged one by one (repeated rows give repeated
 results, a null doc_id stays null); a document without license lines gives no row, nor does an empty table.
@@ -14,7 +16,9 @@ results, a null doc_id stays null); a document without license lines gives no ro
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -105,6 +109,8 @@ TELLING = frozenset("mit apache gnu general lesser affero mozilla bsd isc cc cc0
 #: From so many words on a template is long: it is held against lines together.
 LONG = 30
 DIFFERENCE = 0.1
+#: Words of a line (with the lines that a template reaches) up to which it is searched as a whole; a longer one is searched around each of its cues.
+WINDOW = 2000
 #: Templates of so few words must stand as they are.
 BRIEF = 3
 WORD = re.compile(r"<[^>]*>|[^\W_]+(?:\.\d+)*")
@@ -167,26 +173,33 @@ def differences(template: tuple[str, ...], words: list[str]) -> tuple[list[str],
 def matched(line: list[str], near: list[str], more: list[str], whole: bool, follows: bool) -> tuple | None:
     """The template that words answer from within line on: short ones in the line or with what stands near, long ones in the line with more.
 
-    whole: the words begin a line and are all of it; follows: they follow a statement."""
+    Templates rank by how many bytes they save of the words, and the first in rank that holds wins. One of whose words more are missing than may differ can't hold, wherever
+    it ranks, and isn't tried. whole: the words begin a line and are all of it; follows: they follow a statement."""
     made, plain = templates()
     tries = [(False, line), (False, near), (True, more)] if len(near) > len(line) else [(False, line), (True, more)]
     ranked = []
     for long, words in tries:
         text, held = " ".join(words).encode(), set(words)
-        size = len(plain.compress(text))
-        ranked += [(1 - len(t.squeeze.compress(text)) / size, i, words, held) for i, t in enumerate(made) if (len(t.words) >= LONG) == long and (t.kind == STATEMENT or t.kind == HEADING and whole and len(line) <= len(t.words) or t.kind == FURTHER and follows)]
-    ranked.sort(key=lambda x: (-x[0], x[1]))
-    best = None
-    for reduction, i, words, held in ranked:
-        t = made[i]
-        if sum(w not in held for w in t.words if w[0] != "<") > allowance(t):
-            continue  # too many words are missing, however the others stand
-        told = differences(t.words, words)
-        if told and told[1] <= allowance(t) and told[2][0] < (len(line) if t.kind == STATEMENT else 1):
-            key = (-len(t.words) + told[1] * 10, -reduction, i)
-            if best is None or key < best[0]:
-                best = (key, i, reduction, told)
-    return best
+        size = None
+        for i, t in enumerate(made):
+            if (len(t.words) >= LONG) != long or not (t.kind == STATEMENT or t.kind == HEADING and whole and len(line) <= len(t.words) or t.kind == FURTHER and follows):
+                continue
+            if sum(w not in held for w in t.words if w[0] != "<") > allowance(t):
+                continue
+            size = len(plain.compress(text)) if size is None else size
+            saved = size - len(t.squeeze.compress(text))
+            ranked.append((-saved, -len(t.words), i, saved / size, words))
+    for _, _, i, reduction, words in sorted(ranked, key=lambda x: x[:3]):
+        told = differences(made[i].words, words)
+        if told and told[1] <= allowance(made[i]) and told[2][0] < (len(line) if made[i].kind == STATEMENT else 1):
+            return None, i, reduction, told
+    return None
+
+
+def cue_places(words: list[str]) -> list[int]:
+    """Where cues are among words, of two words the first."""
+    pairs = [f"{a} {b}" for a, b in zip(words, [*words[1:], ""], strict=False)]
+    return [i for i, p in enumerate(pairs) if any(c in p for c in CUES)]
 
 
 def lines_of(text: str) -> list[tuple[int, str]]:
@@ -219,11 +232,23 @@ def scan(text: str) -> Iterator[tuple]:
             k += 1
         near = len(block) if near is None else near
         todo, found = [(0, len(block), False)], []
+        places = cue_places(block)
         while todo:
             a, b, follows = todo.pop()
-            if a >= min(b, own) or not (follows or any(c in " ".join(block[a:b]) for c in CUES)):
+            first = bisect_left(places, a)
+            cue = places[first] if first < len(places) and places[first] < b else None
+            if a >= min(b, own) or not follows and cue is None:
                 continue
-            best = matched(block[a : min(b, own)], block[a : min(b, near)], block[a:b], a == 0 and not used.get(i), follows)
+            end = b
+            if b - a > WINDOW:  # a statement of the first cue is within its reach; those of the next cues have their turn
+                if follows or cue - a <= longest:
+                    end = math.ceil(min(b, (a if cue is None or follows else cue) + longest))
+                else:
+                    todo.append((math.ceil(cue - longest), b, False))
+                    continue
+            best = matched(block[a : min(end, own)], block[a : min(end, near)], block[a:end], a == 0 and end >= own and not used.get(i), follows)
+            if best is None and end < b:
+                todo.append((a, b, False) if follows else (cue + 1, b, False))
             if best:
                 _, at, reduction, (told, touched, (c, d)) = best
                 found.append((a + c, a + d, at, reduction, touched, told))

@@ -112,6 +112,44 @@ def test_license_among_words_of_others(license_, wording):
     assert [(f[2], f[5]) for f in licenses.scan(" so ".join([*others, wording]))] == [(license_, 0)]
 
 
+def test_compression_decides_which_license(monkeypatch):
+    """Of templates that all hold, the one that saves most bytes wins; with compressors that save nothing others do."""
+    import random
+
+    draw = random.Random(5)
+    texts = [x.replace("<number>", "\n*").replace("<holder>", "the holder").replace("<year and holder>", "2020 Ann") for _, x, kind in licenses.TEMPLATES if kind == licenses.STATEMENT]
+    texts = [" ".join(draw.choices(["alpha", "beta", "gamma"], k=4)) + ".\n" + x for x in texts]
+    real = [list(licenses.scan(x)) for x in texts]
+    assert all(real)
+
+    class Same:
+        def compress(self, text):
+            return text
+
+    made = [t._replace(squeeze=Same()) for t in licenses.templates()[0]]
+    monkeypatch.setattr(licenses, "templates", lambda: (made, Same()))
+    flat = [list(licenses.scan(x)) for x in texts]
+    assert flat != real
+
+
+def test_licenses_in_long_lines():
+    """A line of a megabyte takes no more than its cues need, and loses none of its statements."""
+    import random
+    import time
+
+    draw = random.Random(1)
+    words = lambda n: " ".join("".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    told = [x for _, x, kind in licenses.TEMPLATES if kind == licenses.STATEMENT and "<" not in x]
+    line = " ".join(f"{words(1000)}. {x} {words(2)}" for x in told)
+    began = time.perf_counter()
+    found = list(licenses.scan(line))
+    assert time.perf_counter() - began < 20 and len(line) > 1_000_000
+    near = [list(licenses.scan(f"{words(20)}. {x} {words(2)}")) for x in told]
+    assert [r[2:4] for r in found] == [r[2:4] for n in near for r in n]
+    dense = " ".join(f"license {words(12)}" for _ in range(2000))
+    assert list(licenses.scan(dense)) == []
+
+
 BSD = [x.replace("<number>", "\n\n*").replace("<holder>", "the copyright holder") for n, x in licenses.WORDINGS if n.startswith("BSD") and "<number>" in x]
 NOTICE = "This {} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
 
