@@ -49,7 +49,9 @@ BLOCK = frozenset(
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words that tell of other than main text.
 TELLING = re.compile(r"cookie|subscri|newsletter|sign ?up|log ?in|copyright|©|all rights|advert|sponsor|privacy|comment|reply|share|menu|related|read more|click|terms", re.I)
-SENTENCE = re.compile(r"[.!?…:;\"'»”)\]]$")
+SENTENCE = re.compile(r"[.!?…:;\"'»”)\]。！？：；」』）।؟۔።]$")
+#: Letters of scripts that put no spaces between words: Thai, Lao, Burmese, Khmer, Chinese and Japanese.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 LABELS = 2
 PAGES = 640
 #: Stands before the label of a made block (a character of private use).
@@ -214,12 +216,22 @@ def described(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w for g in CLASS.findall(attributes) for w in TOKEN.findall("".join(g).lower()))) if attributes else ()
 
 
+def word_count(text: str) -> int:
+    """Words of a text: by the spaces between them; where a script has none, two letters are a word."""
+    return text.count(" ") + 1 + (0 if text.isascii() else len(UNSPACED.findall(text)) // 2)
+
+
+def ends(text: str) -> bool:
+    """Whether a text ends as sentences do; a long one in a script that marks no end does."""
+    return bool(SENTENCE.search(text)) or not text.isascii() and bool(UNSPACED.match(text[-1:])) and word_count(text) > 20
+
+
 def text_features(block: Block, i: int, n: int) -> list[str]:
-    text, words = block.text, block.text.count(" ") + 1
+    text, words = block.text, word_count(block.text)
     found = [f"words={min(7, words.bit_length())}", f"linked={int(block.linked * 4)}", "bias", f"place={min(3, 4 * i // max(1, n))}"]
-    if SENTENCE.search(text):
+    if ends(text):
         found.append("ends")
-    if words > 8 and SENTENCE.search(text):
+    if words > 8 and ends(text):
         found.append("prose")
     if TELLING.search(text):
         found.append("telling" + ("-short" if words < 15 else ""))
@@ -280,7 +292,7 @@ class Chain:
 
 def is_prose(b: Block) -> bool:
     """Sentences, hardly any of them links, outside of what tags or classes set apart from an article."""
-    return b.text.count(" ") >= 5 and b.linked < 0.3 and bool(SENTENCE.search(b.text)) and not TELLING.search(b.text) and b.at.found.isdisjoint(ASIDE)
+    return word_count(b.text) > 5 and b.linked < 0.3 and ends(b.text) and not TELLING.search(b.text) and b.at.found.isdisjoint(ASIDE)
 
 
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
