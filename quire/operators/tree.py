@@ -126,3 +126,20 @@ def listing(works: DataFrame, authors: str = "authors") -> DataFrame:
     own = rows.select(at("lang", "author"), at("lang", "author", "fragment"), F.struct("filename", "fragment"))
     every = langs.unionAll(people).unionAll(own)
     return every.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("_o"))).drop("_o")
+
+
+def exported(placed: DataFrame, works: DataFrame, depth: int, ending: str = ".txt", authors: str = "authors") -> DataFrame:
+    """folder, path, place (from 1 within the folder), collection of all entries of an export: languages, authors, works, and the divisions below these.
+
+    placed: rows of paths() with parent_id; works: root_id, lang, authors (array of identifiers), filename. A division is a file if it has none below or lies at
+    the depth (works have 1), which ends the folders; a file's name ends in `ending`. Works come by filename and slug, divisions in their order."""
+    kids = placed.select(F.col("parent_id").alias("_p")).where("_p is not null").distinct()
+    shown = placed.where(F.col("depth") < depth).join(kids, placed["id"] == kids["_p"], "left")
+    file = (F.col("depth") + 1 >= depth) | F.col("_p").isNull()
+    own = shown.join(works.where("lang is not null").select("root_id", "lang", F.explode(authors).alias("author"), "filename"), "root_id")
+    at = F.concat_ws("/", F.lit(""), "lang", "author", "path")
+    work_order = F.when(F.col("depth") == 0, F.struct(F.col("filename").alias("f"), F.col("path").alias("p")))
+    entries = own.select(F.regexp_replace(at, "/[^/]*$", "").alias("folder"), F.concat(at, F.when(file, ending).otherwise("")).alias("path"), (~file).alias("collection"), work_order.alias("_w"), "place")
+    below = entries.withColumn("_n", F.row_number().over(Window.partitionBy("folder").orderBy("_w", "place"))).select("folder", "path", F.col("_n").alias("place"), "collection")
+    tops = listing(works.select("lang", authors, "filename", F.lit("").alias("fragment")), authors).where(F.size(T.path_fragments(F.col("folder"))) < 2).where(F.size(T.path_fragments(F.col("path"))) <= 2)
+    return tops.select("folder", "path", "place", F.lit(True).alias("collection")).unionAll(below)
