@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+#: By thread: lists of the folders that open scratch() blocks remove.
+_SCRATCH = threading.local()
 
 
 def root(spark: SparkSession) -> str:
@@ -23,7 +27,27 @@ def root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/quire/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root(spark)}/quire/{name}-{uuid.uuid4().hex[:12]}"
+    for held in getattr(_SCRATCH, "held", ()):
+        held.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What this thread writes with written() and new_folder() in here is removed at the end: for work whose result is written elsewhere."""
+    if not hasattr(_SCRATCH, "held"):
+        _SCRATCH.held = []
+    own: list[str] = []
+    _SCRATCH.held.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.held.remove(own)
+        jvm = spark.sparkContext._jvm
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

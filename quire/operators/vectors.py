@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from quire.functions import text as T
+from quire.functions.shared import written
 
 #: Vectors of a block of knn_join.
 BLOCK = 4096
@@ -122,16 +125,55 @@ def judged_neighbours(queries: DataFrame, vectors: DataFrame, label: str, cut: i
     gain = F.when(F.col("l") == F.col("m"), 1).otherwise(0)
     some = ranked.groupBy("query").agg((F.sum(gain) / cut).alias("precision"), F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"), F.min(F.when(gain == 1, F.col("rank"))).alias("first"))
     n = vectors.groupBy(F.col(label).alias("m")).agg(F.count("*").alias("n"))
-    sized = own.join(F.broadcast(n), "m", "left").select("query", "m", "q", F.least(F.coalesce("n", F.lit(1)) - 1, F.lit(cut)).alias("ideal"))
+    sized = own.join(n, "m", "left").select("query", "m", "q", F.least(F.coalesce("n", F.lit(1)) - 1, F.lit(cut)).alias("ideal"))
     out = sized.join(some, "query", "left").select("query", "m", "q", "ideal", "precision", "dcg", "first")
     late = out.where("first is null and ideal > 0").select("query", "m", "q")
-    far = vectors.join(F.broadcast(late), vectors[key] != late["query"]).select("query", F.col(key).alias("key"), (F.col(label) == F.col("m")).alias("same"), T.l2(F.col("embedding"), F.col("q")).alias("distance"))
-    place = F.struct("distance", "key")
-    least = far.where("same").groupBy("query").agg(F.min(place).alias("hit"))
-    behind = far.join(F.broadcast(least), "query").where(place < F.col("hit")).groupBy("query").agg((F.count("*") + 1).alias("later"))
+    # the nearest of the query's own label: a join on the label; then how many of all vectors are nearer, block by block
+    same = vectors.select(F.col(key).alias("key"), F.col(label).alias("m"), "embedding").join(late, "m").where("key != query")
+    least = same.groupBy("query").agg(F.min(F.struct(T.l2(F.col("embedding"), F.col("q")).alias("distance"), "key")).alias("hit"))
+    asked = late.join(least, "query").select(F.col("query").alias(key), F.col("q").alias("embedding"), F.struct(F.col("hit.distance").alias("distance"), F.col("hit.key").cast("long").alias("key")).alias("hit"))
+    behind = nearer(written(asked, "late"), vectors, key).select("query", (F.col("n") + 1).alias("later"))
     best = F.aggregate(F.when(F.col("ideal") > 0, F.sequence(F.lit(1).cast("long"), F.col("ideal"))).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda x, r: x + 1 / F.log2(r + 1))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.join(F.broadcast(behind), "query", "left").select("query", zero(F.col("precision")).alias("precision"), zero(F.col("dcg") / F.nullif(best, F.lit(0.0))).alias("ndcg"), zero(1 / F.coalesce("first", "later")).alias("rr"))
+    return out.join(behind, "query", "left").select("query", zero(F.col("precision")).alias("precision"), zero(F.col("dcg") / F.nullif(best, F.lit(0.0))).alias("ndcg"), zero(1 / F.coalesce("first", "later")).alias("rr"))
+
+
+#: Two distances are one if they differ by less: a matrix product rounds otherwise than a sum of squares.
+SAME = 1e-9
+
+
+def nearer(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """query, n: how many of vectors come before (hit: distance, key) of each of queries (key, embedding, hit), itself left out. Blocks of queries meet blocks of vectors; a number a query leaves a pair."""
+    hits = queries.select(F.col(key).cast("long").alias("query"), "hit.distance", F.col("hit.key").alias("at"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {n: b.column(n)[r].as_py() for n in b.schema.names}
+                ids, keys = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["v_ids"], np.int64)
+                q, v = np.frombuffer(row["q_block"], np.float32).reshape(len(ids), -1).astype(float), np.frombuffer(row["v_block"], np.float32).reshape(len(keys), -1).astype(float)
+                far = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T, 0))
+                at = {i: n for n, i in enumerate(ids.tolist())}
+                order = [at[i] for i in row["asked"]]
+                limit, where = np.array(row["distances"])[:, None], np.array(row["ats"])[:, None]
+                far = far[order]
+                before = (far < limit - SAME) | ((far <= limit + SAME) & (keys[None] < where))
+                before &= keys[None] != ids[order][:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(before.sum(1))], ["query", "n"])
+
+    # the hits of a block go with it
+    block = packed(queries, key, "q")
+    ids = block.select("q_ids", F.explode(longs(F.col("q_ids"))).alias("query"))
+    own = ids.join(hits, "query").groupBy("q_ids").agg(F.collect_list(F.struct("query", "distance", "at")).alias("h")).select("q_ids", F.col("h.query").alias("asked"), F.col("h.distance").alias("distances"), F.col("h.at").alias("ats"))
+    pairs = block.join(own, "q_ids").crossJoin(packed(vectors, key, "v"))
+    return pairs.mapInArrow(counted, "query long, n long").groupBy("query").agg(F.sum("n").alias("n"))
+
+
+def longs(packed_ids: Column) -> Column:
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: np.frombuffer(b, np.int64).tolist())
+
+    return F.pandas_udf(read, ArrayType(LongType()))(packed_ids)
 
 
 def upserted(stored: DataFrame, new: DataFrame, key: str = "sha256") -> DataFrame:
