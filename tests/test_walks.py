@@ -62,3 +62,57 @@ def test_languages_are_learned(spark):
 @pytest.mark.parametrize(("text", "want"), [("ÉTÉ Łódź", "ete lodz"), ("Ἀνθρώπους", "ανθρωπους"), ("Ёлка ЙОД", "елка иод"), ("Việt ẞ Ǆ", "viet ss ǆ"), ("é", "e")])
 def test_accents_of_any_script_fold(spark, text, want):
     assert T.folded(text) == want == spark.range(1).select(T.fold(F.lit(text))).first()[0]
+
+
+def test_theme_by_rules(spark):
+    from quire.functions import theme
+
+    cases = {
+        '<div><head>A &amp; B</head><p class="x" rend="y">t</p></div>': '<div><p class="unspecified-heading">A &amp; B</p><p class="y" rend="y">t</p></div>',
+        '<div type="div2"><head data-fragment-from="1">A<lb/>B</head></div>': '<div type="div2"><h2 data-fragment-from="1">A B</h2></div>',
+        '<div type="other"><head>gone</head><figure/><!-- c --><?pi x?></div>': '<div type="other"><img class="illustration" src="/at/_binary/"/></div>',
+        "<sp><l>a<note n='1'>say \"no\"</note></l></sp>": '<div class="sp"><p class="l">a<button type="button" class="btn note" data-toggle="tooltip" data-placement="top" title="say &quot;no&quot;"><sup>1</sup></button></p></div>',
+        "<p data-projection-id='2'/>": "<p></p>",
+        "<broken>": None,
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string")
+    got = rows.select("i", theme.themed(F.col("x"), F.lit("Doe"), F.lit("/at")).alias("h")).orderBy("i").collect()
+    assert [r["h"] for r in got] == list(cases.values())
+    assert "<h2 class=\"author\">Doe &lt;</h2>" in theme.html_of('<div type="div1"><head>x</head></div>', "Doe <")
+
+
+def test_export_ends_at_its_depth(spark):
+    from quire.operators import tree
+
+    elems = spark.createDataFrame([("w", None, "work", 1), ("a", "w", "one", 2), ("b", "w", "two", 1), ("c", "b", "deep", 1), ("v", None, "leaf", 1)], "id string, parent_id string, slug string, pos int")
+    placed = tree.paths(elems).join(elems.select("id", "parent_id"), "id")
+    works = spark.createDataFrame([("w", "en", ["doe", "roe"], "f"), ("v", "en", ["doe"], "e"), ("x", None, ["doe"], "e")], "root_id string, lang string, authors array<string>, filename string")
+    rows = {d: sorted((r["path"], r["place"], r["collection"]) for r in tree.exported(placed, works, d).collect()) for d in (1, 2, 3)}
+    top = [("/en", 1, True), ("/en/doe", 1, True), ("/en/roe", 2, True)]
+    assert rows[1] == sorted([*top, ("/en/doe/leaf.txt", 1, False), ("/en/doe/work.txt", 2, False), ("/en/roe/work.txt", 1, False)])
+    two = [("/en/doe/leaf.txt", 1, False), ("/en/doe/work", 2, True), ("/en/roe/work", 1, True)]
+    assert rows[2] == sorted([*top, *two, *((f"/en/{a}/work/{n}.txt", p, False) for a in ("doe", "roe") for n, p in (("two", 1), ("one", 2)))])
+    assert ("/en/roe/work/two/deep.txt", 1, False) in rows[3] and ("/en/roe/work/two", 1, True) in rows[3]
+
+
+def test_batches_are_numbered_without_the_driver(spark):
+    from quire.sources import repos
+
+    rows = spark.createDataFrame([(i % 37, str(i)) for i in range(500)], "k int, v string").repartition(7)
+    want = [(k, v, n // 64) for n, (k, v) in enumerate(sorted((i % 37, str(i)) for i in range(500)))]
+    assert sorted((r["k"], r["v"], r["batch"]) for r in repos.numbered(rows, "k", 64).collect()) == sorted(want)
+    assert repos.numbered(rows.limit(0), "k").collect() == []
+
+
+def test_scratch_is_removed(spark, tmp_path, monkeypatch):
+    from quire.functions import shared
+
+    monkeypatch.setattr(shared, "root", lambda spark: f"file://{tmp_path}")
+    with shared.scratch(spark):
+        shared.written(spark.range(3), "a")
+        with shared.scratch(spark):
+            shared.written(spark.range(3), "b")
+        assert len(list((tmp_path / "quire").iterdir())) == 1
+    assert list((tmp_path / "quire").iterdir()) == [] and shared.written(spark.range(2), "c").count() == 2
