@@ -235,6 +235,16 @@ def escape_xml(c: Column) -> Column:
     return c
 
 
+def escape_html(c: Column) -> Column:
+    """For text and attributes of HTML: as for XML, but the single quote is a number."""
+    return F.replace(escape_xml(c), F.lit("&apos;"), F.lit("&#39;"))
+
+
+def escape_quoted(c: Column) -> Column:
+    """For a literal in single quotes of a vector store's filter."""
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+
+
 def escape_query(c: Column) -> Column:
     """A backslash before what a Lucene-style query syntax would read as an operator."""
     return F.regexp_replace(c, r'([+\-!(){}\[\]^"~*?:\\/|&])', r"\\$1")
