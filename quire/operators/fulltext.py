@@ -23,8 +23,8 @@ from quire.sources.commits import Commits, Conflict
 
 from .search import B, HEAD_BOOST, K1, top
 
-#: Bytes of text whose postings one file holds, about.
-FILE_BYTES = 8 << 20
+#: Bytes of text whose postings one file holds, about; a smaller segment is spread over all tasks that run at once as long as each has LEAST_BYTES.
+FILE_BYTES, LEAST_BYTES = 8 << 20, 1 << 20
 #: Newest segments that are merged, at least, where the older is at most RATIO times as large as all newer ones.
 MERGED, RATIO = 4, 2
 #: Clauses (a term in a field) of a query at most; beyond them the first half of its words is searched.
@@ -88,7 +88,7 @@ class Index:
     def _write(self, seg: str, seq: int, rows: DataFrame, size: int, info: dict) -> None:
         """postings, their files' ranges and their works' statistics. size: bytes of text that they come from."""
         at = self.log.data("segments", seg, "postings")
-        n = max(1, -(-size // FILE_BYTES))
+        n = max(1, -(-size // FILE_BYTES), min(self.spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
         rows = rows.withColumn("_seq", F.lit(seq).cast("long")).select(*[x.split()[0] for x in POSTINGS.split(", ")])
         rows.repartitionByRange(n, "term", "field", "key").sortWithinPartitions("term", "field", "key").write.parquet(at)
         back = self._read("postings", {}, [at])
