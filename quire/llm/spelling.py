@@ -157,7 +157,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     base = grams.select(F.explode(_keys(False)).alias("key"), F.col("word").alias("other"), F.col("n").alias("m"))
     probe = grams.select("word", "n", F.explode(_keys(True)).alias("key")).withColumn("same", F.lit(False))
     probe = probe.unionByName(grams.select("word", "n", F.explode(_keys(False)).alias("key")).withColumn("same", F.lit(True)))
-    found = probe.join(base, "key").where((~F.col("same") | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1))
+    # Spark takes the compressed words for the size of their keys, of which there are a dozen a word: without the hints it broadcasts them
+    found = probe.join(base.hint("merge"), "key").where((~F.col("same") | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1))
     return found.select("word", "n", "other", "m").distinct()
 
 
@@ -167,7 +168,7 @@ def followed(forms: DataFrame) -> DataFrame:
     at = written(forms.select("word", F.col("form").alias("root")), "forms", narrow=True)
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = written(at.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms", narrow=True)
+        step = written(at.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "forms", narrow=True)
         at = step.select("word", "root")
         if step.where("moved").isEmpty():
             return at
@@ -182,7 +183,7 @@ def variants(docs: DataFrame) -> DataFrame:
     frequent = -F.col("b.less") >= TIMES * F.col("n")
     near = written(best.select("word", "n_near", F.when(frequent, F.col("b.other")).alias("form"), F.when(frequent, -F.col("b.less")).alias("form_n")), "near", narrow=True)
     roots = followed(near.where("form is not null"))
-    out = words.join(near, "word", "left").join(roots, "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 

@@ -79,6 +79,15 @@ def test_no_near_pair_is_lost(spark, seed):
     assert any(r[1] != r[2] for r in got if r[1])
 
 
+def test_no_keys_are_broadcast(spark):
+    """However small the words' file is, the keys made of it are not sent through the driver."""
+    rows = [(i, " ".join(f"w{'abcde'[i % 5]}rd{'fghij'[j % 5]}ly" for j in range(9))) for i in range(60)]
+    words = spelling.written(spelling.vocabulary(spark.createDataFrame(rows, "doc_id long, text string")), "words")
+    for df in (spelling.near_pairs(words), spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_spelling_of_odd_documents(spark, odd_documents, plain, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.select("doc_id", "text").collect()]
     assert found_variants(odd_documents) == spelling_by_force(rows)
