@@ -91,7 +91,7 @@ def find_by_sha(spark, d):
 
 @query("SELECT vec_id, label, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 2, 6)) AS embedding FROM embeddings")
 def reembed_collection(spark, d):
-    again = V.reembedded(Tables(spark, d).embeddings, F.transform("embedding", lambda x: F.round(x.cast("double") * 2, 6)))
+    again = V.reembedded(Tables(spark, d).embeddings, F.transform("embedding", lambda x: T.rounded(x.cast("double") * 2, 6)))
     return again.select("vec_id", "label", "embedding")
 
 

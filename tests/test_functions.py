@@ -141,3 +141,18 @@ def test_repointing_swaps(spark):
     assert got == {"/o": "/b", "/a": "/b", "/c": "/a"}
     refs = spark.createDataFrame([(1, "/a"), (2, "/c"), (3, "/x")], "id int, path string")
     assert {r["id"]: r["path"] for r in relocate.rewritten(refs, moves).collect()} == {1: "/b", 2: "/a", 3: "/x"}
+
+
+@pytest.mark.parametrize("query", ["reembed_collection", "reembed_stored"])
+def test_reembedded_zeros_keep_their_sign(spark, duck, tmp_path, query):
+    """What rounds to zero from below is -0.0, as in the SQL; ties of the scaled value go away from zero."""
+    import math
+
+    from quire import plans
+
+    values = [-1e-8, 1e-8, -0.0, 0.0, -2.5e-7, 2.5e-7, 0.12345675, -1.00000025, 3.0] + [0.5] * 55
+    spark.createDataFrame([(0, 1, values)], "vec_id long, label long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = plans.QUERIES[query](spark, str(tmp_path)).first()["embedding"]
+    want = duck.execute(plans.SQL[query].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchone()[2]
+    assert [(x, math.copysign(1, x)) for x in got] == [(x, math.copysign(1, x)) for x in want]
+    assert math.copysign(1, got[0]) == -1
