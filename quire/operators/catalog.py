@@ -144,15 +144,15 @@ def unclashing(incoming: DataFrame, taken: DataFrame, name: str, owner: str, ord
     """Incoming works (owner, order, head, name) with names that no work of their owner has: those that clash are made anew from the head."""
     import pandas as pd
 
-    from quire.functions.names import unique_slug
+    from quire.functions.names import next_slug
 
     def fold(key, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        used = set(others[name])
+        used, proposals = set(others[name]), {}
         out = []
         for r in mine.sort_values(order).itertuples():
             own = getattr(r, name)
             if own in used:
-                own = unique_slug(r.head, used)
+                own = next_slug(r.head, used, "", proposals)
             used.add(own)
             out.append(own)
         return whole(mine.sort_values(order).assign(**{name: out}))

@@ -156,3 +156,16 @@ def test_reembedded_zeros_keep_their_sign(spark, duck, tmp_path, query):
     want = duck.execute(plans.SQL[query].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchone()[2]
     assert [(x, math.copysign(1, x)) for x in got] == [(x, math.copysign(1, x)) for x in want]
     assert math.copysign(1, got[0]) == -1
+
+
+def test_many_clashing_names_take_linear_time(spark):
+    import time
+
+    from quire.operators import catalog
+
+    n = 15_000
+    rows = spark.range(n).select(F.col("id"), F.lit(1).alias("owner"), F.lit("Work").alias("head"), F.lit("work").alias("slug"))
+    taken = spark.createDataFrame([(1, "work")], "owner int, slug string")
+    start = time.time()
+    got = {r["slug"] for r in catalog.unclashing(rows, taken, "slug", "owner", "id").collect()}
+    assert got == {f"work_{i + 2}" for i in range(n)} and time.time() - start < 10
