@@ -21,6 +21,21 @@ def test_tei_rules():
     assert tei.parse("x.xml", b"<a>")["error"]
 
 
+def test_a_large_file_takes_little_more_than_its_texts():
+    """Memory of parsing beside the file: neither all nodes nor all words are there at a time."""
+    import tracemalloc
+
+    line = "<p>" + "some words of a text that go on &amp; on " * 5 + "</p>\n"
+    part = "".join(f"<div><head>Doc {i}</head>{line * 12}</div>" for i in range(1000))
+    content = BOOK.replace("<div><head>[x]", part + "<div><head>[x]").format(title="T", author="A").encode()
+    tracemalloc.start()
+    r = tei.parse("a.xml", content)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(r["divs"]) == 1003 and r["divs"][0]["word_size"] == len(r["divs"][0]["text"].split())
+    assert peak < 10 * len(content), peak / len(content)
+
+
 def test_repository(spark, tmp_path):
     (tmp_path / "en").mkdir()
     (tmp_path / "en" / "a.xml").write_text(BOOK.format(title="A", author="Doe, Jane"))
