@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.frames import whole
 
 READ_AFTER = 3
 
@@ -72,27 +74,48 @@ MAX_SNIPPET = 2000
 
 def first_free(base: str, used: set[str], most: int = MAX_NAME) -> str:
     """base, or with " (2)", " (3)", ... the first that isn't used; cut so that it keeps the limit."""
-    name, n = base, 2
+    return _first_free(base, used, most)[0]
+
+
+def _first_free(base: str, used: set[str], most: int = MAX_NAME, n: int = 2) -> tuple[str, int]:
+    """The name, and the number to go on with: all before it are used. n: such a number, where one is known."""
+    name = base
     while name in used:
         suffix = f" ({n})"
         name, n = base[: most - len(suffix)] + suffix, n + 1
-    return name
+    return name, n
+
+
+#: Characters of a stem, at most: numbering a name that is too long never cuts so much of it.
+STEM = 100
 
 
 def unique_names(saved: DataFrame, owner: str, name: str, order: str) -> DataFrame:
-    """saved, in order, with names that their owner has not used before: a fold over one owner's names."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        rows = rows.sort_values(order)
-        names = []
-        for base in rows[name]:
-            names.append(first_free(base, used))
-            used.add(names[-1])
-        return whole(rows.assign(**{name: names}))
-
-    return saved.groupBy(owner).applyInPandas(fold, saved.schema)
+    """saved, in order, with names that their owner has not used before.
+
+    All that a name may become begins with its stem (up to where a number in brackets starts), so names of an owner with different stems never
+    meet: those of one stem come in order to one function, which goes on numbering where it stopped. Null names stay."""
+    names, at = saved.columns, saved.columns.index(name)
+    stem = F.substring(F.regexp_extract(F.coalesce(name, F.lit("")), r"(?s)^(.*?)(?: \([0-9].*)?\z", 1), 1, STEM)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, going = None, set(), {}
+        for b in batches:
+            out = []
+            for key in zip(b.column("_owner").to_pylist(), b.column("_stem").to_pylist(), b.column(at).to_pylist(), strict=True):
+                if group != key[:2]:
+                    group, used, going = key[:2], set(), {}
+                base = own = key[2]
+                if base is not None:
+                    own, going[base] = _first_free(base, used, n=going.get(base, 2))
+                    used.add(own)
+                out.append(own)
+            columns = [b.column(c) for c in names]
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = saved.withColumn("_owner", F.col(owner).cast("string")).withColumn("_stem", stem).repartition("_owner", "_stem").sortWithinPartitions("_owner", "_stem", F.col(order).asc_nulls_last())
+    return rows.mapInArrow(run, saved.schema)
 
 
 def searches_saved(hits: DataFrame, searches: DataFrame, owner: str, order: str) -> tuple[DataFrame, DataFrame]:

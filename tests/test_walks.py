@@ -1,5 +1,8 @@
 """Addresses, includes and languages on small made cases."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +119,28 @@ def test_scratch_is_removed(spark, tmp_path, monkeypatch):
             shared.written(spark.range(3), "b")
         assert len(list((tmp_path / "quire").iterdir())) == 1
     assert list((tmp_path / "quire").iterdir()) == [] and shared.written(spark.range(2), "c").count() == 2
+
+
+def test_names_of_an_owner_go_on_where_numbering_stopped(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import state
+
+    rng = random.Random(3)
+    long = "n" * 199
+    names = ["a", "a (2)", "a (2) (2)", "a\n", "a\n (3)", "b (x", long, long[:195] + " (2)", "c" * 94 + " (2) (2)" * 15]
+    rows = [(o, i, rng.choice(names)) for o in ("x", "y", None) for i in range(300)]
+    want = []
+    for o in ("x", "y", None):
+        used: set[str] = set()
+        for _, i, n in (r for r in rows if r[0] == o):
+            want.append((o, i, state.first_free(n, used)))
+            used.add(want[-1][2])
+    saved = spark.createDataFrame(rows, "owner string, id long, name string")
+    got = [tuple(r) for r in state.unique_names(saved.orderBy(F.rand(1)), "owner", "name", "id").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # as many of one name as would take an hour if each were counted from two on
+    one = state.unique_names(spark.range(60_000).select(F.lit(1).alias("owner"), "id", F.lit("a").alias("name")), "owner", "name", "id")
+    began = time.monotonic()
+    assert one.agg(F.max(F.when(F.col("id") == 59_999, F.col("name")))).first()[0] == "a (60000)"
+    assert time.monotonic() - began < 60
