@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import xml
+from quire.functions.shared import spread
 from quire.operators import maintain, relocate, tree
 from quire.operators import search as S
 from quire.operators import vectors as V
@@ -139,7 +140,7 @@ def cover_metadata(spark, d):
     )
     work = F.concat(F.lit("<div xmlns='http://www.tei-c.org/ns/1.0'>"), when(4, F.concat(F.lit("<subtitle>sub "), k, F.lit("</subtitle>"))), F.lit("<epigraph><p>to "), "p_type", F.lit("</p></epigraph><div><epigraph>inner</epigraph></div></div>"))
     m = xml.book_metadata(header, work, F.col("p_name"), F.col("p_brand"), F.when(k % 5 > 0, "ro"))
-    return Tables(spark, d).part.select(k.alias("id"), m.alias("m")).select("id", *(F.col("m")[c].alias(c) for c in COVER))
+    return spread(Tables(spark, d).part).select(k.alias("id"), m.alias("m")).select("id", *(F.col("m")[c].alias(c) for c in COVER))
 
 
 @query("SELECT source FROM documents WHERE lang = 'fr' INTERSECT SELECT source FROM documents WHERE lang = 'de'")

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,21 @@ def test_projection():
 
 def test_prefixes(spark):
     assert spark.range(1).select(prefixed(F.lit("x"), "e5", True)).first()[0] == "query: x"
+
+
+def test_cover_reads_each_xml_once():
+    header = '<!DOCTYPE TEI><TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><editor>A <hi>b</hi></editor><editor role="editor">C</editor><editor role="translator">D &amp; E</editor><editor role="x">no</editor></titleStmt><editionStmt><edition>First <date>1900</date> one</edition></editionStmt><sourceDesc><bibl><idno type="ISBN">1<idno type="ISBN">2</idno></idno><idno>no</idno></bibl></sourceDesc></fileDesc></teiHeader><text><editor>no</editor></text></TEI>'
+    got = xml.texts_at(header, xml.HEADER, {"edition_notice": xml.EDITION_NOTICE})
+    assert {k: v for k, v in got.items() if v} == {"editor": "A bC", "translator": "D & E", "date": "1900", "isbn": "12", "edition_notice": "First  one"}
+    assert set(xml.texts_at(None, xml.WORK).values()) == set(xml.texts_at("", xml.WORK).values()) == {""}
+    began = time.monotonic()
+    for _ in range(2000):
+        xml.texts_at(header, xml.HEADER)
+    assert time.monotonic() - began < 2  # evaluating paths one by one takes about a millisecond a row
+
+
+def test_rows_that_much_is_done_with_are_spread(spark):
+    from quire.functions.shared import spread
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread(spark.range(100).coalesce(1)).select(F.spark_partition_id()).distinct().count() == n
