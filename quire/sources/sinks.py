@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.shared import spread
+
 TOPICS = ("opusAdded", "opusChanged", "opusRemoved", "coverRequested", "search", "reading")
 
 
@@ -35,4 +37,4 @@ def publish(df: DataFrame, topic: str, servers: str):
 def leaf_files(leaves: DataFrame, path: str) -> None:
     """path, text of leaves as one text file each, in folders name=<path with / as __>."""
     named = leaves.select(F.replace("path", F.lit("/"), F.lit("__")).alias("name"), F.col("text").alias("value"))
-    named.repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+    spread(named, "name").write.mode("overwrite").partitionBy("name").text(path)

@@ -618,3 +618,12 @@ def test_lists_probed_are_as_many_as_their_recall_asks_for(spark, tmp_path):
     assert r["queries"] == 75 and r["found"]
     e = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
     assert V.probes_for(e.where("vec_id % 20 = 0"), e, V.centres(e, 16), 10) > 10
+
+
+def test_leaf_files_are_written_by_many_tasks(spark, tmp_path):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = spark.range(400).select(F.concat(F.lit("a/"), "id").alias("path"), F.lit("text").alias("text"))
+    sinks.leaf_files(leaves, str(tmp_path / "leaves"))
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "leaves").glob("*/part-*")}
+    assert len(tasks) == n  # however small the rows are
+    assert spark.read.text(str(tmp_path / "leaves")).select("name").distinct().count() == 400
