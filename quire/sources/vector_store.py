@@ -119,8 +119,8 @@ def packed(size: int, metric: str, key: str):
 FOUND = "query string, key string, seg string, list int, near double"
 
 
-def candidates(size: int, metric: str, k: int, dead: dict[tuple[str, int], int]):
-    """A function of batches of (seg, block of codes, block of queries): of each query the k nearest by code, and as many more as rows of the list are replaced."""
+def candidates(size: int, metric: str, k: int):
+    """A function of batches of (seg, block of codes, gone: its keys that are replaced, block of queries): of each query the k nearest by code that aren't replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -132,7 +132,12 @@ def candidates(size: int, metric: str, k: int, dead: dict[tuple[str, int], int])
                 asked = np.frombuffer(row["q"].as_buffer(), np.float64).reshape(-1, size)
                 far = np.round(near(metric, asked, codes), 9)
                 keys = np.array(row["keys"].as_py(), object)
-                take = min(k + dead.get((seg, number), 0), len(keys))
+                if row["gone"].as_py():
+                    here = ~np.isin(keys.astype(str), row["gone"].as_py())
+                    far, keys = far[:, here], keys[here]
+                take = min(k, len(keys))
+                if not take:
+                    continue
                 part = np.argpartition(far, take - 1, axis=1)[:, :take] if take < len(keys) else np.tile(np.arange(take), (len(asked), 1))
                 n = part.size
                 names = np.repeat(np.array(row["queries"].as_py(), object), take)
@@ -323,16 +328,22 @@ class Collections:
             codes = rows.select(F.col(state["key"]).alias("key"), "list", "embedding", "seg")
         codes = codes if len(lists) == len(centre) else codes.where(one_of(F.col("list"), lists))
         dead = self._segments(log, state, "dead")
-        # rows of segments and lists: MOST_LISTS times the segments at most, where merging keeps these few
-        replaced = {} if dead is None else {(r["of"], r["list"]): r["count"] for r in dead.groupBy("of", "list").count().collect()}
         if state["quantised"]:
-            found = codes.join(listed, "list").mapInArrow(candidates(size, metric, k, replaced), FOUND)
+            # what is replaced never is a candidate: of each block its keys that are (BLOCK at most) go with it; a block's first key is its own
+            codes = codes.withColumn("block", F.element_at("keys", 1))
+            if dead is None:
+                codes = codes.withColumn("gone", F.array().cast("array<string>"))
+            else:
+                held = codes.select("seg", "block", F.explode("keys").alias("key"))
+                gone = held.join(dead.select(F.col("of").alias("seg"), "key"), ["seg", "key"], "left_semi").groupBy("seg", "block").agg(F.collect_list("key").alias("gone"))
+                codes = codes.join(gone, ["seg", "block"], "left")
+            found = codes.join(listed, "list").mapInArrow(candidates(size, metric, k), FOUND)
         else:
             single = listed.select("list", F.explode("queries").alias("query")).join(asked, "query")
             far = exact(metric, F.col("embedding"), F.col("q"))
+            if dead is not None:
+                codes = codes.join(dead.select("key", F.col("of").alias("seg")), ["key", "seg"], "left_anti")
             found = codes.join(single, "list").select("query", "key", "seg", "list", F.round(far, 9).alias("near"))
-        if dead is not None:
-            found = found.join(dead.select("key", F.col("of").alias("seg")), ["key", "seg"], "left_anti")
         best = Window.partitionBy("query").orderBy("near", "key")
         return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 

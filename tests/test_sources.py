@@ -627,3 +627,20 @@ def test_leaf_files_are_written_by_many_tasks(spark, tmp_path):
     tasks = {f.name.split("-")[1] for f in (tmp_path / "leaves").glob("*/part-*")}
     assert len(tasks) == n  # however small the rows are
     assert spark.read.text(str(tmp_path / "leaves")).select("name").distinct().count() == 400
+
+
+def test_what_is_replaced_is_no_candidate():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    codes, steps = vector_store.coded(rng.normal(size=(300, 8)))
+    asked = rng.normal(size=(2, 8))
+    keys = [str(i) for i in range(300)]
+    gone = keys[:290]
+    row = {"seg": ["s"], "list": pa.array([3], pa.int32()), "keys": [keys], "codes": [codes.tobytes()], "steps": [steps.tobytes()], "gone": [gone], "queries": [["a", "b"]], "q": [asked.tobytes()]}
+    batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in row.values()], list(row))
+    out = [r for b in vector_store.candidates(8, "euclidean", 4)([batch]) for r in b.to_pylist()]
+    # as many as asked for a query, not as many more as are replaced; none of these
+    assert len(out) == 8 and {r["key"] for r in out} <= set(keys[290:])
+    far = np.linalg.norm(asked[0] - (codes * steps[:, None])[290:], axis=1)
+    assert {r["key"] for r in out if r["query"] == "a"} == {keys[290 + i] for i in np.argsort(far)[:4]}
