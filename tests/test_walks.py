@@ -144,3 +144,23 @@ def test_names_of_an_owner_go_on_where_numbering_stopped(spark):
     began = time.monotonic()
     assert one.agg(F.max(F.when(F.col("id") == 59_999, F.col("name")))).first()[0] == "a (60000)"
     assert time.monotonic() - began < 60
+
+
+def test_files_are_parsed_in_parts(spark):
+    from quire.sources import tei
+
+    rng = random.Random(2)
+    words = ["some", "Words", "é", " of", "a b", "\n"]
+    div = lambda h: f"<div><head>{h}</head>" + "".join(f"<p>{' '.join(rng.choices(words, k=400_000))}</p>" for _ in range(6)) + "</div>"
+    x = f'<TEI><teiHeader><fileDesc><titleStmt><title>T</title><author>A</author></titleStmt></fileDesc></teiHeader><text><body><div><head>All</head>{div("One ")}{div("Two")}</div></body></text></TEI>'
+    files = spark.createDataFrame([("a.xml", x.encode()), ("b.xml", b"<TEI>"), ("c.xml", b"<TEI/>")], "name string, content binary")
+    rows = tei.parsed_in_parts(files).collect()
+    large = sorted((r for r in rows if r["name"] == "a.xml"), key=lambda r: r["part"])
+    # no row is as large as the file, and all is there once
+    assert len(large) > 3 and max(sum(len(p["text"]) for p in r["paragraphs"]) for r in large) < 2 * tei.PART
+    whole = tei.parse("a.xml", x.encode())
+    assert [p.asDict() for r in large for p in r["paragraphs"]] == whole["paragraphs"]
+    assert [d.asDict() | {"text": None} for d in large[0]["divs"]] == [d | {"text": None} for d in whole["divs"]] and not any(r["divs"] or r["authors"] for r in large[1:])
+    assert [(r["name"], r["part"], r["error"] is None) for r in rows if r["name"] != "a.xml"] == [("b.xml", 0, False), ("c.xml", 0, True)]
+    made = spark.createDataFrame([(d["head"], d["text"], d["digest"]) for d in whole["divs"]], "head string, text string, digest string")
+    assert made.where(T.text_digest(F.col("head"), F.col("text")) != F.col("digest")).isEmpty()
