@@ -13,12 +13,20 @@ Documents without content are not indexed."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.analyze import ENDINGS, analyzed
 from quire.functions.frames import one_of
+from quire.functions.language import FUNCTION_WORDS
+from quire.functions.shared import scratch, written
 from quire.sources.commits import Commits, Conflict
 
 from .search import B, HEAD_BOOST, K1, top
@@ -31,27 +39,82 @@ MERGED, RATIO = 4, 2
 CLAUSES = 1024
 #: Files that a query names; beyond them their folder is read, and Parquet's own statistics choose.
 FILES = 4096
+RANGES = "file string, low string, high string, postings long"
 POSTINGS = "field string, term string, key string, work string, tf long, len long, _seq long"
 PARTS = {
     "postings": POSTINGS,
-    "ranges": "file string, low string, high string, postings long",
+    "ranges": RANGES,
     "works": "work string, field string, n double, len long, _seq long",
     "replaced": "work string, _seq long",
 }
 LANGUAGES = tuple(sorted(ENDINGS))
 
 
-def postings(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """field, term, key, work, tf, len of documents (key, work, lang, head, content)."""
-    held = docs.where(F.trim(F.coalesce("content", F.lit(""))) != "")
-    named = {"content": F.col("content"), "head": F.coalesce("head", F.lit(""))}
-    own = [F.struct(F.lit(f).alias("field"), T.tokens(c).alias("w")) for f, c in named.items()]
-    for lang in languages:
-        for f, c in named.items():
-            own.append(F.when(F.col("lang") == lang, F.struct(F.lit(f"{f}_{lang}").alias("field"), analyzed(c, lang).alias("w"))))
-    fields = held.select("key", "work", F.explode(F.filter(F.array(*own), lambda x: x.isNotNull() & (F.size(x["w"]) > 0))).alias("f"))
-    words = fields.select("key", "work", "f.field", F.size("f.w").cast("long").alias("len"), F.explode("f.w").alias("term"))
-    return words.groupBy("field", "term", "key", "work", "len").agg(F.count("*").alias("tf"))
+def stem(lang: str):
+    """The term that a folded word is in a language, or None (as analyzed() does it)."""
+    stop, ending = frozenset(FUNCTION_WORDS.get(lang, "").split()), re.compile(rf"(.{{4,}}?)(?:{ENDINGS[lang]})")
+    return lambda w: None if w in stop else m[1] if (m := ending.fullmatch(w)) else w
+
+
+def counted(languages: tuple[str, ...]):
+    """Rows (key, work, lang, content, head), words of which the last two are, in order of key -> postings. Rows that agree in key, work and length are one document."""
+    stems = {x: stem(x) for x in languages if x in ENDINGS}
+
+    def of(field: str, t: pa.Table, row: np.ndarray, code: np.ndarray, terms: pa.Array) -> pa.RecordBatch:
+        long = np.bincount(row, minlength=t.num_rows)
+        group: dict[tuple, int] = {}
+        own = np.array([group.setdefault(x, i) for i, x in enumerate(zip(t.column("key").to_pylist(), t.column("work").to_pylist(), long.tolist(), strict=True))], np.int64)
+        found, n = np.unique(own[row] * len(terms) + code, return_counts=True)
+        at, term = np.divmod(found, max(1, len(terms)))
+        columns = [pa.array([field] * len(found), pa.string()), terms.take(pa.array(term)), *(t.column(c).combine_chunks().take(pa.array(at)) for c in ("key", "work")), pa.array(n), pa.array(long[at])]
+        return pa.RecordBatch.from_arrays(columns, ["field", "term", "key", "work", "tf", "len"])
+
+    def fields(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs = np.array(t.column("lang").to_pylist(), object)
+        for f in ("content", "head"):
+            lists = t.column(f).combine_chunks()
+            words = lists.flatten().dictionary_encode()
+            row, code = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy()), words.indices.to_numpy()
+            yield of(f, t, row, code, words.dictionary)
+            for lang, to in stems.items():
+                mine = (langs == lang)[row]
+                if mine.any():
+                    cut = pa.array([to(w) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                    new = cut.indices.fill_null(-1).to_numpy()[code]
+                    mine &= new >= 0
+                    yield of(f"{f}_{lang}", t, row[mine], new[mine], cut.dictionary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            keys = t.column("key").to_pylist()
+            at = next((i for i in range(len(keys) - 1, 0, -1) if keys[i - 1] != keys[-1]), 0)  # the last key may go on
+            held = t.slice(at)
+            if at:
+                yield from fields(t.slice(0, at))
+        if held is not None:
+            yield from fields(held)
+
+    return run
+
+
+def postings(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, tasks: int | None = None) -> DataFrame:
+    """field, term, key, work, tf, len of documents (key, work, lang, head, content), dealt by key to so many tasks. A text is folded once, whatever fields come from it, and counted where it is."""
+    held = docs.where(F.trim(F.coalesce("content", F.lit(""))) != "").select("key", "work", "lang", "head", "content")
+    dealt = (held.repartition("key") if tasks is None else held.repartition(tasks, "key")).sortWithinPartitions("key")
+    split = dealt.select("key", "work", "lang", T.tokens(F.col("content")).alias("content"), T.tokens(F.coalesce("head", F.lit(""))).alias("head"))
+    return split.mapInArrow(counted(languages), "field string, term string, key string, work string, tf long, len long")
+
+
+def ranges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, term) -> RANGES of each batch. (Spark would sort all rows by file for the least and greatest of strings.)"""
+    for b in batches:
+        files = b.column(0).dictionary_encode()
+        for i, name in enumerate(files.dictionary.to_pylist()):
+            own = b.column(1).filter(pc.equal(files.indices, i))
+            ends = pc.min_max(own).as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ends["min"]]), pa.array([ends["max"]]), pa.array([len(own)])], ["file", "low", "high", "postings"])
 
 
 class Index:
@@ -85,14 +148,19 @@ class Index:
         """All postings that count."""
         return self._live("postings", self._state()[1]["segments"]).drop("_seq")
 
+    def _files(self, size: int) -> int:
+        """How many files the postings of so many bytes of text are dealt to, and tasks before them the texts: no task waits for a last few."""
+        at_once = self.spark.sparkContext.defaultParallelism
+        n = -(-size // FILE_BYTES)
+        return -(-n // at_once) * at_once if n > at_once else max(1, n, min(at_once, -(-size // LEAST_BYTES)))
+
     def _write(self, seg: str, seq: int, rows: DataFrame, size: int, info: dict) -> None:
         """postings, their files' ranges and their works' statistics. size: bytes of text that they come from."""
-        at = self.log.data("segments", seg, "postings")
-        n = max(1, -(-size // FILE_BYTES), min(self.spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+        at, n = self.log.data("segments", seg, "postings"), self._files(size)
         rows = rows.withColumn("_seq", F.lit(seq).cast("long")).select(*[x.split()[0] for x in POSTINGS.split(", ")])
-        rows.repartitionByRange(n, "term", "field", "key").sortWithinPartitions("term", "field", "key").write.parquet(at)
+        rows.repartitionByRange(n, "term", "field", "key").sortWithinPartitions("term").write.parquet(at)
         back = self._read("postings", {}, [at])
-        ranges = back.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high"), F.count("*").alias("postings"))
+        ranges = back.select(F.col("_metadata.file_path").alias("file"), "term").mapInArrow(ranges_of, RANGES).groupBy("file").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("postings").alias("postings"))
         ranges.repartitionByRange("low").sortWithinPartitions("low").write.parquet(self.log.data("segments", seg, "ranges"))
         # tf / len of a document's postings add up to 1 in a field
         works = back.groupBy("work", "field").agg(F.sum(F.col("tf") / F.col("len")).alias("n"), F.sum("tf").alias("len")).withColumn("_seq", F.lit(seq).cast("long"))
@@ -110,8 +178,12 @@ class Index:
         seq, seg, info = state["seq"] + 1, self.log.new_segment(), {"seq": state["seq"] + 1, "parts": [], "rows": 0}
         change: dict = {}
         if docs is not None:
-            size = docs.agg(F.sum(F.octet_length(F.coalesce("content", F.lit("")))), F.sum(F.octet_length(F.coalesce("head", F.lit(""))))).first()
-            self._write(seg, seq, postings(docs, self.languages), sum(x or 0 for x in size), info)
+            sizes = docs.agg(F.sum(F.octet_length(F.coalesce("content", F.lit("")))), F.sum(F.octet_length(F.coalesce("head", F.lit(""))))).first()
+            size = sum(x or 0 for x in sizes)
+            with scratch(self.spark):
+                # a task counts FILE_BYTES of text, however large the input; the sort by ranges looks at its rows twice, so they are written first
+                rows = written(postings(docs, self.languages, self._files(size)), "postings")
+                self._write(seg, seq, rows, size, info)
             change = self._totals(self._read("works", {seg: info}))
         if works is not None:
             at = self.log.data("segments", seg, "replaced")

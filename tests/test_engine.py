@@ -221,3 +221,24 @@ def test_rows_that_much_is_done_with_are_spread(spark):
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spread(spark.range(100).coalesce(1)).select(F.spark_partition_id()).distinct().count() == n
+
+
+def test_postings_are_counted_where_a_text_is(spark):
+    from quire.functions.analyze import analyzed
+    from quire.operators import fulltext
+
+    texts = ["Die Häuser scheinen, die Haus und 2 häusern", "", None, "les maisons MAISON de", "x́y \U0001d400b 𝐀b nichten"]
+    rows = [(f"k{i % 12:02d}", f"w{i % 2}", (None, "de", "fr", "en")[i % 4], (texts * 2)[i % 5 + 1], texts[i % 5]) for i in range(60)] + [(None, "w", "de", "H", "same same")] * 2
+    docs = spark.createDataFrame(rows, "key string, work string, lang string, head string, content string")
+    own = fulltext.postings(docs, ("de", "fr"), 5)
+    assert own.rdd.getNumPartitions() == 5  # as many tasks as asked for, whatever a shuffle has
+    parts = []
+    for f, c in (("content", F.col("content")), ("head", F.coalesce("head", F.lit("")))):
+        for lang, where in ((None, F.lit(True)), ("de", F.col("lang") == "de"), ("fr", F.col("lang") == "fr")):
+            w = docs.where("trim(content) <> ''").where(where).select("key", "work", F.explode(F.array(analyzed(c, lang))).alias("w"))
+            parts.append(w.select(F.lit(f if lang is None else f"{f}_{lang}").alias("field"), F.explode("w").alias("term"), "key", "work", F.size("w").cast("long").alias("len")).groupBy("field", "term", "key", "work", "len").agg(F.count("*").alias("tf")))
+    want = parts[0]
+    for p in parts[1:]:
+        want = want.unionByName(p)
+    listed = lambda df: sorted(map(str, df.select("field", "term", "key", "work", "tf", "len").collect()))
+    assert listed(own) == listed(want) and any("tf=4" in x for x in listed(own))
