@@ -242,3 +242,21 @@ def test_postings_are_counted_where_a_text_is(spark):
         want = want.unionByName(p)
     listed = lambda df: sorted(map(str, df.select("field", "term", "key", "work", "tf", "len").collect()))
     assert listed(own) == listed(want) and any("tf=4" in x for x in listed(own))
+
+
+def test_the_nearest_of_a_label_is_found_without_sorting_pairs(spark):
+    import math
+    import random
+
+    from quire.operators import vectors as V
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", None]), [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(120)] + [(500, "alone", [0.0] * 3), (501, "a", None)]
+    v = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    got = {r["query"]: (r["hit"]["distance"], r["hit"]["key"]) for r in V.nearest_alike(v, v, "label", "vec_id").collect()}
+    want = {}
+    for i, m, q in rows:
+        far = [(math.dist(q, e), k) for k, n, e in rows if n == m and k != i and e is not None] if m is not None and q is not None else []
+        if far:
+            want[i] = min(far)
+    assert got == want and 500 not in got
