@@ -164,3 +164,16 @@ def test_files_are_parsed_in_parts(spark):
     assert [(r["name"], r["part"], r["error"] is None) for r in rows if r["name"] != "a.xml"] == [("b.xml", 0, False), ("c.xml", 0, True)]
     made = spark.createDataFrame([(d["head"], d["text"], d["digest"]) for d in whole["divs"]], "head string, text string, digest string")
     assert made.where(T.text_digest(F.col("head"), F.col("text")) != F.col("digest")).isEmpty()
+
+
+def test_many_includes_take_time_in_proportion():
+    def took(n):
+        x = f"<b {XI}>" + "".join(f'<xi:include href="{i}.xml"/>-' for i in range(n)) + "</b>"
+        parts = {(f"{i}.xml", False): b"<p>%d</p>" % i for i in range(n)}
+        began = time.perf_counter()
+        out = include.put_in("a.xml", x.encode(), parts)
+        assert out.decode().split(f"<b {XI}>")[1] == "".join(f"<p>{i}</p>-" for i in range(n)) + "</b>"
+        return time.perf_counter() - began
+
+    few = min(took(2000) for _ in range(3))
+    assert took(16000) < 18 * few
