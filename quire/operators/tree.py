@@ -106,14 +106,32 @@ def member_neighbours(rows: DataFrame, by: str, order: str, of: str, member) ->
     return own
 
 
-def to_levels(placed: DataFrame, levels: int | None, headed: str = "headed") -> DataFrame:
-    """Of one tree's rows (path, depth, place, headed), those at most some levels below its root. A row without a heading is no level: what is below it counts as its parent's."""
+def to_levels(placed: DataFrame, levels: int | None, headed: str = "headed", deepest: int | None = None) -> DataFrame:
+    """Of trees' rows (path, depth, place, headed), those at most some levels below their root. A row without a heading is no level: what is below it counts as its parent's.
+
+    place begins with the root's. Rows no deeper than the levels need no look at what is above them. The deeper ones are joined with the headed rows of one depth
+    at a time, and go on only while they are within the levels. A place counts once, however many rows have it. deepest: the size of the longest place, which is
+    looked up where it isn't given; a longer one than given is an error."""
     if levels is None:
         return placed
-    up = placed.select(F.col("place").alias("_p"), F.col(headed).cast("int").alias("_h"))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("place")), lambda n: F.slice("place", 1, n))
-    level = placed.select("place", F.explode(prefixes).alias("_p")).join(up, "_p").groupBy("place").agg(F.sum("_h").alias("_n"))
-    return placed.join(level, "place").where(F.col("_n") - 1 <= levels).drop("_n")
+    size, title = F.size("place"), F.coalesce(F.col(headed).cast("int"), F.lit(0))
+    key = lambda p: F.xxhash64(p)  # noqa: E731  numbers are sorted faster than arrays; these are compared where numbers are equal
+    out = placed.where(size <= levels + 1)
+    below = placed.where(size > levels + 1).withColumn("_n", title)
+    if deepest is None:
+        deepest = placed.agg(F.max(size)).first()[0] or 0
+    else:
+        below = below.where(F.when(size <= deepest, True).otherwise(F.raise_error(F.lit(f"a place is longer than {deepest}")).cast("boolean")))
+    for n in range(1, deepest):
+        if n > levels + 1:  # rows of this depth have met all that is above them
+            below = written(below, "below")
+            out = out.unionAll(below.where(size <= n).drop("_n"))
+            below = below.where(size > n)
+        up = placed.where((size == n) & (title == 1)).select(key("place").alias("_k"), F.col("place").alias("_p")).distinct()
+        above = F.slice("place", 1, n)
+        met = below.withColumn("_a", above).join(up, (key(F.col("_a")) == F.col("_k")) & (F.col("_a") == F.col("_p")), "left")
+        below = met.withColumn("_n", F.col("_n") + F.when(F.col("_k").isNull(), 0).otherwise(1)).drop("_k", "_p", "_a").where(F.col("_n") <= levels + 1)
+    return out.unionAll(below.where(F.col("_n") <= levels + 1).drop("_n"))
 
 
 def listing(works: DataFrame, authors: str = "authors") -> DataFrame:

@@ -260,3 +260,23 @@ def test_the_nearest_of_a_label_is_found_without_sorting_pairs(spark):
         if far:
             want[i] = min(far)
     assert got == want and 500 not in got
+
+
+def test_levels_of_deep_trees_without_exploding_places(spark):
+    """Rows within some levels of headings, compared with a count by hand: deep places, ones without a row, and ones that several rows have."""
+    import itertools
+
+    from quire.operators import tree
+
+    places = [("r", *p) for n in range(6) for p in itertools.product("ab", repeat=n) if p[:2] != ("b", "b") or n != 2]
+    headed = {p: hash_embedding("/".join(p), 8)[0] > 0 or len(p) == 1 for p in places}
+    twice = [p for p in places if len(p) == 2]
+    df = spark.createDataFrame([(list(p), headed[p]) for p in places + twice], "place array<string>, headed boolean")
+    for levels in (0, 1, 2, 9):
+        want = sorted(p for p in places + twice if sum(headed.get(p[:n], False) for n in range(1, len(p) + 1)) - 1 <= levels)
+        got = tree.to_levels(df, levels)
+        assert sorted(tuple(r["place"]) for r in got.collect()) == want
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert any(len(p) > 3 for p in places if sum(headed.get(p[:n], False) for n in range(1, len(p) + 1)) == 2)
+    with pytest.raises(Exception, match="longer than 4"):
+        tree.to_levels(df, 1, deepest=4).collect()
