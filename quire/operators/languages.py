@@ -82,7 +82,7 @@ class Detector:
         self.words = self._weights([r for r in rows if r["gram"].startswith("=")])
         self._known: dict[str, tuple[float, ...] | None] = {}
 
-    def _weights(self, rows: list) -> dict[str, np.ndarray]:
+    def _weights(self, rows: list) -> dict[str, list[float]]:
         at = {c: i for i, c in enumerate(self.langs)}
         keys = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}))}
         totals = np.ones(len(self.langs))
@@ -91,21 +91,22 @@ class Detector:
             n[keys[r["gram"]], at[r["lang"]]] += r["n"]
             totals[at[r["lang"]]] = r["total"]
         spread = totals + (1 if rows and rows[0]["gram"].startswith("=") else UNSEEN * len(keys))
-        return dict(zip(keys, np.log(n / spread), strict=True))
+        return dict(zip(keys, np.log(n / spread).tolist(), strict=True))
 
     def weight(self, word: str) -> tuple[float, ...] | None:
         """By language, how much less likely the word is than in the likeliest; None if nothing of it is known."""
         if word not in self._known:
             found = self.words.get(f"={word}")
-            if found is not None and np.ptp(found) < np.log(TELLING):
-                found = np.zeros(len(self.langs))
+            if found is not None and max(found) - min(found) < np.log(TELLING):
+                found = [0.0] * len(self.langs)
             if found is None:
                 own = f" {word} "
                 parts = [self.grams[g] for n in range(1, LONGEST + 1) for i in range(len(own) - n + 1) if (g := own[i : i + n]) in self.grams]
-                found = sum(parts) / OVERLAP if parts else None
+                found = [sum(c) / OVERLAP for c in zip(*parts, strict=True)] if parts else None
+            top = max(found) if found else 0.0
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
-            self._known[word] = None if found is None else tuple(np.maximum(found - found.max(), -MOST).tolist())
+            self._known[word] = None if found is None else tuple(max(x - top, -MOST) for x in found)
         return self._known[word]
 
     def blocks(self, text: str) -> list[list]:
