@@ -2,8 +2,7 @@
 
 The model is, of each language, how frequent its most frequent sequences of one to three letters are (naive Bayes, with a count of a half for
 those never seen). The WORDS words of most texts count as a whole, by their share of each language's texts: what all languages have, such as a notice
-of a license, tells nothing, and neither do what has digits and a word said again at once. Training counts them in Spark over a sample that is bounded for each language (about PER_LANGUAGE texts, by a hash of the text);
-the model, languages times KEPT + WORDS rows at most, goes with the tasks. As for a file: only what follows the header counts, tags are
+of a license, tells nothing, and neither do what has digits and a word said again at once. Training counts them in Spark over the whole of all texts; the model, languages times KEPT + WORDS rows at most, goes with the tasks. As for a file: only what follows the header counts, tags are
 spaces, and fewer than LEAST of the first SAMPLE characters are no language (the hint of a path decides there).
 
 A text's language is its own one, in which passages of others may be quoted, even longer ones: of each language, the likelihood of the
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.language import LEAST, SAMPLE
 
-PER_LANGUAGE = 2000
 KEPT = 3000
 LONGEST = 3
 WORDS = 20000
@@ -45,17 +43,10 @@ def body(raw: Column) -> Column:
     return F.regexp_replace(F.substring_index(F.coalesce(raw, F.lit("")), "</teiHeader>", -1), "<[^>]+>", " ")
 
 
-def prose(raw: Column) -> Column:
-    """What training looks at: SAMPLE characters of the body."""
-    return F.substring(body(raw), 1, SAMPLE)
-
-
 def trained(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """MODEL of texts with their language: sequences, and words (with "=" before) by the texts that have them."""
     rows = texts.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("raw"))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(PER_LANGUAGE) / F.count("*")).alias("share"))
-    some = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("raw"), F.lit(1 << 30)) < F.col("share") * (1 << 30))  # a row a language
-    found = some.select("lang", F.regexp_extract_all(F.lower(prose(F.col("raw"))), F.lit(r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"), F.lit(0)).alias("ws"))
+    found = rows.select("lang", F.regexp_extract_all(F.lower(body(F.col("raw"))), F.lit(r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"), F.lit(0)).alias("ws"))
     words = found.select("lang", F.explode("ws").alias("w")).groupBy("lang", "w").count()
     own = F.concat(F.lit(" "), "w", F.lit(" "))
     length = F.length("w") + 2
@@ -67,7 +58,7 @@ def trained(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     grams = kept.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).select("lang", "gram", "n", "total")
     by_text = found.select("lang", F.explode(F.array_distinct("ws")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     most = by_text.groupBy("w").agg(F.sum("n").alias("_n")).where("_n >= 8").orderBy(F.desc("_n"), "w").limit(WORDS).select("w")
-    sizes = found.groupBy("lang").agg(F.count("*").alias("total"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("total"))
     whole = by_text.join(most, "w").join(F.broadcast(sizes), "lang")  # a row a language
     return grams.unionAll(whole.select("lang", F.concat(F.lit("="), "w"), "n", "total"))
 

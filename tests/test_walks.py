@@ -74,6 +74,13 @@ def test_language_of_a_text_with_longer_quotes(spark):
     assert det.of("der " * 40 + "the cat of the house was in that street with it") == "en"
 
 
+def test_every_text_teaches_as_a_whole(spark):
+    """However many texts a language has, and wherever in a text a word stands, it counts."""
+    rows = spark.range(2600).select(F.lit("en").alias("lang"), F.concat(F.repeat(F.lit("the cat "), 500), F.lit("late "), F.col("id")).alias("text"))
+    model = {r["gram"]: (r["n"], r["total"]) for r in languages.trained(rows).collect()}
+    assert model["=the"] == model["=cat"] == model["=late"] == (2600, 2600)
+
+
 @pytest.mark.parametrize(("text", "want"), [("ÉTÉ Łódź", "ete lodz"), ("Ἀνθρώπους", "ανθρωπους"), ("Ёлка ЙОД", "елка иод"), ("Việt ẞ Ǆ", "viet ss ǆ"), ("é", "e")])
 def test_accents_of_any_script_fold(spark, text, want):
     assert T.folded(text) == want == spark.range(1).select(T.fold(F.lit(text))).first()[0]
