@@ -7,7 +7,7 @@ spaces, and fewer than LEAST of the first SAMPLE characters are no language (the
 
 A text's language is its own one, in which passages of others may be quoted, even longer ones: of each language, the likelihood of the
 whole text is taken with the best choice of passages. One begins with a letter that isn't small or after the end of a sentence, goes on to the end of a
-sentence, and is followed by the text's own words, unless it has a line to itself; it costs QUOTED, LONGER a word more, and OPEN if nothing follows.
+sentence, and is followed by the text's own words or another passage, unless it has a line to itself; it costs QUOTED, LONGER a word more, and OPEN if nothing follows.
 Null texts, texts without a letter, and ties have none; rows without text or language teach nothing."""
 
 from __future__ import annotations
@@ -131,9 +131,9 @@ class Detector:
         never = -np.inf
         at, inside, lines = 0.0, [never] * len(others), [never] * len(others)  # in its own words; in a passage that began within a line, or with one
         for weights, words, stop, line in blocks:
-            begun, more = at - QUOTED, LONGER * words
             if stop:
                 at = max(at, *inside, *lines)
+            begun, more = at - QUOTED, LONGER * words
             at += weights[own]
             if line:
                 lines = [max(x, begun) + weights[i] - more for x, i in zip(lines, others, strict=True)]

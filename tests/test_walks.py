@@ -81,6 +81,13 @@ def test_every_text_teaches_as_a_whole(spark):
     assert model["=the"] == model["=cat"] == model["=late"] == (2600, 2600)
 
 
+def test_language_of_a_text_that_ends_in_passages_of_two_others(spark):
+    texts = {"en": "the cat of the house was in that street with it and he was for his house and cat. ", "de": "der hund und die katze nicht ein haus mit dem von sich auf zu den und das ist. ", "fr": "le chat de la maison est dans une rue que les chiens pas des qui et avec elle. "}
+    det = languages.Detector(languages.trained(spark.createDataFrame([(k, t * 3) for k, t in texts.items()], "lang string, text string")))
+    en, de, fr = (texts[k].capitalize() for k in ("en", "de", "fr"))
+    assert det.of(f"{en * 6}\n{fr}\n{de}") == "en" and det.of(f"{de * 6}\n{en}\n{fr}") == "de"
+
+
 @pytest.mark.parametrize(("text", "want"), [("ÉTÉ Łódź", "ete lodz"), ("Ἀνθρώπους", "ανθρωπους"), ("Ёлка ЙОД", "елка иод"), ("Việt ẞ Ǆ", "viet ss ǆ"), ("é", "e")])
 def test_accents_of_any_script_fold(spark, text, want):
     assert T.folded(text) == want == spark.range(1).select(T.fold(F.lit(text))).first()[0]
