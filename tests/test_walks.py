@@ -192,6 +192,63 @@ def test_files_are_parsed_in_parts(spark):
     assert made.where(T.text_digest(F.col("head"), F.col("text")) != F.col("digest")).isEmpty()
 
 
+def test_a_file_in_pieces_is_read_as_a_whole_one():
+    """Divisions, their digests and paragraphs are those of the whole file, wherever the pieces end; nothing of a body stays."""
+    from quire.sources import tei
+
+    rng = random.Random(7)
+    words = ["a", "É b", " ", "\n", "[x]", "<!-- c -->", "<![CDATA[<d>]]>", "&amp;", "<?p q?>", "<hi>e  f</hi>", "A"]
+    text = lambda n: "".join(rng.choices(words, k=rng.randint(0, n)))
+
+    def div(depth):
+        head = lambda: rng.choice(["", "<head>A</head>", f"<head>A{text(3)}</head>", "<head>B <note>n</note></head>", "<head>[x]</head>" if rng.random() < 0.2 else ""])
+        inner = [f"<p>{text(9)}</p>", text(4), "<p><floatingText><body><div><head>F</head>g</div></body></floatingText></p>"] + [div(depth + 1) for _ in range(rng.randint(0, 3 if depth < 3 else 0))]
+        rng.shuffle(inner)
+        return f"<div>{head()}{''.join(inner)}{head()}</div>"
+
+    for round_ in range(150):
+        body = f"<body>{text(3)}<p>out</p>{div(0)}{text(2)}{div(0)}</body>"
+        front = "<front><div><head>No</head></div></front>"
+        inner = f"<group><text>{body}</text></group>" if round_ % 5 == 0 else front + body
+        x = f'<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title><author>A</author></titleStmt></fileDesc></teiHeader><text>{inner}</text></TEI>'.encode()
+        whole, own, at = tei.parse("a.xml", x), tei.Stream(), 0
+        while at < len(x):
+            n = rng.randint(1, 60)
+            own.feed(x[at : at + n])
+            at += n
+        root = own.done()
+        rows = list(own.rows())
+        assert rows == [d | {"text": None} for d in whole["divs"]]
+        known = {d["dom_path"] for d in rows}
+        key = lambda p: (p["div"], p["nth"])
+        assert sorted((p for p in own.paragraphs if p["div"] in known), key=key) == sorted(whole["paragraphs"], key=key)
+        assert tei.stated(root) == (["T"], ["A"]) and not root.getElementsByTagName("body")[0].childNodes
+    long = "<TEI><teiHeader>das ist ein Haus</teiHeader><text>" + "<p a='b'>the house of the cat and his street </p>" * 4000 + "</text></TEI>"
+    for size in (1000, 70_001):
+        seen = tei.Opening()
+        for at in range(0, len(long), size):
+            seen.feed(long[at : at + size].encode())
+        assert seen.language() == tei.detect(long) == "en" and len(seen.body) < len(long)
+
+
+def test_a_file_of_many_rows_is_never_whole(spark, tmp_path):
+    from quire.sources import tei
+    from quire.sources.library import Library
+
+    head = '<TEI><teiHeader><fileDesc><titleStmt><title>T</title><author>Doe</author></titleStmt></fileDesc></teiHeader><text><body><div><head>All</head>'
+    n = tei.LOT + 50
+    first = spark.createDataFrame([("a.xml", 0, head.encode()), ("a.xml", n + 1, b"</div></body></text></TEI>"), ("a.xml", n + 2, None), ("b.xml", 0, head.encode())], "name string, seq long, content binary")
+    files = first.unionByName(spark.range(1, n + 1).select(F.lit("a.xml").alias("name"), F.col("id").alias("seq"), F.encode(F.format_string("<div><head>Doc %d</head><p>t%d</p></div>", "id", "id"), "UTF-8").alias("content")))
+    own = Library(spark, f"file://{tmp_path}/library")
+    done = own.import_files(files)
+    assert (done["files"], done["divisions"], done["failed"]) == (1, n + 1, 1)
+    last = own.read("divisions").where(f"head = 'Doc {n}'").first()
+    assert (last["path"], last["xpath"], last["chain"]) == (f"/doe/all/doc_{n}", f"div[1]/div[{n}]", f"all / doc {n}")
+    assert own.read("paragraphs").where("name = 'p' and text = concat('t', regexp_extract(path, '([0-9]+)$', 1))").count() == n
+    rows = tei.parsed_in_parts(files).where("name = 'a.xml'")
+    assert rows.agg(F.max(F.size("divs"))).first()[0] == tei.LOT
+
+
 def test_many_includes_take_time_in_proportion():
     def took(n):
         x = f"<b {XI}>" + "".join(f'<xi:include href="{i}.xml"/>-' for i in range(n)) + "</b>"
