@@ -620,6 +620,27 @@ def test_lists_probed_are_as_many_as_their_recall_asks_for(spark, tmp_path):
     assert V.probes_for(e.where("vec_id % 20 = 0"), e, V.centres(e, 16), 10) > 10
 
 
+def test_nearest_of_many_blocks_are_k_a_query():
+    """A task gives k rows a query, however many blocks it meets; ties go by key, also among many copies."""
+    import pyarrow as pa
+
+    from quire.operators import vectors as V
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(900, 8)).astype(np.float32)
+    v[100:500] = v[7]
+    q = v[:300:5] + np.float32(0)
+    ids, keys = np.arange(0, 300, 5), np.arange(900)
+    mixed = rng.permutation(900)
+    blocks = [np.sort(mixed[i::6]) for i in range(6)]
+    pairs = pa.RecordBatch.from_pylist([{"q_ids": ids.tobytes(), "q": q.tobytes(), "v_ids": keys[b].tobytes(), "v": v[b].tobytes()} for b in blocks])
+    got = pa.Table.from_batches(V.nearest_in_blocks(10)(iter([pairs]))).to_pydict()
+    assert len(got["query"]) == 600
+    for i, x in zip(ids.tolist(), q.astype(float), strict=True):
+        far = np.sqrt(((v.astype(float) - x) ** 2).sum(1))
+        assert [k for n, k in zip(got["query"], got["key"], strict=True) if n == i] == np.lexsort((keys, far))[:10].tolist()
+
+
 def test_leaf_files_are_written_by_many_tasks(spark, tmp_path):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leaves = spark.range(400).select(F.concat(F.lit("a/"), "id").alias("path"), F.lit("text").alias("text"))
